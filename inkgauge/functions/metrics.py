@@ -59,16 +59,25 @@ def at_least(score: Column, threshold: float) -> Column:
     return score >= F.lit(threshold)
 
 
+def let(value: Column, body) -> Column:
+    """Bind ``value`` once and evaluate ``body(bound)``: higher-order
+    function lambdas re-evaluate captured expressions per element, so an
+    expression used inside a lambda is bound through a one-element array."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _code_point_string(tokens: Column, vocab: Column) -> Column:
     """Map every token to one private character (its vocabulary position) so
     a character edit distance is a token edit distance.  Code points start
     at U+0100 and jump the surrogate block; UTF-32 gives room for > 1M
     distinct tokens per pair, far above what the length cap allows."""
-    def cp(w):
-        pos = F.array_position(vocab, w) + F.lit(0xFF)
-        pos = F.when(pos >= 0xD800, pos + 0x800).otherwise(pos)
-        return F.decode(F.unhex(F.lpad(F.hex(pos), 8, "0")), "UTF-32")
-    return F.array_join(F.transform(tokens, cp), "")
+    def codes(v):
+        def cp(w):
+            pos = F.array_position(v, w) + F.lit(0xFF)
+            pos = F.when(pos >= 0xD800, pos + 0x800).otherwise(pos)
+            return F.decode(F.unhex(F.lpad(F.hex(pos), 8, "0")), "UTF-32")
+        return F.array_join(F.transform(tokens, cp), "")
+    return let(vocab, codes)
 
 
 def word_edit_distance(ref_words: Column, hyp_words: Column) -> Column:
@@ -103,12 +112,13 @@ def has_repetition(c: Column, phrase_words: int = REPETITION_PHRASE_WORDS,
     sp = f"[{PY_SPACE_CLASS}]"
     pattern = f"(?<!{w})(?:{w}+{sp}+){{{phrase_words - 1}}}{w}+(?!{w})"
     phrases = F.array_sort(F.regexp_extract_all(F.lower(c), F.lit(pattern), 0))
-    n = F.size(phrases)
-    return F.when(
-        n > threshold,
-        F.exists(F.sequence(F.lit(1), F.greatest(n - threshold, F.lit(1))),
-                 lambda i: F.element_at(phrases, i) == F.element_at(phrases, i + threshold)),
-    ).otherwise(F.lit(False))
+
+    def repeated(p):
+        n = F.size(p)
+        return F.when(n > threshold, F.exists(F.sequence(F.lit(1), F.greatest(n - threshold, F.lit(1))),
+                                              lambda i: F.element_at(p, i) == F.element_at(p, i + threshold))
+                      ).otherwise(F.lit(False))
+    return let(phrases, repeated)
 
 
 def low_uniqueness(c: Column, max_chars: int = 5000, threshold: float = UNIQUENESS_THRESHOLD,

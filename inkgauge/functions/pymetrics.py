@@ -127,6 +127,48 @@ def bleu(ref_text: str, hyp_text: str) -> float:
     return bp * math.exp(math.fsum(logs))
 
 
+def word_edit_distance(a: list, b: list) -> int:
+    """Levenshtein distance between two token sequences, bit-parallel
+    (Myers 1999, Hyyrö 2001): each token of ``b`` updates the whole column of
+    ``a`` with a few big-integer operations, O(len(b) * len(a) / 64)."""
+    if not a:
+        return len(b)
+    if not b:
+        return len(a)
+    peq: dict = {}
+    bit = 1
+    for w in a:
+        peq[w] = peq.get(w, 0) | bit
+        bit <<= 1
+    m = len(a)
+    mask = (1 << m) - 1
+    high = 1 << (m - 1)
+    pv, mv, score = mask, 0, m
+    for w in b:
+        eq = peq.get(w, 0)
+        xv = eq | mv
+        xh = (((eq & pv) + pv) ^ pv) | eq
+        ph = mv | (~(xh | pv) & mask)
+        mh = pv & xh
+        if ph & high:
+            score += 1
+        elif mh & high:
+            score -= 1
+        ph = ((ph << 1) | 1) & mask
+        mh = (mh << 1) & mask
+        pv = mh | (~(xv | ph) & mask)
+        mv = ph & xv
+    return score
+
+
+def word_error_rate(ref_text: str, hyp_text: str):
+    """MET11: word edit distance / reference words; empty reference -> None."""
+    ref = ref_text.split()
+    if not ref:
+        return None
+    return word_edit_distance(ref, hyp_text.split()) / len(ref)
+
+
 def differences(ref_text: str, hyp_text: str, max_len: int = DEFAULT_MAX_DIFF) -> str:
     """MET14: word-level ndiff, keeping removed/added words only."""
     out = " ".join(d for d in ndiff(ref_text.split(), hyp_text.split()) if d[:2] in ("- ", "+ "))
@@ -141,6 +183,7 @@ PY_FIELDS = {
     "fuzz_token_sort_ratio": (T.IntegerType(), fuzz_token_sort_ratio),
     "fuzz_token_set_ratio": (T.IntegerType(), fuzz_token_set_ratio),
     "bleu_score": (T.DoubleType(), bleu),
+    "word_error_rate": (T.DoubleType(), word_error_rate),
     "differences": (T.StringType(), differences),
 }
 

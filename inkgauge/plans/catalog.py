@@ -1,21 +1,33 @@
 """Registered queries: each takes ``(spark, sf_dir)`` and returns a DataFrame.
 
 Every query reads the driver's tables (or what Spark derives from them) in
-full; none caps rows.  ``CATALOG`` is what ``__spark_entry__.queries()``
-exposes; the DuckDB twins live in :mod:`inkgauge.plans.catalog_sql`.
+full; none caps rows except where a limit *is* the operator (``head_sample``,
+``sample_k``).  ``CATALOG`` is what ``__spark_entry__.queries()`` exposes;
+the DuckDB twins live in :mod:`inkgauge.plans.catalog_sql`.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import metrics as M
+from ..functions import text as TX
+from ..operators import histograms as H
+from ..operators import joins as J
+from ..operators import sampling as SM
 from ..operators import stats
 from ..sources import derived
-from ..sources.tables import table
+from ..sources.tables import spread, table
+from . import dataset as D
 from . import score as S
 
 SET_METRICS = ["precision", "recall", "jaccard_similarity"]
+METRIC_KEYS = ["metric", "method", "ordinal"]
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
 
 
 def evaluation_input(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,28 +36,301 @@ def evaluation_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.merge_inputs(derived.primary_table(docs), derived.bart_table(docs))
 
 
-def _round(c: str, places: int = 9):
+def set_scores(spark, sf_dir, metrics=SET_METRICS, **kw) -> DataFrame:
+    return S.score(evaluation_input(spark, sf_dir), metrics=metrics, flag_repetition=False, **kw)
+
+
+def set_values(spark, sf_dir) -> DataFrame:
+    return S.metric_values(set_scores(spark, sf_dir), SET_METRICS)
+
+
+def _r(c: str, places: int = 9):
     return F.round(F.col(c), places).alias(c)
 
 
+# ------------------------------------------------------------------ scoring
+
 def q_score_summary(spark, sf_dir):
     """Flagship: normalise, set metrics, AGG1 summary."""
-    scored = S.score(evaluation_input(spark, sf_dir), metrics=SET_METRICS, flag_repetition=False)
-    return stats.summary_statistics(S.metric_values(scored, SET_METRICS))
+    return stats.summary_statistics(set_values(spark, sf_dir))
 
 
 def q_precision_recall(spark, sf_dir):
-    scored = S.score(evaluation_input(spark, sf_dir), metrics=["precision", "recall"], flag_repetition=False)
+    scored = set_scores(spark, sf_dir, ["precision", "recall"])
     return scored.select("id", "method", "ordinal", "precision", "recall")
 
 
 def q_jaccard(spark, sf_dir):
-    scored = S.score(evaluation_input(spark, sf_dir), metrics=["jaccard_similarity"], flag_repetition=False)
+    scored = set_scores(spark, sf_dir, ["jaccard_similarity"])
     return scored.select("id", "method", "ordinal", "jaccard_similarity", "equal_jaccard")
 
 
+def q_wer(spark, sf_dir):
+    scored = set_scores(spark, sf_dir, ["word_error_rate"])
+    return scored.select("id", "method", "ordinal", "word_error_rate")
+
+
+def q_bleu(spark, sf_dir):
+    scored = set_scores(spark, sf_dir, ["bleu_score"])
+    return scored.select("id", "method", "ordinal", _r("bleu_score"))
+
+
+def q_equal_flags(spark, sf_dir):
+    scored = set_scores(spark, sf_dir, ["jaccard_similarity"])
+    return scored.groupBy("method", "ordinal").agg(
+        F.count_if(F.col("equal_jaccard")).alias("equal_jaccard"), F.count(F.lit(1)).alias("rows"))
+
+
+def q_repeated_text(spark, sf_dir):
+    wide = evaluation_input(spark, sf_dir)
+    ref = wide.select("id", TX.normalize_text(F.col("transcription")).alias("ref"))
+    return ref.select("id", M.repeated_text_flag(F.col("ref")).alias("repeated_text"))
+
+
+def q_char_uniqueness(spark, sf_dir):
+    n = TX.normalize_text(F.col("text"))
+    d = documents(spark, sf_dir).select("doc_id", n.alias("t"))
+    chars = F.regexp_extract_all(F.col("t"), F.lit("(?s)."), 0)
+    return d.select("doc_id", F.length("t").cast("long").alias("length"),
+                    F.size(F.array_distinct(chars)).cast("long").alias("distinct_chars"),
+                    M.low_uniqueness(F.col("t")).alias("low_uniqueness_padded"),
+                    M.low_uniqueness(F.col("t"), padded=False).alias("low_uniqueness"))
+
+
+def q_normalize_utf8(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", TX.normalize_text(F.col("text"), mode="utf8").alias("normalized"))
+
+
+def q_normalize_legacy(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", TX.normalize_text(F.col("text"), mode="legacy").alias("normalized"))
+
+
+def q_clean_markup(spark, sf_dir):
+    sc = derived.sidecars(documents(spark, sf_dir))
+    return sc.select("file_name", TX.clean_markup(F.col("text")).alias("cleaned"))
+
+
+def q_extract_response(spark, sf_dir):
+    d = documents(spark, sf_dir)
+    full = derived.echoed_output(F.col("lang"), F.col("text"))
+    return d.select("doc_id", TX.extract_response(full, derived.PROMPT).alias("response"))
+
+
+def q_count_marker(spark, sf_dir):
+    sc = derived.sidecars(documents(spark, sf_dir))
+    return sc.select("file_name", TX.count_marker(F.col("text"), derived.IMAGE_TOKEN).alias("image_tokens"),
+                     TX.count_marker(F.col("text"), derived.EOT).alias("eot_tokens"))
+
+
+# ------------------------------------------------------------------ joins
+
+def q_merge_overlap(spark, sf_dir):
+    return evaluation_input(spark, sf_dir)
+
+
+def q_attach_sidecar(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return J.attach_sidecar(docs.select(F.col("doc_id").cast("string").alias("id")),
+                            derived.sidecars(docs), "LLAMA32_BASE")
+
+
+def q_outcome_counts(spark, sf_dir):
+    return stats.outcome_counts(q_attach_sidecar(spark, sf_dir))
+
+
+def q_reject_missing(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    images = derived.image_listing(table(spark, sf_dir, "labels"))
+    return J.missing_images(docs.select(F.col("doc_id").cast("string").alias("id")), images)
+
+
+def q_resume_pending(spark, sf_dir):
+    images = derived.image_listing(table(spark, sf_dir, "labels"))
+    outputs = derived.sidecars(documents(spark, sf_dir))
+    return J.pending(images, outputs)
+
+
+def q_fillna_dropna(spark, sf_dir):
+    p = derived.primary_table(documents(spark, sf_dir))
+    return p.dropna(subset=["pyte_ocr"]).fillna("").select("id", "pyte_ocr", "chatgpt_ocr", "LLAMA32_BASE")
+
+
+def q_coerce_numeric(spark, sf_dir):
+    ev = derived.raw_run_times(table(spark, sf_dir, "events"))
+    num = F.expr("try_cast(raw_value as double)")
+    return ev.groupBy("event_type").agg(F.count(F.lit(1)).alias("rows"),
+                                        F.count_if(num.isNull()).alias("non_numeric"),
+                                        F.round(F.sum(num), 6).alias("total"))
+
+
+# ------------------------------------------------------------------ aggregates
+
+def q_hist10(spark, sf_dir):
+    return H.percent_histogram(set_values(spark, sf_dir), METRIC_KEYS)
+
+
+def q_hist20(spark, sf_dir):
+    h = H.equal_width_histogram(set_values(spark, sf_dir), METRIC_KEYS, 20)
+    return h.select(*METRIC_KEYS, "bin", "count", _r("bin_start"), _r("bin_end"))
+
+
+def q_hist30_density(spark, sf_dir):
+    h = H.equal_width_histogram(set_values(spark, sf_dir), METRIC_KEYS, 30, density=True)
+    return h.select(*METRIC_KEYS, "bin", "count", _r("bin_start"), _r("bin_end"), _r("density", 6))
+
+
+def q_kde(spark, sf_dir):
+    k = H.kde_curve(set_values(spark, sf_dir), METRIC_KEYS)
+    return k.select(*METRIC_KEYS, "point", _r("x"), _r("density", 6))
+
+
+def q_boxplot(spark, sf_dir):
+    b = H.box_stats(set_values(spark, sf_dir), METRIC_KEYS)
+    return b.select(*METRIC_KEYS, "n", _r("q1"), _r("median"), _r("q3"), _r("whisker_low"), _r("whisker_high"),
+                    "outliers")
+
+
+def q_mean_bar(spark, sf_dir):
+    m = stats.mean_by_method(set_values(spark, sf_dir), derived.METHODS)
+    return m.select("metric", "method", "ordinal", _r("mean_pct"))
+
+
+def q_top_bottom_rank(spark, sf_dir):
+    r = stats.rank_methods(set_values(spark, sf_dir))
+    return r.select(*METRIC_KEYS, _r("mean"), "rank_desc", "rank_asc", "best_rank", "top_k", "bottom_k")
+
+
+def q_runtime_stats(spark, sf_dir):
+    ev = table(spark, sf_dir, "events").select("event_type", F.col("value").alias("seconds"))
+    s = stats.runtime_stats(ev, ["event_type"])
+    return s.select("event_type", "count", _r("min"), _r("max"), _r("mean"), _r("median"), _r("stdev"),
+                    _r("total", 6))
+
+
+def q_rollup_design(spark, sf_dir):
+    r = stats.design_rollup(set_values(spark, sf_dir))
+    return r.select("metric", "family", "metal", "size", _r("mean"), "n", F.col("level").cast("long").alias("level"))
+
+
+# ------------------------------------------------------------------ ordering / limits / reshape
+
+def q_head_sample(spark, sf_dir, n: int = 50):
+    wide = evaluation_input(spark, sf_dir)
+    return SM.head(wide, n, [F.col("id").cast("long")]).select("id", "transcription", "pyte_ocr", "BART_untuned")
+
+
+def q_sample_k(spark, sf_dir, k: int = 20):
+    docs = documents(spark, sf_dir)
+    return SM.sample_k(docs.select(F.col("doc_id").cast("string").alias("id"), "lang"), "id", k)
+
+
+def q_order_methods(spark, sf_dir):
+    vals = set_values(spark, sf_dir).where(F.col("metric") == "precision")
+    return (vals.groupBy("ordinal", "method").agg(F.count(F.lit(1)).alias("pairs"))
+            .orderBy("ordinal"))
+
+
+def q_latest_by_time(spark, sf_dir):
+    ev = table(spark, sf_dir, "events")
+    return ev.groupBy("user_id").agg(F.max_by("event_id", "ts").alias("latest_event_id"),
+                                     F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', max(ts))").alias("latest_ts"))
+
+
+def q_unpivot(spark, sf_dir):
+    wide = evaluation_input(spark, sf_dir)
+    long = wide.unpivot(["id"], derived.METHODS, "method", "text")
+    return long.select("id", "method", F.length("text").cast("long").alias("n_chars"))
+
+
+def q_pivot_wide(spark, sf_dir):
+    scored = set_scores(spark, sf_dir, ["precision"])
+    return S.wide_scores(scored, derived.METHODS, ["precision"])
+
+
+# ------------------------------------------------------------------ training data
+
+def q_chat_records(spark, sf_dir):
+    recs = D.chat_records(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+    return D.flatten_records(recs)
+
+
+def q_split_sizes(spark, sf_dir):
+    recs = D.chat_records(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+    return recs.groupBy("split").agg(F.count(F.lit(1)).alias("records"))
+
+
+def q_reprompt(spark, sf_dir):
+    recs = D.chat_records(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+    return D.flatten_records(D.reprompt(recs)).drop("split")
+
+
+def q_chat_template(spark, sf_dir):
+    recs = D.chat_records(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+    return recs.select("id", D.apply_template(F.col("messages")).alias("templated"))
+
+
+def q_conversation_turns(spark, sf_dir):
+    conv = table(spark, sf_dir, "conversations")
+    return conv.select("conv_id", "turn", D.template_turn(F.col("role"), F.col("text")).alias("segment"))
+
+
+def q_collate_labels(spark, sf_dir):
+    c = D.collate(documents(spark, sf_dir))
+    return c.select("doc_id", "batch", "padded_len", "n_masked", F.array_join(F.col("labels").cast("array<string>"), ",").alias("labels"))
+
+
+def q_parse_structured(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    js = derived.structured_json(docs, table(spark, sf_dir, "labels"))
+    return D.explode_structured(D.parse_structured(js))
+
+
+def q_report_blocks(spark, sf_dir):
+    return D.report_blocks(documents(spark, sf_dir))
+
+
 CATALOG = {
     "score_summary": q_score_summary,
     "precision_recall": q_precision_recall,
     "jaccard": q_jaccard,
+    "wer": q_wer,
+    "bleu": q_bleu,
+    "equal_flags": q_equal_flags,
+    "repeated_text": q_repeated_text,
+    "char_uniqueness": q_char_uniqueness,
+    "normalize_utf8": q_normalize_utf8,
+    "normalize_legacy": q_normalize_legacy,
+    "clean_markup": q_clean_markup,
+    "extract_response": q_extract_response,
+    "count_marker": q_count_marker,
+    "merge_overlap": q_merge_overlap,
+    "attach_sidecar": q_attach_sidecar,
+    "outcome_counts": q_outcome_counts,
+    "reject_missing": q_reject_missing,
+    "resume_pending": q_resume_pending,
+    "fillna_dropna": q_fillna_dropna,
+    "coerce_numeric": q_coerce_numeric,
+    "hist10": q_hist10,
+    "hist20": q_hist20,
+    "hist30_density": q_hist30_density,
+    "kde": q_kde,
+    "boxplot": q_boxplot,
+    "mean_bar": q_mean_bar,
+    "top_bottom_rank": q_top_bottom_rank,
+    "runtime_stats": q_runtime_stats,
+    "rollup_design": q_rollup_design,
+    "head_sample": q_head_sample,
+    "sample_k": q_sample_k,
+    "order_methods": q_order_methods,
+    "latest_by_time": q_latest_by_time,
+    "unpivot": q_unpivot,
+    "pivot_wide": q_pivot_wide,
+    "chat_records": q_chat_records,
+    "split_sizes": q_split_sizes,
+    "reprompt": q_reprompt,
+    "chat_template": q_chat_template,
+    "conversation_turns": q_conversation_turns,
+    "collate_labels": q_collate_labels,
+    "parse_structured": q_parse_structured,
+    "report_blocks": q_report_blocks,
 }

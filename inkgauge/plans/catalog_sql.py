@@ -1,29 +1,444 @@
-"""DuckDB SQL twins of :mod:`inkgauge.plans.catalog` (the correctness oracle)."""
+"""DuckDB SQL twins of :mod:`inkgauge.plans.catalog` (the correctness oracle).
+
+Keys missing here are queries with no practical SQL form (sequence matching,
+word edit distance in DuckDB's byte-based functions, Python predictors);
+they are covered by hand goldens and brute-force tests instead.
+"""
 
 from __future__ import annotations
 
+import math
+
 from .. import oracle as O
+from ..functions.text import PY_WORD_CLASS
+from ..operators.histograms import KDE_GRID, PERCENT_EDGES, WHISKER_IQR, percent_bin_labels
+from ..operators.stats import DESIGN_PATTERN
+from ..sources.derived import (BOS, CORRUPT_EVERY, EOT, HDR_END, HDR_START, IMAGE_TOKEN, METHODS, NO_SIDECAR_EVERY,
+                               PROMPT)
+from .dataset import IGNORE_INDEX, IMAGE_ID, PAD_ID, REPORT_RULE, SPLIT_SEED, TRAIN_RATIO
 
+q = O.q
+SET_METRICS = ["precision", "recall", "jaccard_similarity"]
+KEYS = "metric, method, ordinal"
 
-def _scored_sets() -> str:
+
+def scored_sets() -> str:
     return O.set_metrics_select(O.long_pairs())
 
 
-def sql_score_summary() -> str:
-    return O.summary(O.unpivot_metrics(_scored_sets(), ["precision", "recall", "jaccard_similarity"]))
+def values() -> str:
+    return O.unpivot_metrics(scored_sets(), SET_METRICS)
+
+
+def r9(e: str, alias: str, places: int = 9) -> str:
+    return f"round({e}, {places}) AS {alias}"
+
+
+def clean_values() -> str:
+    return f"SELECT {KEYS}, value FROM ({values()}) WHERE value IS NOT NULL AND NOT isnan(value)"
+
 
+# ------------------------------------------------------------------ scoring
 
-def sql_precision_recall() -> str:
-    return f"SELECT id, method, ordinal, precision, recall FROM ({_scored_sets()})"
+def sql_score_summary():
+    return O.summary(values())
 
 
-def sql_jaccard() -> str:
+def sql_precision_recall():
+    return f"SELECT id, method, ordinal, precision, recall FROM ({scored_sets()})"
+
+
+def sql_jaccard():
     return (f"SELECT id, method, ordinal, jaccard_similarity, jaccard_similarity >= 0.93 AS equal_jaccard "
-            f"FROM ({_scored_sets()})")
+            f"FROM ({scored_sets()})")
+
+
+def sql_bleu():
+    tok = q(f"[{PY_WORD_CLASS}]+")
+    pairs = (f"SELECT row_number() OVER () AS pid, id, method, ordinal, "
+             f"regexp_extract_all(lower(ref), {tok}) AS r, regexp_extract_all(lower(hyp), {tok}) AS h "
+             f"FROM ({O.long_pairs()})")
+    grams = lambda side: (
+        f"SELECT pid, n, array_to_string(list_slice({side}, i, i + n - 1), ' ') AS g FROM "
+        f"(SELECT pid, {side}, n, unnest(range(1, len({side}) - n + 2)) AS i FROM p, "
+        f"(SELECT unnest(range(1, 5)) AS n) ns)")
+    m = [f"coalesce(max(CASE WHEN n = {k} THEN m END), 0)" for k in range(1, 5)]
+    body = (
+        f"WITH p AS ({pairs}), "
+        f"hc AS (SELECT pid, n, g, count(*) AS c FROM ({grams('h')}) GROUP BY ALL), "
+        f"rc AS (SELECT pid, n, g, count(*) AS c FROM ({grams('r')}) GROUP BY ALL), "
+        f"mm AS (SELECT hc.pid, hc.n, sum(least(hc.c, coalesce(rc.c, 0))) AS m FROM hc "
+        f"LEFT JOIN rc ON hc.pid = rc.pid AND hc.n = rc.n AND hc.g = rc.g GROUP BY ALL), "
+        f"agg AS (SELECT p.pid, any_value(id) AS id, any_value(method) AS method, any_value(ordinal) AS ordinal, "
+        f"any_value(len(h)) AS c, any_value(len(r)) AS rl, "
+        + ", ".join(f"{m[k - 1]} AS m{k}" for k in range(1, 5))
+        + " FROM p LEFT JOIN mm ON p.pid = mm.pid GROUP BY p.pid), "
+        "z AS (SELECT *, (m2 = 0)::INT AS z2, (m2 = 0)::INT + (m3 = 0)::INT AS z3, "
+        "(m2 = 0)::INT + (m3 = 0)::INT + (m4 = 0)::INT AS z4 FROM agg), "
+        "pp AS (SELECT *, " + ", ".join(
+            f"CASE WHEN m{k} = 0 THEN CASE WHEN c > 1 THEN (1 / (power(2, {('z' + str(k)) if k > 1 else 1}) * 5 "
+            f"/ ln(c))) / greatest(1, c - {k} + 1) ELSE 0 END ELSE m{k} / greatest(1, c - {k} + 1) END AS p{k}"
+            for k in range(1, 5)) + " FROM z) "
+        "SELECT id, method, ordinal, round(CASE WHEN c = 0 OR rl = 0 OR m1 = 0 THEN 0.0 ELSE "
+        "(CASE WHEN c > rl THEN 1.0 ELSE exp(1 - rl / c) END) * exp("
+        + " + ".join(f"CASE WHEN p{k} > 0 THEN ln(p{k}) / 4 ELSE 0 END" for k in range(1, 5))
+        + ") END, 9) AS bleu_score FROM pp")
+    return body
+
+
+def sql_equal_flags():
+    return (f"SELECT method, ordinal, count_if(jaccard_similarity >= 0.93) AS equal_jaccard, count(*) AS rows "
+            f"FROM ({scored_sets()}) GROUP BY method, ordinal")
+
+
+def _repetition(t: str) -> str:
+    marker = "... [truncated]"
+    core = f"CASE WHEN ends_with({t}, {q(marker)}) THEN substring({t}, 1, length({t}) - {len(marker)}) ELSE {t} END"
+    toks = f"regexp_extract_all({core}, {q(f'[{PY_WORD_CLASS}]+')})"
+    phrases = (f"list_sort(list_transform(range(0, len(tk) // 3), lambda i: "
+               f"tk[3 * i + 1] || ' ' || tk[3 * i + 2] || ' ' || tk[3 * i + 3]))")
+    return (f"list_transform([{toks}], lambda tk: list_transform([{phrases}], lambda ph: "
+            f"len(list_filter(range(1, len(ph) - 2), lambda i: ph[i] = ph[i + 3])) > 0)[1])[1]")
+
+
+def _chars(t: str) -> str:
+    return f"(CASE WHEN {t} = '' THEN []::VARCHAR[] ELSE string_split({t}, '') END)"
+
+
+def _low_unique(t: str, padded: bool = True, max_chars: int = 5000) -> str:
+    d = f"len(list_distinct({_chars(t)}))"
+    if not padded:
+        return f"(CASE WHEN length({t}) > 0 THEN {d} / length({t}) < 0.4 ELSE false END)"
+    extra = f"(CASE WHEN length({t}) < {max_chars} AND NOT contains({t}, ' ') THEN 1 ELSE 0 END)"
+    return f"(({d} + {extra}) / greatest(length({t}), {max_chars}) < 0.4)"
+
+
+def sql_repeated_text():
+    return (f"SELECT id, (({_repetition('n')}) AND {_low_unique('n')})::INTEGER AS repeated_text FROM "
+            f"(SELECT id, {O.normalize('transcription')} AS n FROM ({O.merged_table()}))")
+
+
+def sql_char_uniqueness():
+    return (f"SELECT doc_id, length(n)::BIGINT AS length, len(list_distinct({_chars('n')}))::BIGINT AS distinct_chars, "
+            f"{_low_unique('n')} AS low_uniqueness_padded, {_low_unique('n', False)} AS low_uniqueness FROM "
+            f"(SELECT doc_id, {O.normalize('text')} AS n FROM documents)")
+
+
+def sql_normalize_utf8():
+    return f"SELECT doc_id, {O.normalize('text', 'utf8')} AS normalized FROM documents"
+
+
+def sql_normalize_legacy():
+    return f"SELECT doc_id, {O.normalize('text', 'legacy')} AS normalized FROM documents"
+
+
+def _sidecars() -> str:
+    return (f"SELECT CAST(doc_id AS VARCHAR) || '.jpg.llama32' AS file_name, {O.raw_model_output('text')} AS text "
+            f"FROM documents WHERE doc_id % {NO_SIDECAR_EVERY} <> 0")
+
+
+def sql_clean_markup():
+    return f"SELECT file_name, {O.clean_markup('text')} AS cleaned FROM ({_sidecars()})"
+
+
+def _echoed() -> str:
+    return (f"CASE WHEN lang = 'en' THEN {q(PROMPT)} || text "
+            f"WHEN lang = 'fr' THEN {q('assistant' + chr(10) + chr(10) + PROMPT)} || text ELSE text END")
+
+
+def _extract(full: str) -> str:
+    pos = f"instr({full}, {q(PROMPT)})"
+    return O.strip_py(f"CASE WHEN {pos} > 0 THEN substring({full}, {pos} + {len(PROMPT)}) ELSE {full} END")
+
+
+def sql_extract_response():
+    return f"SELECT doc_id, {_extract('f')} AS response FROM (SELECT doc_id, {_echoed()} AS f FROM documents)"
+
+
+def sql_count_marker():
+    def cnt(tok):
+        return f"((length(text) - length(replace(text, {q(tok)}, ''))) // {len(tok)})::BIGINT"
+    return f"SELECT file_name, {cnt(IMAGE_TOKEN)} AS image_tokens, {cnt(EOT)} AS eot_tokens FROM ({_sidecars()})"
+
+
+# ------------------------------------------------------------------ joins
+
+def sql_merge_overlap():
+    return O.merged_table()
+
+
+def _attach() -> str:
+    return (f"SELECT d.id, coalesce({O.clean_markup('s.text')}, '') AS LLAMA32_BASE, "
+            f"CASE WHEN s.file_name IS NULL THEN 'missing' ELSE 'attached' END AS status "
+            f"FROM (SELECT CAST(doc_id AS VARCHAR) AS id FROM documents) d "
+            f"LEFT JOIN ({_sidecars()}) s ON d.id || '.jpg.llama32' = s.file_name")
+
+
+def sql_attach_sidecar():
+    return _attach()
+
+
+def sql_outcome_counts():
+    return f"SELECT status, count(*) AS count FROM ({_attach()}) GROUP BY status"
+
+
+def _images() -> str:
+    return "SELECT CAST(doc_id AS VARCHAR) || '.jpg' AS file_name FROM labels"
+
+
+def sql_reject_missing():
+    return (f"SELECT id, trim(id) || '.jpg' AS image_file FROM (SELECT CAST(doc_id AS VARCHAR) AS id FROM documents) d "
+            f"WHERE NOT EXISTS (SELECT 1 FROM ({_images()}) i WHERE i.file_name = trim(d.id) || '.jpg')")
+
+
+def sql_resume_pending():
+    return (f"SELECT file_name AS image_file FROM ({_images()}) i WHERE NOT EXISTS "
+            f"(SELECT 1 FROM ({_sidecars()}) s WHERE s.file_name = i.file_name || '.llama32')")
+
+
+def sql_fillna_dropna():
+    return (f"SELECT id, coalesce(pyte_ocr, '') AS pyte_ocr, coalesce(chatgpt_ocr, '') AS chatgpt_ocr, "
+            f"coalesce(LLAMA32_BASE, '') AS LLAMA32_BASE FROM ({O.primary_table()}) WHERE pyte_ocr IS NOT NULL")
+
+
+def sql_coerce_numeric():
+    raw = "CASE WHEN event_type = 'error' THEN 'n/a' ELSE CAST(value AS VARCHAR) END"
+    return (f"SELECT event_type, count(*) AS rows, count_if(TRY_CAST(raw AS DOUBLE) IS NULL) AS non_numeric, "
+            f"round(sum(TRY_CAST(raw AS DOUBLE)), 6) AS total FROM (SELECT event_type, {raw} AS raw FROM events) "
+            f"GROUP BY event_type")
+
+
+# ------------------------------------------------------------------ aggregates
+
+def sql_hist10():
+    edges = "[" + ", ".join(f"{float(e)}" for e in PERCENT_EDGES) + "]"
+    labels = ["underflow"] + percent_bin_labels() + ["overflow"]
+    binned = f"SELECT {KEYS}, len(list_filter({edges}, lambda e: e <= value * 100)) AS b FROM ({clean_values()})"
+    counts = ", ".join(f"count_if(b = {i})" for i in range(len(labels)))
+    lab = "[" + ", ".join(q(x) for x in labels) + "]"
+    return (f"SELECT {KEYS}, unnest(range({len(labels)})) AS bin, unnest({lab}) AS label, unnest([{counts}]) AS count "
+            f"FROM ({binned}) GROUP BY {KEYS}")
+
+
+def _edge(i: str, bins: int) -> str:
+    return f"(CASE WHEN {i} = {bins} THEN hi ELSE CAST({i} AS DOUBLE) * ((hi - lo) / {float(bins)}) + lo END)"
+
+
+def _equal_width(bins: int, density: bool) -> str:
+    rng = (f"SELECT {KEYS}, count(value) AS n, CASE WHEN min(value) = max(value) THEN min(value) - 0.5 "
+           f"ELSE min(value) END AS lo, CASE WHEN min(value) = max(value) THEN max(value) + 0.5 ELSE max(value) END "
+           f"AS hi FROM ({clean_values()}) GROUP BY {KEYS}")
+    guess = f"CAST(least(greatest(floor((value - lo) / ((hi - lo) / {float(bins)})), 0), {bins - 1}) AS INTEGER)"
+    j = f"SELECT v.value, r.*, {guess} AS g FROM ({clean_values()}) v JOIN ({rng}) r USING ({KEYS})"
+    idx = (f"CASE WHEN value < {_edge('g', bins)} THEN g - 1 WHEN g < {bins - 1} AND value >= {_edge('g + 1', bins)} "
+           f"THEN g + 1 ELSE g END")
+    binned = f"SELECT {KEYS}, lo, hi, n, {idx} AS b FROM ({j})"
+    counts = ", ".join(f"count_if(b = {i})" for i in range(bins))
+    stacked = (f"SELECT {KEYS}, lo, hi, n, unnest(range({bins})) AS bin, unnest([{counts}]) AS count "
+               f"FROM ({binned}) GROUP BY {KEYS}, lo, hi, n")
+    cols = f"{KEYS}, bin, count, {r9(_edge('bin', bins), 'bin_start')}, {r9(_edge('bin + 1', bins), 'bin_end')}"
+    if density:
+        cols += (f", round(CAST(count AS DOUBLE) / ({_edge('bin + 1', bins)} - {_edge('bin', bins)}) / n, 6) "
+                 f"AS density")
+    return f"SELECT {cols} FROM ({stacked})"
+
+
+def sql_hist20():
+    return _equal_width(20, False)
+
+
+def sql_hist30_density():
+    return _equal_width(30, True)
+
+
+def sql_kde():
+    g = KDE_GRID
+    params = (f"SELECT {KEYS}, count(value) AS n, stddev_samp(value) AS sd, min(value) AS mn, max(value) AS mx "
+              f"FROM ({clean_values()}) GROUP BY {KEYS}")
+    params = f"SELECT *, sd * pow(CAST(n AS DOUBLE), -0.2) AS h FROM ({params}) WHERE n > 1 AND sd > 0"
+    distinct = f"SELECT {KEYS}, value, count(*) AS w FROM ({clean_values()}) GROUP BY {KEYS}, value"
+    x = f"(CASE WHEN k = {g - 1} THEN mx ELSE CAST(k AS DOUBLE) * ((mx - mn) / {float(g - 1)}) + mn END)"
+    contrib = (f"SELECT {KEYS}, n, h, k, {x} AS x, w * exp(-0.5 * (({x} - value) / h) * (({x} - value) / h)) AS c "
+               f"FROM (SELECT d.*, p.n, p.h, p.mn, p.mx, unnest(range({g})) AS k FROM ({distinct}) d "
+               f"JOIN ({params}) p USING ({KEYS}))")
+    norm = repr(math.sqrt(2 * math.pi))
+    return (f"SELECT {KEYS}, k AS point, round(x, 9) AS x, round(sum(c) / (n * h * {norm}), 6) AS density "
+            f"FROM ({contrib}) GROUP BY {KEYS}, k, x, n, h")
+
+
+def sql_boxplot():
+    qs = (f"SELECT {KEYS}, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median, "
+          f"quantile_cont(value, 0.75) AS q3 FROM ({clean_values()}) GROUP BY {KEYS}")
+    fences = f"SELECT *, q1 - {WHISKER_IQR} * (q3 - q1) AS flo, q3 + {WHISKER_IQR} * (q3 - q1) AS fhi FROM ({qs})"
+    inside = "(value >= flo AND value <= fhi)"
+    agg = (f"SELECT {KEYS}, q1, median, q3, count(value) AS n, min(CASE WHEN {inside} THEN value END) AS lo, "
+           f"max(CASE WHEN {inside} THEN value END) AS hi, count_if(NOT {inside}) AS outliers "
+           f"FROM ({clean_values()}) v JOIN ({fences}) f USING ({KEYS}) GROUP BY {KEYS}, q1, median, q3")
+    return (f"SELECT {KEYS}, n, round(q1, 9) AS q1, round(median, 9) AS median, round(q3, 9) AS q3, "
+            f"round(CASE WHEN lo IS NULL OR lo > q1 THEN q1 ELSE lo END, 9) AS whisker_low, "
+            f"round(CASE WHEN hi IS NULL OR hi < q3 THEN q3 ELSE hi END, 9) AS whisker_high, outliers FROM ({agg})")
+
+
+def sql_mean_bar():
+    names = "[" + ", ".join(q(m) for m in METHODS) + "]"
+    full = (f"SELECT metric, unnest({names}) AS method, unnest(range({len(METHODS)})) AS ordinal "
+            f"FROM (SELECT DISTINCT metric FROM ({values()}))")
+    means = f"SELECT metric, method, avg(value) * 100 AS m FROM ({values()}) GROUP BY metric, method"
+    return (f"SELECT f.metric, f.method, f.ordinal, round(coalesce(m.m, 0.0), 9) AS mean_pct FROM ({full}) f "
+            f"LEFT JOIN ({means}) m ON f.metric = m.metric AND f.method = m.method")
+
+
+def sql_top_bottom_rank():
+    means = f"SELECT {KEYS}, avg(value) AS mean FROM ({values()}) GROUP BY {KEYS}"
+    ranked = (f"SELECT *, row_number() OVER (PARTITION BY metric ORDER BY mean DESC NULLS LAST, ordinal) AS rank_desc, "
+              f"row_number() OVER (PARTITION BY metric ORDER BY mean ASC NULLS LAST, ordinal) AS rank_asc, "
+              f"count(*) OVER (PARTITION BY metric) AS nm FROM ({means})")
+    return (f"SELECT {KEYS}, round(mean, 9) AS mean, rank_desc, rank_asc, "
+            f"CASE WHEN metric IN ('word_error_rate') THEN rank_asc ELSE rank_desc END AS best_rank, "
+            f"rank_desc <= 3 AS top_k, rank_desc > nm - 3 AS bottom_k FROM ({ranked})")
+
+
+def sql_runtime_stats():
+    return ("SELECT event_type, count(value) AS count, round(min(value), 9) AS min, round(max(value), 9) AS max, "
+            "round(avg(value), 9) AS mean, round(quantile_cont(value, 0.5), 9) AS median, "
+            "round(coalesce(stddev_samp(value), 0.0), 9) AS stdev, round(sum(value), 6) AS total "
+            "FROM events GROUP BY event_type")
+
+
+def sql_rollup_design():
+    p = q(DESIGN_PATTERN)
+    d = (f"SELECT metric, value, regexp_extract(method, {p}, 1) AS family, "
+         f"nullif(regexp_extract(method, {p}, 2), '') AS metal, "
+         f"CAST(nullif(regexp_extract(method, {p}, 3), '') AS BIGINT) AS size FROM ({values()})")
+    return (f"SELECT metric, family, metal, size, round(avg(value), 9) AS mean, count(value) AS n, "
+            f"CAST(grouping(metric, family, metal, size) AS BIGINT) AS level FROM ({d}) "
+            f"GROUP BY ROLLUP (metric, family, metal, size) HAVING metric IS NOT NULL")
+
+
+# ------------------------------------------------------------------ ordering / limits / reshape
+
+def sql_head_sample():
+    return (f"SELECT id, transcription, pyte_ocr, BART_untuned FROM ({O.merged_table()}) "
+            f"ORDER BY CAST(id AS BIGINT) LIMIT 50")
+
+
+def sql_sample_k():
+    return (f"SELECT id, lang FROM (SELECT CAST(doc_id AS VARCHAR) AS id, lang FROM documents) "
+            f"ORDER BY md5('{SPLIT_SEED}:' || id), id LIMIT 20")
+
+
+def sql_order_methods():
+    return f"SELECT ordinal, method, count(*) AS pairs FROM ({values()}) WHERE metric = 'precision' GROUP BY ALL"
+
+
+def sql_latest_by_time():
+    return ("SELECT user_id, arg_max(event_id, ts) AS latest_event_id, epoch_us(max(ts)) AS latest_ts "
+            "FROM events GROUP BY user_id")
+
+
+def sql_unpivot():
+    names = "[" + ", ".join(q(m) for m in METHODS) + "]"
+    vals = "[" + ", ".join(METHODS) + "]"
+    return (f"SELECT id, method, CAST(length(t) AS BIGINT) AS n_chars FROM (SELECT id, unnest({names}) AS method, "
+            f"unnest({vals}) AS t FROM ({O.merged_table()}))")
+
+
+def sql_pivot_wide():
+    cols = ", ".join(f"max(CASE WHEN method = {q(m)} THEN precision END) AS {m}_precision" for m in METHODS)
+    return f"SELECT id, {cols} FROM ({scored_sets()}) GROUP BY id"
+
+
+# ------------------------------------------------------------------ training data
+
+def _records() -> str:
+    base = (f"SELECT CAST(doc_id AS VARCHAR) AS id, text FROM documents d WHERE text IS NOT NULL AND EXISTS "
+            f"(SELECT 1 FROM labels l WHERE CAST(l.doc_id AS VARCHAR) || '.jpg' = trim(CAST(d.doc_id AS VARCHAR)) || '.jpg')")
+    ranked = (f"SELECT *, row_number() OVER (ORDER BY md5('{SPLIT_SEED}:' || id), id) - 1 AS rk, "
+              f"count(*) OVER () AS n FROM ({base})")
+    return (f"SELECT id, 'user' AS user_role, {q(PROMPT)} AS user_content, 'assistant' AS assistant_role, "
+            f"{O.strip_py('text')} AS assistant_content, 'images/' || trim(id) || '.jpg' AS image, "
+            f"CASE WHEN rk < floor(n * {TRAIN_RATIO}) THEN 'train' ELSE 'test' END AS split FROM ({ranked})")
+
+
+def sql_chat_records():
+    return _records()
+
+
+def sql_split_sizes():
+    return f"SELECT split, count(*) AS records FROM ({_records()}) GROUP BY split"
+
+
+def sql_reprompt():
+    return (f"SELECT id, user_role, {q(PROMPT + IMAGE_TOKEN)} AS user_content, assistant_role, assistant_content, "
+            f"image FROM ({_records()})")
+
+
+def _turn(role: str, content: str) -> str:
+    return f"{q(HDR_START)} || {role} || {q(HDR_END + chr(10) + chr(10))} || {content} || {q(EOT)}"
+
+
+def sql_chat_template():
+    return (f"SELECT id, {q(BOS)} || {_turn(q('user'), 'user_content')} || {_turn(q('assistant'), 'assistant_content')} "
+            f"AS templated FROM ({_records()})")
+
+
+def sql_conversation_turns():
+    return f"SELECT conv_id, turn, {_turn('role', 'text')} AS segment FROM conversations"
+
+
+def sql_collate_labels():
+    ids = (f"list_concat([{IMAGE_ID}::BIGINT], list_transform(list_filter(string_split(text, ' '), "
+           f"lambda w: w <> ''), lambda w: length(w)::BIGINT))")
+    ranked = f"SELECT doc_id, {ids} AS ids, row_number() OVER (ORDER BY doc_id) - 1 AS rk FROM documents"
+    b = (f"SELECT doc_id, ids, CAST(floor(rk / 4) AS BIGINT) AS batch FROM ({ranked})")
+    p = (f"SELECT doc_id, batch, ids, CAST(max(len(ids)) OVER (PARTITION BY batch) AS BIGINT) AS padded_len FROM ({b})")
+    padded = f"list_concat(ids, list_transform(range(padded_len - len(ids)), lambda x: {PAD_ID}::BIGINT))"
+    labels = (f"list_transform({padded}, lambda x: CASE WHEN x = {PAD_ID} OR x = {IMAGE_ID} THEN {IGNORE_INDEX} "
+              f"ELSE x END)")
+    return (f"SELECT doc_id, batch, padded_len, CAST(len(list_filter(lb, lambda x: x = {IGNORE_INDEX})) AS BIGINT) "
+            f"AS n_masked, array_to_string(lb, ',') AS labels FROM (SELECT doc_id, batch, padded_len, {labels} AS lb "
+            f"FROM ({p}))")
+
+
+def _json_escape(x: str) -> str:
+    for old, new in [("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")]:
+        x = f"replace({x}, {q(old)}, {q(new)})"
+    return x
+
+
+def sql_parse_structured():
+    def field(name, value):
+        return f"'{{\"field_name\": \"{name}\", \"value\": \"' || {_json_escape(value)} || '\"}}'"
+    js = (f"'{{\"ocr_text\": \"' || {_json_escape('text')} || '\", \"summary\": \"' || "
+          f"{_json_escape('concat_ws(' + q(' ') + ', lang, ' + q('letter from') + ', source)')} "
+          f"|| '\", \"sections\": [{{\"section_name\": \"metadata\", \"fields\": [' || "
+          f"{field('language', 'lang')} || ', ' || {field('source', 'source')} || ', ' || "
+          f"{field('quality', 'coalesce(quality, ' + q('unknown') + ')')} || "
+          f"']}}, {{\"section_name\": \"content\", \"fields\": [' || {field('chars', 'CAST(n_chars AS VARCHAR)')} "
+          f"|| ']}}]}}'")
+    docs = (f"SELECT d.*, CAST(l.quality AS VARCHAR) AS quality FROM documents d "
+            f"LEFT JOIN labels l ON d.doc_id = l.doc_id")
+    full = f"SELECT doc_id, {js} AS js FROM ({docs})"
+    cut = (f"SELECT doc_id, CASE WHEN doc_id % {CORRUPT_EVERY} = 0 THEN substring(js, 1, length(js) // 2) ELSE js END "
+           f"AS j FROM ({full})")
+    typ = '{"sections": [{"section_name": "VARCHAR", "fields": [{"field_name": "VARCHAR", "value": "VARCHAR"}]}]}'
+    parsed = (f"SELECT doc_id, NOT json_valid(j) AS corrupt, CASE WHEN json_valid(j) THEN "
+              f"json_transform(j, {q(typ)}).sections END AS secs FROM ({cut})")
+    s = (f"SELECT doc_id, corrupt, unnest(CASE WHEN secs IS NULL OR len(secs) = 0 THEN [NULL] ELSE secs END) AS s "
+         f"FROM ({parsed})")
+    f = (f"SELECT doc_id, corrupt, s.section_name AS section_name, unnest(CASE WHEN s.fields IS NULL OR "
+         f"len(s.fields) = 0 THEN [NULL] ELSE s.fields END) AS f FROM ({s})")
+    return f"SELECT doc_id, corrupt, section_name, f.field_name AS field_name, f.value AS value FROM ({f})"
+
+
+def sql_report_blocks():
+    secs = "CAST(n_chars // 1000 AS VARCHAR) || '.' || lpad(CAST(n_chars % 1000 AS VARCHAR), 3, '0')"
+    ranked = (f"SELECT *, row_number() OVER (ORDER BY doc_id) AS idx, count(*) OVER () AS n, "
+              f"{_echoed()} AS f FROM documents")
+    block = (f"'Image ' || CAST(idx AS VARCHAR) || '/' || CAST(n AS VARCHAR) || ': ' || CAST(doc_id AS VARCHAR) || "
+             f"'.jpg' || chr(10) || 'Time: ' || {secs} || 's' || chr(10) || {_extract('f')} || chr(10) || "
+             f"{q(REPORT_RULE)}")
+    return f"SELECT idx, {block} AS block FROM ({ranked})"
 
 
-SQL = {
-    "score_summary": sql_score_summary,
-    "precision_recall": sql_precision_recall,
-    "jaccard": sql_jaccard,
-}
+SQL = {name[len("sql_"):]: fn for name, fn in globals().items() if name.startswith("sql_") and callable(fn)}

@@ -94,3 +94,56 @@ def sidecars(documents: DataFrame, suffix: str = ".llama32") -> DataFrame:
     return (documents.where((F.col("doc_id") % NO_SIDECAR_EVERY) != 0)
             .select(F.concat(F.col("doc_id").cast("string"), F.lit(".jpg" + suffix)).alias("file_name"),
                     raw_model_output(F.col("text")).alias("text")))
+
+
+def echoed_output(lang: Column, text: Column, prompt: str = PROMPT) -> Column:
+    """Model output that echoes the prompt: as a prefix (English), after a
+    role header (French), or not at all (other languages)."""
+    return (F.when(lang == "en", F.concat(F.lit(prompt), text))
+            .when(lang == "fr", F.concat(F.lit("assistant\n\n" + prompt), text))
+            .otherwise(text))
+
+
+def image_listing(labels: DataFrame, ext: str = ".jpg") -> DataFrame:
+    """The image files that exist: one per labelled document (``file_name``
+    as a ``binaryFile`` listing would report it)."""
+    return labels.select(F.concat(F.col("doc_id").cast("string"), F.lit(ext)).alias("file_name"))
+
+
+def raw_run_times(events: DataFrame) -> DataFrame:
+    """Run times as the string column of a re-read CSV: error rows carry a
+    non-numeric marker."""
+    return events.select("event_type", F.when(F.col("event_type") == "error", F.lit("n/a"))
+                         .otherwise(F.col("value").cast("string")).alias("raw_value"))
+
+
+CORRUPT_EVERY = 11  # structured outputs cut short for doc_id % 11 = 0
+
+
+def json_escape(c: Column) -> Column:
+    for old, new in [("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")]:
+        c = F.replace(c, F.lit(old), F.lit(new))
+    return c
+
+
+def structured_json(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(doc_id, json)``: a structured-extraction answer per document in the
+    prompt's schema (ocr_text, summary, sections -> fields), built by string
+    concatenation; every 11th answer is cut short (corrupt)."""
+    lab = labels.select("doc_id", F.col("quality").cast("string").alias("quality")).hint("merge")
+    d = documents.join(lab, "doc_id", "left")
+    def field(name, value):
+        return F.concat(F.lit('{"field_name": "' + name + '", "value": "'), json_escape(value), F.lit('"}'))
+    js = F.concat(
+        F.lit('{"ocr_text": "'), json_escape(F.col("text")),
+        F.lit('", "summary": "'), json_escape(F.concat_ws(" ", F.col("lang"), F.lit("letter from"), F.col("source"))),
+        F.lit('", "sections": [{"section_name": "metadata", "fields": ['),
+        field("language", F.col("lang")), F.lit(", "), field("source", F.col("source")), F.lit(", "),
+        field("quality", F.coalesce(F.col("quality"), F.lit("unknown"))),
+        F.lit(']}, {"section_name": "content", "fields": ['),
+        field("chars", F.col("n_chars").cast("string")),
+        F.lit("]}]}"))
+    full = d.select("doc_id", js.alias("_js"))
+    return full.select("doc_id", F.when(F.col("doc_id") % CORRUPT_EVERY == 0,
+                                        F.expr("substring(_js, 1, length(_js) div 2)"))
+                       .otherwise(F.col("_js")).alias("json"))
