@@ -13,7 +13,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from difflib import SequenceMatcher, ndiff
+from difflib import IS_CHARACTER_JUNK, SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column
@@ -169,10 +169,107 @@ def word_error_rate(ref_text: str, hyp_text: str):
     return word_edit_distance(ref, hyp_text.split()) / len(ref)
 
 
+def _change_items(a: list, b: list):
+    """The ``'- '`` / ``'+ '`` items of ``difflib.ndiff(a, b)``, in order.
+
+    Same decisions as ``Differ``: word-level opcodes; inside a replace block
+    the synch pair is the first (b-major) non-identical pair with the highest
+    character ratio >= 0.75, else the first identical pair, else a plain
+    replace (shorter side first), recursing on both sides of the synch pair.
+    Differ rescans every sub-block; here each block's candidate pairs are
+    ranked once (ratios memoised per word pair, pruned by the length bound),
+    so a sub-block's synch pair is the first ranked candidate inside it.
+    """
+    junk = IS_CHARACTER_JUNK
+    ratio_cache: dict = {}
+
+    def ratio(x, y):
+        key = (x, y)
+        r = ratio_cache.get(key)
+        if r is None:
+            r = ratio_cache[key] = SequenceMatcher(junk, x, y).ratio()
+        return r
+
+    def plain(alo, ahi, blo, bhi):
+        if bhi - blo < ahi - alo:
+            yield from ("+ " + w for w in b[blo:bhi])
+            yield from ("- " + w for w in a[alo:ahi])
+        else:
+            yield from ("- " + w for w in a[alo:ahi])
+            yield from ("+ " + w for w in b[blo:bhi])
+
+    def replace_block(alo, ahi, blo, bhi):
+        close, same = [], []
+        for j in range(blo, bhi):
+            bj = b[j]
+            lb = len(bj)
+            for i in range(alo, ahi):
+                ai = a[i]
+                if ai == bj:
+                    same.append((j, i))
+                    continue
+                la = len(ai)
+                if 2.0 * min(la, lb) / (la + lb) < 0.75:
+                    continue
+                r = ratio(ai, bj)
+                if r >= 0.75:
+                    close.append((-r, j, i))
+        close.sort()
+        yield from fancy(close, same, alo, ahi, blo, bhi)
+
+    def first_inside(pairs, alo, ahi, blo, bhi, ji):
+        for p in pairs:
+            j, i = (p[1], p[2]) if ji else p
+            if alo <= i < ahi and blo <= j < bhi:
+                return i, j
+        return None
+
+    def fancy(close, same, alo, ahi, blo, bhi):
+        hit = first_inside(close, alo, ahi, blo, bhi, True)
+        identical = False
+        if hit is None:
+            hit = first_inside(same, alo, ahi, blo, bhi, False)
+            if hit is None:
+                yield from plain(alo, ahi, blo, bhi)
+                return
+            identical = True
+        bi, bj = hit
+        yield from helper(close, same, alo, bi, blo, bj)
+        if not identical:
+            yield "- " + a[bi]
+            yield "+ " + b[bj]
+        yield from helper(close, same, bi + 1, ahi, bj + 1, bhi)
+
+    def helper(close, same, alo, ahi, blo, bhi):
+        if alo < ahi:
+            if blo < bhi:
+                yield from fancy(close, same, alo, ahi, blo, bhi)
+            else:
+                yield from ("- " + w for w in a[alo:ahi])
+        elif blo < bhi:
+            yield from ("+ " + w for w in b[blo:bhi])
+
+    for tag, alo, ahi, blo, bhi in SequenceMatcher(None, a, b).get_opcodes():
+        if tag == "replace":
+            yield from replace_block(alo, ahi, blo, bhi)
+        elif tag == "delete":
+            yield from ("- " + w for w in a[alo:ahi])
+        elif tag == "insert":
+            yield from ("+ " + w for w in b[blo:bhi])
+
+
 def differences(ref_text: str, hyp_text: str, max_len: int = DEFAULT_MAX_DIFF) -> str:
-    """MET14: word-level ndiff, keeping removed/added words only."""
-    out = " ".join(d for d in ndiff(ref_text.split(), hyp_text.split()) if d[:2] in ("- ", "+ "))
-    return out[:max_len] + DIFF_MARKER if len(out) > max_len else out
+    """MET14: word-level ndiff, keeping removed/added words only, joined by
+    spaces and cut at ``max_len`` characters + marker.  Items are produced
+    lazily and generation stops once the cut is certain (the result is the
+    same as joining everything and cutting)."""
+    parts, size = [], -1
+    for item in _change_items(ref_text.split(), hyp_text.split()):
+        parts.append(item)
+        size += len(item) + 1
+        if size > max_len:
+            return " ".join(parts)[:max_len] + DIFF_MARKER
+    return " ".join(parts)
 
 
 # field name -> (Spark type, function of (ref, hyp))
