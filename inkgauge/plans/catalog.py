@@ -18,6 +18,9 @@ from ..operators import joins as J
 from ..operators import sampling as SM
 from ..operators import stats
 from ..sources import derived
+from ..session import scratch_dir
+from ..sinks import writers as W
+from ..sources import files as FS
 from ..sources.tables import spread, table
 from . import dataset as D
 from . import score as S
@@ -289,6 +292,37 @@ def q_report_blocks(spark, sf_dir):
     return D.report_blocks(documents(spark, sf_dir))
 
 
+# ------------------------------------------------------------------ sources / sinks
+
+def q_csv_roundtrip(spark, sf_dir):
+    """SNK1 -> SRC1: the merged table through the quoted CSV layout and back
+    (quotes, backslashes, newlines and pandas' missing tokens)."""
+    path = scratch_dir(spark, "merged_csv")
+    W.write_quoted_csv(evaluation_input(spark, sf_dir), path)
+    return FS.read_delimited(spark, path)
+
+
+def q_sidecar_roundtrip(spark, sf_dir):
+    """SNK3 -> SRC5 -> SCL12: one text file per image output, read back whole
+    and cleaned."""
+    path = scratch_dir(spark, "sidecars")
+    W.write_per_key_text(derived.sidecars(documents(spark, sf_dir)), path)
+    back = FS.read_keyed_text(spark, path)
+    return back.select("file_name", TX.clean_markup(F.col("text")).alias("cleaned"))
+
+
+def q_chat_json_roundtrip(spark, sf_dir):
+    """SNK4 -> SRC11: chat records as JSON per split, read back by split."""
+    path = scratch_dir(spark, "chat_json")
+    recs = D.chat_records(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+    W.write_chat_json(recs, path)
+    back = FS.read_chat_dataset(spark, {"train": f"{path}/split=train", "test": f"{path}/split=test"})
+    m = F.col("messages")
+    return back.select(m[0]["role"].alias("user_role"), m[0]["content"].alias("user_content"),
+                       m[1]["role"].alias("assistant_role"), m[1]["content"].alias("assistant_content"),
+                       F.col("images")[0].alias("image"), "split")
+
+
 CATALOG = {
     "score_summary": q_score_summary,
     "precision_recall": q_precision_recall,
@@ -333,4 +367,7 @@ CATALOG = {
     "collate_labels": q_collate_labels,
     "parse_structured": q_parse_structured,
     "report_blocks": q_report_blocks,
+    "csv_roundtrip": q_csv_roundtrip,
+    "sidecar_roundtrip": q_sidecar_roundtrip,
+    "chat_json_roundtrip": q_chat_json_roundtrip,
 }

@@ -441,4 +441,21 @@ def sql_report_blocks():
     return f"SELECT idx, {block} AS block FROM ({ranked})"
 
 
+def sql_csv_roundtrip():
+    from ..sources.files import NA_TOKENS
+    toks = ", ".join(q(t) for t in NA_TOKENS)
+    cols = ["id", "transcription"] + METHODS
+    sel = ", ".join(f"CASE WHEN {c} IN ({toks}) THEN NULL ELSE {c} END AS {c}" for c in cols)
+    return f"SELECT {sel} FROM ({O.merged_table()})"
+
+
+def sql_sidecar_roundtrip():
+    return sql_clean_markup()
+
+
+def sql_chat_json_roundtrip():
+    return (f"SELECT user_role, user_content, assistant_role, assistant_content, image, split "
+            f"FROM ({_records()})")
+
+
 SQL = {name[len("sql_"):]: fn for name, fn in globals().items() if name.startswith("sql_") and callable(fn)}

@@ -8,8 +8,8 @@ defaults below: we only fill in what is unset.
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -64,7 +64,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A sub-folder of the checkpoint folder for written intermediate tables."""
+    """A fresh sub-folder of the checkpoint folder for written intermediate
+    tables (shared storage on a cluster, never a machine-local temp dir)."""
     base = ensure_checkpoint_dir(spark)
-    path = os.path.join(base, "tables", name)
-    return path
+    return f"{base.rstrip('/')}/tables/{name}-{uuid.uuid4().hex[:12]}"
