@@ -22,7 +22,9 @@ from ..session import scratch_dir
 from ..sinks import writers as W
 from ..sources import files as FS
 from ..sources.tables import spread, table
+from ..streaming import incremental as INC
 from . import dataset as D
+from . import infer as I
 from . import score as S
 
 SET_METRICS = ["precision", "recall", "jaccard_similarity"]
@@ -323,6 +325,81 @@ def q_chat_json_roundtrip(spark, sf_dir):
                        F.col("images")[0].alias("image"), "split")
 
 
+# ------------------------------------------------------------------ Python-only metrics (rows-only check)
+
+ANALYSIS_METHODS = ["pyte_ocr", "chatgpt_ocr", "LLAMA32_BASE"]
+
+
+def q_difflib_ratio(spark, sf_dir):
+    scored = set_scores(spark, sf_dir, ["similarity_difflib"])
+    return scored.select("id", "method", "ordinal", _r("similarity_difflib"), "equal_difflib")
+
+
+def q_fuzz_ratios(spark, sf_dir):
+    scored = set_scores(spark, sf_dir, ["fuzz_ratio"])
+    return scored.select("id", "method", "ordinal", "fuzz_ratio", "fuzz_partial_ratio", "fuzz_token_sort_ratio",
+                         "fuzz_token_set_ratio", "equal_fuzzywuzzy")
+
+
+def q_ndiff(spark, sf_dir):
+    scored = set_scores(spark, sf_dir, [], with_differences=True)
+    return scored.select("id", "method", "ordinal", "differences")
+
+
+def q_analysis_summary(spark, sf_dir):
+    """E5: scored table -> '|' quoted CSV -> tolerant re-read -> AGG2/AGG9."""
+    wide = evaluation_input(spark, sf_dir).select("id", "transcription", *ANALYSIS_METHODS)
+    scored = S.score(wide, ANALYSIS_METHODS, ["similarity_difflib", "fuzz_ratio"], flag_repetition=False)
+    cols = ["similarity_difflib", "fuzz_ratio", "equal_difflib", "equal_fuzzywuzzy"]
+    table_wide = S.wide_scores(scored, ANALYSIS_METHODS, cols)
+    path = scratch_dir(spark, "scored_csv")
+    W.write_quoted_csv(table_wide, path, sep="|")
+    back = FS.read_delimited(spark, path, sep="|", mode="DROPMALFORMED")
+    a = stats.analysis_summary(back, ANALYSIS_METHODS)
+    return a.select("variant", "method", "ordinal", _r("avg_similarity"), _r("median_similarity"),
+                    _r("avg_fuzz_ratio"), _r("median_fuzz_ratio"), "exact_matches_difflib", "exact_matches_fuzzy",
+                    "legacy_exact_matches", "total_entries", "non_numeric_similarity", "non_numeric_fuzz")
+
+
+# ------------------------------------------------------------------ inference and incremental runs
+
+def _items(docs):
+    return docs.select(F.concat(F.col("doc_id").cast("string"), F.lit(".jpg")).alias("file_name"),
+                       F.encode(F.col("text"), "UTF-8").alias("content"))
+
+
+def q_batch_infer(spark, sf_dir):
+    """DSP7: every document's "image" through the (stub) predictor."""
+    out = I.infer(_items(documents(spark, sf_dir)), I.make_stub_predictor, derived.PROMPT, key="file_name")
+    return out.select(F.col("key").alias("file_name"), "status", "output", "error")
+
+
+def q_incremental(spark, sf_dir):
+    """STR1: items arrive in two drops; two availableNow runs on one
+    checkpoint process each item exactly once."""
+    docs = documents(spark, sf_dir)
+    src, out, ck = (scratch_dir(spark, n) for n in ("incoming", "transcribed", "transcribe_ckpt"))
+    t = INC.transcribe_transform(I.make_stub_predictor, derived.PROMPT)
+    for drop in (0, 1):
+        _items(docs.where(F.col("doc_id") % 2 == drop)).write.mode("append").parquet(src)
+        INC.run_available(spark, src, INC.ITEM_SCHEMA, t, out, ck, fmt="parquet")
+    back = spark.read.parquet(out)
+    return back.select(F.col("key").alias("file_name"), "status", "output", "error")
+
+
+def q_incremental_scoring(spark, sf_dir):
+    """STR2: sidecars arrive in two drops; each is cleaned, joined to the
+    static truth table and scored once."""
+    docs = documents(spark, sf_dir)
+    src, out, ck = (scratch_dir(spark, n) for n in ("sidecars_in", "scored", "scoring_ckpt"))
+    sc = derived.sidecars(docs).withColumn("_d", F.expr("cast(regexp_extract(file_name, '^([0-9]+)', 1) as long)"))
+    t = INC.scoring_transform(derived.primary_table(docs))
+    for drop in (0, 1):
+        sc.where(F.col("_d") % 2 == drop).drop("_d").write.mode("append").json(src)
+        INC.run_available(spark, src, INC.SIDECAR_SCHEMA, t, out, ck, fmt="json")
+    return spark.read.parquet(out).select("id", "precision", "recall")
+
+
 CATALOG = {
     "score_summary": q_score_summary,
     "precision_recall": q_precision_recall,
@@ -370,4 +447,11 @@ CATALOG = {
     "csv_roundtrip": q_csv_roundtrip,
     "sidecar_roundtrip": q_sidecar_roundtrip,
     "chat_json_roundtrip": q_chat_json_roundtrip,
+    "difflib_ratio": q_difflib_ratio,
+    "fuzz_ratios": q_fuzz_ratios,
+    "ndiff": q_ndiff,
+    "analysis_summary": q_analysis_summary,
+    "batch_infer": q_batch_infer,
+    "incremental": q_incremental,
+    "incremental_scoring": q_incremental_scoring,
 }

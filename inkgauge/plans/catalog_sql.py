@@ -458,4 +458,26 @@ def sql_chat_json_roundtrip():
             f"FROM ({_records()})")
 
 
+def _stub_output(text: str) -> str:
+    return O.raw_model_output(f"translate({text}, 'oil', '011')")
+
+
+def sql_batch_infer():
+    return (f"SELECT CAST(doc_id AS VARCHAR) || '.jpg' AS file_name, "
+            f"CASE WHEN strlen(text) < 50 THEN 'error' ELSE 'success' END AS status, "
+            f"CASE WHEN strlen(text) < 50 THEN NULL ELSE {_stub_output('text')} END AS output, "
+            f"CASE WHEN strlen(text) < 50 THEN 'ValueError: image too small to read' END AS error FROM documents")
+
+
+def sql_incremental():
+    return sql_batch_infer()
+
+
+def sql_incremental_scoring():
+    s = (f"SELECT CAST(doc_id AS VARCHAR) AS id, {O.normalize('text')} AS ref, "
+         f"{O.normalize(O.clean_markup(O.raw_model_output('text')))} AS hyp FROM documents "
+         f"WHERE doc_id % {NO_SIDECAR_EVERY} <> 0")
+    return f"SELECT id, precision, recall FROM ({O.set_metrics_select(s)})"
+
+
 SQL = {name[len("sql_"):]: fn for name, fn in globals().items() if name.startswith("sql_") and callable(fn)}

@@ -68,3 +68,34 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     tables (shared storage on a cluster, never a machine-local temp dir)."""
     base = ensure_checkpoint_dir(spark)
     return f"{base.rstrip('/')}/tables/{name}-{uuid.uuid4().hex[:12]}"
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``inkgauge`` importable by every Python worker (Arrow UDFs,
+    ``mapInPandas``) by shipping it as a zip with ``addPyFile`` once per
+    application - the usual way to distribute job code to a cluster."""
+    import io
+    import os
+    import zipfile
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        for base, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(base, f)
+                    z.write(full, os.path.join("inkgauge", os.path.relpath(full, root)))
+    folder = tempfile.mkdtemp(prefix="inkgauge-pkg-")
+    path = os.path.join(folder, "inkgauge.zip")
+    with open(path, "wb") as fh:
+        fh.write(buf.getvalue())
+    sc.addPyFile(path)
+    _SHIPPED.add(app)
