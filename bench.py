@@ -40,7 +40,7 @@ def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     only = sys.argv[1:]
-    spark = build_session(f"local[{cpus}]", shuffle_partitions=max(2 * cpus, 8),
+    spark = build_session(f"local[{cpus}]", shuffle_partitions=max(4 * cpus, 8),
                           extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g")})
     qs = headline(spark, sf_dir)
     # warm-up: JVM JIT, Python workers, file listing

@@ -260,7 +260,34 @@ def _change_items(a: list, b: list):
                 if r >= 0.75:
                     close.append((-r, j, i))
         close.sort()
-        yield from fancy(close, same, alo, ahi, blo, bhi)
+        # Differ recurses left part, synch pair, right part; an explicit
+        # stack (right pushed first) gives the same order without a depth
+        # limit on long chains of synch points.
+        stack = [("range", alo, ahi, blo, bhi)]
+        while stack:
+            task = stack.pop()
+            if task[0] == "emit":
+                yield from task[1]
+                continue
+            _, lo_a, hi_a, lo_b, hi_b = task
+            if lo_a < hi_a and lo_b < hi_b:
+                hit = first_inside(close, lo_a, hi_a, lo_b, hi_b, True)
+                identical = False
+                if hit is None:
+                    hit = first_inside(same, lo_a, hi_a, lo_b, hi_b, False)
+                    if hit is None:
+                        yield from plain(lo_a, hi_a, lo_b, hi_b)
+                        continue
+                    identical = True
+                bi, bj = hit
+                stack.append(("range", bi + 1, hi_a, bj + 1, hi_b))
+                if not identical:
+                    stack.append(("emit", ("- " + a[bi], "+ " + b[bj])))
+                stack.append(("range", lo_a, bi, lo_b, bj))
+            elif lo_a < hi_a:
+                yield from ("- " + w for w in a[lo_a:hi_a])
+            elif lo_b < hi_b:
+                yield from ("+ " + w for w in b[lo_b:hi_b])
 
     def first_inside(pairs, alo, ahi, blo, bhi, ji):
         for p in pairs:
@@ -269,31 +296,6 @@ def _change_items(a: list, b: list):
                 return i, j
         return None
 
-    def fancy(close, same, alo, ahi, blo, bhi):
-        hit = first_inside(close, alo, ahi, blo, bhi, True)
-        identical = False
-        if hit is None:
-            hit = first_inside(same, alo, ahi, blo, bhi, False)
-            if hit is None:
-                yield from plain(alo, ahi, blo, bhi)
-                return
-            identical = True
-        bi, bj = hit
-        yield from helper(close, same, alo, bi, blo, bj)
-        if not identical:
-            yield "- " + a[bi]
-            yield "+ " + b[bj]
-        yield from helper(close, same, bi + 1, ahi, bj + 1, bhi)
-
-    def helper(close, same, alo, ahi, blo, bhi):
-        if alo < ahi:
-            if blo < bhi:
-                yield from fancy(close, same, alo, ahi, blo, bhi)
-            else:
-                yield from ("- " + w for w in a[alo:ahi])
-        elif blo < bhi:
-            yield from ("+ " + w for w in b[blo:bhi])
-
     for tag, alo, ahi, blo, bhi in SequenceMatcher(None, a, b).get_opcodes():
         if tag == "replace":
             yield from replace_block(alo, ahi, blo, bhi)

@@ -62,3 +62,28 @@ def accent_tables() -> tuple[str, str, str]:
     from_chars = "".join(single_from) + "".join(delete)
     to_chars = "".join(single_to)
     return from_chars, to_chars, _ranges_to_class(multi)
+
+
+@lru_cache(maxsize=1)
+def latin1_fold_table() -> tuple[str, str]:
+    """``(from_chars, to_chars)`` folding one Latin-1 character the way the
+    Python normaliser treats it after its escape codec: lower-case, strip
+    marks, whitespace -> space, non-word characters deleted.  Every step is
+    per character on Latin-1 text (NFC composes nothing there), so one
+    ``translate`` replaces four passes.  Derived from ``str`` rules."""
+    import re
+    word, space = re.compile(r"\w"), re.compile(r"\s")
+    mapped, deleted = [], []
+    for code in range(256):
+        ch = chr(code)
+        folded = py_strip_char(ch.lower())
+        if space.fullmatch(folded):
+            out = " "
+        elif len(folded) == 1 and word.fullmatch(folded):
+            out = folded
+        else:
+            out = ""
+        if out == ch:
+            continue
+        (mapped if out else deleted).append((ch, out))
+    return "".join(c for c, _ in mapped) + "".join(c for c, _ in deleted), "".join(o for _, o in mapped)

@@ -18,7 +18,7 @@ from ..operators import joins as J
 from ..operators import sampling as SM
 from ..operators import stats
 from ..sources import derived
-from ..session import scratch_dir
+from ..session import materialize, scratch_dir
 from ..sinks import writers as W
 from ..sources import files as FS
 from ..sources.tables import spread, table
@@ -46,7 +46,9 @@ def set_scores(spark, sf_dir, metrics=SET_METRICS, **kw) -> DataFrame:
 
 
 def set_values(spark, sf_dir) -> DataFrame:
-    return S.metric_values(set_scores(spark, sf_dir), SET_METRICS)
+    """Long metric values, materialised once: every aggregate below reads
+    them several times (moments, range-partition sampling, rank blocks)."""
+    return materialize(S.metric_values(set_scores(spark, sf_dir), SET_METRICS))
 
 
 def _r(c: str, places: int = 9):
@@ -103,11 +105,11 @@ def q_char_uniqueness(spark, sf_dir):
 
 
 def q_normalize_utf8(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", TX.normalize_text(F.col("text"), mode="utf8").alias("normalized"))
+    return TX.normalize_columns(documents(spark, sf_dir), {"normalized": F.col("text")}, keep=["doc_id"], mode="utf8")
 
 
 def q_normalize_legacy(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", TX.normalize_text(F.col("text"), mode="legacy").alias("normalized"))
+    return TX.normalize_columns(documents(spark, sf_dir), {"normalized": F.col("text")}, keep=["doc_id"])
 
 
 def q_clean_markup(spark, sf_dir):

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions import metrics as M
 from ..functions.pymetrics import DEFAULT_MAX_DIFF, python_metrics
 from ..functions.registry import DEFAULT_METRICS, REGISTRY, PairContext
-from ..functions.text import DEFAULT_MAX_CHARS, DEFAULT_PHRASES, normalize_text
+from ..functions.text import DEFAULT_MAX_CHARS, DEFAULT_PHRASES, normalize_columns
 from ..sources.derived import METHODS
 
 
@@ -49,18 +49,22 @@ def long_pairs(wide: DataFrame, methods: list[str] = METHODS, truth: str = "tran
                max_chars: int = DEFAULT_MAX_CHARS, phrases=DEFAULT_PHRASES, mode: str = "legacy",
                flag_repetition: bool = True) -> DataFrame:
     """``(id, method, ordinal, ref, hyp[, repeated_text])`` with normalised
-    reference and hypothesis.  Methods absent from ``wide`` are skipped."""
+    reference and hypothesis.  Methods absent from ``wide`` are skipped.
+
+    Every text is normalised in the wide row and only then unpivoted: the
+    Expand node keeps the normalisation in the projection below it, so each
+    text is normalised exactly once however many metrics read it.
+    """
     present = [m for m in methods if m in wide.columns]
-    base = wide.select(F.col(key).alias("id"),
-                       normalize_text(F.col(truth), max_chars, phrases, mode).alias("ref"),
-                       *[F.col(m).cast("string") for m in present])
+    cols = {"ref": F.col(truth)}
+    cols.update({m: F.col(m).cast("string") for m in present})
+    base = normalize_columns(wide.withColumnRenamed(key, "id"), cols, keep=["id"], max_chars=max_chars,
+                             phrases=phrases, mode=mode)
     if flag_repetition:
         base = base.withColumn("repeated_text", M.repeated_text_flag(F.col("ref"), max_chars))
     ids = ["id", "ref"] + (["repeated_text"] if flag_repetition else [])
-    long = base.unpivot(ids, present, "method", "raw")
-    return (long.withColumn("ordinal", method_ordinal(methods))
-            .withColumn("hyp", normalize_text(F.col("raw"), max_chars, phrases, mode))
-            .drop("raw"))
+    long = base.unpivot(ids, present, "method", "hyp")
+    return long.withColumn("ordinal", method_ordinal(methods))
 
 
 def with_metrics(pairs: DataFrame, metrics: list[str] = DEFAULT_METRICS, thresholds: dict | None = None,

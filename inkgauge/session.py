@@ -26,6 +26,9 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.files.maxPartitionBytes": str(32 * 1024 * 1024),
+    # Text scoring is CPU-bound per byte: keep post-shuffle partitions small
+    # so every core has work (AQE still merges tiny ones).
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(16 * 1024 * 1024),
 }
 
 
@@ -99,3 +102,12 @@ def ship_package(spark: SparkSession) -> None:
         fh.write(buf.getvalue())
     sc.addPyFile(path)
     _SHIPPED.add(app)
+
+
+def materialize(df):
+    """Compute ``df`` once and cut its lineage with a reliable checkpoint in
+    ``spark.checkpoint.dir`` (shared storage): every later consumer reads the
+    files, and a lost executor costs a re-read, not a recomputation of the
+    upstream text work."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
