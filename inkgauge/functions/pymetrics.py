@@ -152,9 +152,9 @@ def bleu(ref_text: str, hyp_text: str) -> float:
     c, r = len(hyp), len(ref)
     matches, totals = [], []
     for n in range(1, BLEU_MAX_N + 1):
-        h = Counter(tuple(hyp[i:i + n]) for i in range(c - n + 1))
-        g = Counter(tuple(ref[i:i + n]) for i in range(r - n + 1))
-        matches.append(sum(min(k, g[t]) for t, k in h.items()))
+        h = Counter(zip(*[hyp[k:] for k in range(n)]))
+        g = Counter(zip(*[ref[k:] for k in range(n)]))
+        matches.append(sum((h & g).values()))
         totals.append(max(1, c - n + 1))
     if matches[0] == 0:
         return 0.0

@@ -32,16 +32,27 @@ def method_ordinal(methods: list[str]) -> F.Column:
     return F.element_at(F.create_map(*pairs), F.col("method")).cast("long")
 
 
-def merge_inputs(left: DataFrame, right: DataFrame, key: str = "id", how: str = "inner") -> DataFrame:
+def merge_inputs(left: DataFrame, right: DataFrame, key: str = "id", how: str = "inner",
+                 partitions: int | None = None) -> DataFrame:
     """JOIN1: equi-join on ``key`` where null keys match each other and
-    duplicate keys multiply; on overlapping columns the left side wins."""
+    duplicate keys multiply; on overlapping columns the left side wins.
+
+    Both sides grow with the data, so nothing is broadcast on a file-size
+    estimate.  Both are hash-partitioned on the (null-safe) key into the
+    session's shuffle partition count and the sort-merge join reuses that
+    partitioning - one shuffle per side, as for a plain join.  The explicit
+    count matters for what follows: scoring costs CPU per pair, not per
+    byte, and AQE's size-based coalescing would otherwise fold the stage
+    into fewer tasks than there are cores.
+    """
+    n = partitions or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     overlap = [c for c in right.columns if c in set(left.columns) and c != key]
     r = right.drop(*overlap).withColumnRenamed(key, "_rkey")
-    # Both sides grow with the data, so no static broadcast from file-size
-    # estimates: a shuffle join on the key, which also spreads the text work
-    # over the shuffle partitions.  AQE may still broadcast a side whose
-    # *measured* shuffle output is under its threshold, and splits skewed keys.
-    joined = left.join(r.hint("merge"), left[key].eqNullSafe(r["_rkey"]), how)
+    lk = [F.coalesce(F.col(key), F.lit("")), F.col(key).isNull()]
+    rk = [F.coalesce(F.col("_rkey"), F.lit("")), F.col("_rkey").isNull()]
+    lp = left.repartition(n, *lk)
+    rp = r.repartition(n, *rk)
+    joined = lp.join(rp.hint("merge"), lp[key].eqNullSafe(rp["_rkey"]), how)
     return joined.drop("_rkey")
 
 
