@@ -21,11 +21,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def rank_within_groups(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Add ``_rank`` (0-based, exact, ties broken arbitrarily) and ``_n``
-    (group size) ordered by ``order`` within each ``keys`` group."""
-    cols = list(keys) + list(order)
-    ranked = (df.repartitionByRange(*cols).sortWithinPartitions(*cols)
+def rank_within_groups(df: DataFrame, keys: list[str], order: list[str],
+                       partitions: int | None = None) -> DataFrame:
+    """Add ``_rank`` (0-based, exact, ties broken by a row hash) and ``_n``
+    (group size) ordered by ``order`` within each ``keys`` group.
+
+    The range shuffle has an explicit partition count: AQE neither coalesces
+    nor locally reads such a shuffle, so both consumers below (the per-block
+    counts and the join back) see the same partition ids.  The row hash as
+    last sort key spreads a heavily repeated value over several partitions.
+    """
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salted = df if "_tie" in df.columns else df.withColumn("_tie", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    cols = list(keys) + list(order) + ["_tie"]
+    ranked = (salted.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_mid", F.monotonically_increasing_id()))
     blocks = ranked.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_cnt"), F.min("_mid").alias("_first"))
@@ -37,7 +46,7 @@ def rank_within_groups(df: DataFrame, keys: list[str], order: list[str]) -> Data
     # blocks has at most (#partitions + #groups) rows: broadcast is bounded.
     joined = ranked.join(F.broadcast(blocks), on=["_pid", *keys], how="inner")
     return (joined.withColumn("_rank", F.col("_offset") + F.col("_mid") - F.col("_first"))
-            .drop("_pid", "_mid", "_first", "_offset"))
+            .drop("_pid", "_mid", "_first", "_offset", "_tie"))
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
@@ -45,7 +54,10 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     definition) of the non-null, non-NaN ``value``; one row per group with
     one column per entry of ``probs`` (name -> probability)."""
     v = F.col(value).cast("double")
-    base = df.select(*keys, v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    # The tie-breaker hashes the whole input row, so equal values of
+    # different rows spread over partitions.
+    tie = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).alias("_tie")
+    base = df.select(*keys, v.alias("_v"), tie).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     ranked = rank_within_groups(base, keys, ["_v"])
     needed = []
     for p in probs.values():

@@ -106,3 +106,17 @@ def test_analysis_summary_match_counts(spark):
     assert inc["exact_matches_difflib"] == 1 and inc["legacy_exact_matches"] == 3
     assert inc["non_numeric_fuzz"] == 1 and inc["non_numeric_similarity"] == 1
     assert exc["total_entries"] == 1
+
+
+def test_hot_value_spreads_over_partitions(spark):
+    # one group, one value repeated in a third of the rows: still exact, and
+    # the tie-breaker spreads that value over several range partitions
+    df = spark.range(0, 3000).select(F.lit("g").alias("g"), F.col("id").alias("rid"),
+                                     F.when(F.col("id") % 3 == 0, F.lit(0.5)).otherwise(F.col("id") / 3000.0)
+                                     .alias("value"))
+    q = exact_quantiles(df, ["g"], "value", {"med": 0.5}).first()["med"]
+    xs = [0.5 if i % 3 == 0 else i / 3000.0 for i in range(3000)]
+    assert math.isclose(q, float(np.percentile(xs, 50)), rel_tol=1e-12)
+    ranked = rank_within_groups(df.withColumn("_tie", F.xxhash64("rid")), ["g"], ["value"], partitions=8)
+    pids = ranked.where(F.col("value") == 0.5).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert pids > 1
