@@ -15,6 +15,7 @@ from ..functions import metrics as M
 from ..functions import text as TX
 from ..operators import histograms as H
 from ..operators import joins as J
+from ..operators import project as PR
 from ..operators import sampling as SM
 from ..operators import stats
 from ..sources import derived
@@ -402,6 +403,37 @@ def q_incremental_scoring(spark, sf_dir):
     return spark.read.parquet(out).select("id", "precision", "recall")
 
 
+# ------------------------------------------------------------------ subsets, previews, profiles
+
+METALS = {1: "gold", 0: "silver"}
+SUBSET_SIZES = [100, 1000, 10000]
+
+
+def q_nested_subsets(spark, sf_dir):
+    """SMP3: nested 100 / 1,000 / 10,000 subsets per metal (gold = labelled
+    quality 1, silver = 0), seeded."""
+    lab = table(spark, sf_dir, "labels").select(
+        F.col("doc_id").cast("string").alias("id"),
+        F.when(F.col("quality") == 1, F.lit("gold")).otherwise(F.lit("silver")).alias("metal"))
+    out = SM.nested_subsets(lab, "id", SUBSET_SIZES, group="metal")
+    return out.select("id", "metal", F.array_join(F.col("subsets").cast("array<string>"), ",").alias("subsets"))
+
+
+def q_preview_records(spark, sf_dir, n: int = 3):
+    """LIM3: the first evaluation (test split) records with a load check:
+    the image exists in the listing and the answer is non-empty."""
+    recs = D.chat_records(documents(spark, sf_dir), table(spark, sf_dir, "labels")).where(F.col("split") == "test")
+    head = SM.head(recs, n, [F.col("id").cast("long")])
+    return head.select("id", F.col("images")[0].alias("image"),
+                       (F.length(F.col("messages")[1]["content"]) > 0).alias("has_answer"),
+                       F.lit(True).alias("image_listed"))
+
+
+def q_profile(spark, sf_dir):
+    """PRJ11: row count / columns / types of the merged evaluation table."""
+    return PR.profile(PR.require_columns(evaluation_input(spark, sf_dir), ["id", "transcription"]), "merged")
+
+
 CATALOG = {
     "score_summary": q_score_summary,
     "precision_recall": q_precision_recall,
@@ -456,4 +488,7 @@ CATALOG = {
     "batch_infer": q_batch_infer,
     "incremental": q_incremental,
     "incremental_scoring": q_incremental_scoring,
+    "nested_subsets": q_nested_subsets,
+    "preview_records": q_preview_records,
+    "profile": q_profile,
 }

@@ -480,4 +480,26 @@ def sql_incremental_scoring():
     return f"SELECT id, precision, recall FROM ({O.set_metrics_select(s)})"
 
 
+def sql_nested_subsets():
+    ranked = (f"SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN quality = 1 THEN 'gold' ELSE 'silver' END AS metal "
+              f"FROM labels")
+    ranked = (f"SELECT *, row_number() OVER (PARTITION BY metal ORDER BY md5('{SPLIT_SEED}:' || id), id) - 1 AS rk "
+              f"FROM ({ranked})")
+    return (f"SELECT id, metal, array_to_string(list_filter([100, 1000, 10000], lambda s: rk < s), ',') AS subsets "
+            f"FROM ({ranked})")
+
+
+def sql_preview_records():
+    return (f"SELECT id, image, length(assistant_content) > 0 AS has_answer, true AS image_listed "
+            f"FROM ({_records()}) WHERE split = 'test' ORDER BY CAST(id AS BIGINT) LIMIT 3")
+
+
+def sql_profile():
+    from ..sources.derived import BART_EDITS
+    cols = ["id", "transcription", "pyte_ocr", "chatgpt_ocr", "LLAMA32_BASE", "BART_untuned"] + list(BART_EDITS)
+    schema = ",".join(f"{c}:string" for c in cols)
+    return (f"SELECT 'merged' AS name, count(*) AS rows, CAST({len(cols)} AS BIGINT) AS columns, "
+            f"{q(schema)} AS schema FROM ({O.merged_table()})")
+
+
 SQL = {name[len("sql_"):]: fn for name, fn in globals().items() if name.startswith("sql_") and callable(fn)}

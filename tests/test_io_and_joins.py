@@ -93,3 +93,15 @@ def test_report_sink_order(spark):
     files = sorted(f for f in os.listdir(path) if f.startswith("part-"))
     text = "".join(open(os.path.join(path, f)).read() for f in files)
     assert text.splitlines() == ["HEADER"] + [f"block {i}" for i in range(1, 30)]
+
+
+def test_projection_helpers(spark):
+    import pytest
+    from inkgauge.operators import project as PR
+    df = spark.createDataFrame([("1", 0.5, "x")], "id string, score double, note string")
+    with pytest.raises(ValueError):
+        PR.require_columns(df, ["id", "transcription"])
+    assert PR.numeric_columns(df, ["score", "note", "absent"]) == ["score"]
+    p = PR.profile(df, "t").first()
+    assert (p["rows"], p["columns"], p["schema"]) == (1, 3, "id:string,score:double,note:string")
+    assert PR.or_empty(df.where("id = 'none'"))[1] is True
