@@ -79,7 +79,9 @@ _SHIPPED: set = set()
 def ship_package(spark: SparkSession) -> None:
     """Make ``inkgauge`` importable by every Python worker (Arrow UDFs,
     ``mapInPandas``) by shipping it as a zip with ``addPyFile`` once per
-    application - the usual way to distribute job code to a cluster."""
+    application - the usual way to distribute job code to a cluster.  The
+    zip is written through the Hadoop FileSystem API into the shared
+    checkpoint folder, never into a machine-local temporary folder."""
     import io
     import os
     import zipfile
@@ -92,15 +94,20 @@ def ship_package(spark: SparkSession) -> None:
     buf = io.BytesIO()
     with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
         for base, _, files in os.walk(root):
-            for f in files:
+            for f in sorted(files):
                 if f.endswith(".py"):
                     full = os.path.join(base, f)
                     z.write(full, os.path.join("inkgauge", os.path.relpath(full, root)))
-    folder = tempfile.mkdtemp(prefix="inkgauge-pkg-")
-    path = os.path.join(folder, "inkgauge.zip")
-    with open(path, "wb") as fh:
-        fh.write(buf.getvalue())
-    sc.addPyFile(path)
+    target = f"{ensure_checkpoint_dir(spark).rstrip('/')}/code/{uuid.uuid4().hex[:12]}/inkgauge.zip"
+    jvm = sc._jvm
+    path = jvm.org.apache.hadoop.fs.Path(target)
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    out = fs.create(path, True)
+    try:
+        out.write(bytearray(buf.getvalue()))
+    finally:
+        out.close()
+    sc.addPyFile(str(fs.makeQualified(path).toString()))
     _SHIPPED.add(app)
 
 
