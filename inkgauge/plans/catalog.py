@@ -434,6 +434,12 @@ def q_profile(spark, sf_dir):
     return PR.profile(PR.require_columns(evaluation_input(spark, sf_dir), ["id", "transcription"]), "merged")
 
 
+def q_scored_table(spark, sf_dir):
+    """E1 output: merged inputs + normalised texts + repeated-text flag +
+    per-method set metrics, wide, row-local."""
+    return S.score_wide(evaluation_input(spark, sf_dir), derived.METHODS, SET_METRICS)
+
+
 CATALOG = {
     "score_summary": q_score_summary,
     "precision_recall": q_precision_recall,
@@ -491,4 +497,5 @@ CATALOG = {
     "nested_subsets": q_nested_subsets,
     "preview_records": q_preview_records,
     "profile": q_profile,
+    "scored_table": q_scored_table,
 }

@@ -502,4 +502,26 @@ def sql_profile():
             f"{q(schema)} AS schema FROM ({O.merged_table()})")
 
 
+def sql_scored_table():
+    norm = ", ".join(f"{O.normalize(m)} AS normalized_{m}" for m in METHODS)
+    base = (f"SELECT *, {O.normalize('transcription')} AS normalized_transcription, {norm} "
+            f"FROM ({O.merged_table()})")
+    sets = ", ".join(f"list_distinct({O.words('normalized_' + m)}) AS hs_{m}" for m in METHODS)
+    withsets = f"SELECT *, list_distinct({O.words('normalized_transcription')}) AS rs, {sets} FROM ({base})"
+    metrics = []
+    for m in METHODS:
+        hs, inter = f"hs_{m}", f"len(list_intersect(rs, hs_{m}))"
+        metrics += [
+            f"CASE WHEN len({hs}) > 0 THEN {inter} / len({hs}) ELSE 0.0 END AS {m}_precision",
+            f"CASE WHEN len(rs) > 0 THEN {inter} / len(rs) ELSE 0.0 END AS {m}_recall",
+            f"CASE WHEN len(rs) + len({hs}) > 0 THEN {inter} / (len(rs) + len({hs}) - {inter}) ELSE 0.0 END "
+            f"AS {m}_jaccard_similarity",
+        ]
+    jac = ", ".join(f"{m}_jaccard_similarity >= 0.93 AS {m}_equal_jaccard" for m in METHODS)
+    rep = f"(({_repetition('normalized_transcription')}) AND {_low_unique('normalized_transcription')})::INTEGER"
+    scored = f"SELECT *, {', '.join(metrics)}, {rep} AS repeated_text FROM ({withsets})"
+    drop = ", ".join(["rs"] + [f"hs_{m}" for m in METHODS])
+    return f"SELECT * EXCLUDE ({drop}), {jac} FROM ({scored})"
+
+
 SQL = {name[len("sql_"):]: fn for name, fn in globals().items() if name.startswith("sql_") and callable(fn)}

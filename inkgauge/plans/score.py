@@ -140,3 +140,56 @@ def wide_scores(scored: DataFrame, methods: list[str], columns: list[str], key:
     if len(present) == 1:
         out = out.withColumnsRenamed({m: f"{m}_{present[0]}" for m in methods})
     return out
+
+
+def score_wide(wide: DataFrame, methods: list[str] = METHODS, metrics: list[str] = DEFAULT_METRICS,
+               truth: str = "transcription", key: str = "id", max_chars: int = DEFAULT_MAX_CHARS,
+               phrases=DEFAULT_PHRASES, mode: str = "legacy", thresholds: dict | None = None,
+               with_differences: bool = False, max_diff: int = DEFAULT_MAX_DIFF) -> DataFrame:
+    """The scored wide table of trace E1 (RSH3 without a pivot): the input
+    columns, ``normalized_transcription``, ``normalized_<m>``,
+    ``repeated_text`` and ``<m>_<metric>`` for every method - all computed
+    inside the row, so the plan has no shuffle beyond the input's own."""
+    th = dict(M.DEFAULT_THRESHOLDS)
+    th.update(thresholds or {})
+    present = [m for m in methods if m in wide.columns]
+    cols = {"normalized_transcription": F.col(truth)}
+    cols.update({f"normalized_{m}": F.col(m).cast("string") for m in present})
+    keep = list(wide.columns)
+    df = normalize_columns(wide, cols, keep=keep, max_chars=max_chars, phrases=phrases, mode=mode)
+    ref = F.col("normalized_transcription")
+    df = df.withColumn("repeated_text", M.repeated_text_flag(ref, max_chars))
+    # Token arrays get their own projection so every metric reads a column.
+    toks = {"_rw": M.words(ref)}
+    toks.update({f"_hw_{m}": M.words(F.col(f"normalized_{m}")) for m in present})
+    df = df.withColumns(toks)
+    df = df.withColumns({"_rs": F.array_distinct("_rw"),
+                         **{f"_hs_{m}": F.array_distinct(f"_hw_{m}") for m in present}})
+    out = {}
+    py_fields = [f for m in metrics if REGISTRY[m].kind == "python" for f in REGISTRY[m].python_fields]
+    if with_differences:
+        py_fields.append("differences")
+    for m in present:
+        hyp = F.col(f"normalized_{m}")
+        ctx = PairContext(ref, hyp, F.col("_rw"), F.col(f"_hw_{m}"), F.col("_rs"), F.col(f"_hs_{m}"), th)
+        for name in metrics:
+            spec = REGISTRY[name]
+            if spec.kind == "native":
+                out.update({f"{m}_{k}": v for k, v in spec.build(ctx).items()})
+        if py_fields:
+            out[f"_py_{m}"] = python_metrics(ref, hyp, py_fields, max_diff)
+    df = df.withColumns(out)
+    flat = {}
+    for m in present:
+        for f in py_fields:
+            flat[f"{m}_{f}"] = F.col(f"_py_{m}.{f}")
+        if "similarity_difflib" in metrics:
+            flat[f"{m}_equal_difflib"] = M.at_least(F.col(f"_py_{m}.similarity_difflib"), th["difflib"])
+        if "fuzz_ratio" in metrics:
+            flat[f"{m}_equal_fuzzywuzzy"] = M.at_least(F.col(f"_py_{m}.fuzz_ratio"), th["fuzzywuzzy"])
+        if "jaccard_similarity" in metrics:
+            flat[f"{m}_equal_jaccard"] = M.at_least(F.col(f"{m}_jaccard_similarity"), th["jaccard"])
+    if flat:
+        df = df.withColumns(flat)
+    helpers = ["_rw", "_rs"] + [f"_{k}_{m}" for m in present for k in ("hw", "hs")]
+    return df.drop(*helpers, *[f"_py_{m}" for m in present if py_fields])
