@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import lru_cache
 from difflib import IS_CHARACTER_JUNK, SequenceMatcher
 
 import pandas as pd
@@ -142,19 +143,26 @@ def fuzz_token_set_ratio(a: str, b: str) -> int:
     return max(fuzz_ratio(common, left), fuzz_ratio(common, right), fuzz_ratio(left, right))
 
 
+@lru_cache(maxsize=8)
+def _bleu_reference(ref_text: str):
+    """Reference side of BLEU, cached: the pairs of one document arrive
+    together and share their reference."""
+    ref = _WORD_RE.findall(ref_text.lower())
+    return len(ref), [Counter(zip(*[ref[k:] for k in range(n)])) for n in range(1, BLEU_MAX_N + 1)]
+
+
 def bleu(ref_text: str, hyp_text: str) -> float:
     """MET10: sentence BLEU (4-gram, uniform weights, smoothing method 4)
     on ``\\w+`` tokens of the lower-cased texts; an empty side scores 0."""
-    ref = _WORD_RE.findall(ref_text.lower())
+    r, ref_counts = _bleu_reference(ref_text)
     hyp = _WORD_RE.findall(hyp_text.lower())
-    if not ref or not hyp:
+    if not r or not hyp:
         return 0.0
-    c, r = len(hyp), len(ref)
+    c = len(hyp)
     matches, totals = [], []
     for n in range(1, BLEU_MAX_N + 1):
         h = Counter(zip(*[hyp[k:] for k in range(n)]))
-        g = Counter(zip(*[ref[k:] for k in range(n)]))
-        matches.append(sum((h & g).values()))
+        matches.append(sum((h & ref_counts[n - 1]).values()))
         totals.append(max(1, c - n + 1))
     if matches[0] == 0:
         return 0.0
@@ -172,7 +180,16 @@ def bleu(ref_text: str, hyp_text: str) -> float:
     return bp * math.exp(math.fsum(logs))
 
 
-def word_edit_distance(a: list, b: list) -> int:
+def _pattern_masks(a) -> tuple:
+    peq: dict = {}
+    bit = 1
+    for w in a:
+        peq[w] = peq.get(w, 0) | bit
+        bit <<= 1
+    return peq, len(a)
+
+
+def word_edit_distance(a: list, b: list, masks: tuple | None = None) -> int:
     """Levenshtein distance between two token sequences, bit-parallel
     (Myers 1999, Hyyrö 2001): each token of ``b`` updates the whole column of
     ``a`` with a few big-integer operations, O(len(b) * len(a) / 64)."""
@@ -180,12 +197,7 @@ def word_edit_distance(a: list, b: list) -> int:
         return len(b)
     if not b:
         return len(a)
-    peq: dict = {}
-    bit = 1
-    for w in a:
-        peq[w] = peq.get(w, 0) | bit
-        bit <<= 1
-    m = len(a)
+    peq, m = masks if masks is not None else _pattern_masks(a)
     mask = (1 << m) - 1
     high = 1 << (m - 1)
     pv, mv, score = mask, 0, m
@@ -206,12 +218,18 @@ def word_edit_distance(a: list, b: list) -> int:
     return score
 
 
+@lru_cache(maxsize=8)
+def _wer_reference(ref_text: str):
+    ref = ref_text.split()
+    return ref, _pattern_masks(ref)
+
+
 def word_error_rate(ref_text: str, hyp_text: str):
     """MET11: word edit distance / reference words; empty reference -> None."""
-    ref = ref_text.split()
+    ref, masks = _wer_reference(ref_text)
     if not ref:
         return None
-    return word_edit_distance(ref, hyp_text.split()) / len(ref)
+    return word_edit_distance(ref, hyp_text.split(), masks) / len(ref)
 
 
 def _change_items(a: list, b: list):
