@@ -232,6 +232,36 @@ def word_error_rate(ref_text: str, hyp_text: str):
     return word_edit_distance(ref, hyp_text.split(), masks) / len(ref)
 
 
+_RATIO_MEMO: dict = {}
+_RATIO_MEMO_MAX = 200_000
+
+
+@lru_cache(maxsize=50_000)
+def _char_counts(w: str) -> Counter:
+    return Counter(w)
+
+
+def _word_ratio(x: str, y: str) -> float:
+    """``SequenceMatcher(IS_CHARACTER_JUNK, x, y).ratio()`` for two words, or
+    0.0 when even the character-multiset bound (``quick_ratio``, an upper
+    bound of the ratio) is under the 0.75 synch cutoff - callers only test
+    ``>= 0.75``, so the shortcut never changes a decision.  Memoised across
+    pairs (the methods of one document share most words)."""
+    key = (x, y)
+    r = _RATIO_MEMO.get(key)
+    if r is not None:
+        return r
+    common = sum((_char_counts(x) & _char_counts(y)).values())
+    if 2.0 * common / (len(x) + len(y)) < 0.75:
+        r = 0.0
+    else:
+        r = SequenceMatcher(IS_CHARACTER_JUNK, x, y).ratio()
+    if len(_RATIO_MEMO) >= _RATIO_MEMO_MAX:
+        _RATIO_MEMO.clear()
+    _RATIO_MEMO[key] = r
+    return r
+
+
 def _change_items(a: list, b: list):
     """The ``'- '`` / ``'+ '`` items of ``difflib.ndiff(a, b)``, in order.
 
@@ -243,15 +273,8 @@ def _change_items(a: list, b: list):
     ranked once (ratios memoised per word pair, pruned by the length bound),
     so a sub-block's synch pair is the first ranked candidate inside it.
     """
-    junk = IS_CHARACTER_JUNK
-    ratio_cache: dict = {}
-
     def ratio(x, y):
-        key = (x, y)
-        r = ratio_cache.get(key)
-        if r is None:
-            r = ratio_cache[key] = SequenceMatcher(junk, x, y).ratio()
-        return r
+        return _word_ratio(x, y)
 
     def plain(alo, ahi, blo, bhi):
         if bhi - blo < ahi - alo:
