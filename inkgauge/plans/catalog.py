@@ -307,6 +307,18 @@ def q_csv_roundtrip(spark, sf_dir):
     return FS.read_delimited(spark, path)
 
 
+def q_typed_head(spark, sf_dir, n: int = 100):
+    """SNK2 -> SRC2 + SRC4: run times written as a plain CSV in event order,
+    read back with typed columns (``try_cast``) and the first ``n`` rows in
+    file order."""
+    path = scratch_dir(spark, "runtimes_csv")
+    ev = table(spark, sf_dir, "events").select("event_id", "event_type", F.col("value").cast("string").alias("seconds"))
+    W.write_plain_csv(ev.orderBy("event_id"), path)
+    head = FS.read_head(spark, path, n)
+    return head.select(F.expr("try_cast(event_id as bigint)").alias("event_id"), "event_type",
+                       F.expr("try_cast(seconds as double)").alias("seconds"))
+
+
 def q_sidecar_roundtrip(spark, sf_dir):
     """SNK3 -> SRC5 -> SCL12: one text file per image output, read back whole
     and cleaned."""
@@ -498,4 +510,5 @@ CATALOG = {
     "preview_records": q_preview_records,
     "profile": q_profile,
     "scored_table": q_scored_table,
+    "typed_head": q_typed_head,
 }

@@ -524,4 +524,8 @@ def sql_scored_table():
     return f"SELECT * EXCLUDE ({drop}), {jac} FROM ({scored})"
 
 
+def sql_typed_head():
+    return "SELECT event_id, event_type, value AS seconds FROM events ORDER BY event_id LIMIT 100"
+
+
 SQL = {name[len("sql_"):]: fn for name, fn in globals().items() if name.startswith("sql_") and callable(fn)}
