@@ -452,6 +452,20 @@ def q_scored_table(spark, sf_dir):
     return S.score_wide(evaluation_input(spark, sf_dir), derived.METHODS, SET_METRICS)
 
 
+def q_duplicate_ids(spark, sf_dir):
+    """Q9: ids that the merge multiplied (null-safe key, duplicates kept)."""
+    m = evaluation_input(spark, sf_dir)
+    return m.groupBy("id").agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") > 1)
+
+
+def q_wer_undefined(spark, sf_dir):
+    """Q5: per method, pairs whose word error rate is undefined (empty
+    reference) - counted instead of failing the job."""
+    scored = set_scores(spark, sf_dir, ["word_error_rate"])
+    return scored.groupBy("method", "ordinal").agg(
+        F.count_if(F.col("word_error_rate").isNull()).alias("wer_undefined"), F.count(F.lit(1)).alias("pairs"))
+
+
 CATALOG = {
     "score_summary": q_score_summary,
     "precision_recall": q_precision_recall,
@@ -511,4 +525,6 @@ CATALOG = {
     "profile": q_profile,
     "scored_table": q_scored_table,
     "typed_head": q_typed_head,
+    "duplicate_ids": q_duplicate_ids,
+    "wer_undefined": q_wer_undefined,
 }

@@ -528,4 +528,13 @@ def sql_typed_head():
     return "SELECT event_id, event_type, value AS seconds FROM events ORDER BY event_id LIMIT 100"
 
 
+def sql_duplicate_ids():
+    return f"SELECT id, count(*) AS copies FROM ({O.merged_table()}) GROUP BY id HAVING count(*) > 1"
+
+
+def sql_wer_undefined():
+    return (f"SELECT method, ordinal, count_if(len({O.words('ref')}) = 0) AS wer_undefined, count(*) AS pairs "
+            f"FROM ({O.long_pairs()}) GROUP BY method, ordinal")
+
+
 SQL = {name[len("sql_"):]: fn for name, fn in globals().items() if name.startswith("sql_") and callable(fn)}
