@@ -267,6 +267,12 @@ def q_split_sizes(spark, sf_dir):
     return recs.groupBy("split").agg(F.count(F.lit(1)).alias("records"))
 
 
+def q_split_rows(spark, sf_dir):
+    """SMP2 rows: every chat record's split (exact 80/20, seeded)."""
+    recs = D.chat_records(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+    return recs.select("id", "split")
+
+
 def q_reprompt(spark, sf_dir):
     recs = D.chat_records(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
     return D.flatten_records(D.reprompt(recs)).drop("split")
@@ -376,6 +382,17 @@ def q_analysis_summary(spark, sf_dir):
                     "legacy_exact_matches", "total_entries", "non_numeric_similarity", "non_numeric_fuzz")
 
 
+def q_exact_match_incl_excl(spark, sf_dir):
+    """AGG9: threshold-match counts as method x measure x variant rows."""
+    a = q_analysis_summary(spark, sf_dir)
+    long = a.select("variant", "method", "ordinal",
+                    F.inline(F.array(
+                        F.struct(F.lit("difflib").alias("measure"), F.col("exact_matches_difflib").alias("matches")),
+                        F.struct(F.lit("fuzzywuzzy").alias("measure"), F.col("exact_matches_fuzzy").alias("matches")))),
+                    "total_entries")
+    return long
+
+
 # ------------------------------------------------------------------ inference and incremental runs
 
 def _items(docs):
@@ -527,4 +544,6 @@ CATALOG = {
     "typed_head": q_typed_head,
     "duplicate_ids": q_duplicate_ids,
     "wer_undefined": q_wer_undefined,
+    "exact_match_incl_excl": q_exact_match_incl_excl,
+    "split_rows": q_split_rows,
 }

@@ -537,4 +537,8 @@ def sql_wer_undefined():
             f"FROM ({O.long_pairs()}) GROUP BY method, ordinal")
 
 
+def sql_split_rows():
+    return f"SELECT id, split FROM ({_records()})"
+
+
 SQL = {name[len("sql_"):]: fn for name, fn in globals().items() if name.startswith("sql_") and callable(fn)}
