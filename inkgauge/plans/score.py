@@ -73,7 +73,9 @@ def long_pairs(wide: DataFrame, methods: list[str] = METHODS, truth: str = "tran
                              phrases=phrases, mode=mode)
     if flag_repetition:
         base = base.withColumn("repeated_text", M.repeated_text_flag(F.col("ref"), max_chars))
-    ids = ["id", "ref"] + (["repeated_text"] if flag_repetition else [])
+    # Reference tokens once per row, not once per (row, method) pair.
+    base = base.withColumn("_rw", M.words(F.col("ref"))).withColumn("_rs", F.array_distinct("_rw"))
+    ids = ["id", "ref", "_rw", "_rs"] + (["repeated_text"] if flag_repetition else [])
     long = base.unpivot(ids, present, "method", "hyp")
     return long.withColumn("ordinal", method_ordinal(methods))
 
@@ -88,9 +90,11 @@ def with_metrics(pairs: DataFrame, metrics: list[str] = DEFAULT_METRICS, thresho
         raise ValueError(f"unknown metrics: {unknown}")
     ref, hyp = F.col("ref"), F.col("hyp")
     ctx = PairContext(ref, hyp, F.col("_rw"), F.col("_hw"), F.col("_rs"), F.col("_hs"), th)
-    # Tokens once, reused by every native metric (avoid re-splitting).
-    df = pairs.withColumns({"_rw": M.words(ref), "_hw": M.words(hyp)})
-    df = df.withColumns({"_rs": F.array_distinct("_rw"), "_hs": F.array_distinct("_hw")})
+    # Tokens once, reused by every native metric (avoid re-splitting); the
+    # reference tokens usually arrive precomputed from ``long_pairs``.
+    df = pairs if "_rw" in pairs.columns else pairs.withColumn("_rw", M.words(ref))
+    df = df if "_rs" in df.columns else df.withColumn("_rs", F.array_distinct("_rw"))
+    df = df.withColumn("_hw", M.words(hyp)).withColumn("_hs", F.array_distinct("_hw"))
     native = {}
     py_fields = []
     for m in metrics:
