@@ -100,7 +100,8 @@ def equal_width_histogram(values: DataFrame, keys: list[str], bins: int, value:
     return out.drop("_lo", "_hi", "_n")
 
 
-def kde_curve(values: DataFrame, keys: list[str], value: str = "value", grid: int = KDE_GRID) -> DataFrame:
+def kde_curve(values: DataFrame, keys: list[str], value: str = "value", grid: int = KDE_GRID,
+              resolution: float | None = None) -> DataFrame:
     """AGG7: Gaussian KDE (Scott bandwidth) evaluated on ``grid`` points from
     the group's min to max.
 
@@ -116,7 +117,10 @@ def kde_curve(values: DataFrame, keys: list[str], value: str = "value", grid: in
                                       F.min("_v").alias("_min"), F.max("_v").alias("_max"))
     params = params.where((F.col("_n") > 1) & (F.col("_sd") > 0)).withColumn(
         "_h", F.col("_sd") * F.pow(F.col("_n").cast("double"), F.lit(-0.2)))
-    distinct = clean.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_w"))
+    # Exact by default; ``resolution`` rounds values to a grid first so the
+    # number of distinct values per group is bounded by range / resolution.
+    point = F.col("_v") if resolution is None else F.round(F.col("_v") / resolution) * resolution
+    distinct = clean.groupBy(*keys, point.alias("_v")).agg(F.count(F.lit(1)).alias("_w"))
     j = distinct.join(F.broadcast(params), keys)
     k = F.col("_k")
     lo, hi = F.col("_min"), F.col("_max")

@@ -120,3 +120,14 @@ def test_hot_value_spreads_over_partitions(spark):
     ranked = rank_within_groups(df.withColumn("_tie", F.xxhash64("rid")), ["g"], ["value"], partitions=8)
     pids = ranked.where(F.col("value") == 0.5).select(F.spark_partition_id().alias("p")).distinct().count()
     assert pids > 1
+
+
+def test_approximate_modes(spark):
+    rnd = random.Random(9)
+    xs = [rnd.random() for _ in range(2000)]
+    df = _values(spark, [("g", x) for x in xs])
+    approx = stats.describe(df, ["g"], exact=False).first()
+    assert abs(approx["median"] - float(np.percentile(xs, 50))) < 0.01
+    exact = {r["point"]: r["density"] for r in H.kde_curve(df, ["g"]).collect()}
+    coarse = {r["point"]: r["density"] for r in H.kde_curve(df, ["g"], resolution=1e-4).collect()}
+    assert max(abs(exact[k] - coarse[k]) for k in exact) < 1e-2
