@@ -251,7 +251,14 @@ def _word_ratio(x: str, y: str) -> float:
     r = _RATIO_MEMO.get(key)
     if r is not None:
         return r
-    common = sum((_char_counts(x) & _char_counts(y)).values())
+    if len(x) < 32:
+        common = 0
+        for ch in set(x):
+            k = y.count(ch)
+            if k:
+                common += min(k, x.count(ch))
+    else:
+        common = sum((_char_counts(x) & _char_counts(y)).values())
     if 2.0 * common / (len(x) + len(y)) < 0.75:
         r = 0.0
     else:
