@@ -58,3 +58,33 @@ def with_prompt(rows: DataFrame, prompt: DataFrame, column: str = "prompt") -> D
     """JOIN7: attach the single prompt to every row as a scalar subquery
     (evaluated once, no join; more than one prompt row is an error)."""
     return rows.withColumn(column, prompt.select(F.col(prompt.columns[0])).scalar())
+
+
+def assemble_sidecars(rows: DataFrame, sidecars: DataFrame, engines: dict, key: str = "id",
+                      clean: dict | None = None) -> DataFrame:
+    """DSP9: attach every engine's sidecar text as its own column.
+
+    ``sidecars`` holds ``(file_name, text)`` for all engines; ``engines`` maps
+    a file-name suffix (e.g. ``.jpg.llama32``) to the output column.  Instead
+    of one join per engine, the sidecars are tagged with their column, pivoted
+    to one row per key over the known columns (one shuffle), then joined to
+    the rows once (left: absent outputs are '').  ``clean`` optionally maps a
+    column to a Column -> Column cleaner applied before the pivot.
+    """
+    clean = clean or {}
+    tag = None
+    for suffix, col in engines.items():
+        cond = F.col("file_name").endswith(suffix)
+        tag = F.when(cond, F.lit(col)) if tag is None else tag.when(cond, F.lit(col))
+    tagged = sidecars.select("file_name", "text", tag.alias("_engine")).where(F.col("_engine").isNotNull())
+    stripped = F.col("file_name")
+    for suffix in engines:
+        stripped = F.when(F.col("file_name").endswith(suffix),
+                          F.expr(f"substring(file_name, 1, length(file_name) - {len(suffix)})")).otherwise(stripped)
+    text = F.col("text")
+    for col, fn in clean.items():
+        text = F.when(F.col("_engine") == col, fn(F.col("text"))).otherwise(text)
+    keyed = tagged.select(stripped.alias("_key"), "_engine", text.alias("text"))
+    wide = keyed.groupBy("_key").pivot("_engine", list(engines.values())).agg(F.first("text"))
+    j = rows.join(wide.hint("merge"), rows[key] == wide["_key"], "left").drop("_key")
+    return j.fillna("", subset=list(engines.values()))

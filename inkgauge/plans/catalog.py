@@ -142,6 +142,24 @@ def q_attach_sidecar(spark, sf_dir):
                             derived.sidecars(docs), "LLAMA32_BASE")
 
 
+def q_assemble_table(spark, sf_dir):
+    """DSP9: the complete table - truth plus three engines' sidecar outputs
+    (model markup cleaned), keyed by image name."""
+    docs = documents(spark, sf_dir)
+    t = F.col("text")
+    name = F.col("doc_id").cast("string")
+    sc = (derived.sidecars(docs)
+          .unionByName(docs.select(F.concat(name, F.lit(".jpg.pyte")).alias("file_name"),
+                                   F.translate(t, "oil", "011").alias("text")))
+          .unionByName(docs.where(F.col("lang") != "de")
+                       .select(F.concat(name, F.lit(".jpg.gpt")).alias("file_name"), t.alias("text"))))
+    rows = docs.select(F.concat(name, F.lit(".jpg")).alias("id"), F.col("text").alias("transcription"))
+    engines = {".jpg.llama32": "LLAMA32_BASE", ".jpg.pyte": "pyte_ocr", ".jpg.gpt": "chatgpt_ocr"}
+    # keys are image names: strip only the engine part of each suffix
+    engines = {k[len(".jpg"):]: v for k, v in engines.items()}
+    return J.assemble_sidecars(rows, sc, engines, clean={"LLAMA32_BASE": TX.clean_markup})
+
+
 def q_outcome_counts(spark, sf_dir):
     return stats.outcome_counts(q_attach_sidecar(spark, sf_dir))
 
@@ -546,4 +564,5 @@ CATALOG = {
     "wer_undefined": q_wer_undefined,
     "exact_match_incl_excl": q_exact_match_incl_excl,
     "split_rows": q_split_rows,
+    "assemble_table": q_assemble_table,
 }

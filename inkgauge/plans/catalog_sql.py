@@ -541,4 +541,11 @@ def sql_split_rows():
     return f"SELECT id, split FROM ({_records()})"
 
 
+def sql_assemble_table():
+    return (f"SELECT CAST(doc_id AS VARCHAR) || '.jpg' AS id, text AS transcription, "
+            f"CASE WHEN doc_id % {NO_SIDECAR_EVERY} <> 0 THEN {O.clean_markup(O.raw_model_output('text'))} ELSE '' END "
+            f"AS LLAMA32_BASE, translate(text, 'oil', '011') AS pyte_ocr, "
+            f"CASE WHEN lang <> 'de' THEN text ELSE '' END AS chatgpt_ocr FROM documents")
+
+
 SQL = {name[len("sql_"):]: fn for name, fn in globals().items() if name.startswith("sql_") and callable(fn)}
