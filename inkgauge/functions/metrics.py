@@ -134,7 +134,7 @@ def low_uniqueness(c: Column, max_chars: int = 5000, threshold: float = UNIQUENE
     chars = F.regexp_extract_all(c, F.lit("(?s)."), 0)
     distinct = F.size(F.array_distinct(chars))
     n = F.length(c)
-    if not padded:
+    if not padded or max_chars is None:
         return F.when(n > 0, distinct / n < threshold).otherwise(F.lit(False))
     has_space = F.array_contains(chars, " ")
     distinct_padded = distinct + F.when((n < max_chars) & ~has_space, 1).otherwise(0)
