@@ -233,6 +233,16 @@ def q_runtime_stats(spark, sf_dir):
                     _r("total", 6))
 
 
+def q_chart_labels(spark, sf_dir):
+    """SCL15 / SCL19: plot titles and labels - metric title, "method
+    (Median: x.xx)" legend entries and "xx.x%" bar labels."""
+    d = stats.describe(set_values(spark, sf_dir), METRIC_KEYS, probs={"median": 0.5})
+    return d.select(*METRIC_KEYS, TX.metric_title(F.col("metric")).alias("title"),
+                    F.concat(F.col("method"), F.lit(" (Median: "), TX.py_format(F.col("median"), ".2f"),
+                             F.lit(")")).alias("median_label"),
+                    F.concat(TX.py_format(F.col("mean") * 100, ".1f"), F.lit("%")).alias("bar_label"))
+
+
 def q_rollup_design(spark, sf_dir):
     r = stats.design_rollup(set_values(spark, sf_dir))
     return r.select("metric", "family", "metal", "size", _r("mean"), "n", F.col("level").cast("long").alias("level"))
@@ -565,4 +575,5 @@ CATALOG = {
     "exact_match_incl_excl": q_exact_match_incl_excl,
     "split_rows": q_split_rows,
     "assemble_table": q_assemble_table,
+    "chart_labels": q_chart_labels,
 }

@@ -548,4 +548,12 @@ def sql_assemble_table():
             f"CASE WHEN lang <> 'de' THEN text ELSE '' END AS chatgpt_ocr FROM documents")
 
 
+def sql_chart_labels():
+    title = ("array_to_string(list_transform(string_split(replace(metric, '_', ' '), ' '), "
+             "lambda w: upper(w[1]) || lower(w[2:])), ' ')")
+    agg = f"SELECT {KEYS}, avg(value) AS mean, quantile_cont(value, 0.5) AS median FROM ({values()}) GROUP BY {KEYS}"
+    return (f"SELECT {KEYS}, {title} AS title, method || ' (Median: ' || printf('%.2f', median) || ')' AS median_label, "
+            f"printf('%.1f', mean * 100) || '%' AS bar_label FROM ({agg})")
+
+
 SQL = {name[len("sql_"):]: fn for name, fn in globals().items() if name.startswith("sql_") and callable(fn)}
