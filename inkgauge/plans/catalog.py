@@ -353,6 +353,15 @@ def q_typed_head(spark, sf_dir, n: int = 100):
                        F.expr("try_cast(seconds as double)").alias("seconds"))
 
 
+def q_sample_csv(spark, sf_dir, n: int = 50):
+    """SNK7: the first ``n`` merged rows (explicit order) written as a quoted
+    CSV, read back."""
+    path = scratch_dir(spark, "sample_csv")
+    wide = evaluation_input(spark, sf_dir).select("id", "transcription", "BART_untuned")
+    W.write_sample(wide, path, n, [F.col("id").cast("long"), F.col("transcription")])
+    return FS.read_delimited(spark, path)
+
+
 def q_sidecar_roundtrip(spark, sf_dir):
     """SNK3 -> SRC5 -> SCL12: one text file per image output, read back whole
     and cleaned."""
@@ -576,4 +585,5 @@ CATALOG = {
     "split_rows": q_split_rows,
     "assemble_table": q_assemble_table,
     "chart_labels": q_chart_labels,
+    "sample_csv": q_sample_csv,
 }

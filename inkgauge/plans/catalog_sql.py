@@ -556,4 +556,13 @@ def sql_chart_labels():
             f"printf('%.1f', mean * 100) || '%' AS bar_label FROM ({agg})")
 
 
+def sql_sample_csv():
+    from ..sources.files import NA_TOKENS
+    toks = ", ".join(q(t) for t in NA_TOKENS)
+    cols = ["id", "transcription", "BART_untuned"]
+    sel = ", ".join(f"CASE WHEN {c} IN ({toks}) THEN NULL ELSE {c} END AS {c}" for c in cols)
+    return (f"SELECT {sel} FROM (SELECT id, transcription, BART_untuned FROM ({O.merged_table()}) "
+            f"ORDER BY CAST(id AS BIGINT), transcription LIMIT 50)")
+
+
 SQL = {name[len("sql_"):]: fn for name, fn in globals().items() if name.startswith("sql_") and callable(fn)}
