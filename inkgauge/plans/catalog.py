@@ -295,6 +295,18 @@ def q_split_sizes(spark, sf_dir):
     return recs.groupBy("split").agg(F.count(F.lit(1)).alias("records"))
 
 
+def q_prompt_records(spark, sf_dir):
+    """SRC9 + JOIN7: the instruction comes from a prompt file (here written
+    from the first ``benchmark`` item), read whole and stripped, and is
+    attached to every record as a scalar subquery."""
+    path = scratch_dir(spark, "prompt")
+    first = table(spark, sf_dir, "benchmark").orderBy("item_id").limit(1).select("text")
+    first.coalesce(1).write.text(path)
+    prompt = FS.read_prompt(spark, path)
+    rows = documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("id"))
+    return J.with_prompt(rows, prompt, "user_content")
+
+
 def q_split_rows(spark, sf_dir):
     """SMP2 rows: every chat record's split (exact 80/20, seeded)."""
     recs = D.chat_records(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
@@ -586,4 +598,5 @@ CATALOG = {
     "assemble_table": q_assemble_table,
     "chart_labels": q_chart_labels,
     "sample_csv": q_sample_csv,
+    "prompt_records": q_prompt_records,
 }

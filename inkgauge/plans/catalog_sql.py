@@ -565,4 +565,9 @@ def sql_sample_csv():
             f"ORDER BY CAST(id AS BIGINT), transcription LIMIT 50)")
 
 
+def sql_prompt_records():
+    first = "(SELECT text FROM benchmark ORDER BY item_id LIMIT 1)"
+    return f"SELECT CAST(doc_id AS VARCHAR) AS id, {O.strip_py(first)} AS user_content FROM documents"
+
+
 SQL = {name[len("sql_"):]: fn for name, fn in globals().items() if name.startswith("sql_") and callable(fn)}
