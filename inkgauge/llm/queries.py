@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import line_dedup, packing, url_reputation
+from . import licenses, line_dedup, packing, secrets, toxicity, url_reputation
 from .common import prepare
 
 
@@ -19,6 +18,11 @@ def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Owner: the document's source; repository: the document."""
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op4_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
@@ -32,7 +36,15 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizer())
 
 
-QUERIES = {f.__name__: f for f in (op4_url_reputation, op5_line_dedup, op8_packing)}
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op2_secrets, op4_url_reputation, op5_line_dedup, op8_packing, op9_licenses, op10_toxicity)}
 
 
 def _wrap(fn):
