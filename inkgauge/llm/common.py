@@ -127,3 +127,14 @@ def prepare(spark) -> None:
 
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
+def let(value, body):
+    """``body(value)`` with ``value`` evaluated once per row: a lambda that
+    names an outer expression would compute it anew for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def word_array(text):
+    """Words between ASCII white space; null text has none."""
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES + "+"), "")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, line_dedup, packing, secrets, toxicity, url_reputation
+from . import decontamination, licenses, line_dedup, packing, quality, secrets, toxicity, url_reputation
 from .common import prepare
 
 
@@ -32,6 +32,15 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge_quality(table(spark, sf_dir, "documents")).drop("p_good")
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents and the benchmark items they hold."""
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizer())
 
@@ -44,7 +53,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_secrets, op4_url_reputation, op5_line_dedup, op8_packing, op9_licenses, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op2_secrets, op4_url_reputation, op5_line_dedup, op6_quality, op7_decontamination, op8_packing,
+                                  op9_licenses, op10_toxicity)}
 
 
 def _wrap(fn):

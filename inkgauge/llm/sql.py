@@ -62,7 +62,22 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM m GROUP BY doc_id
 """
 
-SQL = {"op4_url_reputation": OP4, "op5_line_dedup": OP5}
+OP7 = f"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), {LOWER}), '[\\x20\\x09-\\x0D]+'),
+             lambda x: x <> '') AS w FROM documents),
+i AS (SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), {LOWER}), '[\\x20\\x09-\\x0D]+'),
+             lambda x: x <> '') AS w FROM benchmark),
+ds AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + 4], ' ') AS s
+       FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM d WHERE len(w) > 0)),
+si AS (SELECT DISTINCT item_id, array_to_string(w[p:p + 4], ' ') AS s
+       FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM i WHERE len(w) > 0)),
+n AS (SELECT item_id, count(*) AS n_item FROM si GROUP BY item_id)
+SELECT doc_id, item_id, n_item, count(*) AS n_shared, count(*) / n_item AS containment
+FROM ds JOIN si USING (s) JOIN n USING (item_id)
+GROUP BY doc_id, item_id, n_item HAVING 100 * count(*) >= 80 * n_item
+"""
+
+SQL = {"op4_url_reputation": OP4, "op5_line_dedup": OP5, "op7_decontamination": OP7}
 
 
 def oracle_sql() -> dict[str, str]:
