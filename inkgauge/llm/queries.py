@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, licenses, line_dedup, packing, quality, secrets, toxicity, url_reputation
+from . import decontamination, licenses, line_dedup, near_dup, packing, quality, secrets, toxicity, url_reputation
 from .common import prepare
 
 
@@ -23,6 +23,10 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
@@ -53,7 +57,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_secrets, op4_url_reputation, op5_line_dedup, op6_quality, op7_decontamination, op8_packing,
+QUERIES = {f.__name__: f for f in (op2_secrets, op3_near_dup, op4_url_reputation, op5_line_dedup, op6_quality, op7_decontamination, op8_packing,
                                   op9_licenses, op10_toxicity)}
 
 
