@@ -42,16 +42,12 @@ def _bounded(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+def contaminated_texts(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  item_col: str = "item_id", item_text: str = "text", n: int = SHINGLE,
                  containment: tuple[int, int] = CONTAINMENT) -> DataFrame:
-    """Pairs (id, item, ``n_item``, ``n_shared``, ``containment``) where the
-    document holds the asked share of the item's distinct shingles.
-
-    Null or empty texts hold nothing and are found nowhere; an item shorter
-    than a shingle is found in documents that consist of the same words.
-    Rows that repeat an id, null ids too, count once a pair; an empty table
-    on either side gives no pairs."""
+    """Pairs (``id``, ``th``, ``item``, ``item_key``, ``n_item``,
+    ``n_shared``): ``th`` is ``xxhash64`` of the document's text, which tells
+    rows with equal or null ids apart.  See :func:`contaminated`."""
     share, whole = containment
     def words(c):
         return word_array(F.translate(F.col(c).cast("string"), ASCII_UPPER, ASCII_LOWER))
@@ -75,9 +71,22 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     texts = base.join(flagged, F.col("id").eqNullSafe(F.col("c_id")) & (F.col("th") == F.col("c_th")), "left_semi")
     held = texts.select("id", "th", words("text").alias("w")).select("id", "th", F.explode(shingles(F.col("w"), n, spelled(n))).alias("s"))
     parts = own.select("item", "item_key", "n_item", F.explode(shingles(F.col("w"), n, spelled(n))).alias("s"))
-    shared = (held.join(_bounded(parts, n_probe * 8), "s").groupBy("id", "th", "item", "item_key", "n_item")
+    return (held.join(_bounded(parts, n_probe * 8), "s").groupBy("id", "th", "item", "item_key", "n_item")
               .agg(F.countDistinct("s").alias("n_shared"))
               .where(whole * F.col("n_shared") >= share * F.col("n_item")))
+
+
+def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                 item_col: str = "item_id", item_text: str = "text", n: int = SHINGLE,
+                 containment: tuple[int, int] = CONTAINMENT) -> DataFrame:
+    """Pairs (id, item, ``n_item``, ``n_shared``, ``containment``) where the
+    document holds the asked share of the item's distinct shingles.
+
+    Null or empty texts hold nothing and are found nowhere; an item shorter
+    than a shingle is found in documents that consist of the same words.
+    Rows that repeat an id, null ids too, count once a pair; an empty table
+    on either side gives no pairs."""
+    shared = contaminated_texts(docs, items, id_col, text_col, item_col, item_text, n, containment)
     best = shared.groupBy("id", "item").agg(F.max_by(F.struct("n_item", "n_shared"), F.col("n_shared") / F.col("n_item")).alias("b"))
     return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), F.col("b.n_item").cast("long").alias("n_item"),
                        F.col("b.n_shared").cast("long").alias("n_shared"), (F.col("b.n_shared") / F.col("b.n_item")).alias("containment"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, licenses, line_dedup, near_dup, packing, quality, secrets, toxicity, url_reputation
+from . import decontamination, licenses, line_dedup, near_dup, packing, quality, secrets, substring_dedup, toxicity, url_reputation
 from .common import prepare
 
 
@@ -18,6 +18,11 @@ def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Owner: the document's source; repository: the document."""
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
@@ -57,7 +62,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_secrets, op3_near_dup, op4_url_reputation, op5_line_dedup, op6_quality, op7_decontamination, op8_packing,
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_secrets, op3_near_dup, op4_url_reputation, op5_line_dedup, op6_quality, op7_decontamination, op8_packing,
                                   op9_licenses, op10_toxicity)}
 
 

@@ -36,13 +36,20 @@ WORD_BYTES = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32
 SAMPLE_DOCS = 20_000   # labelled documents that the model is fitted on
 MIN_DOCS = 5           # training documents that a feature must occur in
 PRIOR = 5.0            # weight of the Dirichlet prior, in documents
-DRIFT = 1.0            # taken off every word's log-odds
+DRIFT = 1.5            # taken off every word's log-odds
 MAX_E = 0.05           # expected chance segments up to which a passage is significant
 
 
+def fold(doc_id):
+    """Fold 0 is held out; the calibration scores fold 4 by the log-odds of
+    folds 1 to 3, so it sees words as new texts have them.  The final
+    log-odds are those of folds 1 to 4."""
+    return F.crc32(doc_id.cast("string").cast("binary")) % 5
+
+
 def held_out(doc_id):
     """True for the fifth of the documents that labels are never learned from."""
-    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    return F.coalesce(fold(doc_id) == 0, F.lit(False))
 
 
 def features(word: str) -> tuple[str, str, str]:
@@ -104,14 +111,32 @@ class Model:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents that hold each feature: clean and toxic, in the first folds and in the checked one."""
     for batch in slices(batches):
         seen = Counter()
-        for text, toxic in zip(texts(batch), batch["toxic"].to_pylist()):
+        for text, toxic, check in zip(texts(batch), batch["toxic"].to_pylist(), batch["check"].to_pylist()):
             own = {f for w in set(text.translate(WORD_BYTES).split()) for f in features(w.decode("utf-8", "replace"))}
-            seen.update((f, toxic) for f in own)
+            seen.update((f, toxic + 2 * check) for f in own)
         names = sorted({f for f, _ in seen})
-        yield pa.record_batch([pa.array(names, pa.string()), pa.array([seen[f, 0] for f in names], pa.int64()),
-                               pa.array([seen[f, 1] for f in names], pa.int64())], names=["feature", "clean", "toxic"])
+        yield pa.record_batch([pa.array(names, pa.string()), *[pa.array([seen[f, k] for f in names], pa.int64()) for k in range(4)]],
+                              names=["feature", "clean", "toxic", "clean_check", "toxic_check"])
+
+
+def log_odds(seen: dict[str, tuple[int, int]], base: float) -> dict[str, float]:
+    """Smoothed log-odds of each feature (clean, toxic documents) against ``base``."""
+    @functools.cache
+    def rate(f: str, parent: float) -> float:
+        clean, toxic = seen.get(f, (0, 0))
+        return (toxic + PRIOR * parent) / (clean + toxic + PRIOR)
+
+    logit, out = lambda p: math.log(p / (1 - p)), {}
+    for f, n in seen.items():
+        if sum(n) >= MIN_DOCS:
+            word = f.removeprefix("^")
+            p4 = rate("^" + word[:4], base)
+            p5 = rate("^" + word[:5], p4)
+            out[f] = logit(rate(f, p5) if f[0] != "^" else p4 if f == "^" + word[:4] else p5) - logit(base)
+    return out
 
 
 def _profile(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
@@ -135,8 +160,8 @@ def _lambda(bins: dict[int, int]) -> float:
     p = np.array([bins[k] for k in sorted(bins)], float)
     p /= p.sum()
     if s.max(initial=-1) <= 0 or (p * s).sum() >= 0:
-        return 1.0
-    low, high = 1e-3, 50.0
+        return 4.0  # no clean word scores at all in a small sample
+    low, high = 1e-3, 8.0
     for _ in range(80):
         mid = (low + high) / 2
         low, high = (mid, high) if (p * np.exp(np.minimum(mid * s, 500))).sum() < 1 else (low, mid)
@@ -153,6 +178,16 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
     return float(w[0]), float(w[1])
 
 
+def _cut(x: np.ndarray, y: np.ndarray) -> float:
+    """Where the fewest documents fall on the wrong side: the middle of the
+    widest such gap between neighbouring values."""
+    order = np.argsort(x, kind="stable")
+    x, y = x[order], y[order]
+    wrong = np.concatenate([[0], np.cumsum(y)]) + (len(y) - y.sum() - np.concatenate([[0], np.cumsum(1 - y)]))
+    gaps = [(wrong[i], x[i - 1] - x[i], (x[i - 1] + x[i]) / 2) for i in range(1, len(x)) if x[i] > x[i - 1]]
+    return float(min(gaps)[2]) if gaps else math.log1p(5.0)
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         label_id: str = "doc_id", label_col: str = "toxic", sample_docs: int = SAMPLE_DOCS) -> Model:
     """Fit on at most ``sample_docs`` labelled documents (smallest id hashes)
@@ -164,39 +199,33 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # at most sample_docs (id, label) pairs: a proven bound for the broadcast
     known = known.orderBy(F.xxhash64("id"), "id").limit(sample_docs)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    train = stage(rows.join(F.broadcast(known), "id").select("text", "toxic"), "toxic_sample")
-    size = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sample = stage(rows.join(F.broadcast(known), "id").select((fold(F.col("id")) == 4).alias("check"), "text", "toxic"), "toxic_sample")
+    size = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not size:
         return Model()
     base = (size.get(1, 0) + 0.5) / (sum(size.values()) + 1)
-    counts = (train.mapInArrow(_count, "feature string, clean bigint, toxic bigint").groupBy("feature")
-              .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-              .where(F.col("clean") + F.col("toxic") >= MIN_DOCS))
-    seen = {r["feature"]: (r["clean"], r["toxic"]) for r in counts.collect()}  # bounded by the sample
-
-    @functools.cache
-    def rate(f: str, parent: float) -> float:
-        clean, toxic = seen.get(f, (0, 0))
-        return (toxic + PRIOR * parent) / (clean + toxic + PRIOR)
-
-    model, logit = Model(), lambda p: math.log(p / (1 - p))
-    for f in seen:
-        word = f.removeprefix("^")
-        p4 = rate("^" + word[:4], base)
-        p5 = rate("^" + word[:5], p4)
-        model.odds[f] = logit(rate(f, p5) if f[0] != "^" else p4 if f == "^" + word[:4] else p5) - logit(base)
-    found = train.mapInArrow(functools.partial(_profile, model=model),
-                             "toxic int, n bigint, found array<double>, bins array<bigint>, counts array<bigint>")
+    names = ["clean", "toxic", "clean_check", "toxic_check"]
+    counts = (sample.mapInArrow(_count, "feature string, " + ", ".join(f"{c} bigint" for c in names)).groupBy("feature")
+              .agg(*[F.sum(c).alias(c) for c in names]).where(f"{' + '.join(names)} >= {MIN_DOCS}"))
+    counted = [tuple(r) for r in counts.collect()]  # bounded by the sample
+    model = Model(log_odds({f: (c, t) for f, c, t, _, _ in counted}, base))
+    found = sample.where("check").select("text", "toxic").mapInArrow(
+        functools.partial(_profile, model=model), "toxic int, n bigint, found array<double>, bins array<bigint>, counts array<bigint>")
     found = stage(found, "toxic_profile")
     clean = found.where("toxic = 0").select(F.explode(F.map_from_arrays("bins", "counts")).alias("bin", "n"))
     bins = {r["bin"]: int(r["n"]) for r in clean.groupBy("bin").agg(F.sum("n").alias("n")).collect()}
     if bins:
         model.lam = _lambda(bins)
     docs_found = [(r["toxic"], r["n"], r["found"]) for r in found.select("toxic", "n", "found").collect()]  # sample rows
-    chance = sum(n * math.exp(-model.lam * max(s, default=0.0)) for toxic, n, s in docs_found if not toxic)
+    chance = sum(n * math.exp(-min(700.0, model.lam * max(s, default=0.0))) for toxic, n, s in docs_found if not toxic)
     model.k = max(1e-9, sum(1 for t, n, _ in docs_found if not t and n) / chance) if chance else 1.0
-    x = [math.log1p(model.evidence(n, [(v, 0, 0) for v in s])[0]) for _, n, s in docs_found]
-    model.a, model.b = _logistic(np.array(x), np.array([t for t, _, _ in docs_found], float))
+    x = np.array([math.log1p(model.evidence(n, [(v, 0, 0) for v in s])[0]) for _, n, s in docs_found])
+    y = np.array([t for t, _, _ in docs_found], float)
+    # a pseudo-document of either kind keeps the fit sane when a class is missing
+    x, y = np.concatenate([x, [0.0, math.log1p(50.0)]]), np.concatenate([y, [0.0, 1.0]])
+    model.b = max(_logistic(x, y)[1], 0.1)
+    model.a = -model.b * _cut(x, y)
+    model.odds = log_odds({f: (c + cc, t + tc) for f, c, t, cc, tc in counted}, base)
     return model
 
 
