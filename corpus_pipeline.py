@@ -6,13 +6,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkgauge.llm import line_dedup, packing
+from inkgauge.llm import decontamination, line_dedup, near_dup, packing, toxicity
 from inkgauge.llm.common import prepare, stage
 from inkgauge.llm.queries import public_tokenizer, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the fitted model takes for toxic go."""
+    prepare(spark)
+    scored = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"), carry=COLUMNS[1:])
+    return scored.where("predicted = 0").select(*COLUMNS)
+
+
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays, without the lines that other documents repeat."""
     prepare(spark)
@@ -21,13 +28,30 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             .withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS))
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by five-word shingles, the smallest id stays."""
+    prepare(spark)
+    groups = near_dup.near_duplicates(docs, shingle=5, similarity=(80, 100))
+    gone = groups.where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    prepare(spark)
+    found = decontamination.contaminated_texts(docs, table(spark, sf_dir, "benchmark")).select("id", "th").distinct()
+    test = F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("th"))
+    return docs.select(*COLUMNS).join(found, test, "left_anti")
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All that is left, cut and packed into training sequences."""
     prepare(spark)
     return packing.pack(docs, public_tokenizer())
 
 
-STAGES = [("line_dedup", dedup_lines), ("packing", pack)]
+STAGES = [("toxicity", drop_toxic), ("line_dedup", dedup_lines), ("near_dup", drop_near_duplicates),
+          ("decontamination", drop_contaminated), ("packing", pack)]
 #: Toxicity scores and packing are not expressible in SQL.
 ORACLE_SQL = None
 
