@@ -121,15 +121,13 @@ def has_repetition(c: Column, phrase_words: int = REPETITION_PHRASE_WORDS,
     return let(phrases, repeated)
 
 
-def low_uniqueness(c: Column, max_chars: int = 5000, threshold: float = UNIQUENESS_THRESHOLD,
+def low_uniqueness(c: Column, max_chars: int | None = None, threshold: float = UNIQUENESS_THRESHOLD,
                    padded: bool = True) -> Column:
     """SCL17: distinct characters / length below ``threshold``.
 
-    ``padded=True`` measures the text as the evaluated scripts do, after
-    right-padding with spaces to ``max_chars`` (padding adds the space
-    character and stretches the denominator); the empty string then counts
-    as padded blanks.  ``padded=False`` measures the text itself (empty ->
-    false).
+    The text itself is measured (empty -> false).  With ``max_chars`` it is
+    measured as if right-padded with spaces to that length (padding adds the
+    space character and stretches the denominator).
     """
     chars = F.regexp_extract_all(c, F.lit("(?s)."), 0)
     distinct = F.size(F.array_distinct(chars))
@@ -141,6 +139,6 @@ def low_uniqueness(c: Column, max_chars: int = 5000, threshold: float = UNIQUENE
     return distinct_padded / F.greatest(n, F.lit(max_chars)) < threshold
 
 
-def repeated_text_flag(c: Column, max_chars: int = 5000) -> Column:
+def repeated_text_flag(c: Column, max_chars: int | None = None) -> Column:
     """SCL18: 1 when the text both repeats a phrase and has low uniqueness."""
     return (has_repetition(c) & low_uniqueness(c, max_chars)).cast("int")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean_markup
 
-SIDECAR_SUFFIX = ".jpg.llama32"
+SIDECAR_SUFFIX = ".jpg.model"
 
 
 def attach_sidecar(rows: DataFrame, sidecars: DataFrame, column: str, key: str = "id",
@@ -22,7 +22,7 @@ def attach_sidecar(rows: DataFrame, sidecars: DataFrame, column: str, key: str =
     """JOIN2: left lookup of each row's sidecar text by file name; absent ->
     '' with ``status = 'missing'`` (else ``'attached'``)."""
     text = clean_markup(F.col("text")) if clean else F.col("text")
-    sc = sidecars.select(F.col("file_name").alias("_file"), text.alias("_text")).hint("merge")
+    sc = sidecars.select(F.col("file_name").alias("_file"), text.alias("_text"))
     j = rows.join(sc, F.concat(F.col(key), F.lit(suffix)) == F.col("_file"), "left")
     return j.select(*[F.col(c) for c in rows.columns],
                     F.coalesce(F.col("_text"), F.lit("")).alias(column),
@@ -35,21 +35,21 @@ def _image_name(key: Column, ext: str) -> Column:
 
 def with_images(rows: DataFrame, images: DataFrame, key: str = "id", ext: str = ".jpg") -> DataFrame:
     """JOIN3: keep rows whose image file exists (left semi)."""
-    im = images.select(F.col("file_name").alias("_file")).hint("merge")
+    im = images.select(F.col("file_name").alias("_file"))
     return rows.join(im, _image_name(F.col(key), ext) == F.col("_file"), "left_semi")
 
 
 def missing_images(rows: DataFrame, images: DataFrame, key: str = "id", ext: str = ".jpg") -> DataFrame:
     """JOIN4: the reject list - rows whose image file is absent (left anti)."""
-    im = images.select(F.col("file_name").alias("_file")).hint("merge")
+    im = images.select(F.col("file_name").alias("_file"))
     return (rows.join(im, _image_name(F.col(key), ext) == F.col("_file"), "left_anti")
             .select(F.col(key), _image_name(F.col(key), ext).alias("image_file")))
 
 
-def pending(images: DataFrame, outputs: DataFrame, suffix: str = ".llama32") -> DataFrame:
+def pending(images: DataFrame, outputs: DataFrame, suffix: str = ".model") -> DataFrame:
     """JOIN5 / JOIN6: images without an output file yet (resume / claim
     exclusion across runs)."""
-    out = outputs.select(F.col("file_name").alias("_out")).hint("merge")
+    out = outputs.select(F.col("file_name").alias("_out"))
     return (images.join(out, F.concat(F.col("file_name"), F.lit(suffix)) == F.col("_out"), "left_anti")
             .select(F.col("file_name").alias("image_file")))
 
@@ -65,7 +65,7 @@ def assemble_sidecars(rows: DataFrame, sidecars: DataFrame, engines: dict, key:
     """DSP9: attach every engine's sidecar text as its own column.
 
     ``sidecars`` holds ``(file_name, text)`` for all engines; ``engines`` maps
-    a file-name suffix (e.g. ``.jpg.llama32``) to the output column.  Instead
+    a file-name suffix (e.g. ``.jpg.model``) to the output column.  Instead
     of one join per engine, the sidecars are tagged with their column, pivoted
     to one row per key over the known columns (one shuffle), then joined to
     the rows once (left: absent outputs are '').  ``clean`` optionally maps a
@@ -86,5 +86,5 @@ def assemble_sidecars(rows: DataFrame, sidecars: DataFrame, engines: dict, key:
         text = F.when(F.col("_engine") == col, fn(F.col("text"))).otherwise(text)
     keyed = tagged.select(stripped.alias("_key"), "_engine", text.alias("text"))
     wide = keyed.groupBy("_key").pivot("_engine", list(engines.values())).agg(F.first("text"))
-    j = rows.join(wide.hint("merge"), rows[key] == wide["_key"], "left").drop("_key")
+    j = rows.join(wide, rows[key] == wide["_key"], "left").drop("_key")
     return j.fillna("", subset=list(engines.values()))

@@ -20,16 +20,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 
 def rank_within_groups(df: DataFrame, keys: list[str], order: list[str],
                        partitions: int | None = None) -> DataFrame:
     """Add ``_rank`` (0-based, exact, ties broken by a row hash) and ``_n``
     (group size) ordered by ``order`` within each ``keys`` group.
 
-    The range shuffle has an explicit partition count: AQE neither coalesces
-    nor locally reads such a shuffle, so both consumers below (the per-block
-    counts and the join back) see the same partition ids.  The row hash as
-    last sort key spreads a heavily repeated value over several partitions.
+    The sorted blocks are written once, partition id and position included,
+    and both consumers below (the per-block counts and the join back) read
+    that table: range bounds are sampled per execution, so two executions of
+    one range shuffle may cut the rows differently.  The row hash as last
+    sort key spreads a heavily repeated value over several partitions.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salted = df if "_tie" in df.columns else df.withColumn("_tie", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
@@ -37,14 +40,19 @@ def rank_within_groups(df: DataFrame, keys: list[str], order: list[str],
     ranked = (salted.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_mid", F.monotonically_increasing_id()))
+    ranked = written(ranked, "rank_blocks")
     blocks = ranked.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_cnt"), F.min("_mid").alias("_first"))
     by_group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     blocks = (blocks
               .withColumn("_offset", F.sum("_cnt").over(by_group.orderBy("_pid")) - F.col("_cnt"))
               .withColumn("_n", F.sum("_cnt").over(by_group))
-              .drop("_cnt"))
-    # blocks has at most (#partitions + #groups) rows: broadcast is bounded.
-    joined = ranked.join(F.broadcast(blocks), on=["_pid", *keys], how="inner")
+              .select(F.col("_pid").alias("_b_pid"), *[F.col(k).alias(f"_b_{k}") for k in keys], "_first", "_offset", "_n"))
+    # blocks has at most (#partitions + #groups) rows; the groups may grow
+    # with the data, so how to join is left to their measured size.
+    same = ranked["_pid"] == blocks["_b_pid"]
+    for k in keys:
+        same = same & ranked[k].eqNullSafe(blocks[f"_b_{k}"])
+    joined = ranked.join(blocks, same).drop("_b_pid", *[f"_b_{k}" for k in keys])
     return (joined.withColumn("_rank", F.col("_offset") + F.col("_mid") - F.col("_first"))
             .drop("_pid", "_mid", "_first", "_offset", "_tie"))
 

@@ -8,7 +8,7 @@ the engine.
 
 from __future__ import annotations
 
-from .functions.text import DEFAULT_MAX_CHARS, DEFAULT_PHRASES, TRUNCATION_MARKER
+from .functions.text import DEFAULT_PHRASES, TRUNCATION_MARKER
 from .sources.derived import (BART_EDITS, BOS, CORRECTION_PREFIX, DUPLICATE_EVERY, EOT, HDR_END, HDR_START,
                               IMAGE_TOKEN, METHODS, NO_SIDECAR_EVERY, NULL_EVERY, PROMPT)
 
@@ -41,7 +41,7 @@ def mojibake(x: str) -> str:
             f"|| chr(128 + {u} % 64) END), '')")
 
 
-def normalize(x: str, mode: str = "legacy", max_chars: int = DEFAULT_MAX_CHARS, phrases=DEFAULT_PHRASES) -> str:
+def normalize(x: str, mode: str = "legacy", max_chars: int | None = None, phrases=DEFAULT_PHRASES) -> str:
     e = f"coalesce({x}, '')"
     for p in phrases:
         e = f"regexp_replace({e}, {q('(?i)' + re2_quote(p))}, '', 'g')"
@@ -50,6 +50,8 @@ def normalize(x: str, mode: str = "legacy", max_chars: int = DEFAULT_MAX_CHARS,
     e = f"strip_accents(lower({e}))"
     e = f"regexp_replace({e}, {q('[^' + WORD + SPACE + ']')}, '', 'g')"
     e = f"trim(regexp_replace({e}, {q('[' + SPACE + ']+')}, ' ', 'g'))"
+    if max_chars is None:
+        return e
     keep = max_chars - len(TRUNCATION_MARKER)
     # A one-element lambda binds the normalised text to a name (``let``).
     return (f"list_transform([{e}], lambda n: CASE WHEN length(n) > {max_chars} THEN substring(n, 1, {keep}) "
@@ -70,12 +72,18 @@ def raw_model_output(x: str) -> str:
     return f"({q(head)} || {x} || {q(EOT)})"
 
 
+def inner_loss(x: str) -> str:
+    """Every fifth word is missing."""
+    parts = f"string_split({x}, ' ')"
+    return f"array_to_string(list_filter({parts}, lambda w, i: i % 5 <> 0), ' ')"
+
+
 def primary_table() -> str:
     return (f"SELECT CAST(doc_id AS VARCHAR) AS id, text AS transcription, "
             f"CASE WHEN doc_id % {NULL_EVERY} <> 0 THEN translate(text, 'oil', '011') END AS pyte_ocr, "
-            f"CASE WHEN doc_id % {NULL_EVERY} <> 0 THEN substring(text, 1, (length(text) * 4) // 5) END AS chatgpt_ocr, "
+            f"CASE WHEN doc_id % {NULL_EVERY} <> 0 THEN {inner_loss('text')} END AS chatgpt_ocr, "
             f"CASE WHEN doc_id % {NO_SIDECAR_EVERY} <> 0 THEN {clean_markup(raw_model_output('text'))} ELSE '' END "
-            f"AS LLAMA32_BASE FROM documents")
+            f"AS vision_base FROM documents")
 
 
 def _edits(x: str, edits) -> str:
@@ -86,7 +94,7 @@ def _edits(x: str, edits) -> str:
 
 def bart_table() -> str:
     cols = (f"CAST(doc_id AS VARCHAR) AS id, text || ' [bart copy]' AS transcription, "
-            f"{q(CORRECTION_PREFIX)} || repeat(substring(text, 1, 200), 4) AS BART_untuned, "
+            f"{q(CORRECTION_PREFIX)} || text AS BART_untuned, "
             + ", ".join(f"{_edits('text', e)} AS {m}" for m, e in BART_EDITS.items()))
     return (f"SELECT {cols} FROM documents UNION ALL "
             f"SELECT {cols} FROM documents WHERE doc_id % {DUPLICATE_EVERY} = 0")

@@ -22,10 +22,9 @@ from ..sources import derived
 from ..session import materialize, scratch_dir
 from ..sinks import writers as W
 from ..sources import files as FS
-from ..sources.tables import spread, table
+from ..sources.tables import table
 from ..streaming import incremental as INC
 from . import dataset as D
-from . import infer as I
 from . import score as S
 
 SET_METRICS = ["precision", "recall", "jaccard_similarity"]
@@ -33,7 +32,7 @@ METRIC_KEYS = ["metric", "method", "ordinal"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents"), "doc_id")
+    return table(spark, sf_dir, "documents")
 
 
 def evaluation_input(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,8 +100,7 @@ def q_char_uniqueness(spark, sf_dir):
     chars = F.regexp_extract_all(F.col("t"), F.lit("(?s)."), 0)
     return d.select("doc_id", F.length("t").cast("long").alias("length"),
                     F.size(F.array_distinct(chars)).cast("long").alias("distinct_chars"),
-                    M.low_uniqueness(F.col("t")).alias("low_uniqueness_padded"),
-                    M.low_uniqueness(F.col("t"), padded=False).alias("low_uniqueness"))
+                    M.low_uniqueness(F.col("t")).alias("low_uniqueness"))
 
 
 def q_normalize_utf8(spark, sf_dir):
@@ -113,6 +111,13 @@ def q_normalize_legacy(spark, sf_dir):
     return TX.normalize_columns(documents(spark, sf_dir), {"normalized": F.col("text")}, keep=["doc_id"])
 
 
+def q_truncate(spark, sf_dir):
+    """SCL9, the only query that cuts: normalised texts at the length limit."""
+    n = TX.normalize_columns(documents(spark, sf_dir), {"normalized": F.col("text")}, keep=["doc_id"],
+                             max_chars=TX.DEFAULT_MAX_CHARS)
+    return n.select("doc_id", "normalized", F.length("normalized").cast("long").alias("length"))
+
+
 def q_clean_markup(spark, sf_dir):
     sc = derived.sidecars(documents(spark, sf_dir))
     return sc.select("file_name", TX.clean_markup(F.col("text")).alias("cleaned"))
@@ -139,7 +144,7 @@ def q_merge_overlap(spark, sf_dir):
 def q_attach_sidecar(spark, sf_dir):
     docs = documents(spark, sf_dir)
     return J.attach_sidecar(docs.select(F.col("doc_id").cast("string").alias("id")),
-                            derived.sidecars(docs), "LLAMA32_BASE")
+                            derived.sidecars(docs), "vision_base")
 
 
 def q_assemble_table(spark, sf_dir):
@@ -154,10 +159,10 @@ def q_assemble_table(spark, sf_dir):
           .unionByName(docs.where(F.col("lang") != "de")
                        .select(F.concat(name, F.lit(".jpg.gpt")).alias("file_name"), t.alias("text"))))
     rows = docs.select(F.concat(name, F.lit(".jpg")).alias("id"), F.col("text").alias("transcription"))
-    engines = {".jpg.llama32": "LLAMA32_BASE", ".jpg.pyte": "pyte_ocr", ".jpg.gpt": "chatgpt_ocr"}
+    engines = {".jpg.model": "vision_base", ".jpg.pyte": "pyte_ocr", ".jpg.gpt": "chatgpt_ocr"}
     # keys are image names: strip only the engine part of each suffix
     engines = {k[len(".jpg"):]: v for k, v in engines.items()}
-    return J.assemble_sidecars(rows, sc, engines, clean={"LLAMA32_BASE": TX.clean_markup})
+    return J.assemble_sidecars(rows, sc, engines, clean={"vision_base": TX.clean_markup})
 
 
 def q_outcome_counts(spark, sf_dir):
@@ -178,7 +183,7 @@ def q_resume_pending(spark, sf_dir):
 
 def q_fillna_dropna(spark, sf_dir):
     p = derived.primary_table(documents(spark, sf_dir))
-    return p.dropna(subset=["pyte_ocr"]).fillna("").select("id", "pyte_ocr", "chatgpt_ocr", "LLAMA32_BASE")
+    return p.dropna(subset=["pyte_ocr"]).fillna("").select("id", "pyte_ocr", "chatgpt_ocr", "vision_base")
 
 
 def q_coerce_numeric(spark, sf_dir):
@@ -268,7 +273,7 @@ def q_order_methods(spark, sf_dir):
 
 def q_latest_by_time(spark, sf_dir):
     ev = table(spark, sf_dir, "events")
-    return ev.groupBy("user_id").agg(F.max_by("event_id", "ts").alias("latest_event_id"),
+    return ev.groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("latest_event_id"),
                                      F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', max(ts))").alias("latest_ts"))
 
 
@@ -395,77 +400,18 @@ def q_chat_json_roundtrip(spark, sf_dir):
                        F.col("images")[0].alias("image"), "split")
 
 
-# ------------------------------------------------------------------ Python-only metrics (rows-only check)
-
-ANALYSIS_METHODS = ["pyte_ocr", "chatgpt_ocr", "LLAMA32_BASE"]
-
-
-def q_difflib_ratio(spark, sf_dir):
-    scored = set_scores(spark, sf_dir, ["similarity_difflib"])
-    return scored.select("id", "method", "ordinal", _r("similarity_difflib"), "equal_difflib")
-
-
-def q_fuzz_ratios(spark, sf_dir):
-    scored = set_scores(spark, sf_dir, ["fuzz_ratio"])
-    return scored.select("id", "method", "ordinal", "fuzz_ratio", "fuzz_partial_ratio", "fuzz_token_sort_ratio",
-                         "fuzz_token_set_ratio", "equal_fuzzywuzzy")
-
-
-def q_ndiff(spark, sf_dir):
-    scored = set_scores(spark, sf_dir, [], with_differences=True)
-    return scored.select("id", "method", "ordinal", "differences")
-
-
-def q_analysis_summary(spark, sf_dir):
-    """E5: scored table -> '|' quoted CSV -> tolerant re-read -> AGG2/AGG9."""
-    wide = evaluation_input(spark, sf_dir).select("id", "transcription", *ANALYSIS_METHODS)
-    scored = S.score(wide, ANALYSIS_METHODS, ["similarity_difflib", "fuzz_ratio"], flag_repetition=False)
-    cols = ["similarity_difflib", "fuzz_ratio", "equal_difflib", "equal_fuzzywuzzy"]
-    table_wide = S.wide_scores(scored, ANALYSIS_METHODS, cols)
-    path = scratch_dir(spark, "scored_csv")
-    W.write_quoted_csv(table_wide, path, sep="|")
-    back = FS.read_delimited(spark, path, sep="|", mode="DROPMALFORMED")
-    a = stats.analysis_summary(back, ANALYSIS_METHODS)
-    return a.select("variant", "method", "ordinal", _r("avg_similarity"), _r("median_similarity"),
-                    _r("avg_fuzz_ratio"), _r("median_fuzz_ratio"), "exact_matches_difflib", "exact_matches_fuzzy",
-                    "legacy_exact_matches", "total_entries", "non_numeric_similarity", "non_numeric_fuzz")
-
-
-def q_exact_match_incl_excl(spark, sf_dir):
-    """AGG9: threshold-match counts as method x measure x variant rows."""
-    a = q_analysis_summary(spark, sf_dir)
-    long = a.select("variant", "method", "ordinal",
-                    F.inline(F.array(
-                        F.struct(F.lit("difflib").alias("measure"), F.col("exact_matches_difflib").alias("matches")),
-                        F.struct(F.lit("fuzzywuzzy").alias("measure"), F.col("exact_matches_fuzzy").alias("matches")))),
-                    "total_entries")
-    return long
-
-
-# ------------------------------------------------------------------ inference and incremental runs
-
-def _items(docs):
-    return docs.select(F.concat(F.col("doc_id").cast("string"), F.lit(".jpg")).alias("file_name"),
-                       F.encode(F.col("text"), "UTF-8").alias("content"))
-
-
-def q_batch_infer(spark, sf_dir):
-    """DSP7: every document's "image" through the (stub) predictor."""
-    out = I.infer(_items(documents(spark, sf_dir)), I.make_stub_predictor, derived.PROMPT, key="file_name")
-    return out.select(F.col("key").alias("file_name"), "status", "output", "error")
-
+# ------------------------------------------------------------------ incremental runs
 
 def q_incremental(spark, sf_dir):
-    """STR1: items arrive in two drops; two availableNow runs on one
-    checkpoint process each item exactly once."""
+    """STR1: model outputs arrive in two drops; two availableNow runs on one
+    checkpoint clean each of them exactly once."""
     docs = documents(spark, sf_dir)
     src, out, ck = (scratch_dir(spark, n) for n in ("incoming", "transcribed", "transcribe_ckpt"))
-    t = INC.transcribe_transform(I.make_stub_predictor, derived.PROMPT)
+    sc = derived.sidecars(docs).withColumn("_d", F.expr("cast(regexp_extract(file_name, '^([0-9]+)', 1) as long)"))
     for drop in (0, 1):
-        _items(docs.where(F.col("doc_id") % 2 == drop)).write.mode("append").parquet(src)
-        INC.run_available(spark, src, INC.ITEM_SCHEMA, t, out, ck, fmt="parquet")
-    back = spark.read.parquet(out)
-    return back.select(F.col("key").alias("file_name"), "status", "output", "error")
+        sc.where(F.col("_d") % 2 == drop).drop("_d").write.mode("append").json(src)
+        INC.run_available(spark, src, INC.SIDECAR_SCHEMA, INC.clean_transform(), out, ck, fmt="json")
+    return spark.read.parquet(out).select("file_name", "cleaned")
 
 
 def q_incremental_scoring(spark, sf_dir):
@@ -501,10 +447,11 @@ def q_preview_records(spark, sf_dir, n: int = 3):
     """LIM3: the first evaluation (test split) records with a load check:
     the image exists in the listing and the answer is non-empty."""
     recs = D.chat_records(documents(spark, sf_dir), table(spark, sf_dir, "labels")).where(F.col("split") == "test")
-    head = SM.head(recs, n, [F.col("id").cast("long")])
-    return head.select("id", F.col("images")[0].alias("image"),
-                       (F.length(F.col("messages")[1]["content"]) > 0).alias("has_answer"),
-                       F.lit(True).alias("image_listed"))
+    head = SM.head(recs, n, [F.col("id").cast("long")]).withColumn("image", F.col("images")[0])
+    listed = derived.image_listing(table(spark, sf_dir, "labels")).distinct().withColumn("listed", F.lit(True))
+    return head.join(listed, head["image"] == listed["file_name"], "left").select(
+        "id", "image", (F.length(F.col("messages")[1]["content"]) > 0).alias("has_answer"),
+        F.coalesce("listed", F.lit(False)).alias("image_listed"))
 
 
 def q_profile(spark, sf_dir):
@@ -543,6 +490,7 @@ CATALOG = {
     "char_uniqueness": q_char_uniqueness,
     "normalize_utf8": q_normalize_utf8,
     "normalize_legacy": q_normalize_legacy,
+    "truncate": q_truncate,
     "clean_markup": q_clean_markup,
     "extract_response": q_extract_response,
     "count_marker": q_count_marker,
@@ -579,11 +527,6 @@ CATALOG = {
     "csv_roundtrip": q_csv_roundtrip,
     "sidecar_roundtrip": q_sidecar_roundtrip,
     "chat_json_roundtrip": q_chat_json_roundtrip,
-    "difflib_ratio": q_difflib_ratio,
-    "fuzz_ratios": q_fuzz_ratios,
-    "ndiff": q_ndiff,
-    "analysis_summary": q_analysis_summary,
-    "batch_infer": q_batch_infer,
     "incremental": q_incremental,
     "incremental_scoring": q_incremental_scoring,
     "nested_subsets": q_nested_subsets,
@@ -593,7 +536,6 @@ CATALOG = {
     "typed_head": q_typed_head,
     "duplicate_ids": q_duplicate_ids,
     "wer_undefined": q_wer_undefined,
-    "exact_match_incl_excl": q_exact_match_incl_excl,
     "split_rows": q_split_rows,
     "assemble_table": q_assemble_table,
     "chart_labels": q_chart_labels,

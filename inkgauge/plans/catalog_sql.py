@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 
 from .. import oracle as O
-from ..functions.text import PY_WORD_CLASS
+from ..functions.text import DEFAULT_MAX_CHARS, PY_WORD_CLASS
 from ..operators.histograms import KDE_GRID, PERCENT_EDGES, WHISKER_IQR, percent_bin_labels
 from ..operators.stats import DESIGN_PATTERN
 from ..sources.derived import (BOS, CORRUPT_EVERY, EOT, HDR_END, HDR_START, IMAGE_TOKEN, METHODS, NO_SIDECAR_EVERY,
@@ -105,12 +105,8 @@ def _chars(t: str) -> str:
     return f"(CASE WHEN {t} = '' THEN []::VARCHAR[] ELSE string_split({t}, '') END)"
 
 
-def _low_unique(t: str, padded: bool = True, max_chars: int = 5000) -> str:
-    d = f"len(list_distinct({_chars(t)}))"
-    if not padded:
-        return f"(CASE WHEN length({t}) > 0 THEN {d} / length({t}) < 0.4 ELSE false END)"
-    extra = f"(CASE WHEN length({t}) < {max_chars} AND NOT contains({t}, ' ') THEN 1 ELSE 0 END)"
-    return f"(({d} + {extra}) / greatest(length({t}), {max_chars}) < 0.4)"
+def _low_unique(t: str) -> str:
+    return f"(CASE WHEN length({t}) > 0 THEN len(list_distinct({_chars(t)})) / length({t}) < 0.4 ELSE false END)"
 
 
 def sql_repeated_text():
@@ -120,7 +116,7 @@ def sql_repeated_text():
 
 def sql_char_uniqueness():
     return (f"SELECT doc_id, length(n)::BIGINT AS length, len(list_distinct({_chars('n')}))::BIGINT AS distinct_chars, "
-            f"{_low_unique('n')} AS low_uniqueness_padded, {_low_unique('n', False)} AS low_uniqueness FROM "
+            f"{_low_unique('n')} AS low_uniqueness FROM "
             f"(SELECT doc_id, {O.normalize('text')} AS n FROM documents)")
 
 
@@ -133,7 +129,7 @@ def sql_normalize_legacy():
 
 
 def _sidecars() -> str:
-    return (f"SELECT CAST(doc_id AS VARCHAR) || '.jpg.llama32' AS file_name, {O.raw_model_output('text')} AS text "
+    return (f"SELECT CAST(doc_id AS VARCHAR) || '.jpg.model' AS file_name, {O.raw_model_output('text')} AS text "
             f"FROM documents WHERE doc_id % {NO_SIDECAR_EVERY} <> 0")
 
 
@@ -168,10 +164,10 @@ def sql_merge_overlap():
 
 
 def _attach() -> str:
-    return (f"SELECT d.id, coalesce({O.clean_markup('s.text')}, '') AS LLAMA32_BASE, "
+    return (f"SELECT d.id, coalesce({O.clean_markup('s.text')}, '') AS vision_base, "
             f"CASE WHEN s.file_name IS NULL THEN 'missing' ELSE 'attached' END AS status "
             f"FROM (SELECT CAST(doc_id AS VARCHAR) AS id FROM documents) d "
-            f"LEFT JOIN ({_sidecars()}) s ON d.id || '.jpg.llama32' = s.file_name")
+            f"LEFT JOIN ({_sidecars()}) s ON d.id || '.jpg.model' = s.file_name")
 
 
 def sql_attach_sidecar():
@@ -193,12 +189,12 @@ def sql_reject_missing():
 
 def sql_resume_pending():
     return (f"SELECT file_name AS image_file FROM ({_images()}) i WHERE NOT EXISTS "
-            f"(SELECT 1 FROM ({_sidecars()}) s WHERE s.file_name = i.file_name || '.llama32')")
+            f"(SELECT 1 FROM ({_sidecars()}) s WHERE s.file_name = i.file_name || '.model')")
 
 
 def sql_fillna_dropna():
     return (f"SELECT id, coalesce(pyte_ocr, '') AS pyte_ocr, coalesce(chatgpt_ocr, '') AS chatgpt_ocr, "
-            f"coalesce(LLAMA32_BASE, '') AS LLAMA32_BASE FROM ({O.primary_table()}) WHERE pyte_ocr IS NOT NULL")
+            f"coalesce(vision_base, '') AS vision_base FROM ({O.primary_table()}) WHERE pyte_ocr IS NOT NULL")
 
 
 def sql_coerce_numeric():
@@ -332,7 +328,7 @@ def sql_order_methods():
 
 
 def sql_latest_by_time():
-    return ("SELECT user_id, arg_max(event_id, ts) AS latest_event_id, epoch_us(max(ts)) AS latest_ts "
+    return ("SELECT user_id, arg_max(event_id, {'ts': ts, 'e': event_id}) AS latest_event_id, epoch_us(max(ts)) AS latest_ts "
             "FROM events GROUP BY user_id")
 
 
@@ -458,19 +454,13 @@ def sql_chat_json_roundtrip():
             f"FROM ({_records()})")
 
 
-def _stub_output(text: str) -> str:
-    return O.raw_model_output(f"translate({text}, 'oil', '011')")
-
-
-def sql_batch_infer():
-    return (f"SELECT CAST(doc_id AS VARCHAR) || '.jpg' AS file_name, "
-            f"CASE WHEN strlen(text) < 50 THEN 'error' ELSE 'success' END AS status, "
-            f"CASE WHEN strlen(text) < 50 THEN NULL ELSE {_stub_output('text')} END AS output, "
-            f"CASE WHEN strlen(text) < 50 THEN 'ValueError: image too small to read' END AS error FROM documents")
+def sql_incremental():
+    return sql_clean_markup()
 
 
-def sql_incremental():
-    return sql_batch_infer()
+def sql_truncate():
+    return (f"SELECT doc_id, n AS normalized, length(n)::BIGINT AS length FROM "
+            f"(SELECT doc_id, {O.normalize('text', max_chars=DEFAULT_MAX_CHARS)} AS n FROM documents)")
 
 
 def sql_incremental_scoring():
@@ -490,13 +480,14 @@ def sql_nested_subsets():
 
 
 def sql_preview_records():
-    return (f"SELECT id, image, length(assistant_content) > 0 AS has_answer, true AS image_listed "
+    return (f"SELECT id, image, length(assistant_content) > 0 AS has_answer, "
+            f"EXISTS (SELECT 1 FROM labels WHERE CAST(doc_id AS VARCHAR) || '.jpg' = image) AS image_listed "
             f"FROM ({_records()}) WHERE split = 'test' ORDER BY CAST(id AS BIGINT) LIMIT 3")
 
 
 def sql_profile():
     from ..sources.derived import BART_EDITS
-    cols = ["id", "transcription", "pyte_ocr", "chatgpt_ocr", "LLAMA32_BASE", "BART_untuned"] + list(BART_EDITS)
+    cols = ["id", "transcription", "pyte_ocr", "chatgpt_ocr", "vision_base", "BART_untuned"] + list(BART_EDITS)
     schema = ",".join(f"{c}:string" for c in cols)
     return (f"SELECT 'merged' AS name, count(*) AS rows, CAST({len(cols)} AS BIGINT) AS columns, "
             f"{q(schema)} AS schema FROM ({O.merged_table()})")
@@ -544,7 +535,7 @@ def sql_split_rows():
 def sql_assemble_table():
     return (f"SELECT CAST(doc_id AS VARCHAR) || '.jpg' AS id, text AS transcription, "
             f"CASE WHEN doc_id % {NO_SIDECAR_EVERY} <> 0 THEN {O.clean_markup(O.raw_model_output('text'))} ELSE '' END "
-            f"AS LLAMA32_BASE, translate(text, 'oil', '011') AS pyte_ocr, "
+            f"AS vision_base, translate(text, 'oil', '011') AS pyte_ocr, "
             f"CASE WHEN lang <> 'de' THEN text ELSE '' END AS chatgpt_ocr FROM documents")
 
 

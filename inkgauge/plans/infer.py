@@ -62,27 +62,3 @@ def infer(items: DataFrame, make_predictor, prompt: str, key: str = "path", cont
 
     src = items.select(F.col(key).cast("string").alias("key"), F.col(content).alias("content"))
     return src.mapInPandas(run, OUTPUT_SCHEMA)
-
-
-# ------------------------------------------------------------------ stub predictor
-# A deterministic stand-in for the vision model, used by tests and the
-# registered queries: it "reads" the image bytes as UTF-8 text, makes OCR
-# confusions and answers in the chat format with special tokens kept (the
-# raw form that the markup cleaner expects).  Items under MIN_BYTES fail.
-
-MIN_BYTES = 50
-
-
-def stub_predict(contents: list, prompt: str) -> list:
-    out = []
-    for c in contents:
-        if c is None or len(c) < MIN_BYTES:
-            raise ValueError("image too small to read")
-        text = bytes(c).decode("utf-8").translate(str.maketrans("oil", "011"))
-        out.append(f"{BOS}{HDR_START}user{HDR_END}\n\n{IMAGE_TOKEN}{prompt}{EOT}{HDR_START}assistant{HDR_END}\n\n"
-                    f"{text}{EOT}")
-    return out
-
-
-def make_stub_predictor():
-    return stub_predict

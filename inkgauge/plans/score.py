@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions import metrics as M
 from ..functions.pymetrics import DEFAULT_MAX_DIFF, python_metrics
 from ..functions.registry import DEFAULT_METRICS, REGISTRY, PairContext
-from ..functions.text import DEFAULT_MAX_CHARS, DEFAULT_PHRASES, normalize_columns
+from ..functions.text import DEFAULT_PHRASES, normalize_columns
 from ..sources.derived import METHODS
 
 
@@ -32,32 +32,20 @@ def method_ordinal(methods: list[str]) -> F.Column:
     return F.element_at(F.create_map(*pairs), F.col("method")).cast("long")
 
 
-def merge_inputs(left: DataFrame, right: DataFrame, key: str = "id", how: str = "inner",
-                 partitions: int | None = None) -> DataFrame:
+def merge_inputs(left: DataFrame, right: DataFrame, key: str = "id", how: str = "inner") -> DataFrame:
     """JOIN1: equi-join on ``key`` where null keys match each other and
     duplicate keys multiply; on overlapping columns the left side wins.
 
-    Both sides grow with the data, so nothing is broadcast on a file-size
-    estimate.  Both are hash-partitioned on the (null-safe) key into the
-    session's shuffle partition count and the sort-merge join reuses that
-    partitioning - one shuffle per side, as for a plain join.  The explicit
-    count matters for what follows: scoring costs CPU per pair, not per
-    byte, and AQE's size-based coalescing would otherwise fold the stage
-    into fewer tasks than there are cores.
+    One null-safe shuffle join: a single exchange a side, whose skewed
+    partitions (many null or repeated ids) AQE splits.
     """
-    n = partitions or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     overlap = [c for c in right.columns if c in set(left.columns) and c != key]
     r = right.drop(*overlap).withColumnRenamed(key, "_rkey")
-    lk = [F.coalesce(F.col(key), F.lit("")), F.col(key).isNull()]
-    rk = [F.coalesce(F.col("_rkey"), F.lit("")), F.col("_rkey").isNull()]
-    lp = left.repartition(n, *lk)
-    rp = r.repartition(n, *rk)
-    joined = lp.join(rp.hint("merge"), lp[key].eqNullSafe(rp["_rkey"]), how)
-    return joined.drop("_rkey")
+    return left.join(r, left[key].eqNullSafe(r["_rkey"]), how).drop("_rkey")
 
 
 def long_pairs(wide: DataFrame, methods: list[str] = METHODS, truth: str = "transcription", key: str = "id",
-               max_chars: int = DEFAULT_MAX_CHARS, phrases=DEFAULT_PHRASES, mode: str = "legacy",
+               max_chars: int | None = None, phrases=DEFAULT_PHRASES, mode: str = "legacy",
                flag_repetition: bool = True) -> DataFrame:
     """``(id, method, ordinal, ref, hyp[, repeated_text])`` with normalised
     reference and hypothesis.  Methods absent from ``wide`` are skipped.
@@ -147,7 +135,7 @@ def wide_scores(scored: DataFrame, methods: list[str], columns: list[str], key:
 
 
 def score_wide(wide: DataFrame, methods: list[str] = METHODS, metrics: list[str] = DEFAULT_METRICS,
-               truth: str = "transcription", key: str = "id", max_chars: int = DEFAULT_MAX_CHARS,
+               truth: str = "transcription", key: str = "id", max_chars: int | None = None,
                phrases=DEFAULT_PHRASES, mode: str = "legacy", thresholds: dict | None = None,
                with_differences: bool = False, max_diff: int = DEFAULT_MAX_DIFF) -> DataFrame:
     """The scored wide table of trace E1 (RSH3 without a pivot): the input

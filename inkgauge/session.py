@@ -8,7 +8,7 @@ defaults below: we only fill in what is unset.
 
 from __future__ import annotations
 
-import tempfile
+import os
 import uuid
 
 from pyspark.sql import SparkSession
@@ -32,6 +32,10 @@ DEFAULT_CONF = {
 }
 
 
+#: Checkpoints of single-machine sessions without ``spark.checkpoint.dir``.
+LOCAL_CHECKPOINTS = "/tmp/inkgauge-checkpoints"
+
+
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "inkgauge", extra: dict | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
@@ -53,7 +57,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder, setting one only when unset.
 
     On a cluster ``spark.checkpoint.dir`` names shared storage and is used as
-    is.  Only local test sessions without the setting get a scratch folder.
+    is; without the setting this raises.  A single-machine session
+    (``local[...]``: tests, bench) gets a folder of its own.
     """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
@@ -61,7 +66,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current.get()
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="inkgauge-ckpt-")
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
+        configured = os.path.join(LOCAL_CHECKPOINTS, sc.applicationId)
     sc.setCheckpointDir(configured)
     return configured
 
@@ -73,6 +80,14 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/tables/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def written(df, name: str):
+    """Write ``df`` into the checkpoint folder and read it back: one
+    execution, the same rows for every reader."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _SHIPPED: set = set()
 
 
@@ -83,7 +98,6 @@ def ship_package(spark: SparkSession) -> None:
     zip is written through the Hadoop FileSystem API into the shared
     checkpoint folder, never into a machine-local temporary folder."""
     import io
-    import os
     import zipfile
 
     sc = spark.sparkContext

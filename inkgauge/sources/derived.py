@@ -18,7 +18,7 @@ from ..functions.text import clean_markup
 # --- fixed values that must equal the evaluated system's behaviour ---------
 # The ten OCR methods scored against the human transcription, in order.
 METHODS = [
-    "pyte_ocr", "chatgpt_ocr", "LLAMA32_BASE",
+    "pyte_ocr", "chatgpt_ocr", "vision_base",
     "BART_untuned", "BART_gold_100", "BART_gold_1000", "BART_gold_10000",
     "BART_silver_100", "BART_silver_1000", "BART_silver_10000",
 ]
@@ -61,17 +61,22 @@ def _edits(c: Column, edits) -> Column:
     return c
 
 
+def inner_loss(c: Column) -> Column:
+    """Every fifth word is missing."""
+    return F.array_join(F.filter(F.split(c, " "), lambda w, i: (i + 1) % 5 != 0), " ")
+
+
 def primary_table(documents: DataFrame) -> DataFrame:
-    """``id, transcription, pyte_ocr, chatgpt_ocr, LLAMA32_BASE`` (all strings)."""
+    """``id, transcription, pyte_ocr, chatgpt_ocr, vision_base`` (all strings)."""
     t = F.col("text")
     missing = (F.col("doc_id") % NULL_EVERY) == 0
     return documents.select(
         F.col("doc_id").cast("string").alias("id"),
         t.alias("transcription"),
         F.when(~missing, F.translate(t, "oil", "011")).alias("pyte_ocr"),
-        F.when(~missing, F.substring(t, 1, F.expr("(length(text) * 4) div 5"))).alias("chatgpt_ocr"),
+        F.when(~missing, inner_loss(t)).alias("chatgpt_ocr"),
         F.when((F.col("doc_id") % NO_SIDECAR_EVERY) != 0, clean_markup(raw_model_output(t)))
-         .otherwise(F.lit("")).alias("LLAMA32_BASE"),
+         .otherwise(F.lit("")).alias("vision_base"),
     )
 
 
@@ -81,14 +86,14 @@ def bart_table(documents: DataFrame) -> DataFrame:
     cols = [
         F.col("doc_id").cast("string").alias("id"),
         F.concat(t, F.lit(" [bart copy]")).alias("transcription"),
-        F.concat(F.lit(CORRECTION_PREFIX), F.repeat(F.substring(t, 1, 200), 4)).alias("BART_untuned"),
+        F.concat(F.lit(CORRECTION_PREFIX), t).alias("BART_untuned"),
     ] + [_edits(t, e).alias(m) for m, e in BART_EDITS.items()]
     base = documents.select(*cols)
     dups = documents.where((F.col("doc_id") % DUPLICATE_EVERY) == 0).select(*cols)
     return base.unionByName(dups)
 
 
-def sidecars(documents: DataFrame, suffix: str = ".llama32") -> DataFrame:
+def sidecars(documents: DataFrame, suffix: str = ".model") -> DataFrame:
     """``(file_name, text)`` as a whole-text sidecar scan would return them:
     one raw model output per image that has been processed."""
     return (documents.where((F.col("doc_id") % NO_SIDECAR_EVERY) != 0)
@@ -130,7 +135,7 @@ def structured_json(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """``(doc_id, json)``: a structured-extraction answer per document in the
     prompt's schema (ocr_text, summary, sections -> fields), built by string
     concatenation; every 11th answer is cut short (corrupt)."""
-    lab = labels.select("doc_id", F.col("quality").cast("string").alias("quality")).hint("merge")
+    lab = labels.select("doc_id", F.col("quality").cast("string").alias("quality"))
     d = documents.join(lab, "doc_id", "left")
     def field(name, value):
         return F.concat(F.lit('{"field_name": "' + name + '", "value": "'), json_escape(value), F.lit('"}'))

@@ -7,6 +7,7 @@ driver except the one-line prompt scalar.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -86,7 +87,8 @@ def read_keyed_text(spark: SparkSession, root: str, key: str = "file_name") -> D
     """Read back :func:`write_per_key_text` output: the key from the
     ``key=<value>`` folder, the whole file as the text (the writer's final
     line separator removed)."""
-    df = (spark.read.format("text").option("wholetext", True)
+    schema = T.StructType([T.StructField("value", T.StringType()), T.StructField(key, T.StringType())])
+    df = (spark.read.schema(schema).format("text").option("wholetext", True)
           .option("basePath", root).load(root))
     v = F.col("value")
     body = F.when(F.endswith(v, F.lit("\n")), F.expr("substring(value, 1, length(value) - 1)")).otherwise(v)
@@ -99,8 +101,8 @@ def read_prompt(spark: SparkSession, path: str, strip: bool = True, default: str
     from ..functions.text import strip_py
     try:
         df = spark.read.format("text").option("wholetext", True).load(path)
-    except Exception:  # noqa: BLE001 - AnalysisException: path does not exist
-        if default is None:
+    except AnalysisException as e:
+        if default is None or e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.range(1).select(F.lit(default).alias("prompt"))
     v = strip_py(F.col("value")) if strip else F.col("value")
@@ -115,21 +117,22 @@ def image_glob(extensions=IMAGE_EXTENSIONS) -> str:
 
 def list_images(spark: SparkSession, root: str, with_content: bool = False) -> DataFrame:
     """SRC6: image files under ``root`` (any case of the known extensions):
-    ``path, file_name, modificationTime, length[, content]``."""
+    ``path, file_name, modificationTime, length[, content]``, sorted by name
+    (SRT1)."""
     df = (spark.read.format("binaryFile").option("pathGlobFilter", image_glob())
           .option("recursiveFileLookup", True).load(root))
     cols = [F.col("path"), F.element_at(F.split(F.col("path"), "/"), -1).alias("file_name"),
             F.col("modificationTime"), F.col("length")]
     if with_content:
         cols.append(F.col("content"))
-    return df.select(*cols)
+    return df.select(*cols).orderBy("file_name", "path")
 
 
 def load_images(spark: SparkSession, root: str, fallback: bool = False) -> DataFrame:
     """SRC7 / SRC8: decoded images.  Unreadable files are dropped (SRC7) or,
     with ``fallback``, kept as a 224 x 224 black RGB image (SRC8)."""
     df = (spark.read.format("image").option("dropInvalid", not fallback)
-          .option("recursiveFileLookup", True).load(root))
+          .option("pathGlobFilter", image_glob()).option("recursiveFileLookup", True).load(root))
     img = F.col("image")
     if not fallback:
         return df.select(img.origin.alias("path"), img.height.alias("height"), img.width.alias("width"),
@@ -147,7 +150,7 @@ def load_images(spark: SparkSession, root: str, fallback: bool = False) -> DataF
 def latest_file(listing: DataFrame, group: list[str] | None = None) -> DataFrame:
     """SRT3: newest file (arg-max of modification time) overall or per group."""
     g = listing.groupBy(*(group or []))
-    return g.agg(F.max_by("path", "modificationTime").alias("path"),
+    return g.agg(F.max_by("path", F.struct("modificationTime", "path")).alias("path"),
                  F.max("modificationTime").alias("modificationTime"))
 
 

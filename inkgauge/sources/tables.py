@@ -14,20 +14,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """``spark.read.parquet`` of one table; column pruning and filters reach
     the scan because nothing here touches the columns."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-
-
-def spread(df: DataFrame, key: str, min_partitions: int | None = None) -> DataFrame:
-    """Hash-repartition a scan on ``key`` only when it has fewer partitions
-    than the cluster has cores (a single small file is one task).
-
-    Large inputs already arrive in many splits and pass through untouched,
-    so this never adds a shuffle at scale.  The text work downstream is
-    CPU-bound per row, which is why a small input is worth spreading.
-    """
-    spark = df.sparkSession
-    target = min_partitions or max(2 * spark.sparkContext.defaultParallelism, 2)
-    try:
-        current = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - e.g. no RDD access on a remote session
-        return df
-    return df.repartition(target, key) if current < target else df

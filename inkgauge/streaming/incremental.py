@@ -17,8 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import metrics as M
-from ..functions.text import clean_markup, normalize_text
-from ..plans.infer import infer
+from ..functions.text import clean_markup, java_quote, normalize_text
 
 
 def run_available(spark: SparkSession, source: str, schema: T.StructType, transform: Callable[[DataFrame], DataFrame],
@@ -35,24 +34,23 @@ def run_available(spark: SparkSession, source: str, schema: T.StructType, transf
     return q.lastProgress or {}
 
 
-ITEM_SCHEMA = T.StructType([T.StructField("file_name", T.StringType()), T.StructField("content", T.BinaryType())])
 SIDECAR_SCHEMA = T.StructType([T.StructField("file_name", T.StringType()), T.StructField("text", T.StringType())])
 
 
-def transcribe_transform(make_predictor, prompt: str, batch_size: int = 4):
-    """STR1: items -> predictor outputs (stateless, so append mode)."""
-    def t(items: DataFrame) -> DataFrame:
-        return infer(items, make_predictor, prompt, key="file_name", content="content", batch_size=batch_size)
+def clean_transform():
+    """STR1: raw model outputs -> cleaned texts (stateless, so append mode)."""
+    def t(sidecars: DataFrame) -> DataFrame:
+        return sidecars.select("file_name", clean_markup(F.col("text")).alias("cleaned"))
     return t
 
 
-def scoring_transform(truth: DataFrame, key: str = "id", suffix: str = ".jpg.llama32", mode: str = "legacy"):
+def scoring_transform(truth: DataFrame, key: str = "id", suffix: str = ".jpg.model", mode: str = "legacy"):
     """STR2: new sidecars -> clean -> stream-static join with the truth ->
     normalise -> set metrics.  Row-local after the join: no state."""
     truth_n = truth.select(F.col(key).alias("id"), normalize_text(F.col("transcription"), mode=mode).alias("ref"))
 
     def t(sidecars: DataFrame) -> DataFrame:
-        s = sidecars.select(F.regexp_replace("file_name", "\\.jpg\\.llama32$", "").alias("id"),
+        s = sidecars.select(F.regexp_replace("file_name", java_quote(suffix) + "$", "").alias("id"),
                             normalize_text(clean_markup(F.col("text")), mode=mode).alias("hyp"))
         j = s.join(truth_n, "id", "inner")
         rs, hs = F.array_distinct(M.words(F.col("ref"))), F.array_distinct(M.words(F.col("hyp")))

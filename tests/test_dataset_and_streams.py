@@ -48,24 +48,37 @@ def test_structured_parse_marks_corrupt(spark, sf001):
 
 
 def test_batch_infer_isolates_errors(spark):
+    def make_reader():
+        def read(contents, prompt):
+            if any(len(c) < 50 for c in contents):
+                raise ValueError("image too small to read")
+            return [prompt + bytes(c).decode() for c in contents]
+        return read
+
     items = spark.createDataFrame([("a.jpg", b"x" * 80), ("b.jpg", b"tiny"), ("c.jpg", b"y" * 60)],
                                   "file_name string, content binary")
-    out = {r["key"]: r for r in I.infer(items, I.make_stub_predictor, "P", key="file_name", batch_size=4).collect()}
+    out = {r["key"]: r for r in I.infer(items, make_reader, "P", key="file_name", batch_size=4).collect()}
     assert out["b.jpg"]["status"] == "error" and "too small" in out["b.jpg"]["error"]
-    assert out["a.jpg"]["status"] == "success" and out["a.jpg"]["output"].endswith("x" * 80 + "<|eot_id|>")
+    assert out["a.jpg"]["status"] == "success" and out["a.jpg"]["output"] == "P" + "x" * 80
     assert all(r["seconds"] >= 0 for r in out.values())
 
 
 def test_incremental_second_run_adds_nothing(spark, sf001):
-    docs = spark.read.parquet(f"{sf001}/documents.parquet").limit(40)
+    docs = spark.read.parquet(f"{sf001}/documents.parquet").where("doc_id < 40")
     src, out, ck = (scratch_dir(spark, n) for n in ("t_in", "t_out", "t_ck"))
-    t = INC.transcribe_transform(I.make_stub_predictor, "P")
-    C._items(docs.where("doc_id % 2 = 0")).write.mode("append").parquet(src)
-    INC.run_available(spark, src, INC.ITEM_SCHEMA, t, out, ck, fmt="parquet")
+    sc = docs.selectExpr("concat(doc_id, '.jpg.model') file_name", "text", "doc_id")
+
+    def drop(rest):
+        sc.where(f"doc_id % 2 = {rest}").drop("doc_id").write.mode("append").json(src)
+
+    def run():
+        return INC.run_available(spark, src, INC.SIDECAR_SCHEMA, INC.clean_transform(), out, ck, fmt="json")
+    drop(0)
+    run()
     first = spark.read.parquet(out).count()
-    p = INC.run_available(spark, src, INC.ITEM_SCHEMA, t, out, ck, fmt="parquet")
+    p = run()
     assert spark.read.parquet(out).count() == first
     assert p.get("numInputRows", 0) == 0
-    C._items(docs.where("doc_id % 2 = 1")).write.mode("append").parquet(src)
-    INC.run_available(spark, src, INC.ITEM_SCHEMA, t, out, ck, fmt="parquet")
-    assert spark.read.parquet(out).select("key").distinct().count() == spark.read.parquet(out).count() == 40
+    drop(1)
+    run()
+    assert spark.read.parquet(out).select("file_name").distinct().count() == spark.read.parquet(out).count() == 40

@@ -38,7 +38,7 @@ def test_semi_anti_and_pending(spark):
     images = spark.createDataFrame([("1.jpg",), ("3.jpg",)], "file_name string")
     assert sorted(r["id"] for r in J.with_images(rows, images).collect()) == [" 1", "3"]
     assert [r["image_file"] for r in J.missing_images(rows, images).collect()] == ["2.jpg"]
-    outputs = spark.createDataFrame([("1.jpg.llama32",)], "file_name string")
+    outputs = spark.createDataFrame([("1.jpg.model",)], "file_name string")
     assert [r["image_file"] for r in J.pending(images, outputs).collect()] == ["3.jpg"]
     prompt = spark.createDataFrame([("Read it",)], "p string")
     assert J.with_prompt(rows, prompt).select("prompt").distinct().collect()[0][0] == "Read it"
@@ -47,13 +47,13 @@ def test_semi_anti_and_pending(spark):
 def test_sidecars_and_images(spark, tmp_path):
     root = tmp_path / "imgs"
     root.mkdir()
-    for name in ("a.JPG", "b.png", "c.txt", "a.JPG.llama32"):
+    for name in ("a.JPG", "b.png", "c.txt", "a.JPG.model"):
         (root / name).write_bytes(b"not really an image")
-    (root / "a.JPG.llama32").write_text("<|eot_id|>hello")
+    (root / "a.JPG.model").write_text("<|eot_id|>hello")
     listing = FS.list_images(spark, str(root)).collect()
     assert sorted(r["file_name"] for r in listing) == ["a.JPG", "b.png"]
-    sc = FS.read_sidecars(spark, str(root), ".llama32").collect()
-    assert [(r["file_name"], r["text"]) for r in sc] == [("a.JPG.llama32", "<|eot_id|>hello")]
+    sc = FS.read_sidecars(spark, str(root), ".model").collect()
+    assert [(r["file_name"], r["text"]) for r in sc] == [("a.JPG.model", "<|eot_id|>hello")]
     assert FS.load_images(spark, str(root)).count() == 0          # undecodable files dropped
     fb = FS.load_images(spark, str(root), fallback=True).collect()
     assert fb and all(not r["valid"] and r["height"] == 224 for r in fb)

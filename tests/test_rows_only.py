@@ -1,22 +1,20 @@
 """Rows-only queries (no SQL twin) checked against brute force on sf0.001."""
 
-from difflib import SequenceMatcher, ndiff
-
+import numpy as np
 import pytest
 
-from inkgauge.functions import pymetrics as P
 from inkgauge.plans import catalog as C
 from inkgauge.plans import score as S
 
 
-def _dp(a, b):
-    prev = list(range(len(b) + 1))
+def _distance(a, b):
+    """Word edit distance, a row of the table at a time."""
+    at = np.arange(len(b) + 1)
+    b, row = np.array(b, object), at.copy()
     for i, x in enumerate(a, 1):
-        cur = [i] + [0] * len(b)
-        for j, y in enumerate(b, 1):
-            cur[j] = min(prev[j] + 1, cur[j - 1] + 1, prev[j - 1] + (x != y))
-        prev = cur
-    return prev[-1]
+        new = np.concatenate([[i], np.minimum(row[1:] + 1, row[:-1] + (b != x))]) if len(b) else np.array([i])
+        row = np.minimum.accumulate(new - at) + at
+    return int(row[-1])
 
 
 @pytest.fixture(scope="module")
@@ -29,40 +27,7 @@ def test_wer_three_ways(spark, sf001, pairs):
     rows = C.set_scores(spark, sf001, ["word_error_rate", "word_error_rate_native"]).collect()
     assert len(rows) == 2040
     for r in rows:
-        assert r["word_error_rate"] == r["word_error_rate_native"]
-    for r in rows[::40]:
         ref, hyp = pairs[(r["id"], r["method"])]
         a, b = ref.split(), hyp.split()
-        exp = None if not a else _dp(a, b) / len(a)
-        assert r["word_error_rate"] == exp and r["word_error_rate_native"] == exp
-
-
-def test_difflib_and_fuzzy(spark, sf001, pairs):
-    rows = C.q_difflib_ratio(spark, sf001).collect()
-    for r in rows:
-        ref, hyp = pairs[(r["id"], r["method"])]
-        assert r["similarity_difflib"] == round(SequenceMatcher(None, ref, hyp).ratio(), 9)
-        assert r["equal_difflib"] == (SequenceMatcher(None, ref, hyp).ratio() >= 0.93)
-    fz = C.q_fuzz_ratios(spark, sf001).collect()
-    for r in fz[::40]:
-        ref, hyp = pairs[(r["id"], r["method"])]
-        assert r["fuzz_partial_ratio"] == P._partial_ratio_plain(ref, hyp)
-        assert r["fuzz_ratio"] == P.fuzz_ratio(ref, hyp)
-
-
-def test_ndiff_query(spark, sf001, pairs):
-    import sys
-    rows = C.q_ndiff(spark, sf001).collect()
-    old = sys.getrecursionlimit()
-    sys.setrecursionlimit(20000)   # the library's recursive form needs it on long synch chains
-    try:
-        for r in rows[::3]:
-            ref, hyp = pairs[(r["id"], r["method"])]
-            if len(ref.split()) * len(hyp.split()) > 60_000:
-                continue   # the library form is too slow there; covered by the sf0.01 check in tools/
-            full = " ".join(d for d in ndiff(ref.split(), hyp.split()) if d[:2] in ("- ", "+ "))
-            exp = full[:1000] + "... [truncated]" if len(full) > 1000 else full
-            assert r["differences"] == exp
-    finally:
-        sys.setrecursionlimit(old)
-
+        want = None if not a else _distance(a, b) / len(a)
+        assert r["word_error_rate"] == r["word_error_rate_native"] == want
