@@ -25,9 +25,9 @@ def headline(spark, sf_dir):
         # native set metrics + word error rate over documents x 10 methods
         "score_native": lambda: C.set_scores(spark, sf_dir, ["precision", "recall", "jaccard_similarity",
                                                               "word_error_rate"]),
-        # the evaluated scripts' active set: BLEU, WER, precision, recall + word diffs
+        # the evaluated scripts' active set: BLEU, WER, precision, recall
         "score_default": lambda: C.set_scores(spark, sf_dir, ["bleu_score", "word_error_rate", "precision",
-                                                               "recall"], with_differences=True),
+                                                               "recall"]),
         "summary_stats": lambda: C.q_score_summary(spark, sf_dir),
         "hist10": lambda: C.q_hist10(spark, sf_dir),
         "normalize": lambda: C.q_normalize_legacy(spark, sf_dir),

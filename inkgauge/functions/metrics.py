@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from .text import PY_SPACE_CLASS, PY_WORD_CLASS
 
 # --- fixed values that must equal the evaluated system's behaviour ---------
-# "equal" thresholds: difflib ratio, fuzzy ratio (0-100), Jaccard index.
-DEFAULT_THRESHOLDS = {"difflib": 0.93, "fuzzywuzzy": 93, "jaccard": 0.93}
+# "equal" threshold of the Jaccard index.
+DEFAULT_THRESHOLDS = {"jaccard": 0.93}
 # Repetition flag: phrases of 3 words, flagged when one occurs more than 3
 # times; low uniqueness when distinct/total characters < 0.4, measured on the
 # text padded to the maximum length.

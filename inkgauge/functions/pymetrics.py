@@ -1,11 +1,9 @@
-"""Metrics with no Catalyst equivalent, evaluated in Arrow batches.
+"""Word edit distance and sentence BLEU in Arrow batches.
 
-Ratcliff/Obershelp similarity (``difflib``), the fuzzy ratios built on it,
-sentence BLEU and the word diff need sequence matching that Spark has no
-builtin for.  They are small per-row helpers; Spark still partitions the
-(document, method) pairs and ships them to Python in Arrow batches.  One
-pandas UDF returns a struct with every requested field, so each pair crosses
-the JVM/Python boundary once no matter how many Python metrics are active.
+Small per-row helpers; Spark still partitions the (document, method) pairs
+and ships them to Python in Arrow batches.  One pandas UDF returns a struct
+with every requested field, so each pair crosses the JVM/Python boundary
+once however many of these metrics are active.
 """
 
 from __future__ import annotations
@@ -14,7 +12,6 @@ import math
 import re
 from collections import Counter
 from functools import lru_cache
-from difflib import IS_CHARACTER_JUNK, SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column
@@ -25,122 +22,9 @@ from pyspark.sql import types as T
 # BLEU: up to 4-grams, uniform weights, smoothing "method 4" with k = 5.
 BLEU_MAX_N = 4
 BLEU_SMOOTH_K = 5
-# Partial ratio: a window scoring above this counts as a perfect match.
-PARTIAL_PERFECT = 0.995
-# Word diffs are cut at this many characters, then the marker is appended.
-DEFAULT_MAX_DIFF = 1000
-DIFF_MARKER = "... [truncated]"
 # ---------------------------------------------------------------------------
 
 _WORD_RE = re.compile(r"\w+")
-_NON_WORD_RE = re.compile(r"(?ui)\W")
-_HIGH_LATIN1 = {c: None for c in range(128, 256)}
-
-
-def seq_ratio(a: str, b: str, autojunk: bool = True) -> float:
-    """MET1: ``SequenceMatcher(None, a, b).ratio()`` (both empty -> 1.0)."""
-    return SequenceMatcher(None, a, b, autojunk=autojunk).ratio()
-
-
-def _round_int(x: float) -> int:
-    return int(round(x))
-
-
-def fuzz_ratio(a: str, b: str) -> int:
-    """MET3: 0-100 ratio; equal strings 100, an empty side 0."""
-    if a == b:
-        return 100
-    if not a or not b:
-        return 0
-    return _round_int(100 * SequenceMatcher(None, a, b).ratio())
-
-
-def fuzz_partial_ratio(a: str, b: str) -> int:
-    """MET4: best ratio of the shorter string against equally long windows of
-    the longer one, anchored at each matching block (> 0.995 counts as 100).
-
-    The result does not depend on the order windows are tried, so windows
-    are ranked by an exact upper bound - the character-multiset overlap
-    (``quick_ratio``), kept up to date with a sliding window - and full
-    ratios are computed only while the bound can still beat the best."""
-    if a == b:
-        return 100
-    if not a or not b:
-        return 0
-    shorter, longer = (a, b) if len(a) <= len(b) else (b, a)
-    n, size = len(shorter), len(longer)
-    starts = sorted({max(blk[1] - blk[0], 0)
-                     for blk in SequenceMatcher(None, shorter, longer).get_matching_blocks()})
-    need = Counter(shorter)
-    have: Counter = Counter()
-    common = lo = hi = 0
-    bounds = []
-    for s in starts:
-        e = min(s + n, size)
-        while hi < e:
-            ch = longer[hi]
-            if have[ch] < need[ch]:
-                common += 1
-            have[ch] += 1
-            hi += 1
-        while lo < s:
-            ch = longer[lo]
-            have[ch] -= 1
-            if have[ch] < need[ch]:
-                common -= 1
-            lo += 1
-        bounds.append((2.0 * common / (n + e - s), s, e))
-    best = 0.0
-    for bound, s, e in sorted(bounds, reverse=True):
-        if bound <= best:
-            break
-        r = SequenceMatcher(None, shorter, longer[s:e]).ratio()
-        if r > PARTIAL_PERFECT:
-            return 100
-        best = max(best, r)
-    return _round_int(100 * best)
-
-
-def _partial_ratio_plain(a: str, b: str) -> int:
-    """Straightforward form of :func:`fuzz_partial_ratio` (tests only)."""
-    if a == b:
-        return 100
-    if not a or not b:
-        return 0
-    shorter, longer = (a, b) if len(a) <= len(b) else (b, a)
-    scores = []
-    for blk in SequenceMatcher(None, shorter, longer).get_matching_blocks():
-        start = max(blk[1] - blk[0], 0)
-        r = SequenceMatcher(None, shorter, longer[start:start + len(shorter)]).ratio()
-        if r > PARTIAL_PERFECT:
-            return 100
-        scores.append(r)
-    return _round_int(100 * max(scores))
-
-
-def _full_process(s: str) -> str:
-    s = s.translate(_HIGH_LATIN1)
-    return _NON_WORD_RE.sub(" ", s).lower().strip()
-
-
-def fuzz_token_sort_ratio(a: str, b: str) -> int:
-    """MET5: ratio of the whitespace tokens sorted and re-joined."""
-    sa = " ".join(sorted(_full_process(a).split())).strip()
-    sb = " ".join(sorted(_full_process(b).split())).strip()
-    return fuzz_ratio(sa, sb)
-
-
-def fuzz_token_set_ratio(a: str, b: str) -> int:
-    """MET6: best ratio among intersection / intersection + each remainder."""
-    pa, pb = _full_process(a), _full_process(b)
-    if not pa or not pb:
-        return 0
-    ta, tb = set(pa.split()), set(pb.split())
-    common = " ".join(sorted(ta & tb))
-    left = (common + " " + " ".join(sorted(ta - tb))).strip()
-    right = (common + " " + " ".join(sorted(tb - ta))).strip()
-    common = common.strip()
-    return max(fuzz_ratio(common, left), fuzz_ratio(common, right), fuzz_ratio(left, right))
 
 
 @lru_cache(maxsize=8)
@@ -232,160 +116,19 @@ def word_error_rate(ref_text: str, hyp_text: str):
     return word_edit_distance(ref, hyp_text.split(), masks) / len(ref)
 
 
-_RATIO_MEMO: dict = {}
-_RATIO_MEMO_MAX = 200_000
-
-
-@lru_cache(maxsize=50_000)
-def _char_counts(w: str) -> Counter:
-    return Counter(w)
-
-
-def _word_ratio(x: str, y: str) -> float:
-    """``SequenceMatcher(IS_CHARACTER_JUNK, x, y).ratio()`` for two words, or
-    0.0 when even the character-multiset bound (``quick_ratio``, an upper
-    bound of the ratio) is under the 0.75 synch cutoff - callers only test
-    ``>= 0.75``, so the shortcut never changes a decision.  Memoised across
-    pairs (the methods of one document share most words)."""
-    key = (x, y)
-    r = _RATIO_MEMO.get(key)
-    if r is not None:
-        return r
-    if len(x) < 32:
-        common = 0
-        for ch in set(x):
-            k = y.count(ch)
-            if k:
-                common += min(k, x.count(ch))
-    else:
-        common = sum((_char_counts(x) & _char_counts(y)).values())
-    if 2.0 * common / (len(x) + len(y)) < 0.75:
-        r = 0.0
-    else:
-        r = SequenceMatcher(IS_CHARACTER_JUNK, x, y).ratio()
-    if len(_RATIO_MEMO) >= _RATIO_MEMO_MAX:
-        _RATIO_MEMO.clear()
-    _RATIO_MEMO[key] = r
-    return r
-
-
-def _change_items(a: list, b: list):
-    """The ``'- '`` / ``'+ '`` items of ``difflib.ndiff(a, b)``, in order.
-
-    Same decisions as ``Differ``: word-level opcodes; inside a replace block
-    the synch pair is the first (b-major) non-identical pair with the highest
-    character ratio >= 0.75, else the first identical pair, else a plain
-    replace (shorter side first), recursing on both sides of the synch pair.
-    Differ rescans every sub-block; here each block's candidate pairs are
-    ranked once (ratios memoised per word pair, pruned by the length bound),
-    so a sub-block's synch pair is the first ranked candidate inside it.
-    """
-    def ratio(x, y):
-        return _word_ratio(x, y)
-
-    def plain(alo, ahi, blo, bhi):
-        if bhi - blo < ahi - alo:
-            yield from ("+ " + w for w in b[blo:bhi])
-            yield from ("- " + w for w in a[alo:ahi])
-        else:
-            yield from ("- " + w for w in a[alo:ahi])
-            yield from ("+ " + w for w in b[blo:bhi])
-
-    def replace_block(alo, ahi, blo, bhi):
-        close, same = [], []
-        for j in range(blo, bhi):
-            bj = b[j]
-            lb = len(bj)
-            for i in range(alo, ahi):
-                ai = a[i]
-                if ai == bj:
-                    same.append((j, i))
-                    continue
-                la = len(ai)
-                if 2.0 * min(la, lb) / (la + lb) < 0.75:
-                    continue
-                r = ratio(ai, bj)
-                if r >= 0.75:
-                    close.append((-r, j, i))
-        close.sort()
-        # Differ recurses left part, synch pair, right part; an explicit
-        # stack (right pushed first) gives the same order without a depth
-        # limit on long chains of synch points.
-        stack = [("range", alo, ahi, blo, bhi)]
-        while stack:
-            task = stack.pop()
-            if task[0] == "emit":
-                yield from task[1]
-                continue
-            _, lo_a, hi_a, lo_b, hi_b = task
-            if lo_a < hi_a and lo_b < hi_b:
-                hit = first_inside(close, lo_a, hi_a, lo_b, hi_b, True)
-                identical = False
-                if hit is None:
-                    hit = first_inside(same, lo_a, hi_a, lo_b, hi_b, False)
-                    if hit is None:
-                        yield from plain(lo_a, hi_a, lo_b, hi_b)
-                        continue
-                    identical = True
-                bi, bj = hit
-                stack.append(("range", bi + 1, hi_a, bj + 1, hi_b))
-                if not identical:
-                    stack.append(("emit", ("- " + a[bi], "+ " + b[bj])))
-                stack.append(("range", lo_a, bi, lo_b, bj))
-            elif lo_a < hi_a:
-                yield from ("- " + w for w in a[lo_a:hi_a])
-            elif lo_b < hi_b:
-                yield from ("+ " + w for w in b[lo_b:hi_b])
-
-    def first_inside(pairs, alo, ahi, blo, bhi, ji):
-        for p in pairs:
-            j, i = (p[1], p[2]) if ji else p
-            if alo <= i < ahi and blo <= j < bhi:
-                return i, j
-        return None
-
-    for tag, alo, ahi, blo, bhi in SequenceMatcher(None, a, b).get_opcodes():
-        if tag == "replace":
-            yield from replace_block(alo, ahi, blo, bhi)
-        elif tag == "delete":
-            yield from ("- " + w for w in a[alo:ahi])
-        elif tag == "insert":
-            yield from ("+ " + w for w in b[blo:bhi])
-
-
-def differences(ref_text: str, hyp_text: str, max_len: int = DEFAULT_MAX_DIFF) -> str:
-    """MET14: word-level ndiff, keeping removed/added words only, joined by
-    spaces and cut at ``max_len`` characters + marker.  Items are produced
-    lazily and generation stops once the cut is certain (the result is the
-    same as joining everything and cutting)."""
-    parts, size = [], -1
-    for item in _change_items(ref_text.split(), hyp_text.split()):
-        parts.append(item)
-        size += len(item) + 1
-        if size > max_len:
-            return " ".join(parts)[:max_len] + DIFF_MARKER
-    return " ".join(parts)
-
-
 # field name -> (Spark type, function of (ref, hyp))
 PY_FIELDS = {
-    "similarity_difflib": (T.DoubleType(), seq_ratio),
-    "fuzz_ratio": (T.IntegerType(), fuzz_ratio),
-    "fuzz_partial_ratio": (T.IntegerType(), fuzz_partial_ratio),
-    "fuzz_token_sort_ratio": (T.IntegerType(), fuzz_token_sort_ratio),
-    "fuzz_token_set_ratio": (T.IntegerType(), fuzz_token_set_ratio),
     "bleu_score": (T.DoubleType(), bleu),
     "word_error_rate": (T.DoubleType(), word_error_rate),
-    "differences": (T.StringType(), differences),
 }
 
 _UDF_CACHE: dict = {}
 
 
-def python_metrics(ref: Column, hyp: Column, fields: list[str], max_diff: int = DEFAULT_MAX_DIFF) -> Column:
+def python_metrics(ref: Column, hyp: Column, fields: list[str]) -> Column:
     """One Arrow UDF computing every requested Python field as a struct."""
     fields = [f for f in PY_FIELDS if f in set(fields)]
-    key = (tuple(fields), max_diff)
+    key = tuple(fields)
     if key not in _UDF_CACHE:
         schema = T.StructType([T.StructField(f, PY_FIELDS[f][0]) for f in fields])
         funcs = [(f, PY_FIELDS[f][1]) for f in fields]
@@ -396,12 +139,8 @@ def python_metrics(ref: Column, hyp: Column, fields: list[str], max_diff: int =
                 a = a if isinstance(a, str) else ""
                 b = b if isinstance(b, str) else ""
                 for f, fn in funcs:
-                    cols[f].append(fn(a, b, max_diff) if f == "differences" else fn(a, b))
-            out = pd.DataFrame(cols)
-            for f, _ in funcs:
-                if isinstance(PY_FIELDS[f][0], T.IntegerType):
-                    out[f] = out[f].astype("int32")
-            return out
+                    cols[f].append(fn(a, b))
+            return pd.DataFrame(cols)
 
         _UDF_CACHE[key] = F.pandas_udf(run, schema)
     return _UDF_CACHE[key](ref, hyp)

@@ -18,7 +18,7 @@ from . import metrics as M
 
 # --- fixed values that must equal the evaluated system's behaviour ---------
 # Metric families in their configuration order, and the default active set.
-ALL_METRICS = ["similarity_difflib", "fuzz_ratio", "jaccard_similarity", "bleu_score",
+ALL_METRICS = ["jaccard_similarity", "bleu_score",
                "word_error_rate", "precision", "recall"]
 DEFAULT_METRICS = ["bleu_score", "word_error_rate", "precision", "recall"]
 # ---------------------------------------------------------------------------
@@ -57,14 +57,6 @@ def register_native(name: str, build, columns=None, higher_is_better: bool = Tru
     register(MetricSpec(name, "native", columns or [name], higher_is_better, build=build))
 
 
-register(MetricSpec("similarity_difflib", "python", ["similarity_difflib", "equal_difflib"],
-                    threshold_key="difflib", python_fields=["similarity_difflib"]))
-register(MetricSpec("fuzz_ratio", "python",
-                    ["fuzz_ratio", "fuzz_partial_ratio", "fuzz_token_sort_ratio", "fuzz_token_set_ratio",
-                     "equal_fuzzywuzzy"],
-                    threshold_key="fuzzywuzzy",
-                    python_fields=["fuzz_ratio", "fuzz_partial_ratio", "fuzz_token_sort_ratio",
-                                   "fuzz_token_set_ratio"]))
 register(MetricSpec("jaccard_similarity", "native", ["jaccard_similarity", "equal_jaccard"],
                     threshold_key="jaccard",
                     build=lambda c: {
@@ -87,8 +79,6 @@ register(MetricSpec("recall", "native", ["recall"],
 
 # The score column of each family (what summaries and rankings aggregate).
 PRIMARY_COLUMN = {
-    "similarity_difflib": "similarity_difflib",
-    "fuzz_ratio": "fuzz_ratio",
     "jaccard_similarity": "jaccard_similarity",
     "bleu_score": "bleu_score",
     "word_error_rate": "word_error_rate",

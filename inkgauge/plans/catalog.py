@@ -400,6 +400,28 @@ def q_chat_json_roundtrip(spark, sf_dir):
                        F.col("images")[0].alias("image"), "split")
 
 
+ANALYSIS_METHODS = ["pyte_ocr", "chatgpt_ocr", "vision_base"]
+
+
+def q_analysis_summary(spark, sf_dir):
+    """E5: scored table -> '|' quoted CSV -> all-string re-read -> AGG2; a
+    method without a text has no scores."""
+    wide = evaluation_input(spark, sf_dir).select("id", "transcription", *ANALYSIS_METHODS)
+    cols = ["jaccard_similarity", "recall", "equal_jaccard"]
+    scored = S.score_wide(wide, ANALYSIS_METHODS, cols[:2])
+    out = scored.select("id", *[F.when(F.col(m).isNotNull(), F.col(f"{m}_{c}")).alias(f"{m}_{c}") for m in ANALYSIS_METHODS for c in cols])
+    path = scratch_dir(spark, "scored_csv")
+    W.write_quoted_csv(out, path, sep="|")
+    a = stats.analysis_summary(FS.read_delimited(spark, path, sep="|"), ANALYSIS_METHODS, *cols)
+    return a.select("variant", "method", "ordinal", _r("avg_first"), _r("median_first"), _r("avg_second"), _r("median_second"),
+                    "matches", "legacy_matches", "total_entries", "non_numeric_first", "non_numeric_second")
+
+
+def q_exact_match_incl_excl(spark, sf_dir):
+    """AGG9: threshold-match counts with and without rows that lack a score."""
+    return q_analysis_summary(spark, sf_dir).select("variant", "method", "ordinal", "matches", "total_entries")
+
+
 # ------------------------------------------------------------------ incremental runs
 
 def q_incremental(spark, sf_dir):
@@ -527,6 +549,8 @@ CATALOG = {
     "csv_roundtrip": q_csv_roundtrip,
     "sidecar_roundtrip": q_sidecar_roundtrip,
     "chat_json_roundtrip": q_chat_json_roundtrip,
+    "analysis_summary": q_analysis_summary,
+    "exact_match_incl_excl": q_exact_match_incl_excl,
     "incremental": q_incremental,
     "incremental_scoring": q_incremental_scoring,
     "nested_subsets": q_nested_subsets,

@@ -454,6 +454,28 @@ def sql_chat_json_roundtrip():
             f"FROM ({_records()})")
 
 
+def sql_analysis_summary():
+    methods = ["pyte_ocr", "chatgpt_ocr", "vision_base"]
+    pairs = (f"SELECT method, ordinal, raw IS NOT NULL AS present, {O.normalize('transcription')} AS ref, "
+             f"{O.normalize('raw')} AS hyp FROM (SELECT transcription, unnest([{', '.join(map(q, methods))}]) AS method, "
+             f"unnest(range({len(methods)})) AS ordinal, unnest([{', '.join(methods)}]) AS raw FROM ({O.merged_table()}))")
+    return (f"WITH s AS (SELECT method, ordinal, CASE WHEN present THEN jaccard_similarity END AS a, "
+            f"CASE WHEN present THEN recall END AS b FROM ({O.set_metrics_select(pairs)})), "
+            f"v AS (SELECT 'include_null' AS variant, * FROM s UNION ALL "
+            f"SELECT 'exclude_null', * FROM s WHERE a IS NOT NULL AND b IS NOT NULL), "
+            f"c AS (SELECT method, count(*) FILTER (WHERE a IS NULL) AS non_numeric_first, "
+            f"count(*) FILTER (WHERE b IS NULL) AS non_numeric_second FROM s GROUP BY method) "
+            f"SELECT variant, method, ordinal, {r9('avg(a)', 'avg_first')}, {r9('quantile_cont(a, 0.5)', 'median_first')}, "
+            f"{r9('avg(b)', 'avg_second')}, {r9('quantile_cont(b, 0.5)', 'median_second')}, "
+            f"count(*) FILTER (WHERE a >= 0.93) AS matches, count(*) AS legacy_matches, count(*) AS total_entries, "
+            f"any_value(non_numeric_first) AS non_numeric_first, any_value(non_numeric_second) AS non_numeric_second "
+            f"FROM v JOIN c USING (method) GROUP BY variant, method, ordinal")
+
+
+def sql_exact_match_incl_excl():
+    return f"SELECT variant, method, ordinal, matches, total_entries FROM ({sql_analysis_summary()})"
+
+
 def sql_incremental():
     return sql_clean_markup()
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
-from ..functions.pymetrics import DEFAULT_MAX_DIFF, python_metrics
+from ..functions.pymetrics import python_metrics
 from ..functions.registry import DEFAULT_METRICS, REGISTRY, PairContext
 from ..functions.text import DEFAULT_PHRASES, normalize_columns
 from ..sources.derived import METHODS
@@ -68,8 +68,7 @@ def long_pairs(wide: DataFrame, methods: list[str] = METHODS, truth: str = "tran
     return long.withColumn("ordinal", method_ordinal(methods))
 
 
-def with_metrics(pairs: DataFrame, metrics: list[str] = DEFAULT_METRICS, thresholds: dict | None = None,
-                 with_differences: bool = False, max_diff: int = DEFAULT_MAX_DIFF) -> DataFrame:
+def with_metrics(pairs: DataFrame, metrics: list[str] = DEFAULT_METRICS, thresholds: dict | None = None) -> DataFrame:
     """Add the active metric columns (PRJ8 / MET15) to a pairs frame."""
     th = dict(M.DEFAULT_THRESHOLDS)
     th.update(thresholds or {})
@@ -91,18 +90,12 @@ def with_metrics(pairs: DataFrame, metrics: list[str] = DEFAULT_METRICS, thresho
             native.update(spec.build(ctx))
         else:
             py_fields += spec.python_fields
-    if with_differences:
-        py_fields.append("differences")
     if native:
         df = df.withColumns(native)
     if py_fields:
-        df = df.withColumn("_py", python_metrics(ref, hyp, py_fields, max_diff))
+        df = df.withColumn("_py", python_metrics(ref, hyp, py_fields))
         df = df.withColumns({f: F.col("_py." + f) for f in py_fields}).drop("_py")
     flags = {}
-    if "similarity_difflib" in metrics:
-        flags["equal_difflib"] = M.at_least(F.col("similarity_difflib"), th["difflib"])
-    if "fuzz_ratio" in metrics:
-        flags["equal_fuzzywuzzy"] = M.at_least(F.col("fuzz_ratio"), th["fuzzywuzzy"])
     if "jaccard_similarity" in metrics:
         flags["equal_jaccard"] = M.at_least(F.col("jaccard_similarity"), th["jaccard"])
     if flags:
@@ -136,8 +129,7 @@ def wide_scores(scored: DataFrame, methods: list[str], columns: list[str], key:
 
 def score_wide(wide: DataFrame, methods: list[str] = METHODS, metrics: list[str] = DEFAULT_METRICS,
                truth: str = "transcription", key: str = "id", max_chars: int | None = None,
-               phrases=DEFAULT_PHRASES, mode: str = "legacy", thresholds: dict | None = None,
-               with_differences: bool = False, max_diff: int = DEFAULT_MAX_DIFF) -> DataFrame:
+               phrases=DEFAULT_PHRASES, mode: str = "legacy", thresholds: dict | None = None) -> DataFrame:
     """The scored wide table of trace E1 (RSH3 without a pivot): the input
     columns, ``normalized_transcription``, ``normalized_<m>``,
     ``repeated_text`` and ``<m>_<metric>`` for every method - all computed
@@ -159,8 +151,6 @@ def score_wide(wide: DataFrame, methods: list[str] = METHODS, metrics: list[str]
                          **{f"_hs_{m}": F.array_distinct(f"_hw_{m}") for m in present}})
     out = {}
     py_fields = [f for m in metrics if REGISTRY[m].kind == "python" for f in REGISTRY[m].python_fields]
-    if with_differences:
-        py_fields.append("differences")
     for m in present:
         hyp = F.col(f"normalized_{m}")
         ctx = PairContext(ref, hyp, F.col("_rw"), F.col(f"_hw_{m}"), F.col("_rs"), F.col(f"_hs_{m}"), th)
@@ -169,16 +159,12 @@ def score_wide(wide: DataFrame, methods: list[str] = METHODS, metrics: list[str]
             if spec.kind == "native":
                 out.update({f"{m}_{k}": v for k, v in spec.build(ctx).items()})
         if py_fields:
-            out[f"_py_{m}"] = python_metrics(ref, hyp, py_fields, max_diff)
+            out[f"_py_{m}"] = python_metrics(ref, hyp, py_fields)
     df = df.withColumns(out)
     flat = {}
     for m in present:
         for f in py_fields:
             flat[f"{m}_{f}"] = F.col(f"_py_{m}.{f}")
-        if "similarity_difflib" in metrics:
-            flat[f"{m}_equal_difflib"] = M.at_least(F.col(f"_py_{m}.similarity_difflib"), th["difflib"])
-        if "fuzz_ratio" in metrics:
-            flat[f"{m}_equal_fuzzywuzzy"] = M.at_least(F.col(f"_py_{m}.fuzz_ratio"), th["fuzzywuzzy"])
         if "jaccard_similarity" in metrics:
             flat[f"{m}_equal_jaccard"] = M.at_least(F.col(f"{m}_jaccard_similarity"), th["jaccard"])
     if flat:

@@ -65,41 +65,6 @@ def test_repetition_flag(spark):
     assert [r["f"] for r in rows] == [1, 0, 0]
 
 
-def test_word_diff_golden():
-    assert P.differences("the cat sat", "the cut sat on") == "- cat + cut + on"
-
-
-def test_word_diff_matches_ndiff():
-    from difflib import ndiff
-    rnd = random.Random(11)
-    vocab = "a b c ab ba abc abd the teh them then".split()
-    for _ in range(800):
-        a = [rnd.choice(vocab) for _ in range(rnd.randint(0, 25))]
-        b = [rnd.choice(vocab) for _ in range(rnd.randint(0, 25))]
-        assert list(P._change_items(a, b)) == [d for d in ndiff(a, b) if d[:2] in ("- ", "+ ")]
-    long = " ".join("w%d" % i for i in range(600))
-    out = P.differences(long, "")
-    assert len(out) == 1015 and out.endswith("... [truncated]")
-
-
-def test_autojunk_golden():
-    a = "abc " * 100
-    assert P.seq_ratio(a, a[3:]) == 0.0
-    assert round(P.seq_ratio(a, a[3:], autojunk=False), 3) == 0.996
-
-
-def test_fuzzy_goldens():
-    assert P.fuzz_ratio("", "") == 100 and P.fuzz_ratio("a", "") == 0
-    assert P.fuzz_partial_ratio("abc", "xxabcxx") == 100
-    assert P.fuzz_token_sort_ratio("b a", "a b") == 100
-    assert P.fuzz_token_set_ratio("a b c", "a b") == 100
-    rnd = random.Random(2)
-    for _ in range(1000):
-        a = "".join(rnd.choice("abc ") for _ in range(rnd.randint(0, 25)))
-        b = "".join(rnd.choice("abcd ") for _ in range(rnd.randint(0, 35)))
-        assert P.fuzz_partial_ratio(a, b) == P._partial_ratio_plain(a, b)
-
-
 def test_bleu_definition():
     assert P.bleu("", "a") == 0.0
     assert P.bleu("the cat", "dog") == 0.0
@@ -111,7 +76,7 @@ def test_bleu_definition():
 
 def test_python_metrics_single_arrow_node(spark):
     df = S.with_metrics(_pairs(spark, [("a b", "a c")]),
-                        ["similarity_difflib", "fuzz_ratio", "bleu_score", "word_error_rate"], with_differences=True)
+                        ["bleu_score", "word_error_rate"])
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
     native = S.with_metrics(_pairs(spark, [("a b", "a c")]), ["precision", "recall", "jaccard_similarity"])
