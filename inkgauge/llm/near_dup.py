@@ -7,11 +7,16 @@
 2. Members of a band bucket are candidates.  The population count of the
    XOR of two odd sketches estimates how many samples differ, which is
    precise for high similarity and prunes candidates before their sets move.
-3. Candidates are confirmed on the full shingle sets.
-4. A bucket's members meet its hub first (the smallest node, then one
-   pseudo-random member per bucket); pairs that are already in one
-   component are never compared.  What no hub has linked is compared
-   member by member, so no link is lost and large groups cost linearly.
+3. Members of a bucket meet its hub, the member that shares most buckets
+   with most others, on their full shingle sets.
+4. The rest is exact by differences from the hub b.  If x is not linked to
+   b, then |x & y| = |b| - missing(x) - missing(y) + shared differences, so a
+   y linked to x must share at least s of its differences with x, where
+   (1 + t) s = t added + missing of both - (1 - t) |b|.  In one order, rarest
+   first, the first shared difference has s of either's from there on: an
+   equi-join with that condition finds all pairs that can be linked.
+5. Members far from the hub can only be linked to members that are rather
+   far from it too (triangle inequality); those few are compared directly.
 
 Components come from :mod:`.components`; nothing is collected.
 """
@@ -23,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import hashed_words, mix, signed, slices, stage, texts, window_hashes
@@ -31,9 +36,14 @@ from .components import connected_components
 
 BANDS, ROWS = 25, 4
 SKETCH_BITS = 256
-#: XOR bits up to which a candidate is confirmed: similarity about 0.55, five
+#: XOR bits up to which a pair is confirmed: similarity about 0.55, five
 #: standard deviations and more below the thresholds in use.
 MAX_XOR = 64
+#: XOR bits up to which a member is compared with its hub: similarity about 0.33.
+HUB_XOR = 84
+#: Differences are kept down to this similarity to the hub; whatever is linked
+#: to a member below it lies below FAR (0.5 + 0.2 or more, in percent).
+NEAR, FAR = 50, 70
 _RANDOM = np.random.default_rng(20_240_229)
 FACTORS = _RANDOM.integers(1, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 TERMS = _RANDOM.integers(0, 2**63, BANDS * ROWS, np.uint64)
@@ -105,14 +115,17 @@ def _xor_bits(x: str, y: str) -> Column:
     return sum((F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(SKETCH_BITS // 64)), F.lit(0))
 
 
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) with their full sets and ``i``, the shared shingles."""
+    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
+    both = left.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    return both.withColumn("i", F.size(F.array_intersect("sa", "sb"))).withColumn("u", F.size("sa") + F.size("sb") - F.col("i"))
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """``pairs`` (a, b) whose full sets are similar enough."""
     share, whole = similarity
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
-    both = left.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return (both.select("a", "b", shared.alias("i"), (F.size("sa") + F.size("sb")).alias("t"))
-            .where(whole * F.col("i") >= share * (F.col("t") - F.col("i"))).select("a", "b").distinct())
+    return _with_sets(pairs, sets).where(whole * F.col("i") >= share * F.col("u")).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
@@ -136,54 +149,74 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                                                                    .alias("bands"), "sketch"), "near_dup_members")
     own = members.where("bands is not null").select(F.col("rep").alias("node"), "n", "sketch", F.posexplode("bands").alias("band", "h"))
     own = own.select("node", "n", "sketch", F.xxhash64("band", "h").alias("bucket"))
-    hubs = own.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top")
-    crowd = stage(own.join(stage(hubs.select("bucket", "hub"), "near_dup_buckets"), "bucket")
-                  .select("bucket", "node", "n", "sketch", "hub").distinct(), "near_dup_buckets")
+    full = own.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi")
+    crowd = stage(own.join(stage(full.select("bucket", "size"), "near_dup_buckets"), "bucket").distinct(), "near_dup_buckets")
+    # the hub: the member that shares most buckets with most others
+    reach = crowd.groupBy("node").agg(F.sum("size").alias("reach"))
+    hubs = crowd.select("bucket", "node").join(reach, "node").groupBy("bucket").agg(F.max_by("node", "reach").alias("hub"))
+    hubs = stage(hubs, "near_dup_hubs")
 
     # full sets of the bucketed representatives only
     wanted = crowd.select(F.col("node").alias("id")).distinct()
     sets = stage(rows.join(wanted, "id", "left_semi").mapInArrow(functools.partial(_shingles, n=shingle), "id bigint, s array<bigint>")
                  .where(F.size("s") > 0).distinct(), "near_dup_sets")
 
-    def candidates(pairs: DataFrame) -> DataFrame:
-        near = (_xor_bits("sketch", "sketch_b") <= MAX_XOR) & (whole * F.least("n", "n_b") >= share * F.greatest("n", "n_b"))
-        return pairs.where(near).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-
-    def with_hub(crowd: DataFrame, hub: DataFrame) -> DataFrame:
-        """(bucket, node, ...) against the bucket's hub and its sketch."""
-        return candidates(crowd.join(hub, "bucket").select(F.col("node").alias("a"), F.col("hub").alias("b"), "n", "n_b", "sketch", "sketch_b"))
-
-    of_hub = crowd.where("node = hub").select("bucket", F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
-    first = with_hub(crowd.where("node <> hub"), of_hub)
-    links = stage(_confirm(first, sets, similarity), "near_dup_links")
-    known = connected_components(links)
-
-    def open_buckets(known: DataFrame) -> DataFrame:
-        """Bucket members whose buckets hold several components still."""
-        named = crowd.drop("hub").join(known.select("node", F.col("component").alias("c")), "node", "left")
-        named = named.withColumn("c", F.coalesce("c", "node"))
-        several = named.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
-        return stage(named.join(several, "bucket", "left_semi"), "near_dup_open")
-
-    left = open_buckets(known)
-    # a pseudo-random hub in each bucket: members of other components meet it
-    pick = left.groupBy("bucket").agg(F.min_by(F.struct(F.col("node").alias("hub"), F.col("c").alias("c_b"), F.col("n").alias("n_b"),
-                                                        F.col("sketch").alias("sketch_b")), F.xxhash64("bucket", "node")).alias("p")).select("bucket", "p.*")
-    second = candidates(left.join(pick, "bucket").where("c <> c_b")
-                        .select(F.col("node").alias("a"), F.col("hub").alias("b"), "n", "n_b", "sketch", "sketch_b"))
-    links = stage(links.union(_confirm(second, sets, similarity)), "near_dup_links")
-    known = connected_components(links)
-    left = open_buckets(known)
-    # the rest: members of different components of one bucket, pruned inside the join
-    x = left.select("bucket", F.col("node").alias("a"), "n", "sketch", "c")
-    y = left.select("bucket", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"), F.col("c").alias("c_b"))
-    near = (F.col("c") < F.col("c_b")) & (_xor_bits("sketch", "sketch_b") <= MAX_XOR) & (
+    hub_side = hubs.join(crowd.select("bucket", F.col("node").alias("hub"), F.col("sketch").alias("hub_sketch")), ["bucket", "hub"])
+    beside = crowd.select("bucket", "node", "n", "sketch").join(hub_side, "bucket").where("node <> hub")
+    beside = stage(beside.withColumn("apart", _xor_bits("sketch", "hub_sketch")).drop("hub_sketch"), "near_dup_beside")
+    star = beside.where(F.col("apart") <= HUB_XOR).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    near = 100 * F.col("i") >= NEAR * F.col("u")
+    tag = lambda kind, e: F.xxhash64(F.lit(kind), e)
+    missing, added = F.array_except("sb", "sa"), F.array_except("sa", "sb")
+    star = stage(_with_sets(star, sets).select(
+        "a", "b", F.xxhash64("sa").alias("text_a"), F.xxhash64("sb").alias("text_b"),
+        (whole * F.col("i") >= share * F.col("u")).alias("linked"), (100 * F.col("i") >= FAR * F.col("u")).alias("close"),
+        # what a member's differences cost: t added + missing, and what the threshold grants
+        (share * F.size(added) + whole * F.size(missing)).alias("cost"), ((whole - share) * F.size("sb")).alias("grant"),
+        F.when(near, F.concat(F.transform(missing, lambda e: tag(0, e)), F.transform(added, lambda e: tag(1, e)))).alias("differs")), "near_dup_star")
+    direct = star.where("linked").select("a", "b").distinct()
+    known = connected_components(direct).select(F.col("node"), F.col("component").alias("c"))
+
+    def placed(df: DataFrame, node: str, c: str) -> DataFrame:
+        """``df`` with the component so far of its column ``node``."""
+        of = known.select(F.col("node").alias(node), F.col("c").alias(c))
+        return df.join(of, node, "left").withColumn(c, F.coalesce(c, node))
+
+    # differences from the hub, where the hub has members outside its component;
+    # all members rank theirs in one order, the rarest first
+    apart = stage(placed(placed(star.where("differs is not null"), "a", "c"), "b", "c_hub"), "near_dup_apart")
+    open_hubs = apart.where("c <> c_hub").select("b").distinct()
+    each = apart.join(open_hubs, "b", "left_semi").select(
+        "b", "text_b", "a", "text_a", "c", (F.col("c") != F.col("c_hub")).alias("open"), "cost", "grant",
+        F.size("differs").alias("size"), F.explode("differs").alias("e"))
+    each = stage(each, "near_dup_differences")
+    holders = each.groupBy("b", "text_b", "e").agg(F.count(F.lit(1)).alias("holders"), F.count_if("open").alias("open_holders"))
+    rarest = Window.partitionBy("b", "text_b", "a", "text_a").orderBy("holders", "e")
+    ranked = each.join(stage(holders, "near_dup_holders"), ["b", "text_b", "e"]).withColumn("after", F.col("size") - F.row_number().over(rarest) + 1)
+    # ``after``: differences from this one on, so many at most can be shared
+    ranked = stage(ranked.where((F.col("open_holders") > 0) & (F.col("holders") > 1) & (
+        (share + whole) * F.col("after") >= F.col("cost") - F.when(F.col("open"), F.col("grant")).otherwise(0))), "near_dup_ranked")
+    one, two = ([F.col(c).alias(f"{c}_{k}") for c in ("a", "c", "cost", "after", "open")] for k in ("x", "y"))
+    # x is open; an open pair is met once
+    meet = ((F.col("c_x") != F.col("c_y")) & (~F.col("open_y") | (F.col("a_x") < F.col("a_y"))) & (
+        (share + whole) * F.least("after_x", "after_y") >= F.col("cost_x") + F.col("cost_y") - F.col("grant")))
+    shared = (ranked.where("open").select("b", "text_b", "e", "grant", *one)
+              .join(ranked.select("b", "text_b", "e", *two), ["b", "text_b", "e"]).where(meet)
+              .select(F.greatest("a_x", "a_y").alias("a"), F.least("a_x", "a_y").alias("b")).distinct())
+
+    # members far from the hub, one of them at least without differences
+    measured = star.select(F.col("a").alias("node"), F.col("b").alias("hub"), "close", F.col("differs").isNotNull().alias("measured")).distinct()
+    far = beside.join(measured, ["node", "hub"], "left").where("not coalesce(close, false)")
+    far = stage(placed(far, "node", "c").select("bucket", "node", "n", "sketch", "c", F.coalesce("measured", F.lit(False)).alias("measured")), "near_dup_far")
+    other = far.select("bucket", *[F.col(x).alias(f"{x}_b") for x in ("node", "n", "sketch", "c", "measured")])
+    alike = (F.col("c") < F.col("c_b")) & ~(F.col("measured") & F.col("measured_b")) & (_xor_bits("sketch", "sketch_b") <= MAX_XOR) & (
         whole * F.least("n", "n_b") >= share * F.greatest("n", "n_b"))
-    third = x.join(y, "bucket").where(near).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    rest = far.join(other, "bucket").where(alike).select(F.greatest("node", "node_b").alias("a"), F.least("node", "node_b").alias("b")).distinct()
+    links = direct.union(_confirm(shared.union(rest).distinct(), sets, similarity))
     # several texts under one id are one document
     several = members.groupBy("id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
     tied = several.select(F.col("id").alias("a"), F.col("lo").alias("b")).union(several.select(F.col("id").alias("a"), F.col("hi").alias("b")))
-    known = connected_components(links.union(_confirm(third, sets, similarity)).union(tied))
+    known = connected_components(links.union(tied))
 
     reached = members.groupBy("id").agg(F.min("rep").alias("rep"))
     reached = (reached.join(known, F.col("rep") == F.col("node"), "left")
