@@ -75,8 +75,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(carry)])
     lines = stage(base.select("id", "null_key", "text").mapInArrow(
         functools.partial(_keys, min_chars=min_chars), "id bigint, null_key bigint, line_key binary"), "line_keys")
-    common = (lines.groupBy("line_key").agg(F.countDistinct("id").alias("n"), F.max("id").alias("last"))
-              .where(F.col("n") >= min_docs))
+    # written, so that the join below exchanges both sides itself and AQE may split a hot line
+    common = stage(lines.groupBy("line_key").agg(F.countDistinct("id").alias("n"), F.max("id").alias("last"))
+                   .where(F.col("n") >= min_docs).select("line_key", "last"), "common_lines")
     drops = (lines.join(common, "line_key").where(F.col("id").isNull() | (F.col("id") < F.col("last")))
              .groupBy(F.col("id").alias("drop_id"), F.col("null_key").alias("drop_null"))
              .agg(F.collect_set("line_key").alias("drop")))
