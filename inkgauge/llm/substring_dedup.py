@@ -197,9 +197,11 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     paths = known.mapInArrow(_paths, "m bigint, c bigint, id bigint, pos bigint")
     source = [F.min("id").alias("src"), F.max("id").alias("last"), F.min_by("pos", "id").alias("src_pos")]
     repeated = (paths.groupBy("m").agg(*source, F.min("c").alias("c0"), F.max("c").alias("c1")).where("src < last")
-                .select(F.xxhash64("m").alias("j"), F.col("m").alias("m_of"), "src", "src_pos", (F.col("c0") != F.col("c1")).alias("branching")))
+                .select(F.bitwise_not("m").alias("j"), "src", "src_pos", (F.col("c0") != F.col("c1")).alias("branching")))
+    # the key's complement: a join key of its own, which costs no second column;
     # only rows that something can come of travel on: branching, or not the source itself
-    told = (paths.select("m", "id").withColumn("j", F.xxhash64("m")).join(repeated, "j").where("m = m_of and (branching or src < id)"))
+    told = (paths.select(F.bitwise_not("m").alias("j"), "id").join(repeated, "j").where("branching or src < id")
+            .withColumn("m", F.bitwise_not("j")))
     told = stage(told.groupBy("id").agg(
         F.collect_set(F.when(F.col("branching"), F.col("m"))).alias("branching"),
         F.collect_set(F.when(~F.col("branching"), F.struct("m", "src", F.col("src_pos").alias("pos")))).alias("paths")), "repeated_paths")
@@ -208,9 +210,9 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     edges = (known.join(told.where(F.size("branching") > 0).select("id", "branching"), "id")
              .mapInArrow(_open_edges, "h bigint, v bigint, id bigint, pos bigint"))
     shared = (edges.groupBy("h", "v").agg(*source).where("src < last")
-              .select(F.xxhash64("h", "v").alias("j"), F.col("h").alias("h_of"), F.col("v").alias("v_of"), "src", "src_pos"))
-    found = (edges.select("h", "v", "id").withColumn("j", F.xxhash64("h", "v")).join(shared, "j")
-             .where("h = h_of and v = v_of and src < id").groupBy("id")
+              .select(F.bitwise_not("h").alias("j"), F.bitwise_not("v").alias("k"), "src", "src_pos"))
+    found = (edges.select(F.bitwise_not("h").alias("j"), F.bitwise_not("v").alias("k"), "id").join(shared, ["j", "k"]).where("src < id")
+             .select("id", F.bitwise_not("j").alias("h"), F.bitwise_not("k").alias("v"), "src", "src_pos").groupBy("id")
              .agg(F.collect_set(F.struct("h", "v", "src", F.col("src_pos").alias("pos"))).alias("edges")))
     whole = known.join(told.select("id", "paths"), "id", "left").join(found, "id", "left")
     lone = rows.where("id is null").select("id", "text", *[F.lit(None).cast(whole.schema[c].dataType).alias(c) for c in ("paths", "edges")])
