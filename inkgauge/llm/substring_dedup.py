@@ -4,19 +4,20 @@ Edges are runs of ``WINDOW`` words.  An edge's minimizer (the smallest hash
 of its runs of ``CORE`` words) is the same wherever the edge stands, and
 neighbouring edges that share one minimizer form a path of up to ten edges:
 
-1. Every text is cut into such paths.  Joined by minimizer, a path is
-   nonbranching when all its occurrences in the corpus have the same words;
-   it is then compacted: one row with its source coordinates (the smallest
-   document and the place there) speaks for all its edges.
-2. Only where occurrences differ - at the ends of copied passages and
-   around edits - are single edges joined, by 128-bit keys.
+1. Every text is cut into such paths.  Brought together by minimizer, a path
+   with the same words as in its source (the smallest document that has the
+   minimizer) does not branch and is compacted: one row with the source
+   coordinates speaks for all its edges.
+2. Only where a document's path differs from its source's - at the ends of
+   copied passages and around edits - do single edges meet, by 128-bit keys.
 3. An edge whose source is a smaller document than its own is removed with
    its words; edges whose source coordinates advance together are one
    repeated span.
 
-Minimum and maximum are pre-aggregated before every shuffle.  The joins back
-to the occurrences go by a derived key, so both sides have an exchange that
-AQE may split when one passage stands in a third of all documents.
+Each document sends a path or an edge once, so a passage that a third of all
+documents hold is one row of each of them; sorted by key and document, such
+a group streams through its task and nothing of it is gathered.  Texts are
+dealt by id once and that exchange is reused.
 """
 
 from __future__ import annotations
@@ -116,6 +117,42 @@ def _open_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                pa.array(cut.place(at, doc))], names=["h", "v", "id", "pos"])
 
 
+def _meet(batches: Iterator[pa.RecordBatch], keys: list[str], content: str | None) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key and id: every document after a key's first is told
+    the source coordinates.  Where its content differs from the source's, both
+    are told that the path branches.
+
+    Only the source's own rows of the last key are kept between batches, so
+    a key that a third of all documents hold streams through."""
+    held: pa.RecordBatch | None = None
+    for batch in batches:
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        if not batch.num_rows:
+            continue
+        key = [batch[k].to_numpy() for k in keys]
+        ids, pos = batch["id"].to_numpy(), batch["pos"].to_numpy()
+        same = batch[content].to_numpy() if content else np.zeros(len(ids), np.int64)
+        first = np.ones(len(ids), bool)
+        first[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in key])
+        group = np.cumsum(first) - 1
+        source = ids[first][group]
+        own = ids == source
+        # a source may hold several contents: look each row's up among them
+        mark = mix(mix(group.astype(np.uint64)) ^ same.view(np.uint64))
+        hit, at = _find(signed(mark), signed(mark[own]))
+        hit, place = hit & ~own, pos[own][at]
+        branches = ~own & ~hit
+        open_group = np.zeros(group[-1] + 1, bool)
+        open_group[group[branches]] = True
+        told = hit | branches | (own & open_group[group])
+        named = [*keys, content] if content else keys
+        yield pa.record_batch([*[batch[k].filter(pa.array(told)) for k in named], pa.array(ids[told]), pa.array(source[told]), pa.array(place[told]),
+                               pa.array(~hit[told])], names=[*named, "id", "src", "pos", "branching"])
+        last = np.flatnonzero((group == group[-1]) & own)
+        held = batch.slice(int(last[0]), len(last))
+
+
 def _columns(rows: list[dict] | None, *names: str) -> list[np.ndarray]:
     return [np.array([r[n] for r in rows or []], np.int64) for n in names]
 
@@ -156,9 +193,9 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             gone = np.zeros(n_edges, bool)
             source, place = np.zeros(n_edges, np.int64), np.zeros(n_edges, np.int64)
             if paths and n_edges:
-                m, src, pos = _columns(paths, "m", "src", "pos")
+                m, c, src, pos = _columns(paths, "m", "c", "src", "pos")
                 a, b = by_doc[i], by_doc[i + 1]
-                hit, at = _find(signed(cut.minimizer[a:b]), m)
+                hit, at = _find(signed(mix(cut.minimizer[a:b] ^ mix(cut.content[a:b]))), signed(mix(m.view(np.uint64) ^ mix(c.view(np.uint64)))))
                 for s, e, k in zip(cut.start[a:b][hit] - base, cut.end[a:b][hit] - base, at[hit]):
                     gone[s:e], source[s:e], place[s:e] = True, src[k], pos[k] + np.arange(e - s)
             if edges and n_edges:
@@ -195,25 +232,18 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     known = rows.where("id is not null")
     paths = known.mapInArrow(_paths, "m bigint, c bigint, id bigint, pos bigint")
-    source = [F.min("id").alias("src"), F.max("id").alias("last"), F.min_by("pos", "id").alias("src_pos")]
-    repeated = (paths.groupBy("m").agg(*source, F.min("c").alias("c0"), F.max("c").alias("c1")).where("src < last")
-                .select(F.bitwise_not("m").alias("j"), "src", "src_pos", (F.col("c0") != F.col("c1")).alias("branching")))
-    # the key's complement: a join key of its own, which costs no second column;
-    # only rows that something can come of travel on: branching, or not the source itself
-    told = (paths.select(F.bitwise_not("m").alias("j"), "id").join(repeated, "j").where("branching or src < id")
-            .withColumn("m", F.bitwise_not("j")))
+    told = paths.repartition("m").sortWithinPartitions("m", "id").mapInArrow(
+        functools.partial(_meet, keys=["m"], content="c"), "m bigint, c bigint, id bigint, src bigint, pos bigint, branching boolean")
     told = stage(told.groupBy("id").agg(
         F.collect_set(F.when(F.col("branching"), F.col("m"))).alias("branching"),
-        F.collect_set(F.when(~F.col("branching"), F.struct("m", "src", F.col("src_pos").alias("pos")))).alias("paths")), "repeated_paths")
+        F.collect_set(F.when(~F.col("branching"), F.struct("m", "c", "src", "pos"))).alias("paths")), "repeated_paths")
 
     # the texts are dealt by id once; every join below reuses that exchange
     edges = (known.join(told.where(F.size("branching") > 0).select("id", "branching"), "id")
              .mapInArrow(_open_edges, "h bigint, v bigint, id bigint, pos bigint"))
-    shared = (edges.groupBy("h", "v").agg(*source).where("src < last")
-              .select(F.bitwise_not("h").alias("j"), F.bitwise_not("v").alias("k"), "src", "src_pos"))
-    found = (edges.select(F.bitwise_not("h").alias("j"), F.bitwise_not("v").alias("k"), "id").join(shared, ["j", "k"]).where("src < id")
-             .select("id", F.bitwise_not("j").alias("h"), F.bitwise_not("k").alias("v"), "src", "src_pos").groupBy("id")
-             .agg(F.collect_set(F.struct("h", "v", "src", F.col("src_pos").alias("pos"))).alias("edges")))
+    found = edges.repartition("h", "v").sortWithinPartitions("h", "v", "id").mapInArrow(
+        functools.partial(_meet, keys=["h", "v"], content=None), "h bigint, v bigint, id bigint, src bigint, pos bigint, branching boolean")
+    found = found.groupBy("id").agg(F.collect_set(F.struct("h", "v", "src", "pos")).alias("edges"))
     whole = known.join(told.select("id", "paths"), "id", "left").join(found, "id", "left")
     lone = rows.where("id is null").select("id", "text", *[F.lit(None).cast(whole.schema[c].dataType).alias(c) for c in ("paths", "edges")])
     kinds = ("id bigint, n_words bigint, n_removed bigint, kept_text string, kept_sha256 string, "
