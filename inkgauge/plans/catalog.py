@@ -365,7 +365,7 @@ def q_typed_head(spark, sf_dir, n: int = 100):
     path = scratch_dir(spark, "runtimes_csv")
     ev = table(spark, sf_dir, "events").select("event_id", "event_type", F.col("value").cast("string").alias("seconds"))
     W.write_plain_csv(ev.orderBy("event_id"), path)
-    head = FS.read_head(spark, path, n)
+    head = FS.read_head(spark, path, n, unescape_backslash=False, multi_line=False)
     return head.select(F.expr("try_cast(event_id as bigint)").alias("event_id"), "event_type",
                        F.expr("try_cast(seconds as double)").alias("seconds"))
 

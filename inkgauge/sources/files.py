@@ -31,19 +31,22 @@ def _header(spark: SparkSession, path: str, sep: str) -> list[str]:
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str = ",", columns: list[str] | None = None,
-                   mode: str = "PERMISSIVE", na_tokens=NA_TOKENS, unescape_backslash: bool = True) -> DataFrame:
+                   mode: str = "PERMISSIVE", na_tokens=NA_TOKENS, unescape_backslash: bool = True,
+                   multi_line: bool = True) -> DataFrame:
     """SRC1 / SRC3: all-string delimited scan (never inferSchema).
 
     Quoting follows the writer of the evaluated scripts: fields quoted with
     ``"``, embedded quotes doubled, backslashes escaped by doubling; so the
     reader uses ``escape='"'`` and undoes ``\\\\`` afterwards.  pandas'
-    missing-value tokens become null.  ``mode='DROPMALFORMED'`` skips bad
+    missing-value tokens become null.  Quoted fields may hold line breaks,
+    which makes each file one task; ``multi_line=False`` splits large files
+    whose fields have none, ``unescape_backslash=False`` reads plain CSV.  ``mode='DROPMALFORMED'`` skips bad
     lines (SRC3); a missing path raises ``AnalysisException``.
     """
     cols = columns or _header(spark, path, sep)
     schema = T.StructType([T.StructField(c, T.StringType()) for c in cols])
     df = (spark.read.schema(schema).option("header", True).option("sep", sep).option("quote", '"')
-          .option("escape", '"').option("multiLine", True).option("mode", mode)
+          .option("escape", '"').option("multiLine", multi_line).option("mode", mode)
           .option("emptyValue", "").csv(path))
     out = []
     for c in cols:
@@ -57,8 +60,9 @@ def read_delimited(spark: SparkSession, path: str, sep: str = ",", columns: list
 
 
 def read_typed(spark: SparkSession, path: str, types: dict, sep: str = ",", **kw) -> DataFrame:
-    """SRC2: delimited scan with columns coerced by ``try_cast`` (bad -> null)."""
-    df = read_delimited(spark, path, sep, **kw)
+    """SRC2: plain delimited scan (splittable) with columns coerced by
+    ``try_cast`` (bad -> null)."""
+    df = read_delimited(spark, path, sep, **{"unescape_backslash": False, "multi_line": False} | kw)
     if not df.columns:
         raise ValueError(f"{path}: no columns")
     return df.select(*[F.expr(f"try_cast(`{c}` as {types[c]})").alias(c) if c in types else F.col(f"`{c}`")
@@ -161,12 +165,13 @@ CHAT_SCHEMA = T.StructType([
 ])
 
 
-def read_chat_dataset(spark: SparkSession, paths: dict) -> DataFrame:
-    """SRC11: named splits of a chat dataset (JSON lines, or JSON arrays with
-    ``multiLine``) with an explicit schema, tagged with ``split``."""
+def read_chat_dataset(spark: SparkSession, paths: dict, arrays: bool = False) -> DataFrame:
+    """SRC11: named splits of a chat dataset (JSON lines, or with ``arrays``
+    whole files that hold one JSON array) with an explicit schema, tagged
+    with ``split``."""
     out = None
     for split, path in paths.items():
-        df = spark.read.schema(CHAT_SCHEMA).option("multiLine", False).json(path).withColumn("split", F.lit(split))
+        df = spark.read.schema(CHAT_SCHEMA).option("multiLine", arrays).json(path).withColumn("split", F.lit(split))
         out = df if out is None else out.unionByName(df)
     return out
 

@@ -105,3 +105,17 @@ def test_projection_helpers(spark):
     p = PR.profile(df, "t").first()
     assert (p["rows"], p["columns"], p["schema"]) == (1, 3, "id:string,score:double,note:string")
     assert PR.or_empty(df.where("id = 'none'"))[1] is True
+
+
+def test_chat_dataset_from_an_indented_array(spark, tmp_path):
+    import json
+    record = {"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}], "images": ["1.jpg"]}
+    (tmp_path / "train.json").write_text(json.dumps([record, record], indent=2))
+    rows = FS.read_chat_dataset(spark, {"train": str(tmp_path / "train.json")}, arrays=True).collect()
+    assert [r["messages"][1]["content"] for r in rows] == ["a", "a"] and rows[0]["images"] == ["1.jpg"]
+
+
+def test_plain_typed_csv_keeps_backslashes(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("a,b\n\\\\x,1\ny,bad\n")
+    rows = FS.read_typed(spark, str(tmp_path / "t.csv"), {"b": "bigint"}).collect()
+    assert [tuple(r) for r in rows] == [("\\\\x", 1), ("y", None)]
