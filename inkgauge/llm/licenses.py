@@ -5,7 +5,10 @@ k-words in the license templates (a bounded table, broadcast after a size
 check).  Each hit votes for its diagonal (text position minus template
 position); votes are pre-aggregated per diagonal, neighbouring diagonals
 (insertions and deletions) merge, and a merged span is verified by the
-share of the template's words that its hits cover.
+share of the template's words that its hits cover: all words of a short
+template, ``MIN_COVER`` of a longer one, and in both every k-word run of its
+decisive words, which tell it from its variants.  Where verified spans
+overlap, the best cover wins the place.
 """
 
 from __future__ import annotations
@@ -23,13 +26,24 @@ from .toxicity import WORD_BYTES
 
 K = 3
 MAX_GAP = 4         # diagonals this near belong to one copy
-MIN_COVER = 0.6     # share of a template's words that a span must cover
+MIN_COVER = 0.75    # share of a template's words that a span must cover
+SHORT_WORDS = 10    # a template with fewer words must be covered whole
 MAX_TEMPLATE_WORDS = 200_000  # bound of the broadcast template table
 
 # Phrases of the base search and their labels.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
+# The Creative Commons licenses and their versions.
+CC_KINDS = (("cc-by", "Attribution"), ("cc-by-nc", "Attribution-NonCommercial"), ("cc-by-nc-nd", "Attribution-NonCommercial-NoDerivatives"),
+            ("cc-by-nc-sa", "Attribution-NonCommercial-ShareAlike"), ("cc-by-nd", "Attribution-NoDerivatives"),
+            ("cc-by-sa", "Attribution-ShareAlike"))
+CC_VERSIONS = ("4.0 International", "3.0 Unported", "2.5 Generic", "2.0 Generic")
 # Customary public notices by label.
 TEMPLATES = (
+    # further wordings of the short notices below, and the Creative Commons versions
+    *(("apache-2.0", f"{verb} under the Apache License{version}") for verb in ("Licensed", "Released", "Distributed", "Available")
+      for version in (" 2.0", " v2.0", ", Version 2.0")),
+    *(("mit", f"{verb} under the MIT License") for verb in ("Licensed", "Distributed", "Available")),
+    *((label, f"This work is licensed under a Creative Commons {kind} {version} License") for label, kind in CC_KINDS for version in CC_VERSIONS),
     ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
                    "compliance with the License. You may obtain a copy of the License at"),
@@ -49,6 +63,9 @@ TEMPLATES = (
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("reserved", "All rights reserved"),
 )
+# Words that tell a template from its variants; a span must hold them unbroken.
+DECISIVE = ("the apache license", "the gnu general public license", "the mit license", "the mozilla public license",
+            *(f"commons {kind} {version[:3]}" for _, kind in CC_KINDS for version in CC_VERSIONS))
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -57,15 +74,18 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 def template_table(spark: SparkSession, templates, k: int = K) -> DataFrame:
-    """(h, label, template, tpos, n_words) of every k-word run of the templates."""
+    """(h, label, template, tpos, n_words, decisive) of every k-word run of the
+    templates; ``decisive`` are the runs' positions that a span must have."""
     words, rows, size = hashed_words(), [], 0
+    phrases = [words_of(p.encode()) for p in DECISIVE]
     for number, (label, text) in enumerate(templates):
         own = words_of(text.encode())
         size += len(own)
-        rows += [(int(h), label, number, i, len(own)) for i, h in enumerate(signed(window_hashes(words.look_up(own), k)))]
+        must = sorted({j for p in phrases for i in range(len(own)) if own[i:i + len(p)] == p for j in range(i, i + len(p) - k + 1)})
+        rows += [(int(h), label, number, i, len(own), must) for i, h in enumerate(signed(window_hashes(words.look_up(own), k)))]
     if size > MAX_TEMPLATE_WORDS:
         raise ValueError(f"{size} template words; the broadcast template table is bounded to {MAX_TEMPLATE_WORDS}")
-    return spark.createDataFrame(rows, "h bigint, label string, template int, tpos int, n_words int")
+    return spark.createDataFrame(rows, "h bigint, label string, template int, tpos int, n_words int, decisive array<int>")
 
 
 def _base(batches: Iterator[pa.RecordBatch], phrases) -> Iterator[pa.RecordBatch]:
@@ -105,22 +125,41 @@ def _grams(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch
 def license_spans(grams: DataFrame, templates: DataFrame, keys: list[str], k: int = K, max_gap: int = MAX_GAP,
                   min_cover: float = MIN_COVER) -> DataFrame:
     """``grams`` (keys, grams) -> verified spans (keys, label, template,
-    start, end, cover)."""
+    start, end, cover), no two of a text overlapping."""
     hits = (grams.select(*keys, F.posexplode("grams").alias("pos", "h")).join(F.broadcast(templates), "h")
             .withColumn("diagonal", F.col("pos") - F.col("tpos")))
     votes = hits.groupBy(*keys, "template", "diagonal").agg(
-        F.first("label").alias("label"), F.first("n_words").alias("n_words"), F.collect_set("tpos").alias("tpos"))
+        F.first("label").alias("label"), F.first("n_words").alias("n_words"), F.first("decisive").alias("decisive"),
+        F.collect_set("tpos").alias("tpos"))
     order = Window.partitionBy(*keys, "template").orderBy("diagonal")
     gap = F.col("diagonal") - F.lag("diagonal").over(order)
     runs = votes.withColumn("new", F.when(gap <= max_gap, 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
     merged = runs.groupBy(*keys, "template", "run").agg(
-        F.first("label").alias("label"), F.first("n_words").alias("n_words"),
+        F.first("label").alias("label"), F.first("n_words").alias("n_words"), F.first("decisive").alias("decisive"),
         F.min(F.col("diagonal") + F.array_min("tpos")).alias("start"),
         (F.max(F.col("diagonal") + F.array_max("tpos")) + k).alias("end"),
         F.array_distinct(F.flatten(F.collect_list("tpos"))).alias("tpos"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("tpos", lambda t: F.sequence(t, t + (k - 1))))))
-    return (merged.withColumn("cover", covered / F.col("n_words")).where(F.col("cover") >= min_cover)
-            .select(*keys, "label", "template", "start", "end", "cover"))
+    least = F.when(F.col("n_words") < SHORT_WORDS, 1.0).otherwise(min_cover)
+    verified = (merged.withColumn("covered", covered).withColumn("cover", F.col("covered") / F.col("n_words"))
+                .where((F.col("cover") >= least) & (F.size(F.array_except("decisive", "tpos")) == 0)))
+    return best_by_place(verified, keys).select(*keys, "label", "template", "start", "end", "cover")
+
+
+def best_by_place(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """The spans that remain when, best first, each one takes its words: by
+    cover, covered words, then template as listed.  Only spans that overlap
+    in a chain are gathered, so a long text's notices stay apart."""
+    order = Window.partitionBy(*keys).orderBy("start", "end", "template")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    placed = (spans.withColumn("new", F.when(F.col("start") < reach, 0).otherwise(1))
+              .withColumn("place", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))))
+    ranked = placed.groupBy(*keys, "place").agg(F.array_sort(F.collect_list(F.struct(
+        (-F.col("cover")).alias("worse"), (-F.col("covered")).alias("shorter"), "template", "start", "end", "label", "cover"))).alias("spans"))
+    meets = lambda s: lambda t: (t["start"] < s["end"]) & (s["start"] < t["end"])
+    won = F.aggregate("spans", F.filter("spans", lambda s: F.lit(False)),
+                      lambda kept, s: F.when(F.exists(kept, meets(s)), kept).otherwise(F.concat(kept, F.array(s))))
+    return ranked.select(*keys, F.explode(won).alias("s")).select(*keys, "s.*")
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES,

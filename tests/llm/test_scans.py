@@ -89,6 +89,31 @@ def test_license_spans_survive_edits(spark):
     assert licenses.scan_licenses(docs(spark, []).limit(0)).collect() == []
 
 
+def test_license_variants_are_told_apart(spark):
+    cc = "This work is licensed under a Creative Commons {} License."
+    wanted = {
+        "Released under the GPL": "", "the film was released under the title": "", "released under the terms of the MIT License": "mit",
+        cc.format("Attribution 4.0 International"): "cc-by", cc.format("Attribution 3.0 Unported"): "cc-by",
+        cc.format("Attribution-ShareAlike 4.0 International"): "cc-by-sa", cc.format("Attribution-NonCommercial 4.0 International"): "cc-by-nc",
+        cc.format("Attribution-NoDerivatives 4.0 International"): "cc-by-nd", cc.format("CC0 1.0 Universal"): "",
+        cc.format("Attribution-NonCommercial-ShareAlike 3.0 Unported"): "cc-by-nc-sa", cc.format("Attribution-Unheard 4.0 International"): "",
+        "Licensed under the Apache License 2.0": "apache-2.0", "This work is licensed under the Eclipse Public License, version 3": "",
+        # two notices in a row are two places
+        cc.format("Attribution 4.0 International") + " Released under the MIT License": "cc-by,mit",
+    }
+    texts = list(wanted)
+    got = licenses.scan_licenses(docs(spark, list(enumerate(texts)))).collect()
+    assert {texts[r["doc_id"]]: r["labels"] for r in got} == wanted
+    assert {r["n_spans"] for r in got if r["labels"] and "," not in r["labels"]} == {1}
+
+
+def test_place_goes_to_the_best_cover(spark):
+    # b loses to a, so c, which meets only b, keeps its place
+    rows = [(1, "a", 0, 0, 10, 10, 1.0), (1, "b", 1, 8, 16, 8, 0.9), (1, "c", 2, 14, 20, 6, 0.8), (None, "d", 3, 0, 9, 9, 0.8)]
+    spans = spark.createDataFrame(rows, "id long, label string, template int, start long, end long, covered int, cover double")
+    assert sorted(r["label"] for r in licenses.best_by_place(spans, ["id"]).collect()) == ["a", "c", "d"]
+
+
 def test_template_table_is_bounded(spark, monkeypatch):
     monkeypatch.setattr(licenses, "MAX_TEMPLATE_WORDS", 10)
     with pytest.raises(ValueError):
