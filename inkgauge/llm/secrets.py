@@ -1,9 +1,10 @@
 """Secret scan with corpus-wide ownership frequency.
 
 Each text is scanned once for fixed key formats.  All candidates' value
-hashes are then aggregated by distinct (owner, repository): a value that
-several owners hold is a copied example, one that few owners hold looks
-live.  Formats that the base list does not have are reported only where
+hashes are then aggregated by distinct owner and by distinct repository: a
+value that several owners hold, or that many repositories of one owner hold,
+is a copied example, any other looks live.  Repositories with the same text
+count as one, so a mirrored text does not make its values copied.  Formats that the base list does not have are reported only where
 they look live.  Candidates, not texts, are shuffled.
 """
 
@@ -40,6 +41,7 @@ MORE = {
 KINDS = (*BASE, *MORE)
 MIN_BITS = 3.5   # entropy per character of a "mixed" value
 MAX_OWNERS = 1   # owners up to which a value looks live
+MAX_REPOS = 3    # repositories, identical texts as one, up to which it does
 LONG_RUN = re.compile(rb"[A-Za-z0-9+/_-]{24}")
 HEX_RUN = re.compile(rb"[0-9a-f]{24}")
 
@@ -85,8 +87,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         found = [[dict(zip(("kind", "start", "end", "value"), c)) for c in candidates(t)] for t in texts(batch)]
         rows = range(row, row := row + len(found))
-        yield pa.record_batch([pa.array(rows, pa.int64()), batch["id"], batch["owner"], batch["repo"], pa.array(found, FOUND)],
-                              names=["row", "id", "owner", "repo", "found"])
+        yield pa.record_batch([pa.array(rows, pa.int64()), batch["id"], batch["owner"], batch["repo"], batch["th"], pa.array(found, FOUND)],
+                              names=["row", "id", "owner", "repo", "th", "found"])
 
 
 def _joined(spans):
@@ -98,24 +100,30 @@ def _joined(spans):
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source",
-                 repo_col: str = "doc_id", max_owners: int = MAX_OWNERS) -> DataFrame:
+                 repo_col: str = "doc_id", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
     """One row per input row: id, ``n_assign``, ``n_access``, ``n_hex``,
     ``base_sha256``, ``spans``, ``n_live`` and ``n_copied`` candidates.
 
+    A candidate is live while at most ``max_owners`` owners and at most
+    ``max_repos`` repositories hold its value, copied otherwise.
+
     Null or empty text has no spans.  A null owner or repository is one of
     its own; repeated rows are one repository; ties at one start go by kind,
     then end; an empty table gives no rows."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(owner_col).cast("string").alias("owner"),
-                       F.col(repo_col).cast("string").alias("repo"), F.col(text_col).cast("string").alias("text"))
+                       F.col(repo_col).cast("string").alias("repo"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).cast("string").alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
-    found = stage(rows.mapInArrow(_scan, f"row bigint, id {id_type}, owner string, repo string, "
+    found = stage(rows.mapInArrow(_scan, f"row bigint, id {id_type}, owner string, repo string, th bigint, "
                                          "found array<struct<kind:int,start:bigint,end:bigint,value:binary>>"), "secrets")
     each = found.select("row", F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repo", F.lit("")).alias("repo"),
-                        F.explode("found").alias("c")).select("row", "owner", "repo", "c.*")
+                        "th", F.explode("found").alias("c")).select("row", "owner", "repo", "th", "c.*")
     # distinct first, so a value copied a million times is counted before it is gathered
-    held = (each.select("value", "owner", "repo").distinct().groupBy("value", "owner").agg(F.count(F.lit(1)).alias("repos"))
-            .groupBy("value").agg(F.count(F.lit(1)).alias("owners"), F.sum("repos").alias("repos")))
-    judged = each.join(held, "value").withColumn("live", F.col("owners") <= max_owners)
+    owners = each.select("value", "owner").distinct().groupBy("value").agg(F.count(F.lit(1)).alias("owners"))
+    # one repository stands for all with the same text: those hold the same values
+    repos = (each.groupBy("value", "th").agg(F.min(F.struct("owner", "repo")).alias("place")).select("value", "place").distinct()
+             .groupBy("value").agg(F.count(F.lit(1)).alias("repos")))
+    judged = (each.join(owners.join(repos, "value"), "value")
+              .withColumn("live", (F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)))
     by_row = judged.groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end", "live")).alias("all"))
     none = F.array().cast("array<struct<kind:int,start:bigint,end:bigint,live:boolean>>")
     out = found.select("row", "id").join(by_row, "row", "left").withColumn("all", F.coalesce("all", none))

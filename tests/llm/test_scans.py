@@ -50,6 +50,20 @@ def test_secrets_of_one_owner_are_added(spark):
     assert secrets.scan_secrets(docs(spark, []).limit(0)).collect() == []
 
 
+def test_secrets_repeated_under_one_owner_are_copied(spark):
+    spread, mirrored, few = (f"xoxb-{n}2345-abcdef" for n in (1, 2, 3))
+    # ids in steps of three are one source
+    rows = [(3 * i, f"text {i} {spread}") for i in range(40)] + [(300 + 3 * i, f"mirror {mirrored}") for i in range(40)]
+    rows += [(600, f"a {few}"), (603, f"b {few}"), (603, f"b {few}")]
+    by = {r["doc_id"]: r for r in secrets.scan_secrets(docs(spark, rows)).collect()}
+    assert all((by[3 * i]["spans"], by[3 * i]["n_live"], by[3 * i]["n_copied"]) == ("", 0, 1) for i in range(40))
+    assert all(by[i]["n_live"] == 1 and by[i]["spans"].startswith("slack:") for i in [*range(300, 420, 3), 600, 603])
+    # one repository of many texts is one repository, many that share one of them are no more
+    rows = [(i, f"text {i} {spread}") for i in range(9)] + [(0, f"shared {spread}")] * 3
+    one = docs(spark, rows).selectExpr("doc_id", "text", "'s' AS source", "'r' AS repo")
+    assert {r["n_live"] for r in secrets.scan_secrets(one, repo_col="repo").collect()} == {1}
+
+
 def brute_licenses(text):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
     places, labels = [], set()
