@@ -5,7 +5,9 @@ hashes are then aggregated by distinct owner and by distinct repository: a
 value that several owners hold, or that many repositories of one owner hold,
 is a copied example, any other looks live.  Repositories with the same text
 count as one, so a mirrored text does not make its values copied.  Formats that the base list does not have are reported only where
-they look live.  Candidates, not texts, are shuffled.
+they look live.  No value is too long: a "mixed" run counts at any length, and
+long encoded blobs are reported like keys, since their characters do not tell
+them apart.  Candidates, not texts, are shuffled.
 """
 
 from __future__ import annotations
@@ -34,9 +36,9 @@ MORE = {
     "slack": re.compile(r"(?P<v>xox[abprs]-[A-Za-z0-9-]{10,})"),
     "jwt": re.compile(r"(?P<v>eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,})"),
     "pem": re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?P<v>[A-Za-z0-9+/=\s]{16,})"),
-    "url": re.compile(r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,64}:(?P<v>[^\s/:@]{6,128})@"),
+    "url": re.compile(r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]+:(?P<v>[^\s/:@]{6,})@"),
     "mixed": re.compile(r"(?<![A-Za-z0-9+/_=-])(?P<v>(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])"
-                        r"[A-Za-z0-9+/_-]{24,128}={0,2})(?![A-Za-z0-9+/_=-])"),
+                        r"[A-Za-z0-9+/_-]{24,}={0,2})(?![A-Za-z0-9+/_=-])"),
 }
 KINDS = (*BASE, *MORE)
 MIN_BITS = 3.5   # entropy per character of a "mixed" value

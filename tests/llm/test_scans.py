@@ -64,6 +64,15 @@ def test_secrets_repeated_under_one_owner_are_copied(spark):
     assert {r["n_live"] for r in secrets.scan_secrets(one, repo_col="repo").collect()} == {1}
 
 
+def test_long_secrets_are_found():
+    name = lambda k: secrets.KINDS[k]
+    for n in (24, 128, 129, 5000):
+        run = ("aB3xY7kQ9zLm5T0w" * 500)[:n]
+        assert [(name(k), a, b) for k, a, b, _ in secrets.candidates(f"é {run}== .".encode())] == [("mixed", 2, 4 + n)]
+    url = f"https://{'u' * 65}:{'p.' * 65}@host/x"
+    assert [(name(k), a, b) for k, a, b, _ in secrets.candidates(url.encode())] == [("url", 0, url.index("@") + 1)]
+
+
 def brute_licenses(text):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
     places, labels = [], set()
