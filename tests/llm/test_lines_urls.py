@@ -71,3 +71,17 @@ def test_reputation_shrinks(spark):
     got = {r["host"]: r for r in url_reputation.host_reputation(spark.createDataFrame(rows, "host string, good int")).collect()}
     assert got["bad.one.net"]["upper"] < 0.5 < got["good.two.net"]["good"]
     assert 0 < got["few.one.net"]["good"] < 1 and got["few.one.net"]["upper"] > got["bad.one.net"]["upper"]
+
+
+def test_hosts_without_labels_are_judged_by_their_parents(spark):
+    hosts = ["bad.one.net"] * 40 + ["good.two.org"] * 50 + ["worse.three.info"] * 30 + ["new.one.net", "new.two.org", "x.four.info", "x.five.biz", None]
+    pages = spark.createDataFrame([(i, h and f"http://{h}/p{i}") for i, h in enumerate(hosts)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(40 <= i < 90)) for i in range(120)], "doc_id long, quality int")
+    got = {r["host"]: r["verdict"] for r in url_reputation.judge_urls(pages, labels, rules=()).collect()}
+    assert got == {"bad.one.net": "block", "good.two.org": "allow", "worse.three.info": "block", "new.one.net": "block",
+                   "new.two.org": "allow", "x.four.info": "block", "x.five.biz": "allow", "": "allow"}
+    # mostly bad labels speak against a host of an unknown suffix, a single one does not
+    most = labels.where("doc_id < 40 or doc_id >= 85")
+    assert {r["host"]: r["verdict"] for r in url_reputation.judge_urls(pages, most, rules=(), z=0.0).collect()}["x.five.biz"] == "block"
+    one = labels.where("doc_id = 0")
+    assert {r["host"]: r["verdict"] for r in url_reputation.judge_urls(pages, one, rules=()).collect()}["x.five.biz"] == "allow"
