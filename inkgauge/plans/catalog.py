@@ -344,6 +344,11 @@ def q_parse_structured(spark, sf_dir):
     return D.explode_structured(D.parse_structured(js))
 
 
+def q_structured_linked(spark, sf_dir):
+    js = derived.structured_json(documents(spark, sf_dir), table(spark, sf_dir, "labels"), linked=True)
+    return D.explode_linked(D.parse_structured(js))
+
+
 def q_report_blocks(spark, sf_dir):
     return D.report_blocks(documents(spark, sf_dir))
 
@@ -545,6 +550,7 @@ CATALOG = {
     "conversation_turns": q_conversation_turns,
     "collate_labels": q_collate_labels,
     "parse_structured": q_parse_structured,
+    "structured_linked": q_structured_linked,
     "report_blocks": q_report_blocks,
     "csv_roundtrip": q_csv_roundtrip,
     "sidecar_roundtrip": q_sidecar_roundtrip,

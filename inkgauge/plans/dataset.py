@@ -108,8 +108,32 @@ def collate(docs: DataFrame, batch_size: int = BATCH_SIZE, pad_id: int = PAD_ID,
     return out.withColumn("n_masked", F.size(F.filter("labels", lambda x: x == IGNORE_INDEX)).cast("long"))
 
 
-# Structured extraction output (the prompt's JSON schema, trimmed to the
-# levels we explode; unknown keys are ignored by the parser).
+def _strings(*names: str) -> T.StructType:
+    return T.StructType([T.StructField(n, T.StringType()) for n in names])
+
+
+# Structured extraction output: the prompt's JSON schema, all levels
+# (unknown keys are ignored by the parser).
+LINKED_SCHEMA = T.StructType([
+    T.StructField("personal_information", _strings("name", "date_of_birth", "social_security_no", "employee_no", "id_no",
+                                                   "rp_certificate_no")),
+    T.StructField("named_entities", T.ArrayType(_strings("entity", "type"))),
+    T.StructField("dates", T.ArrayType(_strings("date", "category"))),
+    T.StructField("monetary_amounts", T.ArrayType(_strings("amount", "category"))),
+    T.StructField("relationships", T.ArrayType(_strings("entity1", "relationship", "entity2"))),
+    T.StructField("medical_information", T.ArrayType(_strings("info", "category"))),
+    T.StructField("family_information", T.ArrayType(_strings("name", "relationship", "event"))),
+    T.StructField("employment_history", T.ArrayType(_strings("date", "position_description", "division", "department", "location",
+                                                             "rate_of_pay", "remarks"))),
+    T.StructField("employment_events", T.ArrayType(T.StructType([
+        *_strings("date", "location", "incident", "action_taken"),
+        T.StructField("reference_numbers", T.ArrayType(T.StringType()))]))),
+    T.StructField("geographical_information", T.ArrayType(T.StringType())),
+    T.StructField("document_specific_information", T.ArrayType(T.StringType())),
+    T.StructField("other", T.ArrayType(T.StringType())),
+    T.StructField("metadata", _strings("document_type", "period", "context")),
+    T.StructField("sentiment", T.StringType()),
+])
 STRUCTURED_SCHEMA = T.StructType([
     T.StructField("ocr_text", T.StringType()),
     T.StructField("summary", T.StringType()),
@@ -118,6 +142,7 @@ STRUCTURED_SCHEMA = T.StructType([
         T.StructField("fields", T.ArrayType(T.StructType([
             T.StructField("field_name", T.StringType()),
             T.StructField("value", T.StringType()),
+            T.StructField("linked_information", LINKED_SCHEMA),
         ]))),
     ]))),
     T.StructField("_corrupt", T.StringType()),
@@ -143,6 +168,46 @@ def explode_structured(parsed: DataFrame, key: str = "doc_id") -> DataFrame:
                     F.col("f.value").alias("value"))
 
 
+def explode_linked(parsed: DataFrame, key: str = "doc_id") -> DataFrame:
+    """DSP8, below the fields: one row per value of a field's linked
+    information.  ``level`` is the prompt's name of the group, ``pos`` the
+    element in its list (0 where the group is no list), ``name`` the
+    attribute (``value`` in lists of strings and for the sentiment) and
+    ``item`` the position inside ``reference_numbers`` (else 0).
+
+    An element's missing attributes are rows with null values; groups that are
+    null or empty, and corrupt documents, give no rows."""
+    def entry(level, pos, name, value, item=F.lit(0)):
+        return F.struct(F.lit(level).alias("level"), pos.cast("int").alias("pos"), F.lit(name).alias("name"),
+                        item.cast("int").alias("item"), value.alias("value"))
+
+    def entries(level, struct_type, element, pos):
+        out = F.array(*[entry(level, pos, f.name, element[f.name]) for f in struct_type if isinstance(f.dataType, T.StringType)])
+        for f in struct_type:
+            if isinstance(f.dataType, T.ArrayType):
+                more = F.transform(element[f.name], lambda v, j: entry(level, pos, f.name, v, j))
+                out = F.when(element[f.name].isNull(), out).otherwise(F.concat(out, more))
+        return out
+
+    def group(f):
+        linked, kind = F.col("f.linked_information")[f.name], f.dataType
+        if isinstance(kind, T.StringType):
+            rows = F.array(entry(f.name, F.lit(0), "value", linked))
+        elif isinstance(kind, T.StructType):
+            rows = entries(f.name, kind, linked, F.lit(0))
+        elif isinstance(kind.elementType, T.StructType):
+            rows = F.flatten(F.transform(linked, lambda e, i: entries(f.name, kind.elementType, e, i)))
+        else:
+            rows = F.transform(linked, lambda e, i: entry(f.name, i, "value", e))
+        return F.when(linked.isNotNull(), rows).otherwise(F.array().cast("array<struct<level:string,pos:int,name:string,item:int,value:string>>"))
+
+    s = parsed.select(key, F.posexplode("doc.sections").alias("section_pos", "s"))
+    f = s.select(key, "section_pos", F.col("s.section_name").alias("section_name"), F.posexplode("s.fields").alias("field_pos", "f"))
+    v = f.select(key, "section_pos", "section_name", "field_pos", F.col("f.field_name").alias("field_name"),
+                 F.explode(F.concat(*[group(x) for x in LINKED_SCHEMA])).alias("v"))
+    return v.select(key, "section_pos", "section_name", "field_pos", "field_name", "v.*")
+
+
 def report_blocks(docs: DataFrame, prompt: str = PROMPT) -> DataFrame:
     """SNK5 / WIN2: one text block per item, ``Image i/N: file``, run time,
     the extracted response and a rule; ``idx`` orders the blocks."""

@@ -131,19 +131,40 @@ def json_escape(c: Column) -> Column:
     return c
 
 
-def structured_json(documents: DataFrame, labels: DataFrame) -> DataFrame:
+def linked_information() -> Column:
+    """All levels of the prompt's linked information, from the tables' columns."""
+    lang, source, chars, doc = F.col("lang"), F.col("source"), F.col("n_chars").cast("string"), F.col("doc_id").cast("string")
+    words = F.slice(F.split(F.col("text"), " "), 1, 3)
+    def row(**values):
+        return F.struct(*[(v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in values.items()])
+    return F.to_json(row(
+        personal_information=row(name=source, id_no=doc),
+        named_entities=F.transform(words, lambda w: row(entity=w, type=lang)),
+        dates=F.array(row(date=doc, category="letter")),
+        monetary_amounts=F.array(row(amount=chars, category="chars")),
+        relationships=F.array(row(entity1=source, relationship="wrote", entity2=lang)),
+        medical_information=F.array(row(info=lang, category="none")),
+        family_information=F.array(row(name=source, relationship="self", event="letter")),
+        employment_history=F.array(row(date=doc, position_description="writer", location=source)),
+        employment_events=F.array(row(date=doc, incident="letter", reference_numbers=F.array(doc, chars))),
+        geographical_information=F.array(source, lang), document_specific_information=F.array(chars), other=F.array(doc),
+        metadata=row(document_type="letter", context=source), sentiment=F.coalesce(F.col("quality"), F.lit("unknown"))))
+
+
+def structured_json(documents: DataFrame, labels: DataFrame, linked: bool = False) -> DataFrame:
     """``(doc_id, json)``: a structured-extraction answer per document in the
-    prompt's schema (ocr_text, summary, sections -> fields), built by string
-    concatenation; every 11th answer is cut short (corrupt)."""
+    prompt's schema (ocr_text, summary, sections -> fields, with ``linked``
+    the first field's linked information), built by string concatenation; every 11th answer is cut short (corrupt)."""
     lab = labels.select("doc_id", F.col("quality").cast("string").alias("quality"))
     d = documents.join(lab, "doc_id", "left")
-    def field(name, value):
-        return F.concat(F.lit('{"field_name": "' + name + '", "value": "'), json_escape(value), F.lit('"}'))
+    def field(name, value, more=F.lit("")):
+        return F.concat(F.lit('{"field_name": "' + name + '", "value": "'), json_escape(value), F.lit('"'), more, F.lit("}"))
+    more = F.concat(F.lit(', "linked_information": '), linked_information()) if linked else F.lit("")
     js = F.concat(
         F.lit('{"ocr_text": "'), json_escape(F.col("text")),
         F.lit('", "summary": "'), json_escape(F.concat_ws(" ", F.col("lang"), F.lit("letter from"), F.col("source"))),
         F.lit('", "sections": [{"section_name": "metadata", "fields": ['),
-        field("language", F.col("lang")), F.lit(", "), field("source", F.col("source")), F.lit(", "),
+        field("language", F.col("lang"), more), F.lit(", "), field("source", F.col("source")), F.lit(", "),
         field("quality", F.coalesce(F.col("quality"), F.lit("unknown"))),
         F.lit(']}, {"section_name": "content", "fields": ['),
         field("chars", F.col("n_chars").cast("string")),

@@ -1,5 +1,7 @@
 """Training-set prep, inference, streaming (DSP*, STR*)."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from inkgauge.plans import catalog as C
@@ -47,6 +49,31 @@ def test_structured_parse_marks_corrupt(spark, sf001):
     assert all(r["count"] == 4 for r in good)
 
 
+def test_structured_linked_information_is_kept(spark, sf001):
+    linked = {"personal_information": {"name": "Ann", "id_no": None}, "named_entities": [{"entity": "Rome", "type": "place"}, {"entity": "Bo"}],
+              "dates": [], "monetary_amounts": None, "employment_events": [{"incident": "fall", "reference_numbers": ["r1", "r2"]}, {"date": "d"}],
+              "other": ["x", "y"], "metadata": None, "sentiment": "calm"}
+    js = json.dumps({"ocr_text": "t", "sections": [{"section_name": "s", "fields": [
+        {"field_name": "a", "value": "1"}, {"field_name": "b", "value": "2", "linked_information": linked}]}]})
+    rows = D.explode_linked(D.parse_structured(spark.createDataFrame([(1, js), (2, js[:-9]), (3, None)], "doc_id long, json string"))).collect()
+    assert {(r["doc_id"], r["section_pos"], r["field_pos"], r["field_name"]) for r in rows} == {(1, 0, 1, "b")}
+    got = [(r["level"], r["pos"], r["name"], r["item"], r["value"]) for r in rows]
+    assert len(got) == len(set(got)) == 6 + 2 * 2 + 2 * 4 + 2 + 2 + 1
+    assert {x for x in got if x[4] is not None} == {
+        ("personal_information", 0, "name", 0, "Ann"), ("named_entities", 0, "entity", 0, "Rome"), ("named_entities", 0, "type", 0, "place"),
+        ("named_entities", 1, "entity", 0, "Bo"), ("employment_events", 0, "incident", 0, "fall"),
+        ("employment_events", 0, "reference_numbers", 0, "r1"), ("employment_events", 0, "reference_numbers", 1, "r2"),
+        ("employment_events", 1, "date", 0, "d"), ("other", 0, "value", 0, "x"), ("other", 1, "value", 0, "y"), ("sentiment", 0, "value", 0, "calm")}
+    # every level of the fixture's answers arrives, with the tables' values
+    docs = spark.read.parquet(f"{sf001}/documents.parquet")
+    js = derived.structured_json(docs, spark.read.parquet(f"{sf001}/labels.parquet"), linked=True)
+    rows = D.explode_linked(D.parse_structured(js)).collect()
+    assert {r["level"] for r in rows} == set(D.LINKED_SCHEMA.names)
+    source = {r["doc_id"]: r["source"] for r in docs.collect()}
+    names = {r["doc_id"]: r["value"] for r in rows if (r["level"], r["name"]) == ("personal_information", "name")}
+    assert names == {i: x for i, x in source.items() if i % derived.CORRUPT_EVERY}
+
+
 def test_batch_infer_isolates_errors(spark):
     def make_reader():
         def read(contents, prompt):
