@@ -1,10 +1,11 @@
-"""The ten operators' queries, each over its whole table."""
+"""The thirteen operators' queries, each over its whole table."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontamination, licenses, line_dedup, near_dup, packing, quality, secrets, substring_dedup, toxicity, url_reputation
+from . import chat_format, decontamination, filter_audit, hard_negatives, licenses, line_dedup, near_dup, packing, quality, secrets, substring_dedup, toxicity, url_reputation
 from .common import prepare
 
 
@@ -62,8 +63,24 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chat_format.with_extra(spark, table(spark, sf_dir, "conversations"))
+    return chat_format.digests(chat_format.format_chats(rows))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    every, n = hard_negatives.SHIFT_EVERY, hard_negatives.N_LABELS
+    label = F.when(F.pmod(F.col("vec_id"), F.lit(every)) == 0, (F.col("label") + 1) % n).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", label))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_secrets, op3_near_dup, op4_url_reputation, op5_line_dedup, op6_quality, op7_decontamination, op8_packing,
-                                  op9_licenses, op10_toxicity)}
+                                  op9_licenses, op10_toxicity, op11_chat_format, op12_hard_negatives, op13_filter_audit)}
 
 
 def _wrap(fn):

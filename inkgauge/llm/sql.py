@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat_format import ATTACHMENT_TYPES, EXTRA_ID, EXTRA_TEXT, LOSS_ROLE, TURN_CLOSE, TURN_OPEN
 from .common import ASCII_LOWER, ASCII_UPPER
 from .url_reputation import MIN_GOOD, Z
 
@@ -77,7 +78,78 @@ FROM ds JOIN si USING (s) JOIN n USING (item_id)
 GROUP BY doc_id, item_id, n_item HAVING 100 * count(*) >= 80 * n_item
 """
 
-SQL = {"op4_url_reputation": OP4, "op5_line_dedup": OP5, "op7_decontamination": OP7}
+CONTROL = "<(/?turn|" + "|".join(ATTACHMENT_TYPES) + ")"
+#: Code points that escapes add to a text: one for each backslash and control string, one more per ``>`` of a role.
+OP11 = f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT {EXTRA_ID}, 0, 'user', '{EXTRA_TEXT}' UNION ALL SELECT {EXTRA_ID}, 1, '{LOSS_ROLE}', '{EXTRA_TEXT}'),
+l AS (SELECT *, length(text) + length(text) - length(replace(text, chr(92), '')) + len(regexp_extract_all(text, '{CONTROL}'))
+        + length(role) + length(role) - length(replace(role, chr(92), '')) + len(regexp_extract_all(role, '{CONTROL}'))
+        + length(role) - length(replace(role, '>', '')) + {len(TURN_OPEN) + 1 + len(TURN_CLOSE)} AS chars FROM c)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = '{LOSS_ROLE}'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = '{LOSS_ROLE}'), '')) AS loss_sha256,
+       sum(chars)::BIGINT AS formatted_chars
+FROM l GROUP BY conv_id
+"""
+
+OP12 = """
+WITH r AS (
+  SELECT row_number() OVER () AS uid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.uid AS anchor, a.vec_id AS anchor_id, b.uid, b.vec_id, a.label = b.label AS same,
+         list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM r a JOIN r b ON a.uid <> b.uid WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT anchor, anchor_id, uid AS positive, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id, uid) <= 5)
+SELECT p.anchor_id, positive_id, (row_number() OVER (PARTITION BY p.anchor, positive ORDER BY score DESC, vec_id, uid))::INTEGER AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor = p.anchor AND NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor, positive ORDER BY score DESC, vec_id, uid) <= 5
+"""
+
+OP13 = """
+WITH first AS (SELECT coalesce(text, '') AS t, min(doc_id) AS first FROM documents GROUP BY ALL),
+known AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels
+          WHERE doc_id IS NOT NULL GROUP BY doc_id),
+d AS (SELECT d.doc_id, coalesce(lang, '') AS part, t, first,
+        list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
+        coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+      FROM (SELECT *, coalesce(text, '') AS t FROM documents) d JOIN first USING (t) LEFT JOIN known USING (doc_id)),
+f AS (SELECT part, good, toxic, {'A': len(w) < 200, 'B': 100 * len(list_distinct(w)) < 50 * len(w),
+        'C': 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t),
+        'D': regexp_matches(t, '[#$%&*|]'), 'E': coalesce(doc_id > first, false)} AS fails FROM d),
+g AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL),
+x(l) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+o AS (SELECT a.l || b.l || c.l || d.l || e.l AS filter_order FROM x a, x b, x c, x d, x e
+      WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+steps AS (SELECT filter_order, s AS step, substr(filter_order, s, 1) AS l, substr(filter_order, 1, s - 1) AS earlier
+          FROM o, (SELECT unnest(range(1, 6))::INTEGER AS s)),
+hit AS (
+  SELECT part, filter_order, step, l, n, good, toxic, CASE l WHEN 'A' THEN fails['A'] WHEN 'B' THEN fails['B'] WHEN 'C' THEN fails['C'] WHEN 'D' THEN fails['D'] ELSE fails['E'] END AS fail,
+    (contains(earlier, 'A') AND fails['A']) OR (contains(earlier, 'B') AND fails['B']) OR (contains(earlier, 'C') AND fails['C'])
+      OR (contains(earlier, 'D') AND fails['D']) OR (contains(earlier, 'E') AND fails['E']) AS gone,
+    fails['A']::INT + fails['B']::INT + fails['C']::INT + fails['D']::INT + fails['E']::INT AS n_fails
+  FROM g, steps),
+a AS (SELECT part, filter_order, step, l, coalesce(sum(n) FILTER (NOT gone AND NOT fail), 0)::BIGINT AS kept,
+        coalesce(sum(n) FILTER (fail AND NOT gone), 0)::BIGINT AS removed,
+        coalesce(sum(n) FILTER (fail AND gone), 0)::BIGINT AS redundant,
+        coalesce(sum(n) FILTER (fail AND n_fails = 1), 0)::BIGINT AS unique_fails,
+        coalesce(sum(good) FILTER (fail AND NOT gone), 0)::BIGINT AS good_lost,
+        coalesce(sum(toxic) FILTER (fail AND NOT gone), 0)::BIGINT AS toxic_lost
+      FROM hit GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, l))::BIGINT AS shapley FROM a
+"""
+
+SQL = {"op11_chat_format": OP11, "op12_hard_negatives": OP12, "op13_filter_audit": OP13, "op4_url_reputation": OP4, "op5_line_dedup": OP5, "op7_decontamination": OP7}
 
 
 def oracle_sql() -> dict[str, str]:
