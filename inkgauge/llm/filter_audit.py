@@ -61,8 +61,9 @@ def mask_counts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     known = stage(labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("labelled"))
                   .agg(F.max(F.col("quality") == 1).alias("good"), F.max(F.col("toxic") == 1).alias("toxic")), "filter_labels")
     late = F.coalesce(F.col("doc") > F.col("first"), F.lit(False))
-    masked = (facts.join(first, facts["digest"] == first["copied"], "left")
-              .join(known, F.col("doc") == F.col("labelled"), "left"))
+    # both sides grow with the corpus, and written tables look smaller than they are: never broadcast
+    masked = (facts.join(first.hint("merge"), facts["digest"] == first["copied"], "left")
+              .join(known.hint("merge"), F.col("doc") == F.col("labelled"), "left"))
     mask = (F.col("own") + F.when(late, 16).otherwise(0)).alias("mask")
     return masked.groupBy("part", mask).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("good")).alias("good"), F.count_if(F.col("toxic")).alias("toxic"))
@@ -150,4 +151,4 @@ def audit_filters(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     each other.  Several labels of an id: good or toxic if one of them says so;
     null labels say nothing.  Texts are read whole; extra columns are ignored
     whatever their names; an empty table gives no rows."""
-    return audit(mask_counts(docs, labels, id_col, text_col, part_col))
+    return audit(stage(mask_counts(docs, labels, id_col, text_col, part_col), "mask_counts"))
