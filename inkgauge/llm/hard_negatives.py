@@ -164,12 +164,17 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return out
 
 
-def _unpack(column: pa.Array, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(-1, dim)
+def narrowest(wide: float) -> str:
+    """The smallest kind of number that holds all components."""
+    return "<i2" if wide < 2 ** 15 else "<i4" if wide < 2 ** 31 else "<f8"
 
 
-def _binary(rows: np.ndarray) -> pa.Array:
-    return pa.array([x.tobytes() for x in np.ascontiguousarray(rows, "<f8")], pa.binary())
+def _unpack(column: pa.Array, dim: int, kind: str = "<f8") -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, dim).astype(np.float64)
+
+
+def _binary(rows: np.ndarray, kind: str = "<f8") -> pa.Array:
+    return pa.array([x.tobytes() for x in np.ascontiguousarray(rows, kind)], pa.binary())
 
 
 def _integers(batches: Iterator[pa.RecordBatch], dim: int, scale: int) -> Iterator[pa.RecordBatch]:
@@ -202,18 +207,19 @@ class Index:
     rows: DataFrame
     dim: int
     longest: float
+    kind: str
 
 
 def _lift(square: np.ndarray, longest: float) -> np.ndarray:
     return np.sqrt(np.maximum(longest - square, 0))
 
 
-def _routed(batches: Iterator[pa.RecordBatch], nodes: list[Node], dim: int, longest: float) -> Iterator[pa.RecordBatch]:
+def _routed(batches: Iterator[pa.RecordBatch], nodes: list[Node], dim: int, longest: float, kind: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            square = batch.column("square").to_numpy()
-            leaf = route(nodes, _unpack(batch.column("v"), dim), _lift(square, longest))
-            yield pa.record_batch([*[batch.column(c) for c in ("uid", "id", "label", "v")], pa.array(leaf)],
+            rows = _unpack(batch.column("v"), dim)
+            leaf = route(nodes, rows, _lift(batch.column("square").to_numpy(), longest))
+            yield pa.record_batch([*[batch.column(c) for c in ("uid", "id", "label")], _binary(rows, kind), pa.array(leaf)],
                                   names=["uid", "id", "label", "v", "leaf"])
 
 
@@ -275,14 +281,14 @@ def build_index(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str =
     sample = rows.orderBy(F.xxhash64("id"), "id", "v").limit(sample_rows).select("v", "square").collect()
     points = np.frombuffer(b"".join(bytes(r["v"]) for r in sample), "<f8").reshape(-1, dim)
     nodes, leaves = fit(points, _lift(np.array([r["square"] for r in sample], np.float64), longest), arity, leaf_sample)
-    tree = dict(nodes=nodes, dim=dim, longest=longest)
+    tree, kind = dict(nodes=nodes, dim=dim, longest=longest), narrowest(wide)
     for node in nodes:
         node.lo, node.hi = (np.full((len(node.points),) * 2, x) for x in (np.inf, -np.inf))
     # at most arity ** 2 numbers a node, whatever the number of rows
     for r in (rows.mapInArrow(functools.partial(_ranges, **tree), "node int, i int, j int, lo double, hi double")
               .groupBy("node", "i", "j").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()):
         nodes[r["node"]].lo[r["i"], r["j"]], nodes[r["node"]].hi[r["i"], r["j"]] = r["lo"], r["hi"]
-    routed = stage(rows.mapInArrow(functools.partial(_routed, **tree), "uid bigint, id bigint, label int, v binary, leaf int"), "routed")
+    routed = stage(rows.mapInArrow(functools.partial(_routed, **tree, kind=kind), "uid bigint, id bigint, label int, v binary, leaf int"), "routed")
     n_blocks = [1] * max(leaves, 1)
     for r in routed.groupBy("leaf").count().collect():
         n_blocks[r["leaf"]] = -(-r["count"] // block_rows)
@@ -291,7 +297,7 @@ def build_index(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str =
                .repartition("leaf", "block").sortWithinPartitions("leaf", "block"))
     blocks = stage(blocked.mapInArrow(functools.partial(_packed, dim=dim),
                                       "leaf int, block int, uids binary, ids binary, labels binary, m binary"), "blocks")
-    return Index(nodes, max(leaves, 1), blocks, n_blocks, routed, dim, longest)
+    return Index(nodes, max(leaves, 1), blocks, n_blocks, routed, dim, longest, kind)
 
 
 # ------------------------------------------------------------------ search
@@ -304,8 +310,8 @@ FOUND = "uid bigint, w int, score bigint, found bigint, found_uid bigint"
 NO_SCORE = 2 ** 62
 
 
-def _annuli(batch: pa.RecordBatch, dim: int, longest: float):
-    q = _unpack(batch.column("v"), dim)
+def _annuli(batch: pa.RecordBatch, dim: int, longest: float, kind: str):
+    q = _unpack(batch.column("v"), dim, kind)
     windows = batch.column("windows").to_pylist()
     width = max(map(len, windows), default=0) or 1
     near, far = np.full((len(q), width), 1.0), np.full((len(q), width), -1.0)
@@ -317,15 +323,15 @@ def _annuli(batch: pa.RecordBatch, dim: int, longest: float):
     return q, near, far
 
 
-def _parcels(batches: Iterator[pa.RecordBatch], nodes: list[Node], leaves: int, dim: int, longest: float, probe: bool,
-             n_blocks: list[int], size: int) -> Iterator[pa.RecordBatch]:
+def _parcels(batches: Iterator[pa.RecordBatch], nodes: list[Node], leaves: int, dim: int, longest: float, kind: str,
+             probe: bool, n_blocks: list[int], size: int) -> Iterator[pa.RecordBatch]:
     """Per leaf that may hold results, the queries that go there: the own leaf
     (``probe``) or all others."""
     names = ["uid", "label", "v", "windows"]
     for whole in batches:
         for a in range(0, whole.num_rows, size):
             batch = whole.slice(a, size)
-            q, near, far = _annuli(batch, dim, longest)
+            q, near, far = _annuli(batch, dim, longest, kind)
             goes = reached(nodes, leaves, q, near, far)
             own = batch.column("leaf").to_numpy()
             at_home = np.zeros_like(goes)
@@ -352,15 +358,15 @@ def _first(scores: np.ndarray, ids: np.ndarray, uids: np.ndarray, k: int) -> np.
     return at[np.lexsort((uids[at], ids[at], -scores[at]))][:k]
 
 
-def _searched(batches: Iterator[pa.RecordBatch], dim: int, k: int) -> Iterator[pa.RecordBatch]:
+def _searched(batches: Iterator[pa.RecordBatch], dim: int, kind: str, k: int) -> Iterator[pa.RecordBatch]:
     """Exact scores of a parcel's queries against a block; the first ``k`` rows of each window."""
     for batch in batches:
         for row in range(batch.num_rows):
             get = lambda c: batch.column(c)[row].as_buffer()
-            m, labels = np.frombuffer(get("m"), "<f8").reshape(-1, dim), np.frombuffer(get("labels"), "<i4")
+            m, labels = np.frombuffer(get("m"), kind).reshape(-1, dim).astype(np.float64), np.frombuffer(get("labels"), "<i4")
             ids, uids = np.frombuffer(get("ids"), "<i8"), np.frombuffer(get("uids"), "<i8")
             queries = pa.ipc.open_stream(get("queries")).read_all().combine_chunks().to_batches()[0]
-            q = _unpack(queries.column("v"), dim)
+            q = _unpack(queries.column("v"), dim, kind)
             of, label = queries.column("uid").to_pylist(), queries.column("label").to_pylist()
             out = []
             windows = queries.column("windows").to_pylist()
@@ -368,12 +374,19 @@ def _searched(batches: Iterator[pa.RecordBatch], dim: int, k: int) -> Iterator[p
             for a in range(0, len(q), strip):
                 scores = np.rint(q[a:a + strip] @ m.T).astype(np.int64)
                 for i, s in enumerate(scores, a):
-                    same = labels == label[i]
-                    for w in windows[i]:
-                        hit = np.flatnonzero((s >= w["lo"]) & (s <= w["hi"]) & (same == w["same"]) & (uids != of[i]))
+                    asked = [w for w in windows[i] if w["lo"] <= w["hi"]]
+                    if not asked:
+                        continue
+                    some = np.flatnonzero((s >= min(w["lo"] for w in asked)) & (s <= max(w["hi"] for w in asked)) & (uids != of[i]))
+                    if not len(some):
+                        continue
+                    s, same = s[some], labels[some] == label[i]
+                    for w in asked:
+                        hit = np.flatnonzero((s >= w["lo"]) & (s <= w["hi"]) & (same == w["same"]))
                         if len(hit):
-                            hit = hit[_first(s[hit], ids[hit], uids[hit], k)]
-                            out += zip([of[i]] * len(hit), [w["w"]] * len(hit), s[hit].tolist(), ids[hit].tolist(), uids[hit].tolist())
+                            hit = hit[_first(s[hit], ids[some[hit]], uids[some[hit]], k)]
+                            at = some[hit]
+                            out += zip([of[i]] * len(hit), [w["w"]] * len(hit), s[hit].tolist(), ids[at].tolist(), uids[at].tolist())
             if out:
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)],
@@ -381,12 +394,13 @@ def _searched(batches: Iterator[pa.RecordBatch], dim: int, k: int) -> Iterator[p
 
 
 def _visit(index: Index, queries: DataFrame, probe: bool, k: int) -> DataFrame:
-    cut = functools.partial(_parcels, nodes=index.nodes, leaves=index.leaves, dim=index.dim, longest=index.longest,
+    cut = functools.partial(_parcels, nodes=index.nodes, leaves=index.leaves, dim=index.dim, longest=index.longest, kind=index.kind,
                             probe=probe, n_blocks=index.n_blocks, size=PARCEL_QUERIES)
     parcels = queries.select("uid", "label", "v", "leaf", "windows").mapInArrow(cut, "q_leaf int, q_block int, queries binary")
     b = index.blocks
-    met = parcels.join(b, (F.col("q_leaf") == b["leaf"]) & (F.col("q_block") == b["block"]))
-    return met.select("queries", "uids", "ids", "labels", "m").mapInArrow(functools.partial(_searched, dim=index.dim, k=k), FOUND)
+    # parcels repeat a query for each leaf that it visits, which Spark's estimate of their size can't know: no broadcast
+    met = parcels.hint("merge").join(b, (F.col("q_leaf") == b["leaf"]) & (F.col("q_block") == b["block"]))
+    return met.select("queries", "uids", "ids", "labels", "m").mapInArrow(functools.partial(_searched, dim=index.dim, kind=index.kind, k=k), FOUND)
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
