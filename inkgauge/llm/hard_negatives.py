@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import prepare, stage
 
-#: Rows that the split points are chosen from (by hash order of their ids).
+#: Rows that the split points are chosen from, drawn by hash.
 SAMPLE_ROWS = 4096
 #: Split points per node, and sample rows below which a node stays a leaf.
 ARITY, LEAF_SAMPLE = 8, 128
@@ -275,10 +275,13 @@ def build_index(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str =
                 block_rows: int = BLOCK_ROWS) -> Index:
     """Fit the tree on ``sample_rows`` rows at most, then index every row."""
     rows, dim = vectors(embeddings, id_col, vector_col, label_col, scale)
-    longest, wide = rows.agg(F.coalesce(F.max("square"), F.lit(0.0)), F.coalesce(F.max("wide"), F.lit(0.0))).first()
+    n, longest, wide = rows.agg(F.count(F.lit(1)), F.coalesce(F.max("square"), F.lit(0.0)), F.coalesce(F.max("wide"), F.lit(0.0))).first()
     if dim * wide * wide >= EXACT:
         raise ValueError("components are too large for exact inner products")
-    sample = rows.orderBy(F.xxhash64("id"), "id", "v").limit(sample_rows).select("v", "square").collect()
+    # thinned before it is ordered, so that a task sends its share of the sample and no more
+    drawn = F.xxhash64("uid").alias("h")
+    some = rows.select(drawn, "uid", "v", "square").where(F.pmod("h", F.lit(max(n, 1))) < sample_rows + sample_rows // 4)
+    sample = some.orderBy("h", "uid").limit(sample_rows).select("v", "square").collect()
     points = np.frombuffer(b"".join(bytes(r["v"]) for r in sample), "<f8").reshape(-1, dim)
     nodes, leaves = fit(points, _lift(np.array([r["square"] for r in sample], np.float64), longest), arity, leaf_sample)
     tree, kind = dict(nodes=nodes, dim=dim, longest=longest), narrowest(wide)
