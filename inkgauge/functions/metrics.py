@@ -66,24 +66,41 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+#: Code points that a word's number may take: from U+0100, the surrogates left out.
+FIRST_CODE, SURROGATES, LAST_CODE = 0x100, (0xD800, 0x800), 0x10FFFF
+
+
 def _code_point_string(tokens: Column, vocab: Column) -> Column:
     """Map every token to one private character (its vocabulary position) so
-    a character edit distance is a token edit distance.  Code points start
-    at U+0100 and jump the surrogate block; UTF-32 gives room for > 1M
-    distinct tokens per pair, far above what the length cap allows."""
+    a character edit distance is a token edit distance.  A vocabulary beyond
+    the code points fails the job instead of decoding to something else."""
     def codes(v):
         def cp(w):
-            pos = F.array_position(v, w) + F.lit(0xFF)
-            pos = F.when(pos >= 0xD800, pos + 0x800).otherwise(pos)
+            pos = F.array_position(v, w) + F.lit(FIRST_CODE - 1)
+            pos = F.when(pos >= SURROGATES[0], pos + SURROGATES[1]).otherwise(pos)
             return F.decode(F.unhex(F.lpad(F.hex(pos), 8, "0")), "UTF-32")
-        return F.array_join(F.transform(tokens, cp), "")
+        room = LAST_CODE - FIRST_CODE - SURROGATES[1]
+        return F.when(F.size(v) > room, F.raise_error(F.lit("word edit distance: more distinct words than code points"))
+                      ).otherwise(F.array_join(F.transform(tokens, cp), ""))
     return let(vocab, codes)
 
 
+#: Bands of the edit distance that are tried before the whole table.
+EDIT_BANDS = (32, 512)
+
+
 def word_edit_distance(ref_words: Column, hyp_words: Column) -> Column:
-    """Levenshtein distance over words (insert / delete / substitute = 1)."""
+    """Levenshtein distance over words (insert / delete / substitute = 1).
+
+    Spark's banded form costs the band times the length, so narrow bands go
+    first; -1 says that the distance is larger."""
     vocab = F.array_distinct(F.concat(ref_words, hyp_words))
-    return F.levenshtein(_code_point_string(ref_words, vocab), _code_point_string(hyp_words, vocab))
+    pair = F.struct(_code_point_string(ref_words, vocab).alias("a"), _code_point_string(hyp_words, vocab).alias("b"))
+    whole = lambda p: F.levenshtein(p["a"], p["b"])
+    def banded(p):
+        tries = [F.nullif(F.levenshtein(p["a"], p["b"], k), F.lit(-1)) for k in EDIT_BANDS]
+        return F.coalesce(*tries, whole(p))
+    return let(pair, banded)
 
 
 def word_error_rate(ref_words: Column, hyp_words: Column) -> Column:

@@ -1,18 +1,20 @@
-"""Word edit distance and sentence BLEU in Arrow batches.
-
-Small per-row helpers; Spark still partitions the (document, method) pairs
-and ships them to Python in Arrow batches.  One pandas UDF returns a struct
-with every requested field, so each pair crosses the JVM/Python boundary
-once however many of these metrics are active.
+"""Word edit distance and sentence BLEU over Arrow batches.
+
+Spark partitions the (document, method) pairs and ships them to Python in
+Arrow batches.  One pandas UDF returns a struct with every requested field, so
+each pair crosses the JVM/Python boundary once however many of these metrics
+are active.  The pairs of one document arrive together: its reference and all
+its hypotheses are coded as numbers in one go, and n-grams are counted by
+sorted arrays instead of one Python dictionary per pair.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
-from functools import lru_cache
+from itertools import groupby
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,33 +29,58 @@ BLEU_SMOOTH_K = 5
 _WORD_RE = re.compile(r"\w+")
 
 
-@lru_cache(maxsize=8)
-def _bleu_reference(ref_text: str):
-    """Reference side of BLEU, cached: the pairs of one document arrive
-    together and share their reference."""
-    ref = _WORD_RE.findall(ref_text.lower())
-    return len(ref), [Counter(zip(*[ref[k:] for k in range(n)])) for n in range(1, BLEU_MAX_N + 1)]
+def _tokens(text: str) -> list[str]:
+    return _WORD_RE.findall(text.lower())
 
 
-def bleu(ref_text: str, hyp_text: str) -> float:
-    """MET10: sentence BLEU (4-gram, uniform weights, smoothing method 4)
-    on ``\\w+`` tokens of the lower-cased texts; an empty side scores 0."""
-    r, ref_counts = _bleu_reference(ref_text)
-    hyp = _WORD_RE.findall(hyp_text.lower())
-    if not r or not hyp:
-        return 0.0
-    c = len(hyp)
-    matches, totals = [], []
+def clipped_counts(ref: np.ndarray, hyps: list[np.ndarray]) -> np.ndarray:
+    """[hypothesis, n - 1]: n-grams of each coded hypothesis that the reference
+    holds too, each at most as often as there."""
+    out = np.zeros((len(hyps), BLEU_MAX_N), np.int64)
+    sizes = [len(ref), *map(len, hyps)]
+    ends = np.cumsum(sizes)
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    left = ends[text] - np.arange(ends[-1])  # words from here to the end of its text
+    codes = np.concatenate([ref, *hyps])
+    grams = codes
     for n in range(1, BLEU_MAX_N + 1):
-        h = Counter(zip(*[hyp[k:] for k in range(n)]))
-        matches.append(sum((h & ref_counts[n - 1]).values()))
-        totals.append(max(1, c - n + 1))
-    if matches[0] == 0:
+        if n > 1:
+            # the (n - 1)-gram's number and the next word name the n-gram
+            grams = grams[:-1] * (codes.max() + 1) + codes[n - 1:] if len(grams) > 1 else grams[:0]
+        if not len(grams):
+            break
+        _, grams = np.unique(grams, return_inverse=True)
+        whole = left[:len(grams)] >= n
+        of, width = text[:len(grams)], int(grams.max()) + 1
+        in_ref = np.bincount(grams[whole & (of == 0)], minlength=width)
+        for i in range(len(hyps)):
+            a, b = ends[i], min(ends[i + 1], len(grams))
+            if a < b:
+                mine = grams[a:b][whole[a:b]]
+                out[i, n - 1] = np.minimum(np.bincount(mine, minlength=width), in_ref).sum()
+    return out
+
+
+def bleu_scores(ref_text: str, hyp_texts: list[str]) -> list[float]:
+    """MET10: sentence BLEU (4-gram, uniform weights, smoothing method 4) of
+    each text on ``\\w+`` tokens of the lower-cased texts; an empty side scores 0."""
+    number: dict[str, int] = {}
+    coded = [np.fromiter((number.setdefault(w, len(number)) for w in _tokens(t)), np.int64) for t in (ref_text, *hyp_texts)]
+    r = len(coded[0])
+    if not r or not any(map(len, coded[1:])):
+        return [0.0] * len(hyp_texts)
+    return [_score(r, len(h), m.tolist()) for h, m in zip(coded[1:], clipped_counts(coded[0], coded[1:]))]
+
+
+def _score(r: int, c: int, matches: list[int]) -> float:
+    """BLEU of a hypothesis of ``c`` words from its clipped matches."""
+    if not c or matches[0] == 0:
         return 0.0
     bp = 1.0 if c > r else math.exp(1 - r / c)
     logs = []
     inc = 1
-    for m, d in zip(matches, totals):
+    for n, m in enumerate(matches, 1):
+        d = max(1, c - n + 1)
         if m == 0 and c > 1:
             p = (1 / (2 ** inc * BLEU_SMOOTH_K / math.log(c))) / d
             inc += 1
@@ -64,6 +91,10 @@ def bleu(ref_text: str, hyp_text: str) -> float:
     return bp * math.exp(math.fsum(logs))
 
 
+def bleu(ref_text: str, hyp_text: str) -> float:
+    return bleu_scores(ref_text, [hyp_text])[0]
+
+
 def _pattern_masks(a) -> tuple:
     peq: dict = {}
     bit = 1
@@ -102,24 +133,19 @@ def word_edit_distance(a: list, b: list, masks: tuple | None = None) -> int:
     return score
 
 
-@lru_cache(maxsize=8)
-def _wer_reference(ref_text: str):
-    ref = ref_text.split()
-    return ref, _pattern_masks(ref)
-
-
-def word_error_rate(ref_text: str, hyp_text: str):
+def word_error_rates(ref_text: str, hyp_texts: list[str]) -> list:
     """MET11: word edit distance / reference words; empty reference -> None."""
-    ref, masks = _wer_reference(ref_text)
+    ref = ref_text.split()
     if not ref:
-        return None
-    return word_edit_distance(ref, hyp_text.split(), masks) / len(ref)
+        return [None] * len(hyp_texts)
+    masks = _pattern_masks(ref)
+    return [word_edit_distance(ref, h.split(), masks) / len(ref) for h in hyp_texts]
 
 
-# field name -> (Spark type, function of (ref, hyp))
+# field name -> (Spark type, function of a reference and its hypotheses)
 PY_FIELDS = {
-    "bleu_score": (T.DoubleType(), bleu),
-    "word_error_rate": (T.DoubleType(), word_error_rate),
+    "bleu_score": (T.DoubleType(), bleu_scores),
+    "word_error_rate": (T.DoubleType(), word_error_rates),
 }
 
 _UDF_CACHE: dict = {}
@@ -135,11 +161,11 @@ def python_metrics(ref: Column, hyp: Column, fields: list[str]) -> Column:
 
         def run(refs: pd.Series, hyps: pd.Series) -> pd.DataFrame:
             cols = {f: [] for f, _ in funcs}
-            for a, b in zip(refs, hyps):
-                a = a if isinstance(a, str) else ""
-                b = b if isinstance(b, str) else ""
+            pairs = zip(refs.where(refs.notna(), ""), hyps.where(hyps.notna(), ""))
+            for ref, own in groupby(pairs, key=lambda p: p[0]):
+                texts = [h for _, h in own]
                 for f, fn in funcs:
-                    cols[f].append(fn(a, b))
+                    cols[f] += fn(ref, texts)
             return pd.DataFrame(cols)
 
         _UDF_CACHE[key] = F.pandas_udf(run, schema)

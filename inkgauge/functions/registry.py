@@ -31,6 +31,7 @@ class MetricSpec:
     columns: list[str]
     higher_is_better: bool = True
     threshold_key: str | None = None
+    threshold: float | None = None
     build: Callable[["PairContext"], dict[str, Column]] | None = None
     python_fields: list[str] = field(default_factory=list)
 
@@ -53,8 +54,24 @@ def register(spec: MetricSpec) -> None:
     REGISTRY[spec.name] = spec
 
 
-def register_native(name: str, build, columns=None, higher_is_better: bool = True) -> None:
-    register(MetricSpec(name, "native", columns or [name], higher_is_better, build=build))
+def register_native(name: str, build, columns=None, higher_is_better: bool = True, threshold: float | None = None) -> None:
+    """Add a native metric.  With ``threshold`` (or one passed for its name when
+    scoring) an ``equal_<name>`` flag is computed too: at least the threshold,
+    at most it where lower is better."""
+    register(MetricSpec(name, "native", columns or [name], higher_is_better, name if threshold is not None else None,
+                        threshold, build))
+
+
+def equal_flag(spec: MetricSpec, score: Column, thresholds: dict) -> Column | None:
+    """The flag of a score against its family's threshold, if it has one."""
+    limit = thresholds.get(spec.threshold_key or spec.name, spec.threshold)
+    if limit is None:
+        return None
+    return M.at_least(score, limit) if spec.higher_is_better else score <= limit
+
+
+def flag_name(spec: MetricSpec) -> str:
+    return f"equal_{spec.threshold_key or spec.name}"
 
 
 register(MetricSpec("jaccard_similarity", "native", ["jaccard_similarity", "equal_jaccard"],

@@ -1,4 +1,4 @@
-"""Limits, samples and exact splits (LIM1-3, SMP1-3, WIN2).
+"""Limits, samples and exact splits (LIM1-3, SMP1-3).
 
 A limit here is always the operator itself (a preview, a sample of k), and
 always over an explicit order so the result is reproducible.  Exact-size
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .quantiles import rank_within_groups
+from .quantiles import counted_order, covers, rank_within_groups
 
 DEFAULT_SEED = 42
 
@@ -35,11 +35,27 @@ def sample_k(df: DataFrame, key: str, k: int, seed: int = DEFAULT_SEED) -> DataF
 def exact_split(df: DataFrame, key: str, ratio: float = 0.8, seed: int = DEFAULT_SEED,
                 names=("train", "test")) -> DataFrame:
     """SMP2: seeded shuffle, then the first ``int(n * ratio)`` rows go to the
-    first split - exact sizes, unlike ``randomSplit``."""
-    ranked = rank_within_groups(df.withColumn("_h", seeded_key(key, seed)), [], ["_h", key])
+    first split - exact sizes, unlike ``randomSplit``.
+
+    Only hashes and keys are ranked: the row at the cut (one row to the driver)
+    tells every other row its side, so the rows themselves never move.  Copies
+    of the key at the cut are divided by their rank among themselves."""
+    order = ["_h", key]
+    keyed = df.withColumn("_h", seeded_key(key, seed))
     cut = F.floor(F.col("_n") * F.lit(float(ratio)))
-    return (ranked.withColumn("split", F.when(F.col("_rank") < cut, F.lit(names[0])).otherwise(F.lit(names[1])))
-            .drop("_h", "_rank", "_n"))
+    at = counted_order(keyed.select(*order), [], order).where(covers(cut)).withColumn("_keep", cut - F.col("_below")).first()
+    if at is None:  # nothing, or all of it goes to the first split
+        return df.withColumn("split", F.lit(names[0]))
+    own = F.struct(F.col("_h"), F.col(key))
+    edge = F.struct(F.lit(at["_h"]).alias("_h"), F.lit(at[key]).cast(df.schema[key].dataType).alias(key))
+    first, second = F.lit(names[0]), F.lit(names[1])
+    split = F.when(own < edge, first).otherwise(second)
+    if not at["_keep"]:
+        return keyed.withColumn("split", split).drop("_h")
+    same = own.eqNullSafe(edge)
+    divided = rank_within_groups(keyed.where(same), [], order).withColumn(
+        "split", F.when(F.col("_rank") < at["_keep"], first).otherwise(second)).drop("_rank", "_n")
+    return keyed.where(~same).withColumn("split", split).unionByName(divided).drop("_h")
 
 
 def nested_subsets(df: DataFrame, key: str, sizes: list[int], group: str | None = None,
@@ -51,9 +67,3 @@ def nested_subsets(df: DataFrame, key: str, sizes: list[int], group: str | None
     return (ranked.withColumn("subsets", F.filter(F.array(*[F.lit(s) for s in sizes]),
                                                   lambda s: F.col("_rank") < s))
             .drop("_h", "_rank", "_n"))
-
-
-def running_index(df: DataFrame, order: list[str]) -> DataFrame:
-    """WIN2: 1-based position ``idx`` of ``total`` without a global window."""
-    ranked = rank_within_groups(df, [], order)
-    return ranked.withColumn("idx", F.col("_rank") + 1).withColumnRenamed("_n", "total").drop("_rank")

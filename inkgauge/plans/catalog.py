@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
+from ..functions.registry import register_native
 from ..functions import text as TX
 from ..operators import histograms as H
 from ..operators import joins as J
@@ -30,25 +31,42 @@ from . import score as S
 SET_METRICS = ["precision", "recall", "jaccard_similarity"]
 METRIC_KEYS = ["metric", "method", "ordinal"]
 
+# A metric of the caller's own (UDF3): how far the length is off, as a share of
+# the reference; lower is better, and nothing bounds it by 1.
+register_native("length_error_rate", lambda c: {"length_error_rate": F.when(
+    F.length(c.ref) > 0, F.abs(F.length(c.hyp) - F.length(c.ref)) / F.length(c.ref))},
+    higher_is_better=False, threshold=0.05)
+REPORT_METRICS = [*SET_METRICS, "bleu_score", "length_error_rate"]
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def evaluation_input(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The merged wide table: primary inputs joined with the BART outputs."""
+def evaluation_input(spark: SparkSession, sf_dir: str, partitions: int | None = None) -> DataFrame:
+    """The merged wide table: primary inputs joined with the BART outputs.
+
+    A table in few files or row groups is read by as few tasks; ``partitions``
+    deals its rows to that many before the text work (default: as read)."""
     docs = table(spark, sf_dir, "documents")
+    docs = docs.repartition(partitions) if partitions else docs
     return S.merge_inputs(derived.primary_table(docs), derived.bart_table(docs))
 
 
-def set_scores(spark, sf_dir, metrics=SET_METRICS, **kw) -> DataFrame:
-    return S.score(evaluation_input(spark, sf_dir), metrics=metrics, flag_repetition=False, **kw)
+def set_scores(spark, sf_dir, metrics=SET_METRICS, partitions: int | None = None, **kw) -> DataFrame:
+    return S.score(evaluation_input(spark, sf_dir, partitions), metrics=metrics, flag_repetition=False, **kw)
+
+
+def set_values(spark, sf_dir, metrics=SET_METRICS, partitions: int | None = None) -> DataFrame:
+    """Long metric values, computed where they are read: for reports that read
+    them once (counted values, one aggregate)."""
+    return S.metric_values(set_scores(spark, sf_dir, metrics, partitions), metrics)
 
 
-def set_values(spark, sf_dir) -> DataFrame:
-    """Long metric values, materialised once: every aggregate below reads
-    them several times (moments, range-partition sampling, rank blocks)."""
-    return materialize(S.metric_values(set_scores(spark, sf_dir), SET_METRICS))
+def kept_values(spark, sf_dir, metrics=SET_METRICS, partitions: int | None = None) -> DataFrame:
+    """The same, materialised once, for reports with several passes (moments
+    and quartiles; the list of metrics and the means)."""
+    return materialize(set_values(spark, sf_dir, metrics, partitions))
 
 
 def _r(c: str, places: int = 9):
@@ -58,8 +76,8 @@ def _r(c: str, places: int = 9):
 # ------------------------------------------------------------------ scoring
 
 def q_score_summary(spark, sf_dir):
-    """Flagship: normalise, set metrics, AGG1 summary."""
-    return stats.summary_statistics(set_values(spark, sf_dir))
+    """Flagship: normalise, set metrics, BLEU, AGG1 summary."""
+    return stats.summary_statistics(kept_values(spark, sf_dir, REPORT_METRICS))
 
 
 def q_precision_recall(spark, sf_dir):
@@ -197,7 +215,7 @@ def q_coerce_numeric(spark, sf_dir):
 # ------------------------------------------------------------------ aggregates
 
 def q_hist10(spark, sf_dir):
-    return H.percent_histogram(set_values(spark, sf_dir), METRIC_KEYS)
+    return H.percent_histogram(set_values(spark, sf_dir, REPORT_METRICS), METRIC_KEYS)
 
 
 def q_hist20(spark, sf_dir):
@@ -216,18 +234,45 @@ def q_kde(spark, sf_dir):
 
 
 def q_boxplot(spark, sf_dir):
-    b = H.box_stats(set_values(spark, sf_dir), METRIC_KEYS)
-    return b.select(*METRIC_KEYS, "n", _r("q1"), _r("median"), _r("q3"), _r("whisker_low"), _r("whisker_high"),
-                    "outliers")
+    return _boxes(set_values(spark, sf_dir, REPORT_METRICS), METRIC_KEYS)
+
+
+def _boxes(values, keys):
+    b = H.box_stats(values, keys)
+    return b.select(*keys, "n", _r("q1"), _r("median"), _r("q3"), _r("whisker_low"), _r("whisker_high"), "outliers")
+
+
+BOX_SCORES = ["jaccard_similarity", "recall"]
+
+
+def variant_values(spark, sf_dir) -> DataFrame:
+    """Scores of the three engines, missing where an engine has no text, with
+    and without the incomplete rows."""
+    wide = evaluation_input(spark, sf_dir).select("id", "transcription", *ANALYSIS_METHODS)
+    scored = S.score_wide(wide, ANALYSIS_METHODS, BOX_SCORES)
+    held = scored.select("id", *[F.when(F.col(m).isNotNull(), F.col(f"{m}_{c}")).alias(f"{m}_{c}")
+                                 for m in ANALYSIS_METHODS for c in BOX_SCORES])
+    return H.with_variants(held, ANALYSIS_METHODS, BOX_SCORES)
+
+
+def q_boxplot_variants(spark, sf_dir):
+    """AGG8: boxes over all rows and over complete rows only."""
+    return _boxes(variant_values(spark, sf_dir), ["variant", *METRIC_KEYS])
+
+
+def q_box_outliers(spark, sf_dir):
+    """AGG8: the outlier rows of both variants, with the side they are on."""
+    out = H.box_outliers(materialize(variant_values(spark, sf_dir)), ["variant", *METRIC_KEYS])
+    return out.select("id", "variant", *METRIC_KEYS, _r("value"), "side")
 
 
 def q_mean_bar(spark, sf_dir):
-    m = stats.mean_by_method(set_values(spark, sf_dir), derived.METHODS)
+    m = stats.mean_by_method(kept_values(spark, sf_dir), derived.METHODS)
     return m.select("metric", "method", "ordinal", _r("mean_pct"))
 
 
 def q_top_bottom_rank(spark, sf_dir):
-    r = stats.rank_methods(set_values(spark, sf_dir))
+    r = stats.rank_methods(set_values(spark, sf_dir, REPORT_METRICS))
     return r.select(*METRIC_KEYS, _r("mean"), "rank_desc", "rank_asc", "best_rank", "top_k", "bottom_k")
 
 
@@ -241,7 +286,7 @@ def q_runtime_stats(spark, sf_dir):
 def q_chart_labels(spark, sf_dir):
     """SCL15 / SCL19: plot titles and labels - metric title, "method
     (Median: x.xx)" legend entries and "xx.x%" bar labels."""
-    d = stats.describe(set_values(spark, sf_dir), METRIC_KEYS, probs={"median": 0.5})
+    d = stats.describe(kept_values(spark, sf_dir), METRIC_KEYS, probs={"median": 0.5})
     return d.select(*METRIC_KEYS, TX.metric_title(F.col("metric")).alias("title"),
                     F.concat(F.col("method"), F.lit(" (Median: "), TX.py_format(F.col("median"), ".2f"),
                              F.lit(")")).alias("median_label"),
@@ -266,7 +311,7 @@ def q_sample_k(spark, sf_dir, k: int = 20):
 
 
 def q_order_methods(spark, sf_dir):
-    vals = set_values(spark, sf_dir).where(F.col("metric") == "precision")
+    vals = set_values(spark, sf_dir, ["precision"])
     return (vals.groupBy("ordinal", "method").agg(F.count(F.lit(1)).alias("pairs"))
             .orderBy("ordinal"))
 
@@ -533,6 +578,8 @@ CATALOG = {
     "hist30_density": q_hist30_density,
     "kde": q_kde,
     "boxplot": q_boxplot,
+    "boxplot_variants": q_boxplot_variants,
+    "box_outliers": q_box_outliers,
     "mean_bar": q_mean_bar,
     "top_bottom_rank": q_top_bottom_rank,
     "runtime_stats": q_runtime_stats,

@@ -30,18 +30,39 @@ def values() -> str:
     return O.unpivot_metrics(scored_sets(), SET_METRICS)
 
 
+REPORT_METRICS = [*SET_METRICS, "bleu_score", "length_error_rate"]
+
+
+def report_values() -> str:
+    """Set metrics, BLEU and length error of all pairs (the pairs once)."""
+    own = (f"SELECT *, CASE WHEN length(ref) > 0 THEN abs(length(hyp) - length(ref)) / length(ref) END AS length_error_rate "
+           f"FROM ({O.set_metrics_select('SELECT * FROM pairs')})")
+    return (f"WITH pairs AS MATERIALIZED (SELECT row_number() OVER () AS pid, * FROM ({O.long_pairs()})), "
+            f"b AS MATERIALIZED ({_bleu('pairs')}), "
+            f"scores AS (SELECT s.*, b.bleu_score FROM ({own}) s JOIN b ON s.pid = b.pid) "
+            + O.unpivot_metrics("SELECT * FROM scores", REPORT_METRICS))
+
+
+def over_report_values(sql: str) -> str:
+    """``sql`` with the report's values as the table ``report_values``."""
+    return f"WITH report_values AS MATERIALIZED ({report_values()}) {sql}"
+
+
 def r9(e: str, alias: str, places: int = 9) -> str:
     return f"round({e}, {places}) AS {alias}"
 
 
-def clean_values() -> str:
-    return f"SELECT {KEYS}, value FROM ({values()}) WHERE value IS NOT NULL AND NOT isnan(value)"
+def clean_values(source: str | None = None) -> str:
+    return f"SELECT {KEYS}, value FROM ({source or values()}) WHERE value IS NOT NULL AND NOT isnan(value)"
+
+
+REPORT = "SELECT * FROM report_values"
 
 
 # ------------------------------------------------------------------ scoring
 
 def sql_score_summary():
-    return O.summary(values())
+    return over_report_values(O.summary(REPORT))
 
 
 def sql_precision_recall():
@@ -54,10 +75,14 @@ def sql_jaccard():
 
 
 def sql_bleu():
+    return (f"WITH pairs AS MATERIALIZED (SELECT row_number() OVER () AS pid, * FROM ({O.long_pairs()})) "
+            f"SELECT id, method, ordinal, {r9('bleu_score', 'bleu_score')} FROM pairs JOIN ({_bleu('pairs')}) USING (pid)")
+
+
+def _bleu(pairs_table: str) -> str:
     tok = q(f"[{PY_WORD_CLASS}]+")
-    pairs = (f"SELECT row_number() OVER () AS pid, id, method, ordinal, "
-             f"regexp_extract_all(lower(ref), {tok}) AS r, regexp_extract_all(lower(hyp), {tok}) AS h "
-             f"FROM ({O.long_pairs()})")
+    pairs = (f"SELECT pid, regexp_extract_all(lower(ref), {tok}) AS r, regexp_extract_all(lower(hyp), {tok}) AS h "
+             f"FROM {pairs_table}")
     grams = lambda side: (
         f"SELECT pid, n, array_to_string(list_slice({side}, i, i + n - 1), ' ') AS g FROM "
         f"(SELECT pid, {side}, n, unnest(range(1, len({side}) - n + 2)) AS i FROM p, "
@@ -69,8 +94,7 @@ def sql_bleu():
         f"rc AS (SELECT pid, n, g, count(*) AS c FROM ({grams('r')}) GROUP BY ALL), "
         f"mm AS (SELECT hc.pid, hc.n, sum(least(hc.c, coalesce(rc.c, 0))) AS m FROM hc "
         f"LEFT JOIN rc ON hc.pid = rc.pid AND hc.n = rc.n AND hc.g = rc.g GROUP BY ALL), "
-        f"agg AS (SELECT p.pid, any_value(id) AS id, any_value(method) AS method, any_value(ordinal) AS ordinal, "
-        f"any_value(len(h)) AS c, any_value(len(r)) AS rl, "
+        f"agg AS (SELECT p.pid, any_value(len(h)) AS c, any_value(len(r)) AS rl, "
         + ", ".join(f"{m[k - 1]} AS m{k}" for k in range(1, 5))
         + " FROM p LEFT JOIN mm ON p.pid = mm.pid GROUP BY p.pid), "
         "z AS (SELECT *, (m2 = 0)::INT AS z2, (m2 = 0)::INT + (m3 = 0)::INT AS z3, "
@@ -79,10 +103,10 @@ def sql_bleu():
             f"CASE WHEN m{k} = 0 THEN CASE WHEN c > 1 THEN (1 / (power(2, {('z' + str(k)) if k > 1 else 1}) * 5 "
             f"/ ln(c))) / greatest(1, c - {k} + 1) ELSE 0 END ELSE m{k} / greatest(1, c - {k} + 1) END AS p{k}"
             for k in range(1, 5)) + " FROM z) "
-        "SELECT id, method, ordinal, round(CASE WHEN c = 0 OR rl = 0 OR m1 = 0 THEN 0.0 ELSE "
+        "SELECT pid, CASE WHEN c = 0 OR rl = 0 OR m1 = 0 THEN 0.0 ELSE "
         "(CASE WHEN c > rl THEN 1.0 ELSE exp(1 - rl / c) END) * exp("
         + " + ".join(f"CASE WHEN p{k} > 0 THEN ln(p{k}) / 4 ELSE 0 END" for k in range(1, 5))
-        + ") END, 9) AS bleu_score FROM pp")
+        + ") END AS bleu_score FROM pp")
     return body
 
 
@@ -209,11 +233,12 @@ def sql_coerce_numeric():
 def sql_hist10():
     edges = "[" + ", ".join(f"{float(e)}" for e in PERCENT_EDGES) + "]"
     labels = ["underflow"] + percent_bin_labels() + ["overflow"]
-    binned = f"SELECT {KEYS}, len(list_filter({edges}, lambda e: e <= value * 100)) AS b FROM ({clean_values()})"
+    binned = (f"SELECT {KEYS}, CASE WHEN value IS NOT NULL AND NOT isnan(value) THEN len(list_filter({edges}, lambda e: e <= value * 100)) END AS b "
+              f"FROM report_values")
     counts = ", ".join(f"count_if(b = {i})" for i in range(len(labels)))
     lab = "[" + ", ".join(q(x) for x in labels) + "]"
-    return (f"SELECT {KEYS}, unnest(range({len(labels)})) AS bin, unnest({lab}) AS label, unnest([{counts}]) AS count "
-            f"FROM ({binned}) GROUP BY {KEYS}")
+    return over_report_values(f"SELECT {KEYS}, unnest(range({len(labels)})) AS bin, unnest({lab}) AS label, unnest([{counts}]) AS count "
+                              f"FROM ({binned}) GROUP BY {KEYS}")
 
 
 def _edge(i: str, bins: int) -> str:
@@ -262,19 +287,53 @@ def sql_kde():
             f"FROM ({contrib}) GROUP BY {KEYS}, k, x, n, h")
 
 
-def sql_boxplot():
-    qs = (f"SELECT {KEYS}, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median, "
-          f"quantile_cont(value, 0.75) AS q3 FROM ({clean_values()}) GROUP BY {KEYS}")
-    fences = f"SELECT *, q1 - {WHISKER_IQR} * (q3 - q1) AS flo, q3 + {WHISKER_IQR} * (q3 - q1) AS fhi FROM ({qs})"
+def _fences(keys: str, clean: str) -> str:
+    qs = (f"SELECT {keys}, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median, "
+          f"quantile_cont(value, 0.75) AS q3 FROM ({clean}) GROUP BY {keys}")
+    return f"SELECT *, q1 - {WHISKER_IQR} * (q3 - q1) AS flo, q3 + {WHISKER_IQR} * (q3 - q1) AS fhi FROM ({qs})"
+
+
+def _boxes(keys: str, clean: str) -> str:
     inside = "(value >= flo AND value <= fhi)"
-    agg = (f"SELECT {KEYS}, q1, median, q3, count(value) AS n, min(CASE WHEN {inside} THEN value END) AS lo, "
+    agg = (f"SELECT {keys}, q1, median, q3, count(value) AS n, min(CASE WHEN {inside} THEN value END) AS lo, "
            f"max(CASE WHEN {inside} THEN value END) AS hi, count_if(NOT {inside}) AS outliers "
-           f"FROM ({clean_values()}) v JOIN ({fences}) f USING ({KEYS}) GROUP BY {KEYS}, q1, median, q3")
-    return (f"SELECT {KEYS}, n, round(q1, 9) AS q1, round(median, 9) AS median, round(q3, 9) AS q3, "
+           f"FROM ({clean}) v JOIN ({_fences(keys, clean)}) f USING ({keys}) GROUP BY {keys}, q1, median, q3")
+    return (f"SELECT {keys}, n, round(q1, 9) AS q1, round(median, 9) AS median, round(q3, 9) AS q3, "
             f"round(CASE WHEN lo IS NULL OR lo > q1 THEN q1 ELSE lo END, 9) AS whisker_low, "
             f"round(CASE WHEN hi IS NULL OR hi < q3 THEN q3 ELSE hi END, 9) AS whisker_high, outliers FROM ({agg})")
 
 
+def sql_boxplot():
+    return over_report_values(_boxes(KEYS, clean_values(REPORT)))
+
+
+VARIANT_KEYS = "variant, metric, method, ordinal"
+
+
+def _variants() -> str:
+    """Both variants as the table ``v``; ``rid`` numbers the merged rows."""
+    methods = ["pyte_ocr", "chatgpt_ocr", "vision_base"]
+    rows = f"SELECT row_number() OVER () AS rid, * FROM ({O.merged_table()})"
+    pairs = (f"SELECT rid, id, method, ordinal, raw IS NOT NULL AS present, {O.normalize('transcription')} AS ref, "
+             f"{O.normalize('raw')} AS hyp FROM (SELECT rid, id, transcription, unnest([{', '.join(map(q, methods))}]) AS method, "
+             f"unnest(range({len(methods)})) AS ordinal, unnest([{', '.join(methods)}]) AS raw FROM ({rows}))")
+    scored = (f"SELECT rid, id, method, ordinal, unnest(['jaccard_similarity', 'recall']) AS metric, "
+              f"unnest([CASE WHEN present THEN jaccard_similarity END, CASE WHEN present THEN recall END]) AS value "
+              f"FROM ({O.set_metrics_select(pairs)})")
+    return (f"WITH s AS MATERIALIZED ({scored}), whole AS (SELECT rid FROM s GROUP BY rid HAVING count(value) = {2 * len(methods)}), "
+            f"v AS MATERIALIZED (SELECT 'include_null' AS variant, * FROM s UNION ALL "
+            f"SELECT 'exclude_null', s.* FROM s JOIN whole USING (rid)), clean AS (SELECT * FROM v WHERE value IS NOT NULL) ")
+
+
+def sql_boxplot_variants():
+    return _variants() + _boxes(VARIANT_KEYS, "SELECT * FROM clean")
+
+
+def sql_box_outliers():
+    return (_variants() + f"SELECT id, {VARIANT_KEYS}, round(value, 9) AS value, CASE WHEN value < flo THEN 'low' ELSE 'high' END AS side "
+            f"FROM clean JOIN ({_fences(VARIANT_KEYS, 'SELECT * FROM clean')}) USING ({VARIANT_KEYS}) WHERE value < flo OR value > fhi")
+
+
 def sql_mean_bar():
     names = "[" + ", ".join(q(m) for m in METHODS) + "]"
     full = (f"SELECT metric, unnest({names}) AS method, unnest(range({len(METHODS)})) AS ordinal "
@@ -285,12 +344,12 @@ def sql_mean_bar():
 
 
 def sql_top_bottom_rank():
-    means = f"SELECT {KEYS}, avg(value) AS mean FROM ({values()}) GROUP BY {KEYS}"
+    means = f"SELECT {KEYS}, avg(value) AS mean FROM report_values GROUP BY {KEYS}"
     ranked = (f"SELECT *, row_number() OVER (PARTITION BY metric ORDER BY mean DESC NULLS LAST, ordinal) AS rank_desc, "
               f"row_number() OVER (PARTITION BY metric ORDER BY mean ASC NULLS LAST, ordinal) AS rank_asc, "
               f"count(*) OVER (PARTITION BY metric) AS nm FROM ({means})")
-    return (f"SELECT {KEYS}, round(mean, 9) AS mean, rank_desc, rank_asc, "
-            f"CASE WHEN metric IN ('word_error_rate') THEN rank_asc ELSE rank_desc END AS best_rank, "
+    return over_report_values(f"SELECT {KEYS}, round(mean, 9) AS mean, rank_desc, rank_asc, "
+            f"CASE WHEN metric IN ('word_error_rate', 'length_error_rate') THEN rank_asc ELSE rank_desc END AS best_rank, "
             f"rank_desc <= 3 AS top_k, rank_desc > nm - 3 AS bottom_k FROM ({ranked})")
 
 

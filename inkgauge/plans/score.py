@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..functions.pymetrics import python_metrics
-from ..functions.registry import DEFAULT_METRICS, REGISTRY, PairContext
+from ..functions.registry import DEFAULT_METRICS, REGISTRY, PairContext, equal_flag, flag_name
 from ..functions.text import DEFAULT_PHRASES, normalize_columns
 from ..sources.derived import METHODS
 
@@ -96,8 +96,9 @@ def with_metrics(pairs: DataFrame, metrics: list[str] = DEFAULT_METRICS, thresho
         df = df.withColumn("_py", python_metrics(ref, hyp, py_fields))
         df = df.withColumns({f: F.col("_py." + f) for f in py_fields}).drop("_py")
     flags = {}
-    if "jaccard_similarity" in metrics:
-        flags["equal_jaccard"] = M.at_least(F.col("jaccard_similarity"), th["jaccard"])
+    for m in metrics:
+        if (flag := equal_flag(REGISTRY[m], F.col(m), th)) is not None:
+            flags[flag_name(REGISTRY[m])] = flag
     if flags:
         df = df.withColumns(flags)
     return df.drop("_rw", "_hw", "_rs", "_hs")
@@ -165,8 +166,9 @@ def score_wide(wide: DataFrame, methods: list[str] = METHODS, metrics: list[str]
     for m in present:
         for f in py_fields:
             flat[f"{m}_{f}"] = F.col(f"_py_{m}.{f}")
-        if "jaccard_similarity" in metrics:
-            flat[f"{m}_equal_jaccard"] = M.at_least(F.col(f"{m}_jaccard_similarity"), th["jaccard"])
+        for name in metrics:
+            if (flag := equal_flag(REGISTRY[name], F.col(f"{m}_{name}"), th)) is not None:
+                flat[f"{m}_{flag_name(REGISTRY[name])}"] = flag
     if flat:
         df = df.withColumns(flat)
     helpers = ["_rw", "_rs"] + [f"_{k}_{m}" for m in present for k in ("hw", "hs")]

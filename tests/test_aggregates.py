@@ -7,8 +7,10 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from inkgauge.operators import histograms as H
+from inkgauge.operators import sampling as SM
 from inkgauge.operators import stats
-from inkgauge.operators.quantiles import exact_quantiles, rank_within_groups
+from inkgauge.operators.quantiles import counted_values, cumulated, exact_quantiles, rank_within_groups
+from inkgauge.session import written
 
 
 def _values(spark, data):
@@ -107,18 +109,69 @@ def test_analysis_summary_match_counts(spark):
     assert exc["total_entries"] == 1 and exc["median_first"] == 0.95
 
 
-def test_hot_value_spreads_over_partitions(spark):
-    # one group, one value repeated in a third of the rows: still exact, and
-    # the tie-breaker spreads that value over several range partitions
-    df = spark.range(0, 3000).select(F.lit("g").alias("g"), F.col("id").alias("rid"),
-                                     F.when(F.col("id") % 3 == 0, F.lit(0.5)).otherwise(F.col("id") / 3000.0)
-                                     .alias("value"))
-    q = exact_quantiles(df, ["g"], "value", {"med": 0.5}).first()["med"]
-    xs = [0.5 if i % 3 == 0 else i / 3000.0 for i in range(3000)]
-    assert math.isclose(q, float(np.percentile(xs, 50)), rel_tol=1e-12)
-    ranked = rank_within_groups(df.withColumn("_tie", F.xxhash64("rid")), ["g"], ["value"], partitions=8)
-    pids = ranked.where(F.col("value") == 0.5).select(F.spark_partition_id().alias("p")).distinct().count()
-    assert pids > 1
+def test_hot_value_is_one_row_per_task(spark):
+    # two thirds of 400,000 rows hold one value, without any column to tell them apart
+    df = spark.range(0, 400_000, 1, 8).select((F.col("id") % 2).alias("g"), F.when(F.col("id") % 3 < 2, F.lit(1.0))
+                                              .otherwise(F.rand(3)).alias("value"))
+    counted = counted_values(df, ["g"])
+    assert "Exchange" in counted._jdf.queryExecution().executedPlan().toString()
+    rows = cumulated(counted, ["g"], ["_v"], 8)
+    per_task = [r["n"] for r in written(rows.withColumn("p", F.spark_partition_id()), "t").groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(per_task) < 140_000 and rows.agg(F.max("_c")).first()[0] > 130_000
+    q = {r["g"]: r for r in exact_quantiles(df, ["g"], "value", {"a": 0.1, "m": 0.5}).collect()}
+    xs = {g: np.array([r["value"] for r in df.where(F.col("g") == g).collect()]) for g in (0, 1)}
+    for g in (0, 1):
+        assert q[g]["m"] == 1.0 and math.isclose(q[g]["a"], float(np.percentile(xs[g], 10)), rel_tol=1e-12)
+
+
+def test_null_groups_and_values(spark):
+    df = _values(spark, [(None, 1.0), (None, 3.0), ("a", None), ("b", float("nan")), ("b", 2.0)])
+    assert {r["g"]: r["m"] for r in exact_quantiles(df, ["g"], "value", {"m": 0.5}).collect()} == {None: 2.0, "b": 2.0}
+    hist = H.percent_histogram(_values(spark, [("a", None), ("b", 0.05)]), ["g"]).collect()
+    assert {(r["g"], r["bin"]): r["count"] for r in hist if r["count"]} == {("b", 1): 1} and len(hist) == 24
+    assert {r["g"] for r in H.equal_width_histogram(df, ["g"], 4).collect()} == {None, "b"}
+
+
+def test_box_variants_mask_whole_rows(spark):
+    wide = spark.createDataFrame([("1", 0.1, 0.5), ("2", 0.2, None), ("3", 0.3, float("nan")), ("3", 0.4, 0.6), (None, 9.0, 0.5)],
+                                 "id string, a_s double, b_s double")
+    v = H.with_variants(wide, ["a", "b"], ["s"])
+    excl = sorted((r["method"], r["value"]) for r in v.where("variant = 'exclude_null'").collect())
+    assert excl == [("a", 0.1), ("a", 0.4), ("a", 9.0), ("b", 0.5), ("b", 0.5), ("b", 0.6)]
+    box = {(r["variant"], r["method"]): r for r in H.box_stats(v, ["variant", "method"]).collect()}
+    assert box["include_null", "a"]["n"] == 5 and box["exclude_null", "a"]["n"] == 3 and box["include_null", "b"]["n"] == 3
+    out = H.box_outliers(v, ["variant", "method"]).collect()
+    assert [(r["id"], r["variant"], r["method"], r["value"], r["side"]) for r in out] == [(None, "include_null", "a", 9.0, "high")]
+
+
+def test_split_and_rank_with_repeated_keys(spark):
+    df = spark.createDataFrame([(str(i % 7), f"payload {i}") for i in range(200)], "id string, text string").repartition(4)
+    out = SM.exact_split(df, "id", 0.8)
+    assert {r["split"]: r["count"] for r in out.groupBy("split").count().collect()} == {"train": 160, "test": 40}
+    assert sorted(r["text"] for r in out.collect()) == sorted(f"payload {i}" for i in range(200))
+    assert SM.exact_split(df.limit(0), "id").count() == 0
+    assert SM.exact_split(df, "id", 1.0).where("split = 'test'").count() == 0
+    plan = SM.exact_split(spark.range(1000).selectExpr("cast(id as string) id", "'x' text"), "id")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan  # the rows themselves are not dealt anew
+    same = spark.createDataFrame([("a",)] * 50 + [("b",)] * 3, "v string")
+    assert sorted(r["_rank"] for r in rank_within_groups(same, [], ["v"]).collect()) == list(range(53))
+
+
+def test_added_metric_with_threshold_and_direction(spark):
+    from inkgauge.functions.registry import REGISTRY, register_native
+    from inkgauge.plans import score as S
+    register_native("extra_words", lambda c: {"extra_words": F.size(c.hyp_words) - F.size(c.ref_words)}, higher_is_better=False, threshold=1)
+    try:
+        pairs = spark.createDataFrame([("1", "m", 0, "a b", "a b c"), ("2", "m", 0, "a", "a b c d")],
+                                      "id string, method string, ordinal long, ref string, hyp string")
+        rows = S.with_metrics(pairs, ["extra_words"]).orderBy("id").collect()
+        assert [(r["extra_words"], r["equal_extra_words"]) for r in rows] == [(1, True), (3, False)]
+        assert [r["equal_extra_words"] for r in S.with_metrics(pairs, ["extra_words"], {"extra_words": 5}).collect()] == [True, True]
+        ranked = stats.rank_methods(spark.createDataFrame([("extra_words", "x", 0, 3.0), ("extra_words", "y", 1, 1.0)],
+                                                          "metric string, method string, ordinal long, value double"))
+        assert {r["method"]: r["best_rank"] for r in ranked.collect()} == {"x": 2, "y": 1}
+    finally:
+        del REGISTRY["extra_words"]
 
 
 def test_approximate_modes(spark):

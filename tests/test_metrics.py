@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from inkgauge.functions import metrics as M
@@ -74,6 +76,50 @@ def test_bleu_definition():
     assert abs(P.bleu("a b c", "a") - math.exp(1 - 3) * math.exp(math.log(1.0) / 4)) < 1e-12
 
 
+def test_bleu_matches_a_dictionary_count(spark):
+    import math
+    from collections import Counter
+
+    def plain(ref, hyp):
+        if not ref or not hyp:
+            return 0.0
+        logs, inc = [], 1
+        for n in range(1, 5):
+            h, r = (Counter(zip(*[x[k:] for k in range(n)])) for x in (hyp, ref))
+            m, d = sum((h & r).values()), max(1, len(hyp) - n + 1)
+            if n == 1 and not m:
+                return 0.0
+            if m == 0 and len(hyp) > 1:
+                p, inc = math.log(len(hyp)) / (2 ** inc * 5) / d, inc + 1
+            else:
+                p = m / d
+            logs += [math.log(p) / 4] if p > 0 else []
+        return (1.0 if len(hyp) > len(ref) else math.exp(1 - len(ref) / len(hyp))) * math.exp(sum(logs))
+
+    rnd = random.Random(11)
+    for _ in range(200):
+        texts = [" ".join(rnd.choice("abcde") for _ in range(rnd.choice([0, 1, 2, 3, 5, 40]))) for _ in range(rnd.randint(2, 6))]
+        got = P.bleu_scores(texts[0], texts[1:])
+        want = [plain(texts[0].split(), t.split()) for t in texts[1:]]
+        assert all(abs(a - b) < 1e-12 for a, b in zip(got, want)), (texts, got, want)
+    # pairs of several documents in one batch, references repeated apart
+    pairs = [("a b c d", "a b x d"), ("a b c d", "a b c d"), ("q r", "q"), ("a b c d", "d c b a"), (None, "a"), ("a", None)]
+    rows = S.with_metrics(_pairs(spark, pairs), ["bleu_score"]).orderBy("ordinal").collect()
+    assert all(abs(r["bleu_score"] - plain((a or "").split(), (b or "").split())) < 1e-12 for r, (a, b) in zip(rows, pairs))
+
+
+def test_native_word_edit_distance_bands_and_limit(spark, monkeypatch):
+    rnd = random.Random(5)
+    pairs = [(" ".join(rnd.choice("abcdefgh") for _ in range(n)), " ".join(rnd.choice("abcdefgh") for _ in range(m)))
+             for n, m in ((0, 5), (5, 0), (40, 41), (120, 3), (700, 90), (60, 60))]
+    df = _pairs(spark, pairs).select("ref", "hyp", M.word_edit_distance(M.words(F.col("ref")), M.words(F.col("hyp"))).alias("d"))
+    assert [r["d"] for r in df.collect()] == [P.word_edit_distance(a.split(), b.split()) for a, b in pairs]
+    monkeypatch.setattr(M, "LAST_CODE", M.FIRST_CODE + M.SURROGATES[1] + 3)
+    small = _pairs(spark, [("a b c d e", "a")]).select(M.word_edit_distance(M.words(F.col("ref")), M.words(F.col("hyp"))).alias("d"))
+    with pytest.raises(Exception, match="code points"):
+        small.collect()
+
+
 def test_python_metrics_single_arrow_node(spark):
     df = S.with_metrics(_pairs(spark, [("a b", "a c")]),
                         ["bleu_score", "word_error_rate"])
