@@ -29,6 +29,24 @@ def attach_sidecar(rows: DataFrame, sidecars: DataFrame, column: str, key: str =
                     F.when(F.col("_file").isNull(), F.lit("missing")).otherwise(F.lit("attached")).alias("status"))
 
 
+ATTACHED, MISSING, UNREADABLE = "attached", "missing", "unreadable"
+
+
+def attach_outcomes(rows: DataFrame, sidecars: DataFrame, column: str, key: str = "id", suffix: str = SIDECAR_SUFFIX) -> DataFrame:
+    """JOIN2 with errors as values: ``sidecars`` has ``file_name, text, error``
+    (SRC5).  Adds the text (what could not be read says so in its place, an
+    absent file leaves it empty), ``status`` and ``message``."""
+    sc = sidecars.select(F.col("file_name").alias("_file"), F.col("text").alias("_text"), F.col("error").alias("_error"))
+    name = F.concat(F.col(key), F.lit(suffix))
+    j = rows.join(sc, name == F.col("_file"), "left")
+    status = F.when(F.col("_file").isNull(), MISSING).when(F.col("_error").isNotNull(), UNREADABLE).otherwise(ATTACHED)
+    message = (F.when(status == MISSING, F.concat(F.lit("File "), name, F.lit(" does not exist. Leaving the cell empty.")))
+               .when(status == UNREADABLE, F.concat(F.lit("Error reading "), name, F.lit(": "), F.col("_error"))))
+    text = (F.when(status == UNREADABLE, F.concat(F.lit("Error reading file: "), F.col("_error")))
+            .otherwise(F.coalesce(F.col("_text"), F.lit(""))))
+    return j.select(*[F.col(c) for c in rows.columns], text.alias(column), status.alias("status"), message.alias("message"))
+
+
 def _image_name(key: Column, ext: str) -> Column:
     return F.concat(F.trim(key), F.lit(ext))
 

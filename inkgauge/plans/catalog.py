@@ -20,7 +20,7 @@ from ..operators import project as PR
 from ..operators import sampling as SM
 from ..operators import stats
 from ..sources import derived
-from ..session import materialize, scratch_dir
+from ..session import materialize, scratch_dir, written
 from ..sinks import writers as W
 from ..sources import files as FS
 from ..sources.tables import table
@@ -430,14 +430,56 @@ def q_sample_csv(spark, sf_dir, n: int = 50):
 
 
 def q_sidecar_roundtrip(spark, sf_dir):
-    """SNK3 -> SRC5 -> SCL12: one text file per image output, read back whole
-    and cleaned."""
+    """SNK3 -> SRC5 -> SCL12: one named file per image output, written in two
+    phases, read back whole and cleaned."""
     path = scratch_dir(spark, "sidecars")
-    W.write_per_key_text(derived.sidecars(documents(spark, sf_dir)), path)
-    back = FS.read_keyed_text(spark, path)
+    W.write_named_files(derived.sidecars(documents(spark, sf_dir)), path)
+    back = FS.read_sidecars(spark, path, ".model")
     return back.select("file_name", TX.clean_markup(F.col("text")).alias("cleaned"))
 
 
+def _sidecar_run(spark, sf_dir):
+    """E4 as one run: sidecar files (some of them broken) attached to the
+    documents, written with their outcomes; the table and the counters."""
+    docs = documents(spark, sf_dir)
+    path = scratch_dir(spark, "sidecar_files")
+    W.write_named_files(derived.broken_sidecars(docs), path, value="body")
+    found = FS.read_sidecars(spark, path, ".model", max_bytes=derived.LARGE_SIDECAR)
+    rows = J.attach_outcomes(docs.select(F.col("doc_id").cast("string").alias("id")), found, "vision_base")
+    return stats.run_with_outcomes(rows, scratch_dir(spark, "attached"), [J.ATTACHED, J.MISSING, J.UNREADABLE])
+
+
+def q_sidecar_errors(spark, sf_dir):
+    """SRC5 + AGG11: the run's error list, one row per file that is missing,
+    too large or no UTF-8."""
+    table_, _ = _sidecar_run(spark, sf_dir)
+    return table_.where(F.col("status") != J.ATTACHED).select("id", "vision_base", "status", "message")
+
+
+def q_run_counters(spark, sf_dir):
+    """AGG11: the same run's counters, taken in the pass that writes it."""
+    table_, counts = _sidecar_run(spark, sf_dir)
+    return table_.sparkSession.createDataFrame([counts], "total long, attached long, missing long, unreadable long")
+
+
+def _tolerant(spark, sf_dir):
+    path = scratch_dir(spark, "bad_lines")
+    derived.bad_lines(documents(spark, sf_dir)).write.text(path)
+    return FS.read_tolerant(spark, path, "|", columns=derived.BAD_LINE_COLUMNS, header=False)
+
+
+def q_tolerant_scan(spark, sf_dir):
+    """SRC3: a quoted file with long and short records, by pandas' rule."""
+    return _tolerant(spark, sf_dir)[0]
+
+
+def q_tolerant_counts(spark, sf_dir):
+    """SRC3: what the scan saw, skipped and padded, counted while it is written."""
+    rows, seen = _tolerant(spark, sf_dir)
+    written(rows, "tolerant_rows")
+    return spark.createDataFrame([seen.get], "records long, skipped long, padded long")
+
+
 def q_chat_json_roundtrip(spark, sf_dir):
     """SNK4 -> SRC11: chat records as JSON per split, read back by split."""
     path = scratch_dir(spark, "chat_json")
@@ -601,6 +643,10 @@ CATALOG = {
     "report_blocks": q_report_blocks,
     "csv_roundtrip": q_csv_roundtrip,
     "sidecar_roundtrip": q_sidecar_roundtrip,
+    "sidecar_errors": q_sidecar_errors,
+    "run_counters": q_run_counters,
+    "tolerant_scan": q_tolerant_scan,
+    "tolerant_counts": q_tolerant_counts,
     "chat_json_roundtrip": q_chat_json_roundtrip,
     "analysis_summary": q_analysis_summary,
     "exact_match_incl_excl": q_exact_match_incl_excl,

@@ -13,7 +13,7 @@ from .. import oracle as O
 from ..functions.text import DEFAULT_MAX_CHARS, PY_WORD_CLASS
 from ..operators.histograms import KDE_GRID, PERCENT_EDGES, WHISKER_IQR, percent_bin_labels
 from ..operators.stats import DESIGN_PATTERN
-from ..sources.derived import (BOS, CORRUPT_EVERY, EOT, HDR_END, HDR_START, IMAGE_TOKEN, METHODS, NO_SIDECAR_EVERY,
+from ..sources.derived import (BOS, BROKEN_EVERY, LARGE_SIDECAR, LONG_LINE, SHORT_LINE, CORRUPT_EVERY, EOT, HDR_END, HDR_START, IMAGE_TOKEN, METHODS, NO_SIDECAR_EVERY,
                                PROMPT)
 from .dataset import IGNORE_INDEX, IMAGE_ID, PAD_ID, REPORT_RULE, SPLIT_SEED, TRAIN_RATIO
 
@@ -508,6 +508,43 @@ def sql_sidecar_roundtrip():
     return sql_clean_markup()
 
 
+def _sidecar_outcomes() -> str:
+    name = "CAST(doc_id AS VARCHAR) || '.jpg.model'"
+    raw = O.raw_model_output("text")
+    size = f"strlen({raw}) + CASE WHEN doc_id % {BROKEN_EVERY} = 0 THEN 1 ELSE 0 END"
+    error = (f"CASE WHEN {size} > {LARGE_SIDECAR} THEN 'too large: ' || CAST({size} AS VARCHAR) || ' bytes' "
+             f"WHEN doc_id % {BROKEN_EVERY} = 0 THEN 'not UTF-8' END")
+    return (f"SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % {NO_SIDECAR_EVERY} = 0 THEN '' "
+            f"ELSE coalesce('Error reading file: ' || ({error}), {raw}) END AS vision_base, "
+            f"CASE WHEN doc_id % {NO_SIDECAR_EVERY} = 0 THEN 'missing' WHEN ({error}) IS NOT NULL THEN 'unreadable' ELSE 'attached' END AS status, "
+            f"CASE WHEN doc_id % {NO_SIDECAR_EVERY} = 0 THEN 'File ' || {name} || ' does not exist. Leaving the cell empty.' "
+            f"WHEN ({error}) IS NOT NULL THEN 'Error reading ' || {name} || ': ' || ({error}) END AS message FROM documents")
+
+
+def sql_sidecar_errors():
+    return f"SELECT * FROM ({_sidecar_outcomes()}) WHERE status <> 'attached'"
+
+
+def sql_run_counters():
+    return (f"SELECT count(*) AS total, " + ", ".join(f"count_if(status = '{x}') AS {x}" for x in ("attached", "missing", "unreadable"))
+            + f" FROM ({_sidecar_outcomes()})")
+
+
+def sql_tolerant_scan():
+    from ..sources.files import NA_TOKENS
+    toks = ", ".join(q(t) for t in NA_TOKENS)
+    cut = f"doc_id % 10 = {SHORT_LINE}"
+    cols = {"id": "CAST(doc_id AS VARCHAR)", "lang": "lang", "source": f"CASE WHEN {cut} THEN NULL ELSE source END",
+            "text": f"CASE WHEN {cut} THEN NULL ELSE text END"}
+    sel = ", ".join(f"CASE WHEN {v} IN ({toks}) THEN NULL ELSE {v} END AS {c}" for c, v in cols.items())
+    return f"SELECT {sel} FROM documents WHERE doc_id % 10 <> {LONG_LINE}"
+
+
+def sql_tolerant_counts():
+    return (f"SELECT count(*) AS records, count_if(doc_id % 10 = {LONG_LINE}) AS skipped, "
+            f"count_if(doc_id % 10 = {SHORT_LINE}) AS padded FROM documents")
+
+
 def sql_chat_json_roundtrip():
     return (f"SELECT user_role, user_content, assistant_role, assistant_content, image, split "
             f"FROM ({_records()})")

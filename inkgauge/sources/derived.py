@@ -101,6 +101,32 @@ def sidecars(documents: DataFrame, suffix: str = ".model") -> DataFrame:
                     raw_model_output(F.col("text")).alias("text")))
 
 
+BROKEN_EVERY = 19   # sidecar files with a byte that is no UTF-8 for doc_id % 19 = 0
+LARGE_SIDECAR = 20_000  # sidecar files above this are refused
+
+
+def broken_sidecars(documents: DataFrame) -> DataFrame:
+    """``(file_name, body)``: the sidecars as bytes, some with a stray byte."""
+    s = sidecars(documents).withColumn("_d", F.expr("cast(regexp_extract(file_name, '^(-?[0-9]+)', 1) as long)"))
+    body = F.encode(F.col("text"), "UTF-8")
+    return s.select("file_name", F.when(F.col("_d") % BROKEN_EVERY == 0, F.concat(body, F.unhex(F.lit("FF")))).otherwise(body).alias("body"))
+
+
+BAD_LINE_COLUMNS = ["id", "lang", "source", "text"]
+LONG_LINE, SHORT_LINE = 3, 7  # doc_id % 10: one field too many, the last two missing
+
+
+def bad_lines(documents: DataFrame, sep: str = "|") -> DataFrame:
+    """``(value)``: a quoted record per document, some with a wrong number of fields."""
+    def quoted(c):
+        c = F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('""'))
+        return F.concat(F.lit('"'), c, F.lit('"'))
+    kind = F.pmod(F.col("doc_id"), F.lit(10))
+    fields = [quoted(c) for c in (F.col("doc_id").cast("string"), F.col("lang"), F.col("source"), F.col("text"))]
+    return documents.select(F.when(kind == LONG_LINE, F.concat_ws(sep, *fields, F.lit('"one | too many"')))
+                            .when(kind == SHORT_LINE, F.concat_ws(sep, *fields[:2])).otherwise(F.concat_ws(sep, *fields)).alias("value"))
+
+
 def echoed_output(lang: Column, text: Column, prompt: str = PROMPT) -> Column:
     """Model output that echoes the prompt: as a prefix (English), after a
     role header (French), or not at all (other languages)."""

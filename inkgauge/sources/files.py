@@ -8,10 +8,12 @@ driver except the one-line prompt scalar.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import delimited as DL
+
 # --- fixed values that must equal the evaluated system's behaviour ---------
 # Strings pandas reads as missing by default (its na_values list).
 NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -30,26 +32,10 @@ def _header(spark: SparkSession, path: str, sep: str) -> list[str]:
     return [c if c is not None else f"_c{i}" for i, c in enumerate(first[0])]
 
 
-def read_delimited(spark: SparkSession, path: str, sep: str = ",", columns: list[str] | None = None,
-                   mode: str = "PERMISSIVE", na_tokens=NA_TOKENS, unescape_backslash: bool = True,
-                   multi_line: bool = True) -> DataFrame:
-    """SRC1 / SRC3: all-string delimited scan (never inferSchema).
-
-    Quoting follows the writer of the evaluated scripts: fields quoted with
-    ``"``, embedded quotes doubled, backslashes escaped by doubling; so the
-    reader uses ``escape='"'`` and undoes ``\\\\`` afterwards.  pandas'
-    missing-value tokens become null.  Quoted fields may hold line breaks,
-    which makes each file one task; ``multi_line=False`` splits large files
-    whose fields have none, ``unescape_backslash=False`` reads plain CSV.  ``mode='DROPMALFORMED'`` skips bad
-    lines (SRC3); a missing path raises ``AnalysisException``.
-    """
-    cols = columns or _header(spark, path, sep)
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in cols])
-    df = (spark.read.schema(schema).option("header", True).option("sep", sep).option("quote", '"')
-          .option("escape", '"').option("multiLine", multi_line).option("mode", mode)
-          .option("emptyValue", "").csv(path))
+def _cleaned(df: DataFrame, columns: list[str], na_tokens, unescape_backslash: bool) -> DataFrame:
+    """Doubled backslashes undone, missing-value tokens to null."""
     out = []
-    for c in cols:
+    for c in columns:
         v = F.col(f"`{c}`")
         if unescape_backslash:
             v = F.replace(v, F.lit("\\\\"), F.lit("\\"))
@@ -59,6 +45,40 @@ def read_delimited(spark: SparkSession, path: str, sep: str = ",", columns: list
     return df.select(*out)
 
 
+def read_delimited(spark: SparkSession, path: str, sep: str = ",", columns: list[str] | None = None,
+                   na_tokens=NA_TOKENS, unescape_backslash: bool = True, multi_line: bool = True) -> DataFrame:
+    """SRC1: all-string delimited scan (never inferSchema).
+
+    Quoting follows the writer of the evaluated scripts: fields quoted with
+    ``"``, embedded quotes doubled, backslashes escaped by doubling; so the
+    reader uses ``escape='"'`` and undoes ``\\\\`` afterwards.  pandas'
+    missing-value tokens become null.  Quoted fields may hold line breaks: the
+    records are found in parallel (:mod:`.delimited`), however large a file is.
+    ``multi_line=False`` is the plain line reader for files whose fields have
+    none, ``unescape_backslash=False`` reads plain CSV.  A record with too few
+    fields is padded with nulls, one with too many keeps the first.  A missing
+    path raises ``AnalysisException``.
+    """
+    cols = columns or _header(spark, path, sep)
+    if multi_line:
+        df = DL.parsed(DL.data_records(spark, path), cols, sep)
+    else:
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in cols])
+        df = (spark.read.schema(schema).option("header", True).option("sep", sep).option("quote", '"')
+              .option("escape", '"').option("emptyValue", "").csv(path))
+    return _cleaned(df, cols, na_tokens, unescape_backslash)
+
+
+def read_tolerant(spark: SparkSession, path: str, sep: str = ",", columns: list[str] | None = None,
+                  na_tokens=NA_TOKENS, unescape_backslash: bool = True, header: bool = True) -> tuple[DataFrame, Observation]:
+    """SRC3: :func:`read_delimited` that skips records with too many fields, and
+    the counts of what it saw (``records``, ``skipped``, ``padded``).  Without a
+    ``header`` line in the files, ``columns`` names the fields."""
+    cols = columns or _header(spark, path, sep)
+    rows, seen = DL.tolerant(spark, path, cols, sep, header)
+    return _cleaned(rows, cols, na_tokens, unescape_backslash), seen
+
+
 def read_typed(spark: SparkSession, path: str, types: dict, sep: str = ",", **kw) -> DataFrame:
     """SRC2: plain delimited scan (splittable) with columns coerced by
     ``try_cast`` (bad -> null)."""
@@ -78,25 +98,26 @@ def read_head(spark: SparkSession, path: str, n: int, sep: str = ",", **kw) -> D
     return pos.orderBy("_file", "_pos").limit(n).drop("_file", "_pos")
 
 
-def read_sidecars(spark: SparkSession, root: str, suffix: str) -> DataFrame:
-    """SRC5: ``(file_name, text)``, one row per file ending with ``suffix``
-    under ``root`` (recursively), whole file as one value."""
-    df = (spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True)
-          .option("pathGlobFilter", f"*{suffix}").load(root))
-    return df.select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("text"),
-                     F.col("_metadata.file_path").alias("path"))
-
-
-def read_keyed_text(spark: SparkSession, root: str, key: str = "file_name") -> DataFrame:
-    """Read back :func:`write_per_key_text` output: the key from the
-    ``key=<value>`` folder, the whole file as the text (the writer's final
-    line separator removed)."""
-    schema = T.StructType([T.StructField("value", T.StringType()), T.StructField(key, T.StringType())])
-    df = (spark.read.schema(schema).format("text").option("wholetext", True)
-          .option("basePath", root).load(root))
-    v = F.col("value")
-    body = F.when(F.endswith(v, F.lit("\n")), F.expr("substring(value, 1, length(value) - 1)")).otherwise(v)
-    return df.select(F.col(key).cast("string").alias(key), body.alias("text"))
+def read_sidecars(spark: SparkSession, root: str, suffix: str, max_bytes: int = 64 << 20) -> DataFrame:
+    """SRC5: ``(file_name, text, error, path)``, one row per file ending with
+    ``suffix`` under ``root`` (recursively), whole file as one value.
+
+    A file that cannot be read as text is a row, not a failed job: ``text`` is
+    null and ``error`` says why (too large, unreadable, not UTF-8).  The
+    listing alone names all files; contents are read with damaged files left
+    out, and only up to ``max_bytes`` (the filter reaches the scan).  A file of
+    no bytes is no row: Spark's file sources skip it, so a join sees it as
+    absent, with the same empty text."""
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}"))
+    listed = files.load(root).select("path", "length")
+    held = (files.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).load(root)
+            .where(F.col("length") <= max_bytes).select(F.col("path").alias("_path"), "content"))
+    j = listed.join(held, F.col("path") == F.col("_path"), "left")
+    text = F.try_validate_utf8(F.col("content").cast("string"))
+    error = (F.when(F.col("length") > max_bytes, F.concat(F.lit("too large: "), F.col("length"), F.lit(" bytes")))
+             .when(F.col("content").isNull(), F.lit("unreadable")).when(text.isNull(), F.lit("not UTF-8")))
+    return j.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), F.when(error.isNull(), text).alias("text"),
+                    error.alias("error"), "path")
 
 
 def read_prompt(spark: SparkSession, path: str, strip: bool = True, default: str | None = None) -> DataFrame:
@@ -176,10 +197,6 @@ def read_chat_dataset(spark: SparkSession, paths: dict, arrays: bool = False) ->
     return out
 
 
-def split_counts(chat: DataFrame) -> DataFrame:
-    return chat.groupBy("split").agg(F.count(F.lit(1)).alias("records"))
-
-
 def image_name(key: Column, ext: str = ".jpg") -> Column:
     """PRJ7: key -> file name (trimmed key + extension)."""
     return F.concat(F.trim(key), F.lit(ext))

@@ -119,3 +119,96 @@ def test_plain_typed_csv_keeps_backslashes(spark, tmp_path):
     (tmp_path / "t.csv").write_text("a,b\n\\\\x,1\ny,bad\n")
     rows = FS.read_typed(spark, str(tmp_path / "t.csv"), {"b": "bigint"}).collect()
     assert [tuple(r) for r in rows] == [("\\\\x", 1), ("y", None)]
+
+
+def _csv_rows(rnd, n):
+    words = ['a', 'b|c', 'line\nbreak', 'two\n\nbreaks', 'q"uo"te', '"', '\\', ' pad ', 'é漢', '', 'x' * 50, '\r\n', '","', '"\n"']
+    return [(str(i), rnd.choice(words) + rnd.choice(words) + "z", "".join(rnd.choice(words) for _ in range(rnd.randint(0, 12))) + ".") for i in range(n)]
+
+
+def test_large_quoted_file_is_read_by_many_tasks(spark, tmp_path):
+    import csv
+    import random
+    rows = _csv_rows(random.Random(2), 4000)
+    (tmp_path / "in").mkdir()
+    for name, part in (("a.csv", rows[:3900]), ("b.csv", rows[3900:])):
+        with open(tmp_path / "in" / name, "w", newline="") as f:
+            w = csv.writer(f, quoting=csv.QUOTE_ALL, lineterminator="\n")
+            w.writerows([("id", "t", "u"), *part])
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+    try:
+        lines = spark.read.text(str(tmp_path / "in"))
+        assert lines.select(F.spark_partition_id().alias("p")).distinct().count() > 15
+        got = FS.read_delimited(spark, str(tmp_path / "in"), na_tokens=(), unescape_backslash=False).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted(map(tuple, got)) == sorted(rows)
+    whole = (spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("emptyValue", "")
+             .csv(str(tmp_path / "in")))
+    assert sorted(map(tuple, whole.collect())) == sorted(rows)
+
+
+def test_records_begin_in_earlier_blocks(spark, tmp_path):
+    # one field with more lines than several blocks hold, then plain records; CRLF line ends; a blank line
+    long = "\n".join(f"line {i}" for i in range(800))
+    (tmp_path / "t.csv").write_bytes(('"id","t"\r\n"1","' + long + '"\r\n\r\n"2","b"\r\n3,plain\r\n"4","c""\nd"').encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        got = sorted(map(tuple, FS.read_delimited(spark, str(tmp_path / "t.csv")).collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(32 << 20))
+    assert got == [("1", long), ("2", "b"), ("3", "plain"), ("4", 'c"\nd')]
+
+
+def test_tolerant_scan_counts_and_pads(spark, tmp_path):
+    (tmp_path / "t.csv").write_text('a|b|c\n1|"x|""y"|3\n1|2|3|4\n"only"\n\n"p\n|q"|2|3|"4|"\n|NA|\n')
+    rows, seen = FS.read_tolerant(spark, str(tmp_path / "t.csv"), "|")
+    got = sorted((tuple(r) for r in rows.collect()), key=repr)
+    assert got == [("1", 'x|"y', "3"), ("only", None, None), (None, None, None)]
+    assert seen.get == {"records": 5, "skipped": 2, "padded": 1}
+
+
+def test_named_files_in_two_phases(spark, tmp_path):
+    import pytest
+    out = str(tmp_path / "out")
+    df = spark.createDataFrame([(f"{i}.txt", f"body {i}\né") for i in range(30)] + [("null.txt", None)], "file_name string, text string").repartition(5)
+    manifest = W.write_named_files(df, out)
+    assert manifest.count() == 31 and sorted(os.listdir(out)) == sorted([f"{i}.txt" for i in range(30)] + ["null.txt"])
+    assert open(f"{out}/7.txt", newline="").read() == "body 7\né" and os.path.getsize(f"{out}/null.txt") == 0
+    # a task that fails leaves no file, and neither do names that are no names
+    broken = df.withColumn("text", F.when(F.col("file_name") == "29.txt", F.raise_error(F.lit("lost"))).otherwise(F.col("text")))
+    for bad in (broken, df.unionByName(df), df.withColumn("file_name", F.concat(F.lit("../"), "file_name"))):
+        with pytest.raises(Exception):
+            W.write_named_files(bad, str(tmp_path / "bad"))
+        assert not (tmp_path / "bad").exists() or os.listdir(tmp_path / "bad") == []
+
+
+def test_sidecar_errors_are_values(spark, tmp_path):
+    for name, body in {"a.model": b"ok \xc3\xa9", "b.model": b"bad \xff", "c.model": b"x" * 500, "e.model": b"", "d.txt": b"no"}.items():
+        (tmp_path / name).write_bytes(body)
+    rows = {r["file_name"]: (r["text"], r["error"]) for r in FS.read_sidecars(spark, str(tmp_path), ".model", max_bytes=400).collect()}
+    assert rows == {"a.model": ("ok é", None), "b.model": (None, "not UTF-8"), "c.model": (None, "too large: 500 bytes")}
+
+
+def test_run_outcomes_are_counted_while_written(spark, tmp_path):
+    from inkgauge.operators import stats
+    rows = spark.createDataFrame([("1", "ok"), ("2", "bad"), ("3", "ok"), ("4", "odd")], "id string, status string")
+    table, counts = stats.run_with_outcomes(rows, str(tmp_path / "run"), ["ok", "bad", "never"])
+    assert counts == {"total": 4, "ok": 2, "bad": 1, "never": 0}
+    assert [r["id"] for r in table.where("status = 'bad'").collect()] == ["2"] and table.columns == ["id", "status"]
+    errors = table.where("status = 'bad'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(status" in errors
+
+
+def test_chat_json_array_parts_are_one_array(spark, tmp_path):
+    import json
+    recs = spark.createDataFrame([(f"{i:02}", [("user", "q"), ("assistant", f"é {i}")], [f"{i}.jpg"], "train" if i else "test") for i in range(20)],
+                                 "id string, messages array<struct<role: string, content: string>>, images array<string>, split string")
+    W.write_chat_json(recs.repartition(4), str(tmp_path / "j"), array=True)
+    for split, n in (("train", 19), ("test", 1)):
+        folder = tmp_path / "j" / f"split={split}"
+        text = "".join((folder / f).read_text() for f in sorted(os.listdir(folder)) if f.startswith("part-"))
+        assert [x["messages"][1]["content"] for x in json.loads(text)] == [f"é {i}" for i in range(20 - n if n > 1 else 0, 20 if n > 1 else 1)]
+        (tmp_path / f"{split}.json").write_text(text)
+    assert FS.read_chat_dataset(spark, {"train": str(tmp_path / "train.json")}, arrays=True).count() == 19
