@@ -17,95 +17,172 @@ No text, token or piece is ever gathered in one place.
 from __future__ import annotations
 
 import functools
+import json
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, stage, texts
+from .common import slices, stage
 
 WINDOW = 2048
 END_ID = 1
+#: Bytes of text whose chunks are looked up together.
+SLICE = 8 << 20
 #: Letters whose lower case is one letter of the same kind, then plain ASCII
 #: punctuation: the tokenizer's own pre-tokens, normalised alone as in place.
-SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,%$&*#;:!?]*)")
+SIMPLE = r"([A-Za-zÀ-ÖØ-öø-ÿ]++)([.,%$&*#;:!?]*+)"
+CHUNK = re.compile(f"^(?:{SIMPLE}|(.*))$", re.M)
+#: The normalisation and splitting of the file that this rule is for.
+NORMALIZER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+     "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 PIECES = "pid int, {key} bigint, start bigint, length int, ids_crc32 bigint, doc_tokens bigint, nth bigint"
 
 
+def by_words(tokenizer) -> bool:
+    """Does the tokenizer split and normalise as :class:`WordTokens` takes for granted?"""
+    made = json.loads(tokenizer.to_str())
+    return made["normalizer"] == NORMALIZER and made["pre_tokenizer"] == PRE_TOKENIZER and not made["model"].get("dropout")
+
+
+class Segments(dict):
+    """pre-token (or odd chunk) -> number; the ids of all segments lie in a row."""
+
+    def __init__(self):
+        super().__init__({"": 0})
+        self.fresh: list[str] = []
+        self.flat, self.offsets = np.empty(0, np.uint32), np.zeros(2, np.int64)
+
+    def __missing__(self, key):
+        n = self[key] = len(self)
+        self.fresh.append(key)
+        return n
+
+    def learn(self, ids_of) -> None:
+        if self.fresh:
+            new = [ids_of(x) for x in self.fresh]
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(new), np.uint32)])
+            self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(np.fromiter(map(len, new), np.int64, len(new)))])
+            self.fresh = []
+
+
+def gather(flat: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The runs ``flat[first:first + count]`` in a row."""
+    at = np.repeat(first - (np.cumsum(count) - count), count)
+    at += np.arange(len(at))
+    return flat[at]
+
+
 class WordTokens(dict):
-    """white-space free chunk -> its token ids, as a number into flat arrays.
+    """white-space free chunk -> number of its two segments (word, punctuation).
 
     The tokenizer drops white space and never merges across it, so a text's
-    ids are its chunks' ids in a row.  Emptied between slices when it holds
-    ``limit`` chunks."""
+    ids are its chunks' ids in a row.  Fresh chunks are taken apart in one
+    pass over all of them.  At ``limit`` chunks or segments the half that was
+    used most stays: memory is bounded, and hot words are tokenised once."""
 
-    def __init__(self, tokenizer, limit: int = 200_000):
+    def __init__(self, tokenizer, limit: int = 400_000):
         super().__init__()
         from tokenizers import pre_tokenizers
 
         self.tokenizer, self.limit = tokenizer, limit
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.as_level = functools.lru_cache(100_000)(lambda s: level.pre_tokenize_str(s)[0][0])
-        self.letters = {c: self.as_level(chr(c)) for c in range(33, 256)}
-        self.bases: dict[str, list[int]] = {}
-        self.reset()
-
-    def reset(self):
-        self.clear()
-        self.bases.clear()
-        self.flat, self.offsets, self.fresh = np.empty(0, np.uint32), np.zeros(1, np.int64), []
+        self.letters = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(33, 256)}
+        self.simple = re.compile(SIMPLE + r"|[.,%$&*#;:!?]+")
+        self.segments, self.fresh = Segments(), []
+        self.parts, self.used = np.empty((0, 2), np.int64), np.empty(0, np.int64)
 
     def __missing__(self, chunk):
         n = self[chunk] = len(self)
         self.fresh.append(chunk)
         return n
 
-    def part(self, s: str) -> list[int]:
-        """Ids of one normalised pre-token."""
-        ids = self.bases.get(s)
-        if ids is None:
-            ids = self.bases[s] = [t.id for t in self.tokenizer.model.tokenize(s.translate(self.letters))]
-        return ids
-
-    def ids(self, chunk: bytes) -> list[int]:
-        s = chunk.decode("utf-8", "replace")
-        if m := SIMPLE.fullmatch(s):
-            return self.part(m[1].lower()) + (self.part(m[2]) if m[2] else [])
-        return self.tokenizer.encode(s, add_special_tokens=False).ids
-
-    def look_up(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in a row, and the number of ids of each chunk."""
-        if len(self) > self.limit:
-            self.reset()
-        index = np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks))
+    def ids(self, segment: str) -> list[int]:
+        if self.simple.fullmatch(segment):
+            return [t.id for t in self.tokenizer.model.tokenize(segment.translate(self.letters))]
+        return self.tokenizer.encode(segment, add_special_tokens=False).ids
+
+    def _learn(self) -> None:
+        found = CHUNK.findall(b"\n".join(self.fresh).decode("utf-8", "replace"))
+        words, marks, odd = zip(*found)
+        # one letter stays one letter in lower case, so all words at once
+        words = "\n".join(words).lower().split("\n")
+        number = self.segments.__getitem__
+        first = np.fromiter(map(number, [w or o for w, o in zip(words, odd)]), np.int64, len(words))
+        second = np.fromiter(map(number, marks), np.int64, len(words))
+        self.segments.learn(self.ids)
+        self.parts = np.concatenate([self.parts, np.stack([first, second], 1)])
+        self.used = np.concatenate([self.used, np.zeros(len(words), np.int64)])
+        self.fresh = []
+
+    def _thin(self) -> None:
+        """Keep the most used half of the chunks, and their segments."""
+        names, keep = list(self), np.sort(np.argsort(-self.used, kind="stable")[:self.limit // 2])
+        parts, old = self.parts[keep], self.segments
+        needed, renumbered = np.unique(np.concatenate([[0], parts.ravel()]), return_inverse=True)
+        count = (old.offsets[1:] - old.offsets[:-1])[needed]
+        self.segments = Segments()
+        of = list(old)
+        self.segments.update({of[n]: k for k, n in enumerate(needed.tolist())})
+        self.segments.flat = gather(old.flat, old.offsets[needed], count)
+        self.segments.offsets = np.concatenate([[0], np.cumsum(count)])
+        self.parts, self.used = renumbered[1:].reshape(-1, 2), self.used[keep] // 2
+        self.clear()
+        self.update({names[n]: k for k, n in enumerate(keep.tolist())})
+
+    def look_up(self, chunks: list[bytes], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the distinct ``chunks`` as they stand at ``at`` in a row,
+        and the number of ids of each."""
+        if max(len(self), len(self.segments)) > self.limit:
+            self._thin()
+        number = np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks))
         if self.fresh:
-            new = [self.ids(x) for x in self.fresh]
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in new for i in x), np.uint32)])
-            self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum([len(x) for x in new])])
-            self.fresh = []
-        first, count = self.offsets[index], self.offsets[index + 1] - self.offsets[index]
-        before = np.cumsum(count) - count
-        at = np.repeat(first - before, count)
-        at += np.arange(len(at))
-        return self.flat[at], count
+            self._learn()
+        index = number[at]
+        self.used += np.bincount(index, minlength=len(self.used))
+        of = self.parts[index].ravel()
+        first, count = self.segments.offsets[of], np.diff(self.segments.offsets)[of]
+        return gather(self.segments.flat, first, count), count.reshape(-1, 2).sum(1)
+
+
+def _slice_ids(tokenizer):
+    """texts -> all ids in a row, and where each text's ids end."""
+    if not by_words(tokenizer):
+        def whole(column: pa.Array):
+            ids = [e.ids for e in tokenizer.encode_batch(column.to_pylist(), add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(ids), np.uint32), np.cumsum([0, *map(len, ids)])
+        return whole
+    table = WordTokens(tokenizer)
+
+    def words(column: pa.Array):
+        # ASCII white space alone, as in the chunks' definition; empty chunks have no ids
+        split = pc.ascii_split_whitespace(column)
+        coded = split.flatten().dictionary_encode()
+        chunks = coded.dictionary.cast(pa.binary()).to_pylist()
+        ids, counts = table.look_up(chunks, coded.indices.to_numpy())
+        of_doc = split.offsets.to_numpy()
+        return ids, np.concatenate([[0], np.cumsum(counts)])[of_doc - of_doc[0]]
+    return words
 
 
 def _cut(batches: Iterator[pa.RecordBatch], path: str, window: int, end_id: int) -> Iterator[pa.RecordBatch]:
     from tokenizers import Tokenizer
 
-    table, pid, nth = WordTokens(Tokenizer.from_file(path)), TaskContext.get().partitionId(), {}
+    ids_of, pid, nth = _slice_ids(Tokenizer.from_file(path)), TaskContext.get().partitionId(), {}
     end = np.array([end_id], "<u4")
-    for batch in slices(batches):
-        chunks = [x.split() for x in texts(batch)]
-        ids, counts = table.look_up([w for x in chunks for w in x])
-        of_doc = np.concatenate([[0], np.cumsum([len(x) for x in chunks])])
-        until = np.concatenate([[0], np.cumsum(counts)])[of_doc]
-        del chunks
+    for batch in slices(batches, limit=SLICE):
+        ids, until = ids_of(pc.fill_null(batch.column("text"), ""))
         rows = []
         for doc, a, b in zip(batch.column("key").to_pylist(), until[:-1], until[1:]):
             doc_ids = np.concatenate([ids[a:b].astype("<u4"), end])
@@ -190,7 +267,9 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     ``sequence_id``, ``offset``.  A null or empty text is the end id alone; a
     null id is kept as null; each repeated row is a document of its own;
     extra columns are ignored; an empty table gives no rows.  Ties between
-    equal lengths go by task and order of reading."""
+    equal lengths go by task and order of reading.  A file whose normaliser or
+    pre-tokenizer is not the one that :class:`WordTokens` knows is used on
+    whole texts."""
     cut = functools.partial(_cut, path=tokenizer_path, window=window, end_id=end_id)
     rows = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text"))
     pieces = stage(rows.mapInArrow(cut, PIECES.format(key="key")), "pieces")

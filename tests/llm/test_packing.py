@@ -3,6 +3,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from inkgauge.llm import packing
@@ -76,3 +77,33 @@ def test_odd_rows(spark):
     assert all(r["doc_tokens"] == 1 for r in rows if r["doc_id"] in (1, 2, 3))
     assert len({(r["sequence_id"], r["offset"]) for r in rows}) == len(rows)
     assert packing.pack(docs(spark, ODD_ROWS).limit(0), public_tokenizer()).collect() == []
+
+
+def test_words_of_any_table_size_and_other_tokenizers(monkeypatch):
+    """The same ids whatever stays in the table, and for a file that the word rule is not for."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng = random.Random(4)
+    odd = ["don't", "x<|endoftext|>y", "ÉÀ,", "Ünï;:", "a1b2", "漢字。", "...", "İ", "ß!", "é", "é", "\x1c", "'s", "--", " x", "A" * 300]
+    texts = [" ".join(rng.choice(odd) if rng.random() < 0.1 else rng.choice("abcdefgh") * rng.randint(1, 9) + rng.choice(["", ".", ",!"])
+                      for _ in range(200)) for _ in range(30)]
+    for name, by_words in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        tok = Tokenizer.from_file(str(public_tokenizers.path(name)))
+        assert packing.by_words(tok) is by_words
+        for limit in (20, 10_000):
+            monkeypatch.setattr(packing.WordTokens.__init__, "__defaults__", (limit,))
+            ids_of = packing._slice_ids(tok)
+            for i in range(0, 30, 5):
+                ids, until = ids_of(pa.array(texts[i:i + 5]))
+                want = [tok.encode(t, add_special_tokens=False).ids for t in texts[i:i + 5]]
+                assert [ids[a:b].tolist() for a, b in zip(until[:-1], until[1:])] == want
+
+
+def test_hot_words_stay_when_the_table_is_thinned():
+    from tokenizers import Tokenizer
+
+    table = packing.WordTokens(Tokenizer.from_file(public_tokenizer()), limit=50)
+    for k in range(20):
+        table.look_up([b"hot", b"word."] + [f"rare{k}x{i}".encode() for i in range(20)], np.array([0, 1] * 30 + list(range(2, 22))))
+    assert len(table) <= 71 and b"hot" in table and table[b"hot"] < 40 and b"rare0x0" not in table
