@@ -62,6 +62,22 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
+def split_words(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts of a string column in a row (by ASCII white
+    space; null has none), and where each text's words begin and end."""
+    split = pc.ascii_split_whitespace(pc.fill_null(column, ""))
+    words, ends = split.flatten(), split.offsets.to_numpy().astype(np.int64)
+    some = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
+    return words.filter(pa.array(some)), np.concatenate([[0], np.cumsum(some)])[ends - ends[0]]
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of words; equal ones are hashed once."""
+    coded = words.dictionary_encode()
+    distinct = coded.dictionary.cast(pa.binary()).to_pylist()
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct))[coded.indices.to_numpy()]
+
+
 class WordIndex(dict):
     """word -> small integer, with one computed value per distinct word.
 

@@ -2,7 +2,10 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
+from pyspark.sql import functions as F
 from inkgauge.llm import substring_dedup
+from inkgauge.llm.common import split_words
 from inkgauge.llm.substring_dedup import dedup_substrings
 
 from .util import ODD_ROWS, docs
@@ -70,10 +73,31 @@ def test_planted_passages(spark):
 
 
 def test_paths_do_not_depend_on_their_surroundings():
-    from inkgauge.llm.common import hashed_words
     rng = random.Random(4)
-    words = [f"w{rng.randint(0, 300)}".encode() for _ in range(120)]
-    one = substring_dedup.Cut([words], hashed_words())
-    two = substring_dedup.Cut([[b"z"] * 30, [b"q"] * 9 + words + [b"r"] * 9, [], [b"k"] * 13], hashed_words())
+    words = [f"w{rng.randint(0, 300)}" for _ in range(120)]
+    cut = lambda texts: substring_dedup.Cut(*split_words(pa.array([" ".join(t) for t in texts])))
+    one = cut([words])
+    two = cut([["z"] * 30, ["q"] * 9 + words + ["r"] * 9, [], ["k"] * 13])
     inner = set(zip(one.minimizer[1:-1], one.content[1:-1]))
     assert inner <= set(zip(two.minimizer, two.content)) and len(inner) > 10
+
+
+def test_words_are_the_ascii_ones():
+    texts = [None, "", " \n ", "a", " a\tb\x0bc\x0c\rd ", "x\u00a0y\x1cz \u2003", "  two  gaps  "]
+    words, first = split_words(pa.array(texts))
+    got = [words.to_pylist()[a:b] for a, b in zip(first[:-1], first[1:])]
+    assert got == [WORD.findall(t or "") for t in texts]
+
+
+def test_hot_passage_meets_as_one_row_a_task(spark):
+    """A passage in each of 6,000 documents: no task is dealt many of its rows."""
+    rng = random.Random(6)
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(i, " ".join(f"r{rng.randint(0, 10**9)}" for _ in range(5)) + " " + passage) for i in range(6000)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "id long, text string").repartition(6)
+    paths = df.mapInArrow(substring_dedup._paths, "m bigint, c bigint, id bigint, pos bigint, src bigint, kind int")
+    met = paths.where(F.col("kind").isin(substring_dedup.SENT, substring_dedup.WORD))
+    assert met.groupBy("m").count().agg({"count": "max"}).first()[0] < 100 and paths.where("kind = 1").count() > 6000
+    got = dedup_substrings(df, "id").select("id", "n_words", "n_removed", "kept_sha256").collect()
+    assert sorted((tuple(r) for r in got), key=repr) == brute(rows)
