@@ -7,7 +7,7 @@
 2. Members of a band bucket are candidates.  The population count of the
    XOR of two odd sketches estimates how many samples differ, which is
    precise for high similarity and prunes candidates before their sets move.
-3. Members of a bucket meet its hub, the member that shares most buckets
+3. All members of a bucket meet its hub, the member that shares most buckets
    with most others, on their full shingle sets.
 4. The rest is exact by differences from the hub b.  If x is not linked to
    b, then |x & y| = |b| - missing(x) - missing(y) + shared differences, so a
@@ -28,10 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hashed_words, mix, signed, slices, stage, texts, window_hashes
+from .common import mix, signed, slices, split_words, stage, window_hashes, word_hashes
 from .components import connected_components
 
 BANDS, ROWS = 25, 4
@@ -39,8 +40,6 @@ SKETCH_BITS = 256
 #: XOR bits up to which a pair is confirmed: similarity about 0.55, five
 #: standard deviations and more below the thresholds in use.
 MAX_XOR = 64
-#: XOR bits up to which a member is compared with its hub: similarity about 0.33.
-HUB_XOR = 84
 #: Differences are kept down to this similarity to the hub; whatever is linked
 #: to a member below it lies below FAR (0.5 + 0.2 or more, in percent).
 NEAR, FAR = 50, 70
@@ -56,13 +55,10 @@ def shingle_set(word_hashes: np.ndarray, n: int) -> np.ndarray:
     return np.unique(window_hashes(word_hashes, min(n, len(word_hashes))) + np.uint64(min(n, len(word_hashes))))
 
 
-def _sets(batch: pa.RecordBatch, table, n: int) -> list[np.ndarray]:
-    words = [t.lower().split() for t in texts(batch)]
-    every, out, until = table.look_up([w for x in words for w in x]), [], 0
-    for own in words:
-        first, until = until, until + len(own)
-        out.append(shingle_set(every[first:until], n))
-    return out
+def _sets(batch: pa.RecordBatch, n: int) -> list[np.ndarray]:
+    words, first = split_words(pc.ascii_lower(pc.fill_null(batch.column("text"), "")))
+    every = word_hashes(words)
+    return [shingle_set(every[a:b], n) for a, b in zip(first[:-1], first[1:])]
 
 
 def min_hashes(sets: list[np.ndarray]) -> np.ndarray:
@@ -88,9 +84,9 @@ def odd_sketches(samples: np.ndarray) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    table, longs = hashed_words(), pa.list_(pa.int64())
+    longs = pa.list_(pa.int64())
     for batch in slices(batches):
-        sets = _sets(batch, table, n)
+        sets = _sets(batch, n)
         full = [i for i, x in enumerate(sets) if len(x)]
         bands, sketch = [None] * len(sets), [None] * len(sets)
         sums = np.zeros((len(sets), 2), np.uint64)
@@ -105,9 +101,8 @@ def _sign(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]
 
 
 def _shingles(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    table = hashed_words()
     for batch in slices(batches):
-        sets = [signed(x) for x in _sets(batch, table, n)]
+        sets = [signed(x) for x in _sets(batch, n)]
         yield pa.record_batch([batch["id"], pa.array(sets, pa.list_(pa.int64()))], names=["id", "s"])
 
 
@@ -144,7 +139,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                                         "bands array<bigint>, sketch array<bigint>"), "near_dup_signatures")
     linked = signed_rows.where("id is not null and n > 0")
     # equal sets: one class, represented by its smallest document
-    classes = linked.groupBy("c1", "c2", "n").agg(F.min("id").alias("rep"))
+    # (written, so that the exchange of a class with many members may be split)
+    classes = stage(linked.groupBy("c1", "c2", "n").agg(F.min("id").alias("rep")), "near_dup_classes")
     members = stage(linked.join(classes, ["c1", "c2", "n"]).select("id", "rep", "n", F.when(F.col("id") == F.col("rep"), F.col("bands"))
                                                                    .alias("bands"), "sketch"), "near_dup_members")
     own = members.where("bands is not null").select(F.col("rep").alias("node"), "n", "sketch", F.posexplode("bands").alias("band", "h"))
@@ -161,10 +157,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = stage(rows.join(wanted, "id", "left_semi").mapInArrow(functools.partial(_shingles, n=shingle), "id bigint, s array<bigint>")
                  .where(F.size("s") > 0).distinct(), "near_dup_sets")
 
-    hub_side = hubs.join(crowd.select("bucket", F.col("node").alias("hub"), F.col("sketch").alias("hub_sketch")), ["bucket", "hub"])
-    beside = crowd.select("bucket", "node", "n", "sketch").join(hub_side, "bucket").where("node <> hub")
-    beside = stage(beside.withColumn("apart", _xor_bits("sketch", "hub_sketch")).drop("hub_sketch"), "near_dup_beside")
-    star = beside.where(F.col("apart") <= HUB_XOR).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    beside = stage(crowd.select("bucket", "node", "n", "sketch").join(hubs, "bucket").where("node <> hub"), "near_dup_beside")
+    star = beside.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     near = 100 * F.col("i") >= NEAR * F.col("u")
     tag = lambda kind, e: F.xxhash64(F.lit(kind), e)
     missing, added = F.array_except("sb", "sa"), F.array_except("sa", "sb")

@@ -75,6 +75,28 @@ def test_borderline_families_lose_no_link(spark):
         assert got(near_dup.near_duplicates(docs(spark, rows), shingle=n, similarity=similarity)) == brute(rows, n, similarity)
 
 
+def test_members_halfway_to_the_hub_lose_no_link(spark):
+    """Pairs linked with each other, one of them at similarity 0.4 to 0.65 to a
+    hub that shares buckets with both, whatever their sketches say."""
+    rng = random.Random(23)
+    rows, n = [], 0
+    for family in range(12):
+        word = lambda k: f"f{family}w{k}"  # noqa: B023, E731
+        base = [word(i) for i in range(220)]
+        for k in range(8):  # the hub and its close copies
+            rows.append((n := n + 1, " ".join(base[:220 - k])))
+        for m in range(6):
+            cut = rng.randint(45, 95)
+            far = base[:220 - cut] + [f"x{family}m{m}i{i}" for i in range(cut)]
+            other = far[:-rng.randint(1, 22)]
+            rows += [(n := n + 1, " ".join(far)), (n := n + 1, " ".join(other))]
+    want = brute(rows)
+    sets = {i: shingles(t, 3) for i, t in rows}
+    middle = [len(sets[i] & sets[1]) / len(sets[i] | sets[1]) for i, _ in rows[:20]]
+    assert sum(0.4 < x < 0.65 for x in middle) >= 6 and len({r[2] for r in want}) > 12
+    assert got(near_dup.near_duplicates(docs(spark, rows))) == want
+
+
 def test_empty(spark):
     assert near_dup.near_duplicates(docs(spark, []).limit(0)).collect() == []
     assert got(near_dup.near_duplicates(docs(spark, [(1, None), (None, "a b c")]))) == [(1, 0, 1, True), (None, 1, None, True)]
