@@ -3,9 +3,9 @@
 Accent stripping is "decompose (NFD), drop non-spacing marks (Mn)".  Spark has
 no Unicode normaliser, so we precompute, once on the driver, what that rule
 does to every single character and express it with ``translate`` (one hash
-lookup per character, JVM side).  Characters whose stripped form is longer
-than one character (almost all of them Hangul syllables) cannot be expressed
-with ``translate``; rows containing them are routed to the Python path.
+lookup per character, JVM side).  A few characters strip to several: Hangul
+syllables, whose parts follow from arithmetic, and the 43 of
+:func:`long_forms`; only rows that hold one pay for them.
 """
 
 from __future__ import annotations
@@ -87,3 +87,18 @@ def latin1_fold_table() -> tuple[str, str]:
             continue
         (mapped if out else deleted).append((ch, out))
     return "".join(c for c, _ in mapped) + "".join(c for c, _ in deleted), "".join(o for _, o in mapped)
+
+
+HANGUL = (0xAC00, 0xD7A3)
+
+
+@lru_cache(maxsize=1)
+def long_forms() -> dict[str, str]:
+    """The characters beside Hangul syllables that strip to several."""
+    out = {}
+    for cp in range(sys.maxunicode + 1):
+        if not 0xD800 <= cp <= 0xDFFF and not HANGUL[0] <= cp <= HANGUL[1]:
+            stripped = py_strip_char(chr(cp))
+            if len(stripped) > 1:
+                out[chr(cp)] = stripped
+    return out
