@@ -528,17 +528,36 @@ def q_incremental(spark, sf_dir):
     return spark.read.parquet(out).select("file_name", "cleaned")
 
 
+def _scoring_run(spark, sf_dir):
+    """STR2: sidecars in two drops, truth in two others that come later: the
+    first run finds no truth, the second scores what it can, the third, without
+    new sidecars, retries the pending ones."""
+    docs = documents(spark, sf_dir).where(F.col("doc_id") % 23 != 0)  # some truth never comes
+    src, truth, state = (scratch_dir(spark, n) for n in ("sidecars_in", "truth_in", "scoring_state"))
+    part = lambda df, c, n: df.withColumn("_d", F.expr(f"cast({c} as long) % {n}"))
+    sc = part(derived.sidecars(documents(spark, sf_dir)), "regexp_extract(file_name, '^([0-9]+)', 1)", 2)
+    known = part(derived.primary_table(docs).select("id", "transcription"), "id", 3)
+    job = INC.IncrementalScoring(spark, state)
+    schema = known.drop("_d").schema
+    known.limit(0).drop("_d").write.json(truth)
+    counts = []
+    for sidecars, rows in ((sc.where("_d = 0"), None), (sc.where("_d = 1"), known.where("_d = 0")), (None, known.where("_d > 0"))):
+        if sidecars is not None:
+            sidecars.drop("_d").write.mode("append").json(src)
+        if rows is not None:
+            rows.drop("_d").write.mode("append").json(truth)
+        counts.append(job.run(src, truth, schema))
+    return job, counts
+
+
 def q_incremental_scoring(spark, sf_dir):
-    """STR2: sidecars arrive in two drops; each is cleaned, joined to the
-    static truth table and scored once."""
-    docs = documents(spark, sf_dir)
-    src, out, ck = (scratch_dir(spark, n) for n in ("sidecars_in", "scored", "scoring_ckpt"))
-    sc = derived.sidecars(docs).withColumn("_d", F.expr("cast(regexp_extract(file_name, '^([0-9]+)', 1) as long)"))
-    t = INC.scoring_transform(derived.primary_table(docs))
-    for drop in (0, 1):
-        sc.where(F.col("_d") % 2 == drop).drop("_d").write.mode("append").json(src)
-        INC.run_available(spark, src, INC.SIDECAR_SCHEMA, t, out, ck, fmt="json")
-    return spark.read.parquet(out).select("id", "precision", "recall")
+    return _scoring_run(spark, sf_dir)[0].scored().select("id", "precision", "recall")
+
+
+def q_scoring_progress(spark, sf_dir):
+    """STR2: scored and unmatched sidecars after each of the three runs."""
+    counts = _scoring_run(spark, sf_dir)[1]
+    return spark.createDataFrame([(i + 1, c["scored"], c["pending"]) for i, c in enumerate(counts)], "run long, scored long, pending long")
 
 
 # ------------------------------------------------------------------ subsets, previews, profiles
@@ -652,6 +671,7 @@ CATALOG = {
     "exact_match_incl_excl": q_exact_match_incl_excl,
     "incremental": q_incremental,
     "incremental_scoring": q_incremental_scoring,
+    "scoring_progress": q_scoring_progress,
     "nested_subsets": q_nested_subsets,
     "preview_records": q_preview_records,
     "profile": q_profile,

@@ -109,3 +109,27 @@ def test_incremental_second_run_adds_nothing(spark, sf001):
     drop(1)
     run()
     assert spark.read.parquet(out).select("file_name").distinct().count() == spark.read.parquet(out).count() == 40
+
+
+def test_scoring_waits_for_truth_and_survives_a_rerun(spark):
+    from pyspark.sql import types as T
+    src, truth, state = (scratch_dir(spark, n) for n in ("wait_src", "wait_truth", "wait_state"))
+    schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("transcription", T.StringType())])
+    sidecars = lambda rows: spark.createDataFrame(rows, INC.SIDECAR_SCHEMA).write.mode("append").json(src)
+    known = lambda rows: spark.createDataFrame(rows, schema).write.mode("append").json(truth)
+    job = INC.IncrementalScoring(spark, state)
+    known([("0", "unrelated")])
+    sidecars([("1.jpg.model", "a b"), ("2.jpg.model", "c d"), ("2.jpg.model", "c")])
+    assert job.run(src, truth, schema) == {"scored": 0, "pending": 3}
+    known([("2", "c d"), ("9", "never")])
+    assert job.run(src, truth, schema) == {"scored": 2, "pending": 1}
+    assert job.run(src, truth, schema) == {"scored": 2, "pending": 1}
+    sidecars([("3.jpg.model", "x")])
+    known([("1", "a b"), ("3", "x y")])
+    assert job.run(src, truth, schema) == {"scored": 4, "pending": 0}
+    rows = sorted(map(tuple, job.scored().collect()))
+    assert rows == [("1", 1.0, 1.0), ("2", 1.0, 0.5), ("2", 1.0, 1.0), ("3", 1.0, 0.5)]
+    # the last batch once more, as after a failure: nothing is added
+    again = spark.createDataFrame([("3", "x")], INC.HYP_COLUMNS)
+    job._settle(again, INC.RETRIES)
+    assert sorted(map(tuple, job.scored().collect())) == rows and job.pending().count() == 0
