@@ -42,8 +42,17 @@ prior AS (SELECT lvl, mean, least(greatest(CASE WHEN across > 0 AND inside > acr
                  WHEN across > 0 THEN 1.0 ELSE 1000.0 END, 1.0), 1000.0) AS w FROM spread),
 s AS (SELECT suffix, (k + w * mean) / (n + w) AS rate FROM suffixes, prior WHERE lvl = 'suffix'),
 d AS (SELECT domain, (k + w * rate) / (n + w) AS rate FROM domains JOIN s USING (suffix), prior WHERE lvl = 'domain'),
-h AS (SELECT host, k + w * rate AS a, n - k + w * (1 - rate) AS b FROM hosts JOIN d USING (domain), prior
-      WHERE lvl = 'host'),
+total AS (SELECT coalesce(sum(k), 0) AS k, coalesce(sum(n), 0) AS n FROM hosts),
+-- every host of the pages: without labels it takes its domain's rate, else its suffix's, else that of all labelled pages
+every AS (SELECT DISTINCT p.host, coalesce(hosts.n, 0) AS n, coalesce(hosts.k, 0) AS k,
+            array_to_string(list_slice(string_split(p.host, '.'), -2, -1), '.') AS domain, string_split(p.host, '.')[-1] AS suffix
+          FROM p LEFT JOIN hosts ON p.host = hosts.host),
+near AS (SELECT every.*, coalesce(d.rate, s.rate) AS rate FROM every LEFT JOIN d ON every.domain = d.domain
+         LEFT JOIN s ON every.suffix = s.suffix),
+h AS (SELECT host, near.k + v * r AS a, near.n - near.k + v * (1 - r) AS b
+      FROM (SELECT near.*, coalesce(near.rate, (total.k + 1) / (total.n + 2)) AS r,
+                   CASE WHEN near.rate IS NULL THEN least(w, total.n + 2) ELSE w END AS v
+            FROM near, total, prior WHERE lvl = 'host') near),
 bound AS (SELECT host, a / (a + b) + {Z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS upper FROM h)
 SELECT p.page_id, p.host, p.path, rule,
        coalesce(kind, CASE WHEN coalesce(upper, 1.0) < {MIN_GOOD} THEN 'block' ELSE 'allow' END) AS verdict

@@ -6,7 +6,7 @@ import pytest
 
 from inkgauge.llm import line_dedup, url_reputation
 from inkgauge.llm.queries import queries
-from inkgauge.llm.sql import oracle_sql
+from inkgauge.llm.sql import OP4, oracle_sql
 
 from .util import ODD_ROWS, docs
 
@@ -14,7 +14,7 @@ from .util import ODD_ROWS, docs
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_twin(spark, sf001, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "pages", "benchmark", "labels", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf001}/{t}.parquet')")
     twin = con.sql(oracle_sql()[name])
     got = queries()[name](spark, sf001)
@@ -85,3 +85,27 @@ def test_hosts_without_labels_are_judged_by_their_parents(spark):
     assert {r["host"]: r["verdict"] for r in url_reputation.judge_urls(pages, most, rules=(), z=0.0).collect()}["x.five.biz"] == "block"
     one = labels.where("doc_id = 0")
     assert {r["host"]: r["verdict"] for r in url_reputation.judge_urls(pages, one, rules=()).collect()}["x.five.biz"] == "allow"
+
+
+def test_twin_judges_hosts_without_labels(spark):
+    """The whole rule in SQL: domains, suffixes and all labels speak for hosts that have none."""
+    pages, labels = [], []
+    for k, (host, good, n) in enumerate([("a.bad.com", 0, 40), ("b.bad.com", 0, 30), ("a.fine.com", 1, 50), ("x.worse.net", 0, 60), ("y.ok.org", 1, 9)]):
+        for i in range(n):
+            pages.append((1000 * k + i, f"https://{host}/p{i}"))
+            labels.append((1000 * k + i, good if i % 10 else 1 - good))
+    pages += [(9000 + i, u) for i, u in enumerate(["http://new.bad.com/x", "http://new.fine.com/x", "http://other.net/x", "http://deep.other.net/x",
+                                                   "http://nowhere.xyz/x", "no url", None, "http://new.bad.com/de/", "http://NEW.ok.org/x"])]
+    p = spark.createDataFrame(pages, "page_id long, url string")
+    for lab in (labels, labels[:70], []):
+        con = duckdb.connect()
+        con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR)")
+        con.executemany("INSERT INTO pages VALUES (?, ?)", pages)
+        con.execute("CREATE TABLE labels (doc_id BIGINT, quality INTEGER)")
+        if lab:
+            con.executemany("INSERT INTO labels VALUES (?, ?)", lab)
+        want = {r[0]: r for r in con.execute(OP4).fetchall()}
+        got = url_reputation.judge_urls(p, spark.createDataFrame(lab, "doc_id long, quality int")).collect()
+        assert {r["page_id"]: tuple(r) for r in got} == want
+        blocked = {r["host"] for r in got if r["verdict"] == "block" and r["rule"] is None}
+        assert not lab or "new.bad.com" in blocked
