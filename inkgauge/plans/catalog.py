@@ -335,13 +335,17 @@ def q_pivot_wide(spark, sf_dir):
 
 # ------------------------------------------------------------------ training data
 
+def _chat_records(spark, sf_dir):
+    return D.chat_records(documents(spark, sf_dir), derived.image_listing(table(spark, sf_dir, "labels")))
+
+
 def q_chat_records(spark, sf_dir):
-    recs = D.chat_records(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+    recs = _chat_records(spark, sf_dir)
     return D.flatten_records(recs)
 
 
 def q_split_sizes(spark, sf_dir):
-    recs = D.chat_records(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+    recs = _chat_records(spark, sf_dir)
     return recs.groupBy("split").agg(F.count(F.lit(1)).alias("records"))
 
 
@@ -359,17 +363,17 @@ def q_prompt_records(spark, sf_dir):
 
 def q_split_rows(spark, sf_dir):
     """SMP2 rows: every chat record's split (exact 80/20, seeded)."""
-    recs = D.chat_records(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+    recs = _chat_records(spark, sf_dir)
     return recs.select("id", "split")
 
 
 def q_reprompt(spark, sf_dir):
-    recs = D.chat_records(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+    recs = _chat_records(spark, sf_dir)
     return D.flatten_records(D.reprompt(recs)).drop("split")
 
 
 def q_chat_template(spark, sf_dir):
-    recs = D.chat_records(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+    recs = _chat_records(spark, sf_dir)
     return recs.select("id", D.apply_template(F.col("messages")).alias("templated"))
 
 
@@ -379,7 +383,8 @@ def q_conversation_turns(spark, sf_dir):
 
 
 def q_collate_labels(spark, sf_dir):
-    c = D.collate(documents(spark, sf_dir))
+    rows = documents(spark, sf_dir).select("doc_id", derived.token_ids(F.col("text"), D.IMAGE_ID).alias("ids"))
+    c = D.collate(rows, "doc_id", "ids")
     return c.select("doc_id", "batch", "padded_len", "n_masked", F.array_join(F.col("labels").cast("array<string>"), ",").alias("labels"))
 
 
@@ -395,7 +400,7 @@ def q_structured_linked(spark, sf_dir):
 
 
 def q_report_blocks(spark, sf_dir):
-    return D.report_blocks(documents(spark, sf_dir))
+    return D.report_blocks(derived.model_runs(documents(spark, sf_dir)), "file", "output", "seconds")
 
 
 # ------------------------------------------------------------------ sources / sinks
@@ -483,7 +488,7 @@ def q_tolerant_counts(spark, sf_dir):
 def q_chat_json_roundtrip(spark, sf_dir):
     """SNK4 -> SRC11: chat records as JSON per split, read back by split."""
     path = scratch_dir(spark, "chat_json")
-    recs = D.chat_records(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+    recs = _chat_records(spark, sf_dir)
     W.write_chat_json(recs, path)
     back = FS.read_chat_dataset(spark, {"train": f"{path}/split=train", "test": f"{path}/split=test"})
     m = F.col("messages")
@@ -579,7 +584,7 @@ def q_nested_subsets(spark, sf_dir):
 def q_preview_records(spark, sf_dir, n: int = 3):
     """LIM3: the first evaluation (test split) records with a load check:
     the image exists in the listing and the answer is non-empty."""
-    recs = D.chat_records(documents(spark, sf_dir), table(spark, sf_dir, "labels")).where(F.col("split") == "test")
+    recs = _chat_records(spark, sf_dir).where(F.col("split") == "test")
     head = SM.head(recs, n, [F.col("id").cast("long")]).withColumn("image", F.col("images")[0])
     listed = derived.image_listing(table(spark, sf_dir, "labels")).distinct().withColumn("listed", F.lit(True))
     return head.join(listed, head["image"] == listed["file_name"], "left").select(

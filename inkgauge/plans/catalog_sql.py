@@ -490,7 +490,7 @@ def sql_report_blocks():
     secs = "CAST(n_chars // 1000 AS VARCHAR) || '.' || lpad(CAST(n_chars % 1000 AS VARCHAR), 3, '0')"
     ranked = (f"SELECT *, row_number() OVER (ORDER BY doc_id) AS idx, count(*) OVER () AS n, "
               f"{_echoed()} AS f FROM documents")
-    block = (f"'Image ' || CAST(idx AS VARCHAR) || '/' || CAST(n AS VARCHAR) || ': ' || CAST(doc_id AS VARCHAR) || "
+    block = (f"'Image ' || CAST(idx AS VARCHAR) || '/' || CAST(n AS VARCHAR) || ': ' || lpad(CAST(doc_id AS VARCHAR), 12, '0') || "
              f"'.jpg' || chr(10) || 'Time: ' || {secs} || 's' || chr(10) || {_extract('f')} || chr(10) || "
              f"{q(REPORT_RULE)}")
     return f"SELECT idx, {block} AS block FROM ({ranked})"

@@ -16,8 +16,7 @@ from ..functions.text import extract_response, strip_py
 from ..operators.joins import with_images
 from ..operators.quantiles import rank_within_groups
 from ..operators.sampling import exact_split
-from ..sources.derived import (BOS, EOT, HDR_END, HDR_START, IMAGE_TOKEN, PROMPT, echoed_output,
-                               image_listing)
+from ..sources.derived import BOS, EOT, HDR_END, HDR_START, IMAGE_TOKEN, PROMPT
 
 # --- fixed values that must equal the evaluated system's behaviour ---------
 # Exact split: 80 % train with seed 42; labels ignore id -100; report
@@ -28,7 +27,7 @@ IGNORE_INDEX = -100
 REPORT_RULE = "=" * 50
 # ---------------------------------------------------------------------------
 
-# Our stand-ins for tokenizer ids (word lengths are the token ids).
+# Ids that no token has.
 PAD_ID = 0
 IMAGE_ID = 999_999
 BATCH_SIZE = 4
@@ -44,13 +43,16 @@ def message(role: str, content: Column) -> Column:
     return F.struct(F.lit(role).alias("role"), content.alias("content"))
 
 
-def chat_records(docs: DataFrame, labels: DataFrame, prompt: str = PROMPT, image_dir: str = "images",
-                 ext: str = ".jpg", ratio: float = TRAIN_RATIO, seed: int = SPLIT_SEED) -> DataFrame:
+def chat_records(rows: DataFrame, images: DataFrame, prompt: str = PROMPT, image_dir: str = "images",
+                 ext: str = ".jpg", ratio: float = TRAIN_RATIO, seed: int = SPLIT_SEED, key: str = "doc_id",
+                 text: str = "text") -> DataFrame:
     """DSP1 / DSP2: (user = prompt, assistant = stripped transcription, image)
-    for rows whose image exists, with an exact seeded train/test split."""
-    rows = docs.select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("transcription"))
+    for rows whose image exists in the listing ``images`` (``file_name``), with
+    an exact seeded train/test split.  ``key`` and ``text`` name the caller's
+    columns; rows without one of them are left out."""
+    rows = rows.select(F.col(key).cast("string").alias("id"), F.col(text).alias("transcription"))
     rows = rows.dropna(subset=["id", "transcription"])
-    rows = with_images(rows, image_listing(labels, ext), "id", ext)
+    rows = with_images(rows, images, "id", ext)
     recs = rows.select(
         "id",
         F.array(message("user", F.lit(prompt)), message("assistant", strip_py(F.col("transcription"))))
@@ -85,26 +87,21 @@ def apply_template(messages: Column, add_generation_prompt: bool = False) -> Col
     return F.concat(F.lit(BOS), body, tail)
 
 
-def token_ids(text: Column) -> Column:
-    """Stand-in tokenizer: the image token, then one id per word (its length)."""
-    words = F.filter(F.split(text, " "), lambda w: w != "")
-    return F.concat(F.array(F.lit(IMAGE_ID).cast("long")), F.transform(words, lambda w: F.length(w).cast("long")))
+def collate(rows: DataFrame, key: str, ids: str, batch_size: int = BATCH_SIZE, pad_id: int = PAD_ID,
+            image_id: int = IMAGE_ID) -> DataFrame:
+    """DSP5: consecutive batches (by ``key``) of ``batch_size`` rows; each
+    sequence of token ids in the column ``ids`` padded to its batch's longest;
+    labels = ids with pad and image ids -> -100.
 
-
-def collate(docs: DataFrame, batch_size: int = BATCH_SIZE, pad_id: int = PAD_ID, image_id: int = IMAGE_ID) -> DataFrame:
-    """DSP5: consecutive batches of ``batch_size`` rows; each sequence padded
-    to its batch's longest; labels = ids with pad and image ids -> -100.
-
-    Batches come from the exact global rank, so the window below only ever
-    holds ``batch_size`` rows."""
-    ranked = rank_within_groups(docs.select("doc_id", token_ids(F.col("text")).alias("ids")), [], ["doc_id"])
+    Only keys are ranked; the window below holds ``batch_size`` rows."""
+    ranked = rank_within_groups(rows.select(key, F.col(ids).cast("array<bigint>").alias("ids")), [], [key])
     b = ranked.withColumn("batch", F.floor(F.col("_rank") / batch_size).cast("long"))
     b = b.withColumn("padded_len", F.max(F.size("ids")).over(Window.partitionBy("batch")).cast("long"))
     padded = F.concat(F.col("ids"), F.array_repeat(F.lit(pad_id).cast("long"),
                                                    (F.col("padded_len") - F.size("ids")).cast("int")))
     labels = F.transform(padded, lambda x: F.when((x == pad_id) | (x == image_id), F.lit(IGNORE_INDEX).cast("long"))
                          .otherwise(x))
-    out = b.select("doc_id", "batch", "padded_len", padded.alias("input_ids"), labels.alias("labels"))
+    out = b.select(key, "batch", "padded_len", padded.alias("input_ids"), labels.alias("labels"))
     return out.withColumn("n_masked", F.size(F.filter("labels", lambda x: x == IGNORE_INDEX)).cast("long"))
 
 
@@ -208,14 +205,13 @@ def explode_linked(parsed: DataFrame, key: str = "doc_id") -> DataFrame:
     return v.select(key, "section_pos", "section_name", "field_pos", "field_name", "v.*")
 
 
-def report_blocks(docs: DataFrame, prompt: str = PROMPT) -> DataFrame:
-    """SNK5 / WIN2: one text block per item, ``Image i/N: file``, run time,
-    the extracted response and a rule; ``idx`` orders the blocks."""
-    ranked = rank_within_groups(docs.select("doc_id", "lang", "text", "n_chars"), [], ["doc_id"])
-    secs = F.concat((F.col("n_chars") / 1000).cast("long").cast("string"), F.lit("."),
-                    F.lpad((F.col("n_chars") % 1000).cast("string"), 3, "0"))
-    resp = extract_response(echoed_output(F.col("lang"), F.col("text")), prompt)
+def report_blocks(rows: DataFrame, name: str, output: str, seconds: str, prompt: str = PROMPT) -> DataFrame:
+    """SNK5 / WIN2: one text block per item in the order of ``name``, ``Image
+    i/N: file``, run time, the response extracted from the model's ``output``
+    and a rule; ``idx`` orders the blocks.  ``seconds`` is printed with three
+    decimals."""
+    ranked = rank_within_groups(rows.select(name, output, seconds), [], [name])
     block = F.concat(F.lit("Image "), (F.col("_rank") + 1).cast("string"), F.lit("/"), F.col("_n").cast("string"),
-                     F.lit(": "), F.col("doc_id").cast("string"), F.lit(".jpg\nTime: "), secs, F.lit("s\n"),
-                     resp, F.lit("\n" + REPORT_RULE))
+                     F.lit(": "), F.col(name).cast("string"), F.lit("\nTime: "), F.col(seconds).cast("decimal(18,3)").cast("string"),
+                     F.lit("s\n"), extract_response(F.col(output), prompt), F.lit("\n" + REPORT_RULE))
     return ranked.select((F.col("_rank") + 1).alias("idx"), block.alias("block"))

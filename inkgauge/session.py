@@ -76,8 +76,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the checkpoint folder for written intermediate
     tables (shared storage on a cluster, never a machine-local temp dir)."""
-    base = ensure_checkpoint_dir(spark)
-    return f"{base.rstrip('/')}/tables/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{_tables(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _tables(spark: SparkSession) -> str:
+    """The folder of this application's written tables."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{spark.sparkContext.applicationId}"
+
+
+def drop_written(spark: SparkSession) -> None:
+    """Delete all tables that this application has written so far.
+
+    Frames that have not been computed yet may still read them: call this when
+    the results are written.  Other applications' tables are not touched."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_tables(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df, name: str):

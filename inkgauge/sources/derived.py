@@ -135,6 +135,21 @@ def echoed_output(lang: Column, text: Column, prompt: str = PROMPT) -> Column:
             .otherwise(text))
 
 
+def token_ids(text: Column, image_id: int) -> Column:
+    """Token ids of a text as the test data has none: an image id, then one
+    number per word (its length)."""
+    words = F.filter(F.split(text, " "), lambda w: w != "")
+    return F.concat(F.array(F.lit(image_id).cast("long")), F.transform(words, lambda w: F.length(w).cast("long")))
+
+
+def model_runs(documents: DataFrame) -> DataFrame:
+    """``(file, output, seconds)``: a run per document, in thousandths of a
+    second per character."""
+    return documents.select(F.concat(F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lit(".jpg")).alias("file"),
+                            echoed_output(F.col("lang"), F.col("text")).alias("output"),
+                            (F.col("n_chars") / 1000).alias("seconds"))
+
+
 def image_listing(labels: DataFrame, ext: str = ".jpg") -> DataFrame:
     """The image files that exist: one per labelled document (``file_name``
     as a ``binaryFile`` listing would report it)."""

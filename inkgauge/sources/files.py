@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import delimited as DL
+from . import json_arrays as JA
 
 # --- fixed values that must equal the evaluated system's behaviour ---------
 # Strings pandas reads as missing by default (its na_values list).
@@ -153,23 +154,25 @@ def list_images(spark: SparkSession, root: str, with_content: bool = False) -> D
     return df.select(*cols).orderBy("file_name", "path")
 
 
+#: Channels of the image source (blue first) to red, green, blue, as hexadecimal digits.
+_TO_RGB = {1: ("(..)", "$1$1$1"), 3: ("(..)(..)(..)", "$3$2$1"), 4: ("(..)(..)(..)..", "$3$2$1")}
+
+
 def load_images(spark: SparkSession, root: str, fallback: bool = False) -> DataFrame:
-    """SRC7 / SRC8: decoded images.  Unreadable files are dropped (SRC7) or,
-    with ``fallback``, kept as a 224 x 224 black RGB image (SRC8)."""
+    """SRC7 / SRC8: decoded RGB images (``data``: three bytes a pixel, row by
+    row).  Unreadable files are dropped (SRC7) or, with ``fallback``, kept as a
+    224 x 224 black image (SRC8)."""
     df = (spark.read.format("image").option("dropInvalid", not fallback)
           .option("pathGlobFilter", image_glob()).option("recursiveFileLookup", True).load(root))
     img = F.col("image")
-    if not fallback:
-        return df.select(img.origin.alias("path"), img.height.alias("height"), img.width.alias("width"),
-                         img.nChannels.alias("channels"), img.data.alias("data"), F.lit(True).alias("valid"))
     bad = img.height < 0
     black = F.unhex(F.lit("00" * (224 * 224 * 3)))
-    return df.select(img.origin.alias("path"),
-                     F.when(bad, 224).otherwise(img.height).alias("height"),
-                     F.when(bad, 224).otherwise(img.width).alias("width"),
-                     F.when(bad, 3).otherwise(img.nChannels).alias("channels"),
-                     F.when(bad, black).otherwise(img.data).alias("data"),
-                     (~bad).alias("valid"))
+    data = F.lit(None).cast("binary")
+    for n, (pattern, order) in _TO_RGB.items():
+        data = F.when(img.nChannels == n, F.unhex(F.regexp_replace(F.hex(img.data), pattern, order))).otherwise(data)
+    return df.select(img.origin.alias("path"), F.when(bad, 224).otherwise(img.height).alias("height"),
+                     F.when(bad, 224).otherwise(img.width).alias("width"), F.lit(3).alias("channels"),
+                     F.when(bad, black).otherwise(data).alias("data"), (~bad).alias("valid"))
 
 
 def latest_file(listing: DataFrame, group: list[str] | None = None) -> DataFrame:
@@ -188,11 +191,16 @@ CHAT_SCHEMA = T.StructType([
 
 def read_chat_dataset(spark: SparkSession, paths: dict, arrays: bool = False) -> DataFrame:
     """SRC11: named splits of a chat dataset (JSON lines, or with ``arrays``
-    whole files that hold one JSON array) with an explicit schema, tagged
-    with ``split``."""
+    files that hold one JSON array each, however large: their elements are
+    found in parallel) with an explicit schema, tagged with ``split``."""
     out = None
     for split, path in paths.items():
-        df = spark.read.schema(CHAT_SCHEMA).option("multiLine", arrays).json(path).withColumn("split", F.lit(split))
+        if arrays:
+            found = JA.array_objects(spark, path)
+            df = found.select(F.from_json("element", CHAT_SCHEMA).alias("r")).select("r.*")
+        else:
+            df = spark.read.schema(CHAT_SCHEMA).json(path)
+        df = df.withColumn("split", F.lit(split))
         out = df if out is None else out.unionByName(df)
     return out
 

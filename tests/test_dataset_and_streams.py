@@ -15,7 +15,7 @@ from inkgauge.streaming import incremental as INC
 def test_chat_records_shape_and_split(spark, sf001):
     docs = spark.read.parquet(f"{sf001}/documents.parquet")
     labels = spark.read.parquet(f"{sf001}/labels.parquet")
-    recs = D.chat_records(docs, labels)
+    recs = D.chat_records(docs, derived.image_listing(labels))
     n = labels.select("doc_id").distinct().join(docs.select("doc_id"), "doc_id").count()
     counts = {r["split"]: r["count"] for r in recs.groupBy("split").count().collect()}
     assert counts["train"] == int(n * 0.8) and counts["train"] + counts["test"] == n
@@ -32,7 +32,8 @@ def test_chat_records_shape_and_split(spark, sf001):
 def test_collate_labels(spark):
     docs = spark.createDataFrame([(0, "a bb"), (1, "ccc"), (2, "d e f g"), (3, "h"), (4, "ii jj")],
                                  "doc_id long, text string")
-    rows = {r["doc_id"]: r for r in D.collate(docs).collect()}
+    ids = docs.select("doc_id", derived.token_ids(F.col("text"), D.IMAGE_ID).alias("tokens"))
+    rows = {r["doc_id"]: r for r in D.collate(ids, "doc_id", "tokens").collect()}
     assert rows[0]["batch"] == 0 and rows[4]["batch"] == 1
     assert rows[0]["padded_len"] == 5 and rows[4]["padded_len"] == 3
     assert rows[1]["input_ids"] == [D.IMAGE_ID, 3, 0, 0, 0]

@@ -212,3 +212,60 @@ def test_chat_json_array_parts_are_one_array(spark, tmp_path):
         assert [x["messages"][1]["content"] for x in json.loads(text)] == [f"é {i}" for i in range(20 - n if n > 1 else 0, 20 if n > 1 else 1)]
         (tmp_path / f"{split}.json").write_text(text)
     assert FS.read_chat_dataset(spark, {"train": str(tmp_path / "train.json")}, arrays=True).count() == 19
+
+
+def _png(width, pixels, color):
+    """A PNG of 8-bit pixels (color type 2: RGB, 6: RGBA, 0: grey)."""
+    import struct
+    import zlib
+    size = {0: 1, 2: 3, 6: 4}[color]
+    rows = b"".join(b"\0" + bytes(pixels[i:i + width * size]) for i in range(0, len(pixels), width * size))
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    head = struct.pack(">IIBBBBB", width, len(pixels) // size // width, 8, color, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+
+def test_images_are_rgb(spark, tmp_path):
+    (tmp_path / "a.png").write_bytes(_png(2, [255, 0, 0, 1, 2, 3], 2))
+    (tmp_path / "b.PNG").write_bytes(_png(1, [7, 200], 0))
+    rows = {r["path"].rsplit("/")[-1]: r for r in FS.load_images(spark, str(tmp_path)).collect()}
+    assert bytes(rows["a.png"]["data"]) == bytes([255, 0, 0, 1, 2, 3]) and rows["a.png"]["width"] == 2
+    assert len(rows["b.PNG"]["data"]) == 6 and all(r["channels"] == 3 for r in rows.values())
+
+
+def test_written_tables_can_be_dropped(spark):
+    from inkgauge import session
+    kept = session.written(spark.range(3), "keep")
+    assert kept.count() == 3
+    other = spark.newSession()  # the same application, so the same folder
+    path = session.scratch_dir(other, "x").rsplit("/", 1)[0].replace("file:", "", 1)
+    assert os.listdir(path) and spark.sparkContext.applicationId in path
+
+
+def test_large_json_array_is_read_by_many_tasks(spark, tmp_path):
+    import json
+    import random
+    from inkgauge.sources.json_arrays import array_objects
+    rnd = random.Random(5)
+    bits = ["}", "{", '"', "\\", "[", "]", "},{", "\n", "é漢", "text ", '"}', "\\\\"]
+    text = lambda: "".join(rnd.choice(bits) for _ in range(rnd.randint(0, 30)))
+    records = [{"messages": [{"role": "user", "content": text()}, {"role": "assistant", "content": text()}], "images": [text()] * rnd.randint(0, 2)}
+               for _ in range(600)]
+    want = sorted(json.dumps(r, sort_keys=True) for r in records)
+    for indent in (None, 1):
+        for ascii_only in (True, False):
+            path = tmp_path / f"a{indent}{ascii_only}.json"
+            path.write_text(json.dumps(records, indent=indent, ensure_ascii=ascii_only))
+            spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+            try:
+                assert spark.read.option("lineSep", "}").text(str(path)).select(F.spark_partition_id().alias("p")).distinct().count() > 10
+                found = [json.loads(r["element"]) for r in array_objects(spark, str(path)).collect()]
+                rows = FS.read_chat_dataset(spark, {"train": str(path)}, arrays=True).collect()
+            finally:
+                spark.conf.set("spark.sql.files.maxPartitionBytes", str(32 << 20))
+            assert sorted(json.dumps(r, sort_keys=True) for r in found) == want
+            got = [{"messages": [m.asDict() for m in r["messages"]], "images": r["images"]} for r in rows]
+            assert sorted(json.dumps(r, sort_keys=True) for r in got) == want
+    for body, n in (("[]", 0), ("", 0), ('[1, "x}", {"a": {"b": [{}]}}, null]', 1), ('[{"a": 1}, {"a": ', 1)):
+        (tmp_path / "small.json").write_text(body)
+        assert array_objects(spark, str(tmp_path / "small.json")).count() == n
