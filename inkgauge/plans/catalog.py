@@ -485,6 +485,55 @@ def q_tolerant_counts(spark, sf_dir):
     return spark.createDataFrame([seen.get], "records long, skipped long, padded long")
 
 
+def _image_folder(spark, sf_dir):
+    path = scratch_dir(spark, "images")
+    files = derived.image_files(documents(spark, sf_dir))
+    other = files.limit(0).unionByName(spark.range(1).select(F.lit("readme.txt").alias("file_name"), F.encode(F.lit("x"), "UTF-8").alias("content")))
+    W.write_named_files(files.unionByName(other), path, value="content")
+    return path
+
+
+def q_image_files(spark, sf_dir):
+    """SNK3 -> SRC6, SRT1: image files listed by any spelling of their
+    extension, nothing else."""
+    return FS.list_images(spark, _image_folder(spark, sf_dir)).select("file_name", "length")
+
+
+def _pixels(images):
+    return images.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), "height", "width", "channels",
+                         F.length("data").alias("n_bytes"), F.substring(F.hex("data"), 1, derived.PIXELS * 6).alias("first"), "valid")
+
+
+def q_image_pixels(spark, sf_dir):
+    """SRC7: decoded RGB pixels; files that are no images are dropped."""
+    return _pixels(FS.load_images(spark, _image_folder(spark, sf_dir)))
+
+
+def q_image_fallback(spark, sf_dir):
+    """SRC8: the same with a black image in place of what cannot be decoded."""
+    return _pixels(FS.load_images(spark, _image_folder(spark, sf_dir), fallback=True))
+
+
+def q_summary_roundtrip(spark, sf_dir):
+    """SNK6 -> SRC2: the summary table as plain CSV, read back with types."""
+    path = scratch_dir(spark, "summary_csv")
+    W.write_plain_csv(stats.summary_statistics(kept_values(spark, sf_dir)), path)
+    numbers = ["mean", "median", "std_dev", "min", "max", "p25", "p75"]
+    return FS.read_typed(spark, path, {"ordinal": "bigint", **dict.fromkeys(numbers, "double")})
+
+
+def q_decode_escapes(spark, sf_dir):
+    """SCL3: texts spelled with escapes, decoded."""
+    spelled = documents(spark, sf_dir).select("doc_id", derived.escaped_text(F.col("text")).alias("t"))
+    return spelled.select("doc_id", TX.decode_escapes(F.col("t"), "utf8").alias("decoded"))
+
+
+def q_prompt_default(spark, sf_dir):
+    """SRC10 + JOIN7: without a prompt file every record gets the default."""
+    prompt = FS.read_prompt(spark, scratch_dir(spark, "no_prompt"), default=derived.PROMPT)
+    return J.with_prompt(documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("id")), prompt, "user_content")
+
+
 def q_chat_json_roundtrip(spark, sf_dir):
     """SNK4 -> SRC11: chat records as JSON per split, read back by split."""
     path = scratch_dir(spark, "chat_json")
@@ -667,6 +716,12 @@ CATALOG = {
     "report_blocks": q_report_blocks,
     "csv_roundtrip": q_csv_roundtrip,
     "sidecar_roundtrip": q_sidecar_roundtrip,
+    "image_files": q_image_files,
+    "image_pixels": q_image_pixels,
+    "image_fallback": q_image_fallback,
+    "summary_roundtrip": q_summary_roundtrip,
+    "decode_escapes": q_decode_escapes,
+    "prompt_default": q_prompt_default,
     "sidecar_errors": q_sidecar_errors,
     "run_counters": q_run_counters,
     "tolerant_scan": q_tolerant_scan,

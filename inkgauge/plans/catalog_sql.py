@@ -13,7 +13,7 @@ from .. import oracle as O
 from ..functions.text import DEFAULT_MAX_CHARS, PY_WORD_CLASS
 from ..operators.histograms import KDE_GRID, PERCENT_EDGES, WHISKER_IQR, percent_bin_labels
 from ..operators.stats import DESIGN_PATTERN
-from ..sources.derived import (BOS, BROKEN_EVERY, LARGE_SIDECAR, LONG_LINE, SHORT_LINE, CORRUPT_EVERY, EOT, HDR_END, HDR_START, IMAGE_TOKEN, METHODS, NO_SIDECAR_EVERY,
+from ..sources.derived import (BAD_IMAGE_EVERY, PIXELS, BOS, BROKEN_EVERY, LARGE_SIDECAR, LONG_LINE, SHORT_LINE, CORRUPT_EVERY, EOT, HDR_END, HDR_START, IMAGE_TOKEN, METHODS, NO_SIDECAR_EVERY,
                                PROMPT)
 from .dataset import IGNORE_INDEX, IMAGE_ID, PAD_ID, REPORT_RULE, SPLIT_SEED, TRAIN_RATIO
 
@@ -508,6 +508,41 @@ def sql_sidecar_roundtrip():
     return sql_clean_markup()
 
 
+def _image_rows() -> str:
+    name = "lpad(CAST(doc_id AS VARCHAR), 12, '0') || CASE WHEN doc_id % 2 = 0 THEN '.bmp' ELSE '.BMP' END"
+    # pixels are stored blue, green, red
+    d = "upper(md5(text))"
+    rgb = " || ".join(f"substr({d}, {6 * i + 5}, 2) || substr({d}, {6 * i + 3}, 2) || substr({d}, {6 * i + 1}, 2)" for i in range(PIXELS))
+    return f"SELECT {name} AS file_name, doc_id % {BAD_IMAGE_EVERY} <> 0 AS valid, {rgb} AS rgb FROM documents WHERE text IS NOT NULL"
+
+
+def sql_image_files():
+    return f"SELECT file_name, CASE WHEN valid THEN {54 + 3 * PIXELS} ELSE 8 END::BIGINT AS length FROM ({_image_rows()})"
+
+
+def sql_image_pixels():
+    return (f"SELECT file_name, 1 AS height, {PIXELS} AS width, 3 AS channels, {3 * PIXELS} AS n_bytes, rgb AS first, valid "
+            f"FROM ({_image_rows()}) WHERE valid")
+
+
+def sql_image_fallback():
+    return (f"SELECT file_name, CASE WHEN valid THEN 1 ELSE 224 END AS height, CASE WHEN valid THEN {PIXELS} ELSE 224 END AS width, "
+            f"3 AS channels, CASE WHEN valid THEN {3 * PIXELS} ELSE 224 * 224 * 3 END AS n_bytes, "
+            f"CASE WHEN valid THEN rgb ELSE repeat('0', {6 * PIXELS}) END AS first, valid FROM ({_image_rows()})")
+
+
+def sql_summary_roundtrip():
+    return O.summary(values())
+
+
+def sql_decode_escapes():
+    return "SELECT doc_id, text AS decoded FROM documents"
+
+
+def sql_prompt_default():
+    return f"SELECT CAST(doc_id AS VARCHAR) AS id, {q(PROMPT)} AS user_content FROM documents"
+
+
 def _sidecar_outcomes() -> str:
     name = "CAST(doc_id AS VARCHAR) || '.jpg.model'"
     raw = O.raw_model_output("text")

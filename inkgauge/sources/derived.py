@@ -150,6 +150,30 @@ def model_runs(documents: DataFrame) -> DataFrame:
                             (F.col("n_chars") / 1000).alias("seconds"))
 
 
+BAD_IMAGE_EVERY = 29  # image files that are no image for doc_id % 29 = 0
+PIXELS = 4            # width of the one-row test images
+#: A bitmap's header: 54 bytes before the pixels, 24 bits a pixel, one row.
+BMP_HEADER = "424D" + "42000000" + "00000000" + "36000000" + "28000000" + "04000000" + "01000000" + "0100" + "1800" + "00" * 24
+
+
+def image_files(documents: DataFrame) -> DataFrame:
+    """``(file_name, content)``: a bitmap per document whose pixels are its
+    text's digest, with mixed spellings of the extension; some are no images."""
+    digest = F.substring(F.md5(F.col("text")), 1, PIXELS * 6)
+    bmp = F.unhex(F.concat(F.lit(BMP_HEADER), digest))
+    name = F.concat(F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.when(F.col("doc_id") % 2 == 0, ".bmp").otherwise(".BMP"))
+    return documents.where(F.col("text").isNotNull()).select(
+        name.alias("file_name"), F.when(F.col("doc_id") % BAD_IMAGE_EVERY == 0, F.encode(F.lit("no image"), "UTF-8")).otherwise(bmp).alias("content"))
+
+
+def escaped_text(c: Column) -> Column:
+    """A text as its source code would spell it (backslashes doubled twice:
+    one doubling is undone before escapes are read)."""
+    for old, new in [("\\", "\\\\\\\\"), ("\n", "\\n"), ("\t", "\\x09"), ("'", "\\'"), ("e", "\\145"), ("é", "\\u00e9")]:
+        c = F.replace(c, F.lit(old), F.lit(new))
+    return c
+
+
 def image_listing(labels: DataFrame, ext: str = ".jpg") -> DataFrame:
     """The image files that exist: one per labelled document (``file_name``
     as a ``binaryFile`` listing would report it)."""
