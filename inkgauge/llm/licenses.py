@@ -37,8 +37,49 @@ CC_KINDS = (("cc-by", "Attribution"), ("cc-by-nc", "Attribution-NonCommercial"),
             ("cc-by-nc-sa", "Attribution-NonCommercial-ShareAlike"), ("cc-by-nd", "Attribution-NoDerivatives"),
             ("cc-by-sa", "Attribution-ShareAlike"))
 CC_VERSIONS = ("4.0 International", "3.0 Unported", "2.5 Generic", "2.0 Generic")
+# SPDX identifiers by label.
+SPDX = (("apache-2.0", "Apache-2.0"), ("bsd", "BSD-2-Clause"), ("bsd", "BSD-3-Clause"), ("boost", "BSL-1.0"), ("cc-by", "CC-BY-4.0"),
+        ("cc-by-nc", "CC-BY-NC-4.0"), ("cc-by-sa", "CC-BY-SA-4.0"), ("cc0", "CC0-1.0"), ("gpl", "GPL-2.0-only"), ("gpl", "GPL-2.0-or-later"),
+        ("gpl", "GPL-3.0-only"), ("gpl", "GPL-3.0-or-later"), ("isc", "ISC"), ("lgpl", "LGPL-2.1-only"), ("lgpl", "LGPL-3.0-or-later"),
+        ("mit", "MIT"), ("mpl-2.0", "MPL-2.0"), ("unlicense", "Unlicense"), ("zlib", "Zlib"))
+# The parts of public licenses, each a template of its own, so
+# that one clause without the others is found too.
+PARTS = (
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated"),
+    ("mit", "to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to "
+            "whom the Software is furnished to do so, subject to the following conditions"),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
+    ("bsd", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following "
+            "disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+            "derived from this software without specific prior written permission."),
+    ("bsd", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, "
+            "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+            "provided that the above copyright notice and this permission notice appear in all copies."),
+    ("isc", "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED "
+            "WARRANTIES OF MERCHANTABILITY AND FITNESS."),
+    ("boost", "Boost Software License - Version 1.0 - August 17th, 2003"),
+    ("boost", "Distributed under the Boost Software License, Version 1.0."),
+    ("boost", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and "
+              "accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and "
+              "transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software "
+              "is furnished to do so, all subject to the following:"),
+    ("unlicense", "This is free and unencumbered software released into the public domain."),
+    ("unlicense", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form "
+                  "or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable "
+             "for any damages arising from the use of this software."),
+    ("zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it "
+             "and redistribute it freely, subject to the following restrictions"),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public "
+             "License as published by the Free Software Foundation"),
+)
 # Customary public notices by label.
 TEMPLATES = (
+    *((label, f"SPDX-License-Identifier: {name}") for label, name in SPDX),
+    *PARTS,
     # further wordings of the short notices below, and the Creative Commons versions
     *(("apache-2.0", f"{verb} under the Apache License{version}") for verb in ("Licensed", "Released", "Distributed", "Available")
       for version in (" 2.0", " v2.0", ", Version 2.0")),
@@ -64,7 +105,9 @@ TEMPLATES = (
     ("reserved", "All rights reserved"),
 )
 # Words that tell a template from its variants; a span must hold them unbroken.
-DECISIVE = ("the apache license", "the gnu general public license", "the mit license", "the mozilla public license",
+DECISIVE = ("any person or organization obtaining", "provided that the above copyright notice",
+            "boost software license", "the gnu lesser general public license", "as published by the free software",
+            "the apache license", "the gnu general public license", "the mit license", "the mozilla public license",
             *(f"commons {kind} {version[:3]}" for _, kind in CC_KINDS for version in CC_VERSIONS))
 
 

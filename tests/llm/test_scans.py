@@ -141,3 +141,43 @@ def test_template_table_is_bounded(spark, monkeypatch):
     monkeypatch.setattr(licenses, "MAX_TEMPLATE_WORDS", 10)
     with pytest.raises(ValueError):
         licenses.template_table(spark, licenses.TEMPLATES)
+
+
+def test_license_parts_and_identifiers(spark):
+    parts = dict((t, lbl) for lbl, t in licenses.PARTS)
+    bsd = next(t for t in parts if t.startswith("Redistributions in binary"))
+    texts = {"// SPDX-License-Identifier: GPL-2.0-only\nint x;": "gpl", "# SPDX-License-Identifier: Apache-2.0": "apache-2.0",
+             "SPDX-License-Identifier: CC-BY-NC-4.0": "cc-by,cc-by-nc", "SPDX-License-Identifier: LGPL-2.1-only": "lgpl",
+             bsd: "bsd", "x " * 50 + bsd.upper() + " y" * 50: "bsd",
+             "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated": "mit",
+             "Distributed under the Boost Software License, Version 1.0.": "boost", **{t: "gpl,lgpl" if lbl == "lgpl" else lbl for t, lbl in parts.items()},  # base labels stay
+             # close, but no license
+             "SPDX-License-Identifier: NOASSERTION": "", "The Redistributions in binary form of the film were lost": "",
+             "Permission is hereby granted, free of charge, to any person visiting the museum": "",
+             "This is free and open software": "", "Version 1.0 of the boost gauge is distributed under the table": ""}
+    got = licenses.scan_licenses(docs(spark, list(enumerate(texts)))).collect()
+    assert {r["doc_id"]: r["labels"] for r in got} == dict(enumerate(texts.values()))
+
+
+def test_license_spans_stand_where_the_words_stand(spark):
+    """Every verified span against a plain count of the template's words around it."""
+    import random
+    rng = random.Random(8)
+    rows = []
+    for n in range(60):
+        label, template = rng.choice(licenses.TEMPLATES)
+        words = template.split()
+        if len(words) > 12:  # some edits
+            words[rng.randrange(len(words))] = "edited"
+        before = [f"w{rng.randrange(99)}" for _ in range(rng.randrange(30))]
+        rows.append((n, " ".join([*before, *words, *before]), label, template))
+    table = licenses.template_table(spark, licenses.TEMPLATES)
+    grams = docs(spark, [r[:2] for r in rows]).selectExpr("doc_id id", "0L th", "text").mapInArrow(
+        lambda b: licenses._grams(b, licenses.K), "id long, th long, grams array<bigint>")
+    for s in licenses.license_spans(grams, table, ["id"]).collect():
+        text = licenses.words_of(rows[s["id"]][1].encode())[s["start"]:s["end"]]
+        own = licenses.words_of(licenses.TEMPLATES[s["template"]][1].encode())
+        runs = {tuple(text[i:i + 3]) for i in range(len(text) - 2)}
+        held = {j for i in range(len(own) - 2) if tuple(own[i:i + 3]) in runs for j in range(i, i + 3)}
+        assert s["cover"] <= len(held) / len(own) + 1e-9 and s["cover"] >= (1 if len(own) < licenses.SHORT_WORDS else licenses.MIN_COVER)
+        assert licenses.TEMPLATES[s["template"]][0] == s["label"]
