@@ -85,7 +85,9 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     Null or empty texts hold nothing and are found nowhere; an item shorter
     than a shingle is found in documents that consist of the same words.
     Rows that repeat an id, null ids too, count once a pair; an empty table
-    on either side gives no pairs."""
+    on either side gives no pairs.  Items with the same words are each found.
+    Texts of any length are searched whole; other columns of both tables are
+    ignored whatever their names."""
     shared = contaminated_texts(docs, items, id_col, text_col, item_col, item_text, n, containment)
     best = shared.groupBy("id", "item").agg(F.max_by(F.struct("n_item", "n_shared"), F.col("n_shared") / F.col("n_item")).alias("b"))
     return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), F.col("b.n_item").cast("long").alias("n_item"),

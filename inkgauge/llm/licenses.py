@@ -212,8 +212,11 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     ``score`` is the best cover of a verified template, at least 0.5 where a
     base phrase stands, else 0.  Null or empty text has no words and no
-    label; repeated rows (same id and text) are each returned; an empty
-    table gives no rows."""
+    label; repeated rows (same id and text) are each returned; of spans
+    with the same cover the one with more words, then the template listed
+    first, takes the place; an empty table gives no rows.  Texts are scanned
+    whole, whatever their length; other columns are ignored whatever their
+    names."""
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"),
                        F.col(text_col).cast("string").alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()

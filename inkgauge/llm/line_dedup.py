@@ -70,7 +70,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     points that at least ``min_docs`` documents hold loses all its lines but
     those of the largest id.  Null or empty text is one empty line.  A null id counts as no document, but its
     lines go like any other's; repeated rows of one id count once and are
-    each returned."""
+    each returned: where theirs is the largest id, all of them keep the line.
+    Texts are split whole, whatever their length; columns that are not carried
+    are ignored whatever their names; an empty table gives no rows."""
     base = docs.select(F.col(id_col).cast("long").alias("id"), doc_key(id_col, text_col).alias("null_key"),
                        F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(carry)])
     lines = stage(base.select("id", "null_key", "text").mapInArrow(

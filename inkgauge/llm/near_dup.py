@@ -132,7 +132,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest id reachable.  Null or empty texts have no shingles and no
     links; rows that repeat an id are one document, linked through any of
     its texts; a null id is linked with nothing, has a null component and is
-    kept.  An empty table gives no rows."""
+    kept.  An empty table gives no rows.  Equal texts are one class, kept by the
+    smallest id; sets are those of whole texts, whatever their length; other
+    columns are ignored whatever their names."""
     share, whole = similarity
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     signed_rows = stage(rows.mapInArrow(functools.partial(_sign, n=shingle), "id bigint, n bigint, c1 bigint, c2 bigint, "

@@ -115,7 +115,9 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     the posterior ``p_good``.
 
     Null or empty text has no words and fails the base rules; null ids and
-    repeated rows are judged like any other; an empty table gives no rows."""
+    repeated rows are judged like any other, and texts with the same votes
+    alike; an empty table gives no rows.  Texts are counted whole, whatever
+    their length; other columns are ignored whatever their names."""
     votes = F.array(*[v.cast("double") for v in rules()])
     counts = stage(document_counts(docs, id_col, text_col), "quality_counts")
     # 3 ** rules patterns at most

@@ -111,7 +111,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Null or empty text has no spans.  A null owner or repository is one of
     its own; repeated rows are one repository; ties at one start go by kind,
-    then end; an empty table gives no rows."""
+    then end; an empty table gives no rows.  Texts are scanned whole, whatever
+    their length; other columns are ignored whatever their names."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(owner_col).cast("string").alias("owner"),
                        F.col(repo_col).cast("string").alias("repo"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).cast("string").alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()

@@ -334,7 +334,9 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     a smaller id.  Null or empty text has no words; rows that repeat an id
     are one document and are each returned; a null id is smaller than none,
     so its row keeps all its words and is no source.  An empty table gives
-    no rows."""
+    no rows.  Of several places in a source the first is named; texts are read
+    whole, whatever their length; other columns are ignored whatever their
+    names."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     known = rows.where("id is not null")
     paths = known.mapInArrow(_paths, "m bigint, c bigint, id bigint, pos bigint, src bigint, kind int")

@@ -253,7 +253,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     and the columns named in ``carry``.
 
     Null or empty texts have no passage and the lowest score; a null id is
-    not held out; repeated rows score alike; an empty table gives no rows."""
+    not held out; repeated rows score alike; an empty table gives no rows.
+    Of passages with the same score the latest is the best; an id with several
+    labels is toxic if one says so.  Texts are scanned whole, whatever their
+    length; columns that are not carried are ignored whatever their names."""
     model = fit(docs, labels, id_col, text_col, label_id, label_col, sample_docs)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"),
                        held_out(F.col(id_col)).alias("held"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(carry)])

@@ -98,7 +98,10 @@ def judge_urls(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url
     without labelled pages is judged by its domain, else its suffix, else all
     labelled pages; without labels at all every host is allowed: nothing
     speaks against it.  A page counts as good if any of its labels says so; null
-    labels and ids count nothing.  Repeated rows are each returned."""
+    labels and ids count nothing.  Repeated rows are each returned; of rules
+    that fit, the longest wins, so there are no ties; an empty table gives no
+    rows.  Urls of any length are split whole; other columns of both tables are
+    ignored whatever their names."""
     host, path = split_url(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
     known = (labels.where(F.col(label_col).isNotNull() & F.col(label_id).isNotNull())
