@@ -181,3 +181,35 @@ def test_license_spans_stand_where_the_words_stand(spark):
         held = {j for i in range(len(own) - 2) if tuple(own[i:i + 3]) in runs for j in range(i, i + 3)}
         assert s["cover"] <= len(held) / len(own) + 1e-9 and s["cover"] >= (1 if len(own) < licenses.SHORT_WORDS else licenses.MIN_COVER)
         assert licenses.TEMPLATES[s["template"]][0] == s["label"]
+
+
+def test_live_and_copied_against_brute_force(spark):
+    """Verdicts of random rows by a plain count of owners and repositories."""
+    import random
+    from collections import defaultdict
+
+    rng = random.Random(31)
+    values = [f"xoxb-{n:012d}-key{n}" for n in range(160)]
+    rows = []
+    for n in range(400):
+        held = rng.sample(values, rng.choice([0, 1, 1, 2]))
+        text = " ".join([rng.choice(["note", "memo", "text"]), *held]) if rng.random() < 0.4 else " ".join([f"u{n}", *held])
+        rows.append((rng.randint(0, 250), text if rng.random() < 0.97 else None, rng.choice(["o1", "o2", "o3", None]), rng.choice(["r1", "r2", "r3", "r4", "r5", None])))
+    rows += rows[:20]
+    owners, places = defaultdict(set), defaultdict(dict)
+    for _, text, owner, repo in rows:
+        for v in (text or "").split():
+            if v in values:
+                owners[v].add(owner or "")
+                at = (owner or "", repo or "")
+                places[v][text] = min(places[v].get(text, at), at)
+    live = {v for v in values if len(owners[v]) <= 1 and len(set(places[v].values())) <= 3}
+    assert 0 < len(live & set(owners)) < len(owners)
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, repo string").repartition(4)
+    got = sorted((r["doc_id"], r["n_live"], r["n_copied"], r["spans"]) for r in secrets.scan_secrets(df, repo_col="repo").collect())
+    want = []
+    for i, text, _, _ in rows:
+        spans = [(m.start(), m.end(), m[0]) for m in re.finditer(r"\S+", text or "") if m[0] in values]
+        want.append((i, sum(s[2] in live for s in spans), sum(s[2] not in live for s in spans),
+                     ",".join(f"slack:{a}:{b}" for a, b, v in spans if v in live)))
+    assert got == sorted(want)

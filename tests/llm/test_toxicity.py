@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from inkgauge.llm import toxicity
+from inkgauge.llm.common import prepare
 from inkgauge.llm.queries import op10_toxicity, table
 
 from .util import ODD_ROWS, docs
@@ -49,3 +50,57 @@ def test_odd_rows(spark):
     none = toxicity.score_toxicity(docs(spark, rows), labels.limit(0)).collect()
     assert len(none) == len(rows) and {r["predicted"] for r in none} == {0}
     assert toxicity.score_toxicity(docs(spark, []).limit(0), labels).collect() == []
+
+
+def best_runs(scores, offset=0):
+    """All maximal-scoring segments by definition: the best run, then those left and right of it."""
+    best, at = 0.0, None
+    for a in range(len(scores)):
+        total = 0.0
+        for b in range(a, len(scores)):
+            total += scores[b]
+            if total > best + 1e-12:
+                best, at = total, (a, b + 1)
+    if at is None:
+        return []
+    a, b = at
+    return best_runs(scores[:a], offset) + [(best, offset + a, offset + b)] + best_runs(scores[b:], offset + b)
+
+
+def test_odds_and_score_against_plain_python(spark):
+    import math
+    import zlib
+    from collections import Counter
+
+    sf = "/root/testdata/sf0.01"
+    documents, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    texts = {r[0]: r[1] or "" for r in documents.select("doc_id", "text").collect()}
+    toxic = {r[0]: r[1] for r in labels.select("doc_id", "toxic").collect() if r[0] in texts and r[1] is not None and zlib.crc32(str(r[0]).encode()) % 5}
+    words = {i: [w for w in ("".join(c.lower() if "A" <= c <= "Z" else c if c.isascii() and c.isalnum() or ord(c) >= 128 else " " for c in texts[i])).split(" ") if w]
+             for i in texts}
+    clean_n, toxic_n = Counter(), Counter()
+    for i, y in toxic.items():
+        for f in {g for w in set(words[i]) for g in (w, "^" + w[:5], "^" + w[:4])}:
+            (toxic_n if y else clean_n)[f] += 1
+    base = (sum(toxic.values()) + 0.5) / (len(toxic) + 1)
+    logit = lambda p: math.log(p / (1 - p))
+    rate = lambda f, parent: (toxic_n[f] + 5 * parent) / (toxic_n[f] + clean_n[f] + 5)
+    want = {}
+    for f in set(clean_n) | set(toxic_n):
+        if clean_n[f] + toxic_n[f] >= 5:
+            w = f.removeprefix("^")
+            p4 = rate("^" + w[:4], base)
+            p5 = rate("^" + w[:5], p4)
+            want[f] = logit(rate(f, p5) if f[0] != "^" else p4 if len(w) <= 4 else p5) - logit(base)
+    prepare(spark)
+    model = toxicity.fit(documents, labels)
+    assert set(model.odds) == set(want) and all(abs(model.odds[f] - x) < 1e-9 for f, x in want.items()) and len(want) > 500
+    got = {r["doc_id"]: r for r in toxicity.score_toxicity(documents, labels).collect()}
+    some = [i for i in texts if len(words[i]) <= 250][:150] + [i for i, y in toxic.items() if y and len(words[i]) <= 250][:20]
+    for i in some:
+        s = [next((want[f] for f in (w, "^" + w[:5], "^" + w[:4]) if f in want), 0.0) - toxicity.DRIFT for w in words[i]]
+        chance = math.log(max(model.k * len(s), 1e-300)) if s else 0.0
+        evidence = [x for x in (model.lam * run - chance for run, _, _ in best_runs(s)) if x >= -math.log(toxicity.MAX_E)]
+        score = 1 / (1 + math.exp(-(model.a + model.b * math.log1p(sum(evidence)))))
+        assert abs(got[i]["score"] - score) < 1e-3 and got[i]["n_passages"] == len(evidence) and got[i]["predicted"] == int(score >= 0.5)
+    assert any(got[i]["n_passages"] for i in some)
