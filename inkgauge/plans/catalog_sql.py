@@ -486,6 +486,39 @@ def sql_parse_structured():
     return f"SELECT doc_id, corrupt, section_name, f.field_name AS field_name, f.value AS value FROM ({f})"
 
 
+def sql_structured_linked():
+    """Every value that the documents' answers hold, straight from the columns
+    that they were written from (cut answers hold none)."""
+    doc, chars = "CAST(doc_id AS VARCHAR)", "CAST(n_chars AS VARCHAR)"
+    groups = [  # level, attributes of its one element in the order of the prompt
+        ("personal_information", dict(name="source", date_of_birth=None, social_security_no=None, employee_no=None, id_no=doc, rp_certificate_no=None)),
+        ("dates", dict(date=doc, category="'letter'")),
+        ("monetary_amounts", dict(amount=chars, category="'chars'")),
+        ("relationships", dict(entity1="source", relationship="'wrote'", entity2="lang")),
+        ("medical_information", dict(info="lang", category="'none'")),
+        ("family_information", dict(name="source", relationship="'self'", event="'letter'")),
+        ("employment_history", dict(date=doc, position_description="'writer'", division=None, department=None, location="source", rate_of_pay=None,
+                                    remarks=None)),
+        ("employment_events", dict(date=doc, location=None, incident="'letter'", action_taken=None)),
+        ("metadata", dict(document_type="'letter'", period=None, context="source")),
+        ("sentiment", dict(value="coalesce(quality, 'unknown')")),
+        ("document_specific_information", dict(value=chars)), ("other", dict(value=doc))]
+    rows = [(level, 0, name, 0, value) for level, attributes in groups for name, value in attributes.items()]
+    rows += [("employment_events", 0, "reference_numbers", i, v) for i, v in enumerate((doc, chars))]
+    rows += [("geographical_information", i, "value", 0, v) for i, v in enumerate(("source", "lang"))]
+    cells = ", ".join(f"{{'level': {q(level)}, 'pos': {pos}, 'name': {q(name)}, 'item': {item}, 'value': {value or 'NULL::VARCHAR'}}}"
+                      for level, pos, name, item, value in rows)
+    docs = (f"SELECT d.*, CAST(l.quality AS VARCHAR) AS quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id "
+            f"WHERE d.doc_id % {CORRUPT_EVERY} <> 0")
+    fixed = f"SELECT doc_id, unnest([{cells}]) AS v FROM ({docs})"
+    words = (f"SELECT doc_id, lang, unnest(w) AS word, unnest(range(len(w))) AS pos FROM (SELECT *, list_filter(string_split(text, ' '), "
+             f"lambda x: regexp_matches(x, '^[A-Z]')) AS w FROM ({docs}))")
+    head = "doc_id, 0 AS section_pos, 'metadata' AS section_name, 0 AS field_pos, 'language' AS field_name"
+    return (f"SELECT {head}, v.level AS level, v.pos AS pos, v.name AS name, v.item AS item, v.value AS value FROM ({fixed}) "
+            f"UNION ALL SELECT {head}, 'named_entities', pos, 'entity', 0, word FROM ({words}) "
+            f"UNION ALL SELECT {head}, 'named_entities', pos, 'type', 0, lang FROM ({words})")
+
+
 def sql_report_blocks():
     secs = "CAST(n_chars // 1000 AS VARCHAR) || '.' || lpad(CAST(n_chars % 1000 AS VARCHAR), 3, '0')"
     ranked = (f"SELECT *, row_number() OVER (ORDER BY doc_id) AS idx, count(*) OVER () AS n, "

@@ -199,7 +199,7 @@ def json_escape(c: Column) -> Column:
 def linked_information() -> Column:
     """All levels of the prompt's linked information, from the tables' columns."""
     lang, source, chars, doc = F.col("lang"), F.col("source"), F.col("n_chars").cast("string"), F.col("doc_id").cast("string")
-    words = F.slice(F.split(F.col("text"), " "), 1, 3)
+    words = F.filter(F.split(F.col("text"), " "), lambda w: w.rlike("^[A-Z]"))  # the capitalised words
     def row(**values):
         return F.struct(*[(v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in values.items()])
     return F.to_json(row(
