@@ -6,8 +6,9 @@ prior whose strength is fitted by moments over all siblings' counts.  A host
 without labelled pages has its domain's rate as prior and no pages of its
 own; without labels in its domain it takes its suffix's rate, else the rate
 of all labelled pages.  A page whose posterior upper bound for its host stays under ``min_good`` is
-blocked.  Everything is DataFrame expressions; counts are pre-aggregated and
-every join is a plain shuffle join that AQE may split for a hot host.
+blocked.  Everything is DataFrame expressions; the counts per host are written
+once, domains, suffixes and priors come from them, and every join is a plain
+shuffle join that AQE may split for a hot host.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, ASCII_UPPER
+from .common import ASCII_LOWER, ASCII_UPPER, stage
 
 #: (verdict, host, path): the longest rule that fits wins.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
@@ -52,6 +53,7 @@ def host_reputation(outcomes: DataFrame, z: float = Z) -> DataFrame:
                                          F.coalesce(F.sum("good"), F.lit(0)).cast("double").alias("k"))
     every = (every.withColumn("domain", F.substring_index("host", ".", -2))
              .withColumn("suffix", F.substring_index("host", ".", -1)))
+    every = stage(every, "host_counts")
     hosts = every.where(F.col("n") > 0)
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
