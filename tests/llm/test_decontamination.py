@@ -56,3 +56,35 @@ def test_without_broadcast(spark, sf001, monkeypatch):
 def test_no_python_in_the_plan(spark, sf001):
     plan = op7_decontamination(spark, sf001)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_key_bitmap_loses_no_key(spark):
+    rows = spark.range(200_000).selectExpr("if(id % 7 = 0, null, id) id", "xxhash64(id, 5) th", "id n")
+    keys = rows.where("n % 400 = 3").selectExpr("id c_id", "th c_th")
+    near, clean = decontamination._split(rows, keys)
+    assert near.join(keys, decontamination._same_key(), "left_semi").count() == keys.count() == 500
+    assert clean.join(keys, decontamination._same_key(), "left_semi").count() == 0
+    assert near.count() + clean.count() == 200_000 and near.count() < 520
+    none = decontamination._split(rows, keys.limit(0))
+    assert [x.count() for x in none] == [0, 200_000]
+
+
+def test_results_do_not_depend_on_the_bitmap(spark, sf001, monkeypatch):
+    frame, items = (spark.read.parquet(f"{sf001}/{t}.parquet") for t in ("documents", "benchmark"))
+    want = sorted(map(tuple, decontamination.contaminated(frame, items).collect()))
+    kept = sorted(r["doc_id"] for r in decontamination.drop_contaminated(frame, items).collect())
+    assert kept == sorted({r["doc_id"] for r in frame.collect()} - {r[0] for r in want})
+    monkeypatch.setattr(decontamination, "KEY_BITS", 1)  # every row may be a key
+    assert sorted(map(tuple, decontamination.contaminated(frame, items).collect())) == want
+    assert sorted(r["doc_id"] for r in decontamination.drop_contaminated(frame, items).collect()) == kept
+
+
+def test_dropping_keeps_columns_and_odd_rows(spark):
+    item = "one two three four five six seven eight nine ten"
+    frame = docs(spark, ODD_ROWS + [(None, item), (1, "x " + item.upper()), (1, "other words")]).withColumnRenamed("pos", "th").withColumnRenamed("n", "c_id")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    left = decontamination.drop_contaminated(frame, items)
+    assert left.columns == frame.columns
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in left.collect()))) == sorted(map(str, ODD_ROWS + [(1, "other words")]))
+    assert decontamination.drop_contaminated(frame.limit(0), items).collect() == []
+    assert decontamination.drop_contaminated(frame, items.limit(0)).count() == len(ODD_ROWS) + 3
