@@ -48,9 +48,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents that hold a benchmark item go.  Rows with null or repeated ids are
     told apart by their text; null and empty texts stay."""
     prepare(spark)
-    found = decontamination.contaminated_texts(docs, table(spark, sf_dir, "benchmark")).select("id", "th").distinct()
-    test = F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("th"))
-    return docs.select(*COLUMNS).join(found, test, "left_anti")
+    return decontamination.drop_contaminated(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
