@@ -6,7 +6,8 @@
    each class goes on.
 2. Members of a band bucket are candidates.  The population count of the
    XOR of two odd sketches estimates how many samples differ, which is
-   precise for high similarity and prunes candidates before their sets move.
+   precise for high similarity and prunes candidates before their sets move
+   (step 5).
 3. All members of a bucket meet its hub, the member that shares most buckets
    with most others, on their full shingle sets.
 4. The rest is exact by differences from the hub b.  If x is not linked to
@@ -16,7 +17,10 @@
    first, the first shared difference has s of either's from there on: an
    equi-join with that condition finds all pairs that can be linked.
 5. Members far from the hub can only be linked to members that are rather
-   far from it too (triangle inequality); those few are compared directly.
+   far from it too (triangle inequality).  Where a bucket's far members are of
+   several components so far, they meet by the shingles that hold for several
+   components: rarest first, two linked sets share one among the first
+   (1 - t) n + 1 (prefix filter), and the odd sketches prune what meets.
 
 Components come from :mod:`.components`; nothing is collected.
 """
@@ -123,6 +127,32 @@ def _confirm(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) ->
     return _with_sets(pairs, sets).where(whole * F.col("i") >= share * F.col("u")).select("a", "b").distinct()
 
 
+def _far_pairs(far: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Step 5: pairs (a, b) of different components whose full sets can be
+    similar enough, among ``far`` (bucket, node, sketch, c, measured).
+
+    Shingles of a single component come first in the order, so only the
+    others are ranked; ``after`` counts those from one on."""
+    share, whole = similarity
+    mixed = far.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.bool_and("measured").alias("done"))
+    lone = stage(far.join(mixed.where("lo < hi and not done"), "bucket", "left_semi").select("node", "c", "sketch").distinct(), "near_dup_lone")
+    each = sets.join(lone.select("node", "c").distinct(), F.col("id") == F.col("node")).select(
+        "node", "c", F.xxhash64("s").alias("text"), F.size("s").alias("size"), F.explode("s").alias("e"))
+    each = stage(each, "near_dup_far_shingles")
+    holders = each.groupBy("e").agg(F.count(F.lit(1)).alias("holders"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
+    after = F.row_number().over(Window.partitionBy("node", "text").orderBy(F.desc("holders"), F.desc("e")))
+    kept = each.join(stage(holders.select("e", "holders"), "near_dup_far_holders"), "e").withColumn("after", after)
+    kept = stage(kept.where(whole * F.col("after") >= share * F.col("size")).select("e", "node", "c", "size", "after"), "near_dup_far_prefixes")
+    one, two = ([F.col(c).alias(f"{c}_{k}") for c in ("node", "c", "size", "after")] for k in ("x", "y"))
+    meet = (F.col("c_x") < F.col("c_y")) & (
+        (share + whole) * F.least("after_x", "after_y") >= share * (F.col("size_x") + F.col("size_y")))
+    pairs = (kept.select("e", *one).join(kept.select("e", *two), "e").where(meet)
+             .select(F.greatest("node_x", "node_y").alias("a"), F.least("node_x", "node_y").alias("b")).distinct())
+    for end in "ab":
+        pairs = pairs.join(lone.select(F.col("node").alias(end), F.col("sketch").alias(f"sketch_{end}")).distinct(), end)
+    return pairs.where(_xor_bits("sketch_a", "sketch_b") <= MAX_XOR).select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
                     similarity: tuple[int, int] = (85, 100)) -> DataFrame:
     """One row per input row: id, ``n_shingles``, ``component_id``, ``kept``.
@@ -186,11 +216,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "b", "text_b", "a", "text_a", "c", (F.col("c") != F.col("c_hub")).alias("open"), "cost", "grant",
         F.size("differs").alias("size"), F.explode("differs").alias("e"))
     each = stage(each, "near_dup_differences")
-    holders = each.groupBy("b", "text_b", "e").agg(F.count(F.lit(1)).alias("holders"), F.count_if("open").alias("open_holders"))
+    holders = each.groupBy("b", "text_b", "e").agg(F.count(F.lit(1)).alias("holders"), F.count_if("open").alias("open_holders"),
+                                                   (F.min("c") < F.max("c")).alias("mixed"))
     rarest = Window.partitionBy("b", "text_b", "a", "text_a").orderBy("holders", "e")
     ranked = each.join(stage(holders, "near_dup_holders"), ["b", "text_b", "e"]).withColumn("after", F.col("size") - F.row_number().over(rarest) + 1)
     # ``after``: differences from this one on, so many at most can be shared
-    ranked = stage(ranked.where((F.col("open_holders") > 0) & (F.col("holders") > 1) & (
+    ranked = stage(ranked.where((F.col("open_holders") > 0) & F.col("mixed") & (
         (share + whole) * F.col("after") >= F.col("cost") - F.when(F.col("open"), F.col("grant")).otherwise(0))), "near_dup_ranked")
     one, two = ([F.col(c).alias(f"{c}_{k}") for c in ("a", "c", "cost", "after", "open")] for k in ("x", "y"))
     # x is open; an open pair is met once
@@ -203,11 +234,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # members far from the hub, one of them at least without differences
     measured = star.select(F.col("a").alias("node"), F.col("b").alias("hub"), "close", F.col("differs").isNotNull().alias("measured")).distinct()
     far = beside.join(measured, ["node", "hub"], "left").where("not coalesce(close, false)")
-    far = stage(placed(far, "node", "c").select("bucket", "node", "n", "sketch", "c", F.coalesce("measured", F.lit(False)).alias("measured")), "near_dup_far")
-    other = far.select("bucket", *[F.col(x).alias(f"{x}_b") for x in ("node", "n", "sketch", "c", "measured")])
-    alike = (F.col("c") < F.col("c_b")) & ~(F.col("measured") & F.col("measured_b")) & (_xor_bits("sketch", "sketch_b") <= MAX_XOR) & (
-        whole * F.least("n", "n_b") >= share * F.greatest("n", "n_b"))
-    rest = far.join(other, "bucket").where(alike).select(F.greatest("node", "node_b").alias("a"), F.least("node", "node_b").alias("b")).distinct()
+    far = placed(far, "node", "c").select("bucket", "node", "sketch", "c", F.coalesce("measured", F.lit(False)).alias("measured"))
+    rest = _far_pairs(stage(far, "near_dup_far"), sets, similarity)
     links = direct.union(_confirm(shared.union(rest).distinct(), sets, similarity))
     # several texts under one id are one document
     several = members.groupBy("id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
