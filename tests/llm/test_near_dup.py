@@ -97,28 +97,6 @@ def test_members_halfway_to_the_hub_lose_no_link(spark):
     assert got(near_dup.near_duplicates(docs(spark, rows))) == want
 
 
-def test_far_members_meet_without_all_pairs(spark):
-    """A bucket of texts with the same long passage: only those that can be linked
-    meet, none of them is lost, and buckets of one component are left out."""
-    rng = np.random.default_rng(7)
-    common = rng.integers(1, 2**62, 300, np.uint64)
-    own = [np.concatenate([common, rng.integers(1, 2**62, 300, np.uint64)]) for _ in range(200)]
-    copies = [np.concatenate([x[:-k - 1], rng.integers(1, 2**62, k + 1, np.uint64)]) for k, x in enumerate(own[:40])]
-    every = [np.unique(x) for x in own + copies + copies[:5]]
-    sketches = near_dup.odd_sketches(near_dup.min_hashes(every))
-    sets = spark.createDataFrame([(i, x.view(np.int64).tolist()) for i, x in enumerate(every)], "id long, s array<long>")
-    last = len(own) + len(copies)
-    far = [(0, i, s.tolist(), i, i % 3 == 0) for i, s in enumerate(sketches[:last])]
-    far += [(1, last + i, s.tolist(), last, False) for i, s in enumerate(sketches[last:])]  # one component
-    kind = "bucket long, node long, sketch array<long>, c long, measured boolean"
-    pairs = set(map(tuple, near_dup._far_pairs(spark.createDataFrame(far, kind), sets, (85, 100)).collect()))
-    alike = lambda x, y: len(np.intersect1d(x, y)) / len(np.union1d(x, y))
-    links = {(j, i) for j in range(last) for i in range(j) if (i < 40 or i >= 200) and alike(every[i], every[j]) >= 0.85}
-    assert len(links) == 40 and links <= pairs and len(pairs) < 60
-    done = spark.createDataFrame([(*f[:4], True) for f in far], kind)
-    assert near_dup._far_pairs(done, sets, (85, 100)).collect() == []
-
-
 def test_empty(spark):
     assert near_dup.near_duplicates(docs(spark, []).limit(0)).collect() == []
     assert got(near_dup.near_duplicates(docs(spark, [(1, None), (None, "a b c")]))) == [(1, 0, 1, True), (None, 1, None, True)]
