@@ -12,6 +12,9 @@ splittable text reader; the counting is done per file block and put together:
 3. Lines that are whole records go straight on; only the lines of records with
    line breaks are gathered, by file, block and number of the record.
 
+The lines are written once, since they must be the same for the blocks' states
+and for the records; only the gathered ones are shuffled.
+
 A block is what one task reads (``spark.sql.files.maxPartitionBytes``), so one
 large file gives as many tasks as it has blocks.  A field with an unclosed quote
 takes in the rest of its file, as it does for any reader.
@@ -28,20 +31,46 @@ from ..session import written
 QUOTE = '"'
 
 
+def _number_lines(batches):
+    """Running counts of each block's lines, which one task reads in order."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    key, parity, begun = None, 0, [0, 0]
+    for batch in batches:
+        quotes = pc.count_substring(batch.column("value"), QUOTE).to_numpy(zero_copy_only=False).astype(np.int32)
+        files, blocks = batch.column("file"), batch.column("block").to_numpy(zero_copy_only=False)
+        new = np.ones(len(quotes), bool)
+        if len(quotes):
+            same = pc.equal(files.slice(1), files.slice(0, len(files) - 1)).to_numpy(zero_copy_only=False)
+            new[1:] = (blocks[1:] != blocks[:-1]) | ~same
+        odd, rec = np.zeros(len(quotes), np.int32), [np.zeros(len(quotes), np.int64) for _ in (0, 1)]
+        starts = np.flatnonzero(new).tolist()
+        for at, end in zip(starts, [*starts[1:], len(quotes)]):
+            here = (files[at].as_py(), int(blocks[at]))
+            if here != key:
+                key, parity, begun = here, 0, [0, 0]
+            own = quotes[at:end]
+            after = (parity + np.cumsum(own)) % 2
+            odd[at:end] = np.concatenate([[parity], after[:-1]])
+            for s in (0, 1):
+                rec[s][at:end] = begun[s] + np.cumsum(odd[at:end] == s)
+                begun[s] = int(rec[s][end - 1])
+            parity = int(after[-1])
+        added = {"quotes": quotes, "odd": odd, "rec_0": rec[0], "rec_1": rec[1]}
+        yield pa.record_batch([*batch.columns, *map(pa.array, added.values())], names=[*batch.schema.names, *added])
+
+
 def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines with, per block: ``odd`` (parity of the quotes before the line),
     ``rec_0`` / ``rec_1`` (records begun so far if the block begins outside /
-    inside quotes)."""
-    v = F.col("value")
+    inside quotes).  A block's lines are read in order by one task, which counts
+    as it reads: nothing is shuffled or sorted."""
     lines = spark.read.option("lineSep", "\n").text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("pos"), "value",
-        (F.length(v) - F.length(F.replace(v, F.lit(QUOTE), F.lit("")))).alias("quotes"))
-    before = Window.partitionBy("file", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy("file", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    odd = (F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2).cast("int")
-    marked = lines.withColumn("odd", odd)
-    return marked.withColumns({f"rec_{s}": F.sum((F.col("odd") == s).cast("long")).over(upto) for s in (0, 1)})
+        F.monotonically_increasing_id().alias("pos"), "value")
+    return lines.mapInArrow(_number_lines, "file string, block bigint, pos bigint, value string, quotes int, odd int, rec_0 bigint, rec_1 bigint")
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
@@ -57,13 +86,13 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     state = state.withColumn("begun", F.when(n > 0, F.struct("block", n.alias("rec"))))
     state = state.withColumn("open", F.last("begun", ignorenulls=True).over(earlier))
     state = state.select(F.col("file").alias("s_file"), F.col("block").alias("s_block"), "state", "open")
-    met = lines.join(state, (F.col("file") == F.col("s_file")) & (F.col("block") == F.col("s_block")))
+    # one row a block of ``spark.sql.files.maxPartitionBytes``, so the lines stay where they are
+    met = lines.join(F.broadcast(state), (F.col("file") == F.col("s_file")) & (F.col("block") == F.col("s_block")))
     rec = F.when(F.col("state") == 0, F.col("rec_0")).otherwise(F.col("rec_1"))
     met = met.select("file", "pos", "value", (F.col("odd") == F.col("state")).alias("begins"),
                      ((F.col("odd") + F.col("quotes")) % 2 == F.col("state")).alias("closed"),
                      F.when(rec > 0, F.col("block")).otherwise(F.col("open.block")).alias("block"),
                      F.when(rec > 0, rec).otherwise(F.col("open.rec")).alias("rec"))
-    met = written(met, "csv_placed")
     whole = F.col("begins") & F.col("closed")
     single = met.where(whole).select("file", "block", "rec", F.col("value").alias("record"))
     parts = met.where(~whole).groupBy("file", "block", "rec").agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("l"))
