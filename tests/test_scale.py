@@ -84,3 +84,33 @@ def test_numbering_lines_shuffles_nothing(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", str(32 * 1024 * 1024))
     assert got == set(rows)
+
+
+def test_many_files_are_read_in_few_tasks_from_many_folders(spark, tmp_path):
+    import os
+
+    from inkgauge.sinks import writers as W
+    from inkgauge.sources import files as FS
+    n, out = 600, str(tmp_path / "out")
+    rows = spark.range(n).select(F.concat("id", F.lit(".model")).alias("file_name"), F.concat(F.lit("é "), "id").alias("text"))
+    assert W.write_named_files(rows, out, folders=W.MANY_FOLDERS).count() == n
+    # folders enough for a listing by tasks, about as many files in each
+    held = [len(os.listdir(f"{out}/{d}")) for d in os.listdir(out)]
+    assert 32 < len(held) <= W.MANY_FOLDERS and sum(held) == n and max(held) < n // 10
+    back = FS.read_sidecars(spark, out, ".model")
+    assert {(r["file_name"], r["text"], r["error"]) for r in back.collect()} == {(f"{i}.model", f"é {i}", None) for i in range(n)}
+    for df in (FS.list_images(spark, out), back):
+        assert "Coalesce" in df._jdf.queryExecution().executedPlan().toString()
+    named = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(out).select("path")
+    most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    assert named.rdd.getNumPartitions() > most >= FS._in_few_tasks(named).rdd.getNumPartitions()
+
+
+@pytest.mark.parametrize("text", ["\x1c　 **a** <|begin_of_text|>b[x_1] \n\x85 ", "<|start_header_id|>u\n<|end_header_id|>t<|eot_id|>", "**", " ​ ", "[a b]**[é]*"])
+def test_markup_and_space_by_bytes_as_by_patterns(spark, text):
+    alone = F.col("t")
+    for p in TX.MARKUP_PATTERNS:
+        alone = F.regexp_replace(alone, p, "")
+    alone = F.regexp_replace(alone, f"^[{TX.PY_SPACE_CLASS}]+|[{TX.PY_SPACE_CLASS}]+$", "")
+    r = spark.createDataFrame([(text,)], "t string").select(TX.clean_markup(F.col("t")).alias("a"), alone.alias("b")).first()
+    assert r["a"] == r["b"] == r["b"].strip()
