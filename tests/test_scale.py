@@ -114,3 +114,27 @@ def test_markup_and_space_by_bytes_as_by_patterns(spark, text):
     alone = F.regexp_replace(alone, f"^[{TX.PY_SPACE_CLASS}]+|[{TX.PY_SPACE_CLASS}]+$", "")
     r = spark.createDataFrame([(text,)], "t string").select(TX.clean_markup(F.col("t")).alias("a"), alone.alias("b")).first()
     assert r["a"] == r["b"] == r["b"].strip()
+
+
+@pytest.mark.parametrize("rows", [
+    [("1", "correct this ocr: A b, c\x85d", "a-b  c\u00e9"), ("2", None, "x"), ("3", "x", None), ("3", "", "")],
+    [("a", "C:\\new \\u00e9t\u00e9 b", "c new \u00e9t\u00e9"), ("b", "\\", "a\\"), ("c", "\u0141\\u0141 a", "\u0141a"), (None, "b \\n a", "a b")],
+    [("o", "correct th\u0131s OCR q", "q CORRECT \u212a thi\u017f ocr"), ("p", "correct thi\u017f ocr: r", "r"), ("q", "corrcorrect this ocrect this ocr: x", "x"),
+     ("r", "\u00df\u00aa\u00b5 \u20ac \x1ca\u3000b", "\u00df \u00b2 a b")],
+])
+def test_sets_counted_in_batches_as_natively(spark, rows):
+    from inkgauge.plans import score as S
+    wide = spark.createDataFrame(rows, "id string, transcription string, pyte_ocr string").withColumn("BART_untuned", F.col("transcription"))
+    native = S.score(wide, metrics=C.SET_METRICS, flag_repetition=False).select("id", "method", "ordinal", *C.SET_METRICS, "equal_jaccard")
+    batches = S.score(wide, metrics=C.SET_METRICS, batches=True)
+    assert batches.columns == native.columns
+    assert sorted(map(repr, batches.collect())) == sorted(map(repr, native.collect()))
+    with pytest.raises(ValueError, match="ASCII"):
+        S.score(wide, metrics=C.SET_METRICS, batches=True, phrases=["\u00e9"])
+
+
+def test_set_reports_normalise_no_text_and_shuffle_only_the_merge(spark, sf001):
+    for q in (C.q_precision_recall, C.q_jaccard):
+        p = _plan(q(spark, sf001))
+        assert p.count("ArrowEvalPython") == 1 and "array_distinct" not in p and " {2,}" not in p
+    assert "ArrowEvalPython" in _plan(C.set_values(spark, sf001))
