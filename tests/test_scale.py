@@ -138,3 +138,27 @@ def test_set_reports_normalise_no_text_and_shuffle_only_the_merge(spark, sf001):
         p = _plan(q(spark, sf001))
         assert p.count("ArrowEvalPython") == 1 and "array_distinct" not in p and " {2,}" not in p
     assert "ArrowEvalPython" in _plan(C.set_values(spark, sf001))
+
+
+def test_moments_and_quantiles_read_the_values_once(spark):
+    import numpy as np
+
+    from inkgauge.operators import stats
+    seen = spark.sparkContext.accumulator(0)
+
+    def tell(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+    r = random.Random(3)
+    rows = [(g, r.choice([1e9 + r.random(), 1e9, float("nan"), None])) for g in ("a", "b", None) for _ in range(200)]
+    rows += [("one", 2.5), ("none", None), ("nan", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, value double").repartition(3).mapInArrow(tell, "g string, value double")
+    got = {x["g"]: x for x in stats.describe(df, ["g"]).collect()}
+    assert seen.value == len(rows) and set(got) == {"a", "b", None, "one", "none", "nan"}
+    for g in ("a", "b", None):
+        xs = [v for k, v in rows if k == g and v is not None and v == v]
+        assert (got[g]["n"], got[g]["min"], got[g]["max"]) == (len(xs), min(xs), max(xs))
+        assert abs(got[g]["mean"] - np.mean(xs)) < 1e-6 and abs(got[g]["std_dev"] - np.std(xs, ddof=1)) < 1e-6
+    assert (got["one"]["n"], got["one"]["mean"], got["one"]["std_dev"], got["one"]["median"]) == (1, 2.5, None, 2.5)
+    assert all((got[g]["n"], got[g]["mean"], got[g]["median"]) == (0, None, None) for g in ("none", "nan"))
