@@ -197,5 +197,7 @@ def with_variants(wide: DataFrame, methods: list[str], scores: list[str], key: s
     cells = F.array(*[F.struct(F.lit(s).alias("metric"), F.lit(m).alias("method"), F.lit(i).cast("long").alias("ordinal"),
                                F.col(f"{m}_{s}").alias("value")) for i, m in enumerate(methods) for s in scores])
     numbers = wide.select(key, *[number[c].alias(c) for c in columns])
-    rows = numbers.select(key, F.explode(variants).alias("variant"), cells.alias("cells"))
-    return rows.select(key, "variant", F.inline("cells"))
+    rows = numbers.select(key, F.explode(variants).alias("variant"), *columns)
+    # The array is made where it is taken apart: of an array column Spark infers that
+    # it is not empty, and pushes that test, all scoring in it, down to the scan.
+    return rows.select(key, "variant", F.inline(cells))
